@@ -111,37 +111,20 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
 
 def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
-    """All columns of `df` but `ids_col`, then `decoded` (the bytes) and `n_pieces`, the number of tokens that complete at
-    least one character: a character that is split over tokens comes out with the token that holds its last byte.
-    Null ids decode to no bytes; an id outside the vocabulary is an error."""
-    kept = [f for f in df.schema.fields if f.name not in (ids_col, "decoded", "n_pieces")]
-    schema = T.StructType([*kept, T.StructField("decoded", T.BinaryType()), T.StructField("n_pieces", T.LongType())])
+    """All columns of `df` but `ids_col`, then `decoded`, the bytes of the tokens in order. A character that is split over
+    tokens is whole again as its bytes are joined. Null ids decode to no bytes; an id outside the vocabulary is an error."""
+    kept = [f for f in df.schema.fields if f.name not in (ids_col, "decoded")]
+    schema = T.StructType([*kept, T.StructField("decoded", T.BinaryType())])
 
     def run(batches):
         table = token_bytes(load(vocabulary))
-        # A token completes a character unless it ends where more bytes of the character must follow.
-        opens = np.array([_missing(x) > 0 for x in table])
         for batch in batches:
-            out, pieces = [], []
-            for raw in batch.column(len(kept)).to_pylist():
-                own = np.frombuffer(raw or b"", "<u4")
-                out.append(b"".join(map(table.__getitem__, own.tolist())))
-                pieces.append(int(len(own) - opens[own].sum()) if len(own) else 0)
-            columns = [batch.column(i) for i in range(len(kept))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.binary()), pa.array(pieces, pa.int64())], schema.names)
+            out = [b"".join(map(table.__getitem__, np.frombuffer(raw or b"", "<u4").tolist())) for raw in batch.column(len(kept)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(out, pa.binary())], schema.names)
 
     return df.select(*(F.col(f"`{f.name}`") for f in kept), F.col(ids_col)).mapInArrow(run, schema)
 
 
-def _missing(token: bytes) -> int:
-    """Bytes that the last character of `token` still lacks."""
-    for back, b in enumerate(reversed(token[-4:])):
-        if b & 0xC0 != 0x80:
-            need = 1 if b < 0x80 else 2 if b >> 5 == 6 else 3 if b >> 4 == 14 else 4
-            return max(0, need - back - 1)
-    return 0
-
-
 def decode_text(pieces: list[bytes]) -> list[str]:
     """The text that each token adds; the parts of a split character are held back until it is complete, and bytes that
     are no UTF-8 become U+FFFD."""
