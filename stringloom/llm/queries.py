@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stringloom.llm import bpe_codec, exact_dedup, token_count
-from stringloom.llm.common import documents, table
+from stringloom.llm import bpe_codec, decontam, exact_dedup, langid, simhash, token_count, toxicity
+from stringloom.llm.common import documents, fold, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +25,30 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "n_split")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_exact_dedup, op4_bpe_codec)}
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    langs, model = langid.learn(docs.where(F.coalesce(fold("doc_id", 4), F.lit(-1)) != 2))
+    return langid.identify(docs, langs, model, "doc_id", "text", (F.coalesce(fold("doc_id", 4), F.lit(-1)) == 2).alias("held_out"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir), F.coalesce(fold("doc_id", 5), F.lit(-1)) == 0
+    marks = table(spark, sf_dir, "labels").where(~held_out)
+    candidates = marks.where("toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label"))
+    values, bias = toxicity.learn(toxicity.labelled(docs.where(~held_out), marks), candidates)
+    scored = toxicity.score(docs, values, bias, "doc_id", "text", held_out.alias("held_out"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_exact_dedup, op4_bpe_codec, op5_language_id, op7_decontamination, op9_simhash, op10_toxicity)}
 
 ORACLES = {
     "op3_exact_dedup": r"""
