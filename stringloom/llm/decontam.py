@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter, defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from stringloom.llm.common import texts
+from stringloom.llm.common import bound_rows, texts
 
 #: Words of a shingle and the similarity from which a passage counts as the item.
 WORDS, SIMILAR = 5, 0.8
@@ -184,6 +185,19 @@ def passages(words: list[bytes], bench: Benchmark, hashes: Hashes, n: int = WORD
     return best
 
 
+def blocks(items: DataFrame, item_col: str, item_text: str, pass_words: int):
+    """Lists of (item, text) of at least `pass_words` words, but for the last; one list is on the driver at a time."""
+    block, size = [], 0
+    for item in items.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text")).toLocalIterator():
+        block.append((item.item_id, item.text))
+        size += len((item.text or "").split())
+        if size >= pass_words:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
 def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similar: float = SIMILAR, pass_words: int = PASS_WORDS) -> DataFrame:
     """One row per document row and item that it holds a passage of: doc_id, item_id, similarity, first_word and end_word
     (of the best passage, the first of equals; words are counted without ASCII punctuation).
@@ -210,13 +224,26 @@ def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
         return rows.mapInArrow(run, schema)
 
-    out, block, size = None, [], 0
-    for item in items.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text")).toLocalIterator():
-        block.append((item.item_id, item.text))
-        size += len((item.text or "").split())
-        if size >= pass_words:
-            out = one_pass(block) if out is None else out.unionByName(one_pass(block))
-            block, size = [], 0
-    if block or out is None:
-        out = one_pass(block) if out is None else out.unionByName(one_pass(block))
-    return out
+    passes = [one_pass(block) for block in blocks(items, item_col, item_text, pass_words)]
+    return reduce(DataFrame.unionByName, passes) if passes else one_pass([])
+
+
+def decontaminate(df: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similar: float = SIMILAR, pass_words: int = PASS_WORDS) -> DataFrame:
+    """The rows of `df`, with all their columns, that hold no passage of any item. No row is shuffled."""
+    schema, place, spark = df.schema, df.columns.index(text_col), df.sparkSession
+
+    def one_pass(rows: DataFrame, block: list) -> DataFrame:
+        shared, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
+
+        def run(batches):
+            bench, hashes = built(name, shared.value), Hashes()
+            for batch in batches:
+                clean = [not passages(words_of(x or ""), bench, hashes, similar=similar) for x in batch.column(place).to_pylist()]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        return rows.mapInArrow(run, schema)
+
+    bound_rows(spark)
+    for block in blocks(items, item_col, item_text, pass_words):
+        df = one_pass(df, block)
+    return df
