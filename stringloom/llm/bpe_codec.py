@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +16,12 @@ from stringloom.llm.common import texts
 #: UTF-8 bytes that one call of the tokenizer gets.
 CALL_BYTES = 1 << 20
 
+#: Pre-tokens whose ids a task holds at once.
+HELD = 1 << 18
+
+#: Characters from U+0250 on: those below have had their class since long ago.
+BEYOND = regex.compile("[^\\x00-\u024f]")
+
 
 def byte_characters() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: printable Latin-1 characters stand for
@@ -46,17 +52,44 @@ def token_bytes(tokenizer) -> list[bytes]:
     return out
 
 
-def calls(found: list[str]) -> Iterator[list[str]]:
-    """`found` in lists of about CALL_BYTES; a longer text goes alone and whole."""
-    part, size = [], 0
-    for text in found:
-        if part and size + len(text) > CALL_BYTES:
-            yield part
-            part, size = [], 0
-        part.append(text)
-        size += len(text)
-    if part:
-        yield part
+class Encoder:
+    """Encodes texts with the tokenizer of a .json file. If the pattern by which it splits text is given, each distinct
+    pre-token goes to the library once and its ids are held, up to HELD of them; the result is the same. Texts with
+    characters that another Unicode version can class otherwise always go to the library whole."""
+
+    def __init__(self, vocabulary: str, pattern: str | None = None):
+        self.tokenizer = load(vocabulary)
+        self.pattern = regex.compile(pattern) if pattern else None
+        self.held: dict[str, bytes] = {}
+
+    def library(self, found: list[str]) -> list[bytes]:
+        """Ids of each text, in calls of about CALL_BYTES; a longer text goes alone and whole."""
+        out, part, size = [], [], 0
+        for text in [*found, None]:
+            if part and (text is None or size + len(text) > CALL_BYTES):
+                out += [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+                part, size = [], 0
+            if text is not None:
+                part.append(text)
+                size += len(text)
+        return out
+
+    def __call__(self, found: list[str]) -> list[bytes]:
+        split = [i for i, x in enumerate(found) if self.pattern and (x.isascii() or not BEYOND.search(x))]
+        out: list[bytes] = [b""] * len(found)
+        rest = sorted(set(range(len(found))) - set(split))
+        for i, ids in zip(rest, self.library([found[i] for i in rest])):
+            out[i] = ids
+        held = self.held
+        for i in split:
+            pieces = self.pattern.findall(found[i])
+            new = list(set(pieces).difference(held))
+            if new:
+                held.update(zip(new, self.library(new)))
+            out[i] = b"".join(map(held.__getitem__, pieces))
+            if len(held) > HELD:
+                held.clear()
+        return out
 
 
 def spans(text: str, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,9 +102,10 @@ def spans(text: str, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return character[starts], character[np.maximum(ends - 1, 0)] + (lengths > 0)
 
 
-def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False) -> DataFrame:
+def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False, pattern: str | None = None) -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids (little-endian unsigned 32-bit integers in one binary value), n_split
     (tokens that hold only a part of some character) and, if asked for, the character offsets `starts` and `ends`.
+    `pattern`, if given, must be the one by which the tokenizer splits text; see Encoder.
 
     Null or empty text gives no tokens. Repeated rows and ids give a row each; a null id stays null; other columns are
     not carried. A text of any length is encoded whole."""
@@ -80,28 +114,25 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     fields = [T.StructField("doc_id", id_type), *T._parse_datatype_string(schema).fields[1:]]
 
     def run(batches):
-        tokenizer = load(vocabulary)
-        lengths = np.array([len(x) for x in token_bytes(tokenizer)], np.int64)
+        encoder = Encoder(vocabulary, pattern)
+        lengths = np.array([len(x) for x in token_bytes(encoder.tokenizer)], np.int64)
         for batch in batches:
-            ids, counts, packed, split, first, last = batch.column(0), [], [], [], [], []
-            for part in calls(batch.column(1).to_pylist()):
-                for text, found in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                    own = np.array(found.ids, dtype="<u4")
-                    counts.append(len(own))
-                    packed.append(own.tobytes())
-                    if offsets or not text.isascii():
-                        a, b = spans(text, lengths[own])
-                        partly = np.zeros(len(own), bool)
-                        if len(own):
-                            shared = a[1:] < b[:-1]
-                            partly[1:] |= shared
-                            partly[:-1] |= shared
-                        split.append(int(partly.sum()))
-                    else:
-                        split.append(0)
+            ids, found, counts, split, first, last = batch.column(0), batch.column(1).to_pylist(), [], [], [], []
+            packed = encoder(found)
+            for text, raw in zip(found, packed):
+                own = np.frombuffer(raw, "<u4")
+                counts.append(len(own))
+                partly = np.zeros(len(own), bool)
+                if offsets or not text.isascii():
+                    a, b = spans(text, lengths[own])
+                    if len(own):
+                        shared = a[1:] < b[:-1]
+                        partly[1:] |= shared
+                        partly[:-1] |= shared
                     if offsets:
                         first.append(a.astype(np.int32))
                         last.append(b.astype(np.int32))
+                split.append(int(partly.sum()))
             columns = [ids, pa.array(counts, pa.int64()), pa.array(packed, pa.binary()), pa.array(split, pa.int64())]
             if offsets:
                 columns += [pa.array(x, pa.list_(pa.int32())) for x in (first, last)]
