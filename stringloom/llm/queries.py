@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stringloom.llm import bpe_codec, decontam, exact_dedup, langid, simhash, token_count, toxicity
+from stringloom.llm import bpe_codec, decontam, exact_dedup, langid, lm_score, simhash, token_count, toxicity
 from stringloom.llm.common import documents, fold, table
 
 
@@ -21,7 +21,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    both = bpe_codec.decode(bpe_codec.encode(documents(spark, sf_dir), vocabulary).withColumn("ids_sha256", F.sha2("ids", 256)), vocabulary)
+    both = bpe_codec.decode(bpe_codec.encode(documents(spark, sf_dir), vocabulary, pattern=public_tokenizers.PATTERN).withColumn("ids_sha256", F.sha2("ids", 256)), vocabulary)
     return both.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "n_split")
 
 
@@ -35,6 +35,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    return lm_score.score(documents(spark, sf_dir), crc % 10 == 0, (F.floor(crc / 10) % lm_score.ROUNDS).cast("int"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -48,7 +53,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_exact_dedup, op4_bpe_codec, op5_language_id, op7_decontamination, op9_simhash, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_exact_dedup, op4_bpe_codec, op5_language_id, op7_decontamination, op8_lm_score, op9_simhash, op10_toxicity)}
 
 ORACLES = {
     "op3_exact_dedup": r"""
