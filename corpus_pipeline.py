@@ -1,8 +1,77 @@
 """The corpus pipeline: each stage reads what its predecessor wrote and keeps the rows of `documents` that pass."""
 
-STAGES: list = []
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stringloom.llm import bpe_codec, decontam, exact_dedup, langid, simhash
+from stringloom.llm.common import fold, stash, table
+
+#: Texts in no known language, and those whose language is less sure than this, are rejected.
+LEAST_SCORE = 0.25
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that can be told. Mixed documents stay, under the language with the largest share."""
+    langs, model = langid.learn(docs.where(F.coalesce(fold("doc_id", 4), F.lit(-1)) != 2))
+    found = langid.identify(docs, langs, model, "doc_id", "text", F.struct(*docs.columns).alias("document"))
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("document.*")
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """With `key`: the doc_id, then the row's number, so that rows with one doc_id can be told apart. `docs` is a written
+    table, so its rows have the same numbers each time."""
+    return docs.withColumn("key", F.struct("doc_id", F.monotonically_increasing_id().alias("row")))
+
+
+def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of texts that are equal without white space."""
+    rows = _numbered(docs)
+    kept = exact_dedup.duplicates(rows, "key").where("kept").select(F.col("doc_id.row").alias("row"))
+    return _having(rows, kept, docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row, that with the smallest doc_id, of each group of texts whose fingerprints link."""
+    rows = _numbered(docs)
+    kept = simhash.near_duplicates(rows, "key").where("doc_id = component_id").select(F.col("doc_id.row").alias("row"))
+    return _having(rows, kept, docs.columns)
+
+
+def _having(rows: DataFrame, kept: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.withColumn("row", F.col("key.row")).join(stash(kept, "kept"), "row", "left_semi").select(*columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded_sha256): the ids as little-endian unsigned 32-bit integers, and the digest of the
+    bytes that they decode to."""
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    ids = bpe_codec.encode(docs, vocabulary, pattern=public_tokenizers.PATTERN).select("doc_id", "n_tokens", F.col("ids").alias("packed"), F.col("ids"))
+    return bpe_codec.decode(ids, vocabulary, "packed").select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("exact_duplicates", exact_duplicates),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("bpe_tokens", bpe_tokens),
+]
+
+#: Mixtures, fingerprints and tokens are beyond SQL; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`, each written as Parquet and read by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
