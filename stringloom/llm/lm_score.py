@@ -25,9 +25,10 @@ HEAD, BUCKETS = 511, 64
 #: Units of a class of the output; there are about as many classes.
 MEMBERS = 24
 #: Size of the state, steps of a truncated window, streams side by side, documents that are dealt to them together.
-HIDDEN, WINDOW, STREAMS, SORTED = 16, 32, 512, 4096
-#: The training documents are gone through once, in so many rounds; after each the tasks' networks are averaged.
-ROUNDS, RATE = 3, 0.08
+HIDDEN, WINDOW, STREAMS, SORTED = 16, 16, 256, 4096
+#: The training documents are gone through once, in so many rounds; after each the tasks' networks are averaged. The step
+#: size of the first round, and the windows over which it rises to that.
+ROUNDS, RATE, RISE = 3, 0.15, 20
 #: The outputs before the softmax stay within these, so that their exponentials are finite.
 LOGIT = np.float32(60)
 #: Words whose counts every task holds; the other words meet their counts by a join.
@@ -268,14 +269,15 @@ def train(docs: DataFrame, vocab, start: np.ndarray, rate: float) -> np.ndarray:
     shared = docs.sparkSession.sparkContext.broadcast(start)
 
     def run(batches):
-        net, tokens = Network(vocab.value, shared.value), 0
+        net, tokens, steps = Network(vocab.value, shared.value), 0, 0
         squares = Network(vocab.value, np.full(len(net.values), 1e-6, np.float32))
         for some in _gather(batches, 0):
             found = [units_of(words_of(x), vocab.value)[0] for x in some]
             tokens += sum(map(len, found))
             state = np.zeros((STREAMS, HIDDEN), np.float32)
             for before, unit, _, begins, valid in windows(found):
-                state = net.learn(before, unit, begins, valid, state[: before.shape[1]], squares, rate)
+                steps += 1
+                state = net.learn(before, unit, begins, valid, state[: before.shape[1]], squares, rate * min(1.0, steps / RISE))
         if tokens:
             parts = np.array_split(net.values * np.float32(1), PARTS)
             yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([float(tokens)] * PARTS), pa.array([x.tobytes() for x in parts], pa.binary())], ["part", "tokens", "network"])
