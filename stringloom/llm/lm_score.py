@@ -29,6 +29,12 @@ HIDDEN, WINDOW, STREAMS, SORTED = 16, 16, 256, 4096
 #: The training documents are gone through once, in so many rounds; after each the tasks' networks are averaged. The step
 #: size of the first round, and the windows over which it rises to that.
 ROUNDS, RATE, RISE = 3, 0.15, 20
+#: A window's gradient is divided by the tokens of a full one, so windows with few streams left move the weights little.
+FULL = np.float32(1 / (WINDOW * STREAMS))
+#: Tokens after which training, not scoring, starts a document's state anew, so that a long document trains beside others.
+PIECE = 512
+#: Sum of squared gradients that every weight starts with: early steps follow the gradient, not its sign.
+START = 1e-6
 #: The outputs before the softmax stay within these, so that their exponentials are finite.
 LOGIT = np.float32(60)
 #: Words whose counts every task holds; the other words meet their counts by a join.
@@ -150,9 +156,9 @@ class Network:
 
     def output(self, state: np.ndarray, unit: np.ndarray, slope: dict | None = None):
         """Natural log-probability of each unit after its state: that of its class times that of the unit in the class.
-        With `slope`, also the gradient of the mean loss, the weights' into `slope` and the states' as second value."""
+        With `slope`, also the gradient of the loss over the tokens of a full window, the weights' into `slope` and the states' as second value."""
         cls, member = unit // MEMBERS, unit % MEMBERS
-        n, every = len(unit), np.arange(len(unit))
+        every = np.arange(len(unit))
         logits = state @ self.to_class + self.class_bias
         np.clip(logits, -LOGIT, LOGIT, out=logits)
         found = logits[every, cls]
@@ -163,7 +169,7 @@ class Network:
         if slope is not None:
             logits /= total
             logits[every, cls] -= 1
-            logits /= n
+            logits *= FULL
             slope["to_class"], slope["class_bias"] = state.T @ logits, logits.sum(axis=0)
             slope["to_member"], slope["member_bias"] = np.zeros_like(self.to_member), np.zeros_like(self.member_bias)
             back = logits @ self.to_class.T
@@ -184,7 +190,7 @@ class Network:
             if slope is not None:
                 l2 /= sums
                 l2[rows, m] -= 1
-                l2 /= n
+                l2 *= FULL
                 slope["to_member"][k], slope["member_bias"][k] = h.T @ l2, l2.sum(axis=0)
                 back[own] += l2 @ self.to_member[k].T
         return found, back
@@ -264,22 +270,24 @@ def units_of(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndar
 
 
 def train(docs: DataFrame, vocab, start: np.ndarray, rate: float) -> np.ndarray:
-    """Each task trains the network on its documents; the mean of their networks, by tokens. The networks are cut into
-    PARTS that are added up apart, so only one network reaches the driver."""
+    """Each task trains the network on its documents; the mean of their networks, by tokens. `start` and the result are the
+    weights and the sums of their squared gradients. They are cut into PARTS that are added up apart, so that only one
+    network reaches the driver."""
     shared = docs.sparkSession.sparkContext.broadcast(start)
 
     def run(batches):
-        net, tokens, steps = Network(vocab.value, shared.value), 0, 0
-        squares = Network(vocab.value, np.full(len(net.values), 1e-6, np.float32))
+        net, squares = (Network(vocab.value, x) for x in shared.value)
+        tokens = steps = 0
         for some in _gather(batches, 0):
             found = [units_of(words_of(x), vocab.value)[0] for x in some]
+            found = [x[i : i + PIECE] for x in found for i in range(0, len(x), PIECE)]
             tokens += sum(map(len, found))
             state = np.zeros((STREAMS, HIDDEN), np.float32)
             for before, unit, _, begins, valid in windows(found):
                 steps += 1
                 state = net.learn(before, unit, begins, valid, state[: before.shape[1]], squares, rate * min(1.0, steps / RISE))
         if tokens:
-            parts = np.array_split(net.values * np.float32(1), PARTS)
+            parts = np.array_split(np.concatenate((net.values, squares.values)), PARTS)
             yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([float(tokens)] * PARTS), pa.array([x.tobytes() for x in parts], pa.binary())], ["part", "tokens", "network"])
 
     def add(batches):
@@ -294,7 +302,7 @@ def train(docs: DataFrame, vocab, start: np.ndarray, rate: float) -> np.ndarray:
 
     kind = "part int, tokens double, network binary"
     found = sorted(docs.select("text").mapInArrow(run, kind).repartition("part").mapInArrow(add, kind).collect(), key=lambda r: r.part)
-    return np.concatenate([np.frombuffer(r.network, np.float32) for r in found]) if found else start
+    return np.concatenate([np.frombuffer(r.network, np.float32) for r in found]).reshape(2, -1) if found else start
 
 
 def _gather(batches, column: int):
@@ -346,10 +354,11 @@ def score(df: DataFrame, held_out: Column, round_of: Column, id_col: str = "doc_
     counts = stash(count_keys(training.select("text"), count), "words")
     vocab, rare = vocabulary(counts, held)
     shared = spark.sparkContext.broadcast(vocab)
-    values = Network.untrained(vocab).values
+    first = Network.untrained(vocab).values
+    values = np.stack((first, np.full_like(first, START)))
     for r in range(rounds):
-        values = train(training.where(F.col("round") == r), shared, values, RATE / (1 + r))
-    network = spark.sparkContext.broadcast(values)
+        values = train(training.where(F.col("round") == r), shared, values, RATE)
+    network = spark.sparkContext.broadcast(values[0])
 
     def run(batches):
         own, net = shared.value, Network(shared.value, network.value)
