@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections import Counter
 from collections.abc import Callable
+from functools import cache
 
 import pyarrow as pa
 import regex
@@ -32,6 +33,12 @@ def load(vocabulary: str):
     return tokenizer
 
 
+@cache
+def splitter_of(vocabulary: str, pattern: str) -> Callable[[str], tuple[list[str], int]]:
+    """The splitter of a vocabulary, made once in each Python worker."""
+    return splitter(load(vocabulary), pattern)
+
+
 def splitter(tokenizer, pattern: str) -> Callable[[str], tuple[list[str], int]]:
     """A function from text to its pre-tokens and the number of special strings in it, each of which is one token."""
     added = tokenizer.get_added_tokens_decoder().values()
@@ -66,7 +73,7 @@ def count_tokens(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
     rows = texts(df, id_col, text_col)
 
     def pretokens(batch):
-        split = splitter(load(vocabulary), pattern)
+        split = splitter_of(vocabulary, pattern)
         found = Counter()
         for text in batch.column(1).to_pylist():
             found.update(split(text)[0])
@@ -84,7 +91,7 @@ def count_tokens(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
     shared = df.sparkSession.sparkContext.broadcast({r.key: r.pieces for r in top.select("key", "pieces").toLocalIterator()})
 
     def frequencies(batches):
-        split, counts = splitter(load(vocabulary), pattern), shared.value
+        split, counts = splitter_of(vocabulary, pattern), shared.value
         for batch in batches:
             n_bytes, sums, keys, times = [], [], [], []
             for text in batch.column(2).to_pylist():
