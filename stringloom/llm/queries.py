@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stringloom.llm import bpe_codec, decontam, exact_dedup, langid, lm_score, simhash, token_count, toxicity
+from stringloom.llm import bpe_codec, decontam, exact_dedup, langid, lm_score, pii, simhash, token_count, toxicity, url_filter
 from stringloom.llm.common import documents, fold, table
 
 
@@ -15,6 +15,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = [pii.count(F.col("base"), kind).cast("long").alias(f"n_{kind}") for kind in pii.PATTERNS]
+    base, spans = pii.written(F.col("base")), pii.written(F.col("spans"))
+    return pii.find(documents(spark, sf_dir)).select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(documents(spark, sf_dir))
 
@@ -31,6 +37,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langs, model, "doc_id", "text", (F.coalesce(fold("doc_id", 4), F.lit(-1)) == 2).alias("held_out"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
@@ -46,14 +56,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = documents(spark, sf_dir), F.coalesce(fold("doc_id", 5), F.lit(-1)) == 0
-    marks = table(spark, sf_dir, "labels").where(~held_out)
-    candidates = marks.where("toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label"))
-    values, bias = toxicity.learn(toxicity.labelled(docs.where(~held_out), marks), candidates)
+    values, bias = toxicity.learn(docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out))
     scored = toxicity.score(docs, values, bias, "doc_id", "text", held_out.alias("held_out"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_exact_dedup, op4_bpe_codec, op5_language_id, op7_decontamination, op8_lm_score, op9_simhash, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_pii, op3_exact_dedup, op4_bpe_codec, op5_language_id, op6_url_filter, op7_decontamination, op8_lm_score, op9_simhash, op10_toxicity)}
 
 ORACLES = {
     "op3_exact_dedup": r"""
