@@ -22,8 +22,8 @@ WORDS, SIMILAR = 5, 0.8
 RADIUS, BLOCKS = 11, 3
 #: Words of benchmark items that one pass over the documents searches; a larger benchmark takes more passes.
 PASS_WORDS = 10_000
-#: Words of a document that are worked on at once; windows that cross such a border are in the next part as well.
-PART_WORDS = 1 << 15
+#: Words that are worked on at once; a part goes on into the next by a window, so that none is lost at the border.
+PART_WORDS = 1 << 14
 
 #: Letters A-Z to lower case, ASCII punctuation to space; all other bytes stay.
 PLAIN = bytes(ord(chr(b).lower()) if 65 <= b <= 90 else 32 if 33 <= b <= 47 or 58 <= b <= 64 or 91 <= b <= 96 or 123 <= b <= 126 else b for b in range(256))
@@ -56,28 +56,33 @@ class Hashes(dict):
 
 def grams(words: list[bytes], hashes: Hashes) -> np.ndarray:
     """A hash for each pair of adjacent words; the last word stands alone."""
-    h = np.array([hashes[w] for w in words], np.uint64)
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     after = np.append(h[1:], np.uint64(0))
     mixed = (h * np.uint64(0x9E3779B97F4A7C15)) ^ (after + (after << np.uint64(31)))
     mixed ^= mixed >> np.uint64(29)
     return mixed * np.uint64(0xBF58476D1CE4E5B9) ^ (mixed >> np.uint64(32))
 
 
-def sums(pairs: np.ndarray) -> np.ndarray:
-    """Running counts of set bits, a row more than there are pairs."""
-    out = np.zeros((len(pairs) + 1, 64), np.int32)
-    np.cumsum(np.unpackbits(pairs.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1), axis=0, dtype=np.int32, out=out[1:])
+def window_prints(pairs: np.ndarray, sizes: dict[int, int]) -> dict[int, np.ndarray]:
+    """{size: SimHash of each window of so many words, `sizes[size]` words apart}: the majority of the bits of its word
+    pairs. Sizes are powers of two; set bits are added up over 1, 2, 4 ... pairs, and a window has one of each of these."""
+    longest = max(sizes)
+    bits = np.unpackbits(pairs.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    levels = [bits if longest < 256 else bits.astype(np.uint16 if longest < 65536 else np.uint32)]
+    while 1 << len(levels) < longest:
+        last, n = levels[-1], 1 << len(levels) - 1
+        levels.append(last[: max(0, len(last) - n)] + last[n:])
+    out = {}
+    for size, every in sizes.items():
+        number, at = max(0, (len(pairs) - size) // every + 1), 0
+        ones = np.zeros((number, 64), levels[0].dtype)
+        for k in range(size.bit_length() - 2 if size > 1 else 0, -1, -1):
+            ones += levels[k][at::every][:number]
+            at += 1 << k
+        out[size] = np.packbits(ones > max(1, size - 1) // 2, axis=1).view(">u8").ravel().astype(np.uint64)
     return out
 
 
-def window_prints(running: np.ndarray, size: int, every: int, n: int) -> np.ndarray:
-    """SimHash of each window of `size` of n words, `every` words apart: the majority of the bits of its word pairs."""
-    at = np.arange(0, n - size + 1, every)
-    inner = max(1, size - 1)
-    ones = running[at + inner] - running[at]
-    return np.packbits(ones * 2 > inner, axis=1).view(">u8").ravel().astype(np.uint64)
-
-
 def balls(width: int, radius: int) -> np.ndarray:
     """All values of `width` bits with at most `radius` bits set."""
     out = [np.zeros(1, np.int64)]
@@ -97,7 +102,7 @@ class Index:
         for low, high in zip(edges, edges[1:]):
             width = high - low
             value = ((prints >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.int64)
-            keys = (value[:, None] ^ balls(width, radius // blocks)[None, :]).ravel()
+            keys = (value[:, None] ^ balls(width, radius // blocks)[None, :]).ravel().astype(np.int32)
             owner = np.repeat(np.arange(len(prints), dtype=np.int32), len(keys) // max(1, len(prints)))
             order = np.argsort(keys, kind="stable")
             first = np.zeros((1 << width) + 1, np.int32)
@@ -144,7 +149,7 @@ class Benchmark:
         places, hashes = defaultdict(list), Hashes()
         for k, (_, w) in enumerate(self.items):
             size = window_size(len(w))
-            prints = window_prints(sums(grams(w, hashes)), size, 1, len(w))
+            prints = window_prints(grams(w, hashes), {size: 1})[size]
             places[size] += [(p, k, at) for at, p in enumerate(prints.tolist())]
         self.sizes = {size: (Index(np.array([p for p, _, _ in x], np.uint64)), [(k, at) for _, k, at in x]) for size, x in sorted(places.items())}
 
@@ -160,28 +165,34 @@ def built(name: str, items: list) -> Benchmark:
     return _built[name]
 
 
-def passages(words: list[bytes], bench: Benchmark, hashes: Hashes, n: int = WORDS, similar: float = SIMILAR) -> dict:
-    """{item: (similarity, first word, end)} of the best passage of each item that a document holds."""
-    best: dict[int, tuple[float, int, int]] = {}
-    longest = max(bench.sizes, default=1)
-    for begin in range(0, len(words), PART_WORDS):
-        part = words[begin : begin + PART_WORDS + longest]
-        running, tried = sums(grams(part, hashes)), set()
-        for size, (index, places) in bench.sizes.items():
-            if len(part) < size:
-                continue
-            every = step(size)
-            for at, own in zip(*index.search(window_prints(running, size, every, len(part)))):
+def passages(docs: list[list[bytes]], bench: Benchmark, hashes: Hashes, n: int = WORDS, similar: float = SIMILAR) -> list[dict]:
+    """For each document {item: (similarity, first word, end)} of the best passage of each item that it holds. Documents
+    are worked on together, one after the other; windows over their borders are left out."""
+    best: list[dict[int, tuple[float, int, int]]] = [{} for _ in docs]
+    flat, sizes = [w for x in docs for w in x], np.array([len(x) for x in docs], np.int64)
+    if not flat or not bench.sizes:
+        return best
+    ends = np.cumsum(sizes)
+    every = {size: step(size) for size in bench.sizes}
+    tried = set()
+    for begin in range(0, len(flat), PART_WORDS):
+        part = flat[begin : begin + PART_WORDS + max(bench.sizes)]
+        for size, prints in window_prints(grams(part, hashes), every).items():
+            index, places = bench.sizes[size]
+            for at, own in zip(*index.search(prints)):
                 k, offset = places[own]
-                start = begin + int(at) * every - offset
-                if (k, start) in tried:
+                window = begin + int(at) * every[size]
+                d = int(np.searchsorted(ends, window, "right"))
+                low, high = int(ends[d] - sizes[d]), int(ends[d])
+                start = window - offset
+                if window + size > high or (k, start, d) in tried:
                     continue
-                tried.add((k, start))
-                end = start + len(bench.items[k][1])
-                a, b = max(0, start), min(len(words), end)
-                score = similarity(bench.bags[k], shingles(words[a:b], n), bench.weight)
-                if score >= similar and (k not in best or (-score, a) < (-best[k][0], best[k][1])):
-                    best[k] = (score, a, b)
+                tried.add((k, start, d))
+                a, b = max(low, start), min(high, start + len(bench.items[k][1]))
+                score = similarity(bench.bags[k], shingles(flat[a:b], n), bench.weight)
+                a, b = a - low, b - low
+                if score >= similar and (k not in best[d] or (-score, a) < (-best[d][k][0], best[d][k][1])):
+                    best[d][k] = (score, a, b)
     return best
 
 
@@ -217,8 +228,9 @@ def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
             bench, hashes = built(name, shared.value), Hashes()
             for batch in batches:
                 out = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    for k, (score, a, b) in passages(words_of(text), bench, hashes, similar=similar).items():
+                found = passages([words_of(x) for x in batch.column(1).to_pylist()], bench, hashes, similar=similar)
+                for doc_id, own in zip(batch.column(0).to_pylist(), found):
+                    for k, (score, a, b) in own.items():
                         out.append((doc_id, bench.items[k][0], score, a, b))
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x)) for x in out], schema=arrow)
 
@@ -238,7 +250,7 @@ def decontaminate(df: DataFrame, items: DataFrame, text_col: str = "text", item_
         def run(batches):
             bench, hashes = built(name, shared.value), Hashes()
             for batch in batches:
-                clean = [not passages(words_of(x or ""), bench, hashes, similar=similar) for x in batch.column(place).to_pylist()]
+                clean = [not x for x in passages([words_of(x or "") for x in batch.column(place).to_pylist()], bench, hashes, similar=similar)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         return rows.mapInArrow(run, schema)
