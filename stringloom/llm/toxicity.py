@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stringloom.llm.common import texts
+from stringloom.llm.common import stash, texts
 
 #: Slots that n-grams of these lengths (in bytes) are hashed to.
 BITS, LENGTHS = 19, (3, 4, 5)
@@ -47,9 +47,14 @@ class Features:
 
 
 def labelled(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """(doc_id, text, label 0 or 1) of the documents with a label; of several labels of a document the largest counts."""
-    one = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg((F.max(label_col) > 0).cast("int").alias("label"))
-    return texts(df, id_col, text_col).join(one, "doc_id")
+    """(doc_id, text, label 0 or 1) of the documents with a label. The labels are a table that grows with the documents, so
+    both sides are shuffled at every size."""
+    return texts(df, id_col, text_col).join(marks(labels, id_col, label_col).hint("shuffle_merge"), "doc_id")
+
+
+def marks(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
+    """(doc_id, label 0 or 1); of several labels of a document the largest counts, and a null one does not."""
+    return labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg((F.max(label_col) > 0).cast("int").alias("label"))
 
 
 def ratios(rows: DataFrame) -> tuple[np.ndarray, tuple[int, int]]:
@@ -129,13 +134,15 @@ def fit(sample: DataFrame, ratio: np.ndarray, docs: tuple[int, int]) -> tuple[np
     return out, float(weight[slot < 0].sum())
 
 
-def learn(rows: DataFrame, candidates: DataFrame, most: int = FIT_ROWS) -> tuple[np.ndarray, float]:
-    """(value of each slot, intercept) from the labelled rows (doc_id, text, label). `candidates` has their doc_id and
-    label without the texts."""
-    ratio, docs = ratios(rows)
+def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = FIT_ROWS) -> tuple[np.ndarray, float]:
+    """(value of each slot, intercept) from the documents and their labels: ratios from all of them, weights from at most
+    `most` of each class. Only the ids of those few are broadcast."""
+    ratio, docs = ratios(labelled(df, labels, id_col, text_col, label_col))
     if not all(docs):  # nothing to tell apart: the one class there is, or none
         return np.zeros(SLOTS, np.float32), 0.0 if docs == (0, 0) else 4.0 if docs[1] else -4.0
-    weights, bias = fit(rows.where(bounded(candidates, most)), ratio, docs)
+    candidates = stash(marks(labels, id_col, label_col), "marks")
+    few = candidates.where(bounded(candidates, most))
+    weights, bias = fit(texts(df, id_col, text_col).join(F.broadcast(few), "doc_id"), ratio, docs)
     return (weights * ratio).astype(np.float32), bias
 
 
