@@ -15,11 +15,15 @@ def spark(tmp_path_factory):
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "4g")
         .config("spark.sql.warehouse.dir", str(base / "warehouse"))
         .config("spark.checkpoint.dir", str(base / "shared"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from stringloom.deploy import ship
+
+    ship(session)
     yield session
     session.stop()
