@@ -5,14 +5,15 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch that goes to Python; whole documents can be long.
-ARROW_ROWS = 512
+ARROW_ROWS = 256
 
 #: Code points of white space in the contracts: space and U+0009 to U+000D.
 WHITE_SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -75,27 +76,27 @@ def _remove_written() -> None:
             return
 
 
-def count_keys(df: DataFrame, split: Callable[[pa.RecordBatch], Iterator[tuple[str, int]]], most: int = 200_000) -> DataFrame:
-    """(key, n): how often each key occurs. `split` gives the keys of a batch with their counts; each task adds them up
-    in a dictionary of at most `most` keys before anything is shuffled."""
+def count_keys(df: DataFrame, gather: Callable[[Counter, pa.RecordBatch], None], most: int = 300_000) -> DataFrame:
+    """(key, n): how often each key occurs. `gather` adds the keys of a batch, strings or their UTF-8 bytes, to a counter;
+    each task hands its counter on when it has `most` keys, so little is shuffled and memory is bounded."""
 
     def run(batches):
-        found: dict[str, int] = {}
+        found: Counter = Counter()
         for batch in batches:
-            for key, n in split(batch):
-                found[key] = found.get(key, 0) + n
+            gather(found, batch)
             if len(found) > most:
-                yield from _flush(found)
-        yield from _flush(found)
-
-    def _flush(found: dict[str, int]):
+                yield _counted(found)
+                found.clear()
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["key", "n"])
-            found.clear()
+            yield _counted(found)
 
     return df.mapInArrow(run, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+def _counted(found: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["key", "n"])
+
+
 def frequent(counts: DataFrame, most: int) -> DataFrame:
     """The most frequent keys of (key, n), at most `most` of them: all whose count reaches a threshold that a histogram
     of the counts gives. The histogram has at most some hundred rows, whatever the input."""

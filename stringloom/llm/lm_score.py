@@ -48,6 +48,13 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
+class Places(dict):
+    """The places of held words; -1 for others."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 @dataclass
 class Vocabulary:
     """Counts of the training tokens: in all, distinct, of the held words, and of each bucket. Units: 0 is the end, then
@@ -55,7 +62,7 @@ class Vocabulary:
 
     total: int
     distinct: int
-    held: dict[bytes, int]  # word to its place in the lists below
+    held: Places  # word to its place in the lists below
     unit: np.ndarray
     log_count: np.ndarray  # log10(count + SMOOTH)
     rest: np.ndarray  # log10 of what a bucket's words share
@@ -90,7 +97,7 @@ def vocabulary(counts: DataFrame, held: int = HELD) -> tuple[Vocabulary, DataFra
     first = 1 + len(head)
     unit = np.array([1 + i if i < len(head) else first + bucket(w) for i, (_, w) in enumerate(known)] + [0], np.int32)
     log_count = np.log10(np.array([n for n, _ in known] + [ends]) + SMOOTH)
-    place_of = {w: i for i, (_, w) in enumerate(known)} | {END.encode(): len(known)}
+    place_of = Places({w: i for i, (_, w) in enumerate(known)})
     start = np.concatenate(([ends], [n for n, _ in head], sums[0])).astype(np.float64) + 1.0
     rest = np.log10(sums[0] + SMOOTH * (sums[1] + 1))
     rare = counts.where(F.col("key") != END).join(top.select("key"), "key", "left_anti")
@@ -132,101 +139,118 @@ class Network:
         begins, the state before it is zero."""
         h, steps = HIDDEN, len(units)
         resets, went = begins.any(axis=1).tolist(), (~begins).astype(np.float32)[:, :, None]
-        inputs = self.embed[units] + self.bias
-        prior, out = np.empty((2, steps, *state.shape), np.float32)
-        gates, cand, reset = np.empty((steps, len(state), 2 * h), np.float32), np.empty((steps, *state.shape), np.float32), np.empty((steps, *state.shape), np.float32)
-        for t in range(steps):
-            prior[t] = state
-            if resets[t]:
-                prior[t] *= went[t]
-            g = prior[t] @ self.gates
-            g += inputs[t, :, : 2 * h]
-            np.negative(g, out=g)
-            np.exp(np.minimum(g, 40, out=g), out=g)
-            g += 1
-            np.reciprocal(g, out=gates[t])
-            np.multiply(gates[t, :, h:], prior[t], out=reset[t])
-            c = reset[t] @ self.candidate
-            c += inputs[t, :, 2 * h :]
-            np.tanh(c, out=cand[t])
-            state = np.subtract(prior[t], cand[t], out=out[t])
-            state *= gates[t, :, :h]
-            state += cand[t]
+        inputs = self.embed[units]
+        inputs += self.bias
+        np.negative(inputs[:, :, : 2 * h], out=inputs[:, :, : 2 * h])
+        minus = -self.gates
+        gates = np.empty((steps, len(state), 2 * h), np.float32)
+        prior, out, cand, reset = np.empty((4, steps, *state.shape), np.float32)
+        with np.errstate(over="ignore"):  # a gate that is shut: 1 / (1 + inf)
+            for t in range(steps):
+                prior[t] = state
+                if resets[t]:
+                    prior[t] *= went[t]
+                g = prior[t] @ minus
+                g += inputs[t, :, : 2 * h]
+                np.exp(g, out=g)
+                g += 1
+                np.reciprocal(g, out=gates[t])
+                np.multiply(gates[t, :, h:], prior[t], out=reset[t])
+                c = reset[t] @ self.candidate
+                c += inputs[t, :, 2 * h :]
+                np.tanh(c, out=cand[t])
+                state = np.subtract(prior[t], cand[t], out=out[t])
+                state *= gates[t, :, :h]
+                state += cand[t]
         return prior, out, gates, cand, reset
 
     def output(self, state: np.ndarray, unit: np.ndarray, slope: dict | None = None):
         """Natural log-probability of each unit after its state: that of its class times that of the unit in the class.
-        With `slope`, also the gradient of the loss over the tokens of a full window, the weights' into `slope` and the states' as second value."""
-        cls, member = unit // MEMBERS, unit % MEMBERS
-        every = np.arange(len(unit))
-        logits = state @ self.to_class + self.class_bias
+        With `slope`, instead the gradient of the loss for the states, and into `slope` that for the weights."""
+        cls = (unit // MEMBERS).astype(np.int16)  # small integers are sorted in linear time
+        order = np.argsort(cls, kind="stable")
+        cls, member, state, every = cls[order], (unit % MEMBERS)[order], state[order], np.arange(len(unit))
+        borders = np.searchsorted(cls, np.arange(len(self.class_bias) + 1))
+        found, back = np.zeros(len(unit), np.float32), None
+        # Sums over a row as a product with ones: faster over short rows.
+        logits = state @ self.to_class
+        logits += self.class_bias
         np.clip(logits, -LOGIT, LOGIT, out=logits)
-        found = logits[every, cls]
+        if slope is None:
+            found += logits[every, cls]
         np.exp(logits, out=logits)
-        total = logits.sum(axis=1, keepdims=True)
-        found = found - np.log(total[:, 0])
-        back = None
-        if slope is not None:
-            logits /= total
-            logits[every, cls] -= 1
-            logits *= FULL
-            slope["to_class"], slope["class_bias"] = state.T @ logits, logits.sum(axis=0)
+        total = logits @ np.ones(logits.shape[1], np.float32)
+        if slope is None:
+            found -= np.log(total)
+        else:
+            logits *= (FULL / total)[:, None]
+            logits[every, cls] -= FULL
+            slope["to_class"], slope["class_bias"] = state.T @ logits, np.ones(len(unit), np.float32) @ logits
             slope["to_member"], slope["member_bias"] = np.zeros_like(self.to_member), np.zeros_like(self.member_bias)
             back = logits @ self.to_class.T
-        order = np.argsort(cls, kind="stable")
-        borders = np.searchsorted(cls[order], np.arange(len(self.class_bias) + 1))
+        ones = np.ones(MEMBERS, np.float32)
         for k in range(len(self.class_bias)):
             a, b = borders[k], borders[k + 1]
             if a == b:
                 continue
-            own = order[a:b]
-            h, m, rows = state[own], member[own], np.arange(b - a)
-            l2 = h @ self.to_member[k] + self.member_bias[k]
+            h, m, rows = state[a:b], member[a:b], every[: b - a]
+            l2 = h @ self.to_member[k]
+            l2 += self.member_bias[k]
             np.clip(l2, -LOGIT, LOGIT, out=l2)
-            hit = l2[rows, m]
-            np.exp(l2, out=l2)
-            sums = l2.sum(axis=1, keepdims=True)
-            found[own] += hit - np.log(sums[:, 0])
-            if slope is not None:
-                l2 /= sums
-                l2[rows, m] -= 1
-                l2 *= FULL
+            if slope is None:
+                found[a:b] += l2[rows, m]
+                np.exp(l2, out=l2)
+                found[a:b] -= np.log(l2 @ ones)
+            else:
+                np.exp(l2, out=l2)
+                l2 *= (FULL / (l2 @ ones))[:, None]
+                l2[rows, m] -= FULL
                 slope["to_member"][k], slope["member_bias"][k] = h.T @ l2, l2.sum(axis=0)
-                back[own] += l2 @ self.to_member[k].T
-        return found, back
+                back[a:b] += l2 @ self.to_member[k].T
+        result = found if slope is None else back
+        out = np.empty_like(result)
+        out[order] = result
+        return out
 
     def learn(self, before: np.ndarray, unit: np.ndarray, begins: np.ndarray, valid: np.ndarray, state: np.ndarray, squares: Network, rate: float) -> np.ndarray:
         """A step of gradient descent on one window, with back-propagation to its start; the state after it."""
         h = HIDDEN
         prior, out, gates, cand, reset = self.states(before, begins, state)
         slope: dict[str, np.ndarray] = {}
-        _, back = self.output(out[valid], unit[valid], slope)
         flow = np.zeros_like(out)
-        flow[valid] = back
+        flow[valid] = self.output(out[valid], unit[valid], slope)
         d_in = np.empty((*before.shape, 3 * h), np.float32)
-        ahead = np.zeros_like(state)
-        d_gates, d_cand = np.zeros_like(self.gates), np.zeros_like(self.candidate)
+        z, r = gates[:, :, :h], gates[:, :, h:]
+        to_cand = (1 - z) * (1 - cand * cand)
+        to_update = (prior - cand) * z * (1 - z)
+        to_reset = prior * r * (1 - r)
+        stays = (~begins).astype(np.float32)[:, :, None]
+        ahead, back_cand, back_gates = np.zeros_like(state), self.candidate.T.copy(), self.gates.T.copy()
         for t in range(len(before) - 1, -1, -1):
-            d = flow[t] + ahead
-            z, r = gates[t, :, :h], gates[t, :, h:]
-            dc = d * (1 - z) * (1 - cand[t] ** 2)
-            d_reset = dc @ self.candidate.T
-            d_in[t, :, :h] = d * (prior[t] - cand[t]) * z * (1 - z)
-            d_in[t, :, h : 2 * h] = d_reset * prior[t] * r * (1 - r)
-            d_in[t, :, 2 * h :] = dc
-            dg = d_in[t, :, : 2 * h]
-            ahead = (d * z + d_reset * r + dg @ self.gates.T) * ~begins[t, :, None]
-            d_gates += prior[t].T @ dg
-            d_cand += reset[t].T @ dc
+            d = flow[t]
+            d += ahead
+            dc = np.multiply(d, to_cand[t], out=d_in[t, :, 2 * h :])
+            d_reset = dc @ back_cand
+            np.multiply(d, to_update[t], out=d_in[t, :, :h])
+            np.multiply(d_reset, to_reset[t], out=d_in[t, :, h : 2 * h])
+            ahead = d_in[t, :, : 2 * h] @ back_gates
+            d_reset *= r[t]
+            ahead += d_reset
+            d *= z[t]
+            ahead += d
+            ahead *= stays[t]
         flat, rows = before.ravel(), d_in.reshape(-1, 3 * h)
-        slope |= {"gates": d_gates, "candidate": d_cand, "bias": rows.sum(axis=0)}
+        slope["gates"] = prior.reshape(-1, h).T @ rows[:, : 2 * h]
+        slope["candidate"] = reset.reshape(-1, h).T @ rows[:, 2 * h :]
+        slope["bias"] = np.ones(len(rows), np.float32) @ rows
         for name, g in slope.items():
             own, sq = getattr(self, name), getattr(squares, name)
             sq += g * g
             own -= rate * g / np.sqrt(sq)
-        order = np.argsort(flat, kind="stable")
-        used, first = np.unique(flat[order], return_index=True)
-        g = np.add.reduceat(rows[order], first, axis=0)
+        order = np.argsort(flat.astype(np.uint16), kind="stable")
+        flat = flat[order]
+        first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+        used, g = flat[first], np.add.reduceat(rows[order], first, axis=0)
         squares.embed[used] += g * g
         self.embed[used] -= rate * g / np.sqrt(squares.embed[used])
         return out[-1]
@@ -261,11 +285,13 @@ def windows(found: list[np.ndarray]):
 
 def units_of(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """(units of the words and the end, places of the held ones, words that are not held)."""
-    place = np.array([vocab.held.get(w, -1) for w in words] + [len(vocab.unit) - 1], np.int64)
+    place = np.append(np.fromiter(map(vocab.held.__getitem__, words), np.int64, len(words)), len(vocab.unit) - 1)
     out = vocab.unit[place]
     missing = np.flatnonzero(place < 0)
+    if not len(missing):
+        return out, place, []
     cold = [words[i] for i in missing.tolist()]
-    out[missing] = [vocab.units - BUCKETS + bucket(w) for w in cold]
+    out[missing] = vocab.units - BUCKETS + np.fromiter(map(zlib.crc32, cold), np.int64, len(cold)) % BUCKETS
     return out, place[place >= 0], cold
 
 
@@ -324,7 +350,7 @@ def log_likelihoods(net: Network, found: list[np.ndarray]) -> np.ndarray:
     for before, unit, doc, begins, valid in windows(found):
         _, states, *_ = net.states(before, begins, state[: before.shape[1]])
         state = states[-1]
-        logs, _ = net.output(states[valid], unit[valid])
+        logs = net.output(states[valid], unit[valid])
         out += np.bincount(doc[valid], weights=logs, minlength=len(found))
     return out / np.log(10)
 
@@ -343,13 +369,10 @@ def score(df: DataFrame, held_out: Column, round_of: Column, id_col: str = "doc_
     rows = texts(df, id_col, text_col, F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(round_of, F.lit(0)).alias("round"))
     training = rows.where(~F.col("held_out"))
 
-    def count(batch):
-        found: Counter = Counter()
+    def count(found, batch):
         for text in batch.column(0).to_pylist():
             found.update(words_of(text))
-        for word, n in found.items():
-            yield word.decode(), n
-        yield END, batch.num_rows
+        found[END.encode()] += batch.num_rows
 
     counts = stash(count_keys(training.select("text"), count), "words")
     vocab, rare = vocabulary(counts, held)

@@ -72,12 +72,10 @@ def count_tokens(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
     gives no rows; other columns are not carried."""
     rows = texts(df, id_col, text_col)
 
-    def pretokens(batch):
+    def pretokens(found, batch):
         split = splitter_of(vocabulary, pattern)
-        found = Counter()
         for text in batch.column(1).to_pylist():
             found.update(split(text)[0])
-        yield from found.items()
 
     def tokenize(batches):
         tokenizer = load(vocabulary)
