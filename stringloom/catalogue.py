@@ -268,6 +268,49 @@ def loop_bodies(spark, sf_dir):
     return code.loop_blocks(*graph(spark, sf_dir))
 
 
+@query(f'WITH {GRAPH} SELECT function, CAST(sum("end" - start) AS BIGINT) AS byte_size FROM blocks GROUP BY function')
+def byte_size(spark, sf_dir):
+    return code.byte_sizes(graph(spark, sf_dir)[0])
+
+
+@query(f"WITH {GRAPH} SELECT DISTINCT e.function, e.dst AS start, e.src AS predecessor FROM edges e JOIN blocks b ON e.function = b.function AND e.dst = b.start")
+def predecessors(spark, sf_dir):
+    return code.predecessors(*graph(spark, sf_dir))
+
+
+@query("""SELECT l_orderkey AS function, count(*) AS instructions, count(*) FILTER (WHERE l_suppkey % 3 = 0) / count(*)::DOUBLE AS bitwise_density FROM lineitem GROUP BY ALL""")
+def bitwise_density(spark, sf_dir):
+    """An order's lines as instructions; those of every third supplier work on bits."""
+    mnemonic = F.when(F.col("l_suppkey") % 3 == 0, "XOR").otherwise("mov")
+    return code.densities(read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("function"), mnemonic.alias("mnemonic")))
+
+
+@query("""
+    WITH blocks AS (SELECT DISTINCT l_orderkey AS function, l_linenumber * 10 AS start FROM lineitem), sizes AS (SELECT function, count(*) * 12 AS byte_size FROM blocks GROUP BY 1),
+    density AS (SELECT l_orderkey AS function, count(*) FILTER (WHERE l_suppkey % 3 = 0) / count(*)::DOUBLE AS d FROM lineitem GROUP BY 1),
+    edges AS (SELECT l_orderkey AS function, l_linenumber * 10 AS src, (l_partkey % 7 + 1) * 10 AS dst FROM lineitem),
+    loops AS (SELECT e.function, count(*) AS n FROM edges e JOIN blocks s ON e.function = s.function AND e.src = s.start JOIN blocks t ON e.function = t.function AND e.dst = t.start WHERE e.dst < e.src + 12 GROUP BY 1),
+    calls AS (SELECT DISTINCT o_orderkey AS caller, o_custkey AS callee, o_orderstatus = 'F' AS imported FROM orders),
+    out AS (SELECT caller AS function, count(*) FILTER (WHERE imported) AS imports, count(*) FILTER (WHERE NOT imported) AS callees FROM calls GROUP BY 1),
+    callers AS (SELECT callee AS function, count(DISTINCT caller) AS n FROM calls GROUP BY 1), made AS (SELECT l_partkey AS function, count(*) AS n FROM lineitem GROUP BY 1),
+    f AS (SELECT sizes.function AS va, byte_size, coalesce(d, 0) AS d, coalesce(loops.n, 0) AS loops, coalesce(callers.n, 0) AS callers, coalesce(imports, 0) AS imports, coalesce(callees, 0) AS callees, coalesce(made.n, 0) AS recovered_strings
+          FROM sizes LEFT JOIN density USING (function) LEFT JOIN loops USING (function) LEFT JOIN callers USING (function) LEFT JOIN out USING (function) LEFT JOIN made USING (function)),
+    s AS (SELECT *, (1.5::DOUBLE * d + 1.2::DOUBLE * (CASE WHEN loops <= 0 THEN 0.0 WHEN loops <= 1 THEN 0.75 WHEN loops <= 2 THEN 0.9 ELSE 1.0 END)
+        + 0.3::DOUBLE * (CASE WHEN byte_size < 8 THEN 0.0 WHEN byte_size < 16 THEN 0.4 + 0.2 * ((byte_size - 8) / 8.0) WHEN byte_size < 256 THEN 0.6 + 0.4 * ((byte_size - 16) / 240.0) ELSE 1.0 END)::DOUBLE
+        + 0.3::DOUBLE * (CASE WHEN callers <= 0 THEN 0.0 WHEN callers <= 1 THEN 0.4 WHEN callers <= 2 THEN 0.7 ELSE 1.0 END)
+        + 0.4::DOUBLE * (CASE imports WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 WHEN 2 THEN 0.4 WHEN 3 THEN 0.15 ELSE 0.0 END)
+        + 0.3::DOUBLE * (CASE callees + imports WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 WHEN 2 THEN 0.4 WHEN 3 THEN 0.2 ELSE 0.0 END)) / 4.0::DOUBLE AS score FROM f)
+    SELECT va, c_name AS name, loops, callers, recovered_strings, round(score, 12) AS score FROM s LEFT JOIN customer ON va = c_custkey WHERE score >= 0.3""")
+def candidate_rows(spark, sf_dir):
+    """Orders as functions: their lines are blocks and instructions, they call their customers, who give them names."""
+    lines, orders = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
+    made = orders.select(F.col("o_orderkey").alias("caller"), F.col("o_custkey").alias("callee"), (F.col("o_orderstatus") == "F").alias("imported"))
+    instructions = lines.select(F.col("l_orderkey").alias("function"), F.when(F.col("l_suppkey") % 3 == 0, "xor").otherwise("mov").alias("mnemonic"))
+    symbols = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("va"), F.col("c_name").alias("name"))
+    found = code.candidates(*graph(spark, sf_dir), made, instructions, symbols, lines.select(F.col("l_partkey").alias("address")))
+    return found.select("va", "name", "loops", "callers", "recovered_strings", F.round("score", 12).alias("score"))
+
+
 FEATURES = """features AS (SELECT p_partkey AS va, p_brand AS input_id, (p_partkey % 11) / 10.0::DOUBLE AS bitwise_density, p_partkey % 5 AS loops, CAST(floor(p_retailprice * 2) AS BIGINT) AS byte_size,
         p_partkey % 4 AS callers, p_partkey % 6 AS imports, p_size % 3 AS callees FROM part)"""
 SCORES = """scored AS (SELECT *, (1.5::DOUBLE * greatest(0.0, least(1.0, bitwise_density)) + 1.2::DOUBLE * (CASE WHEN loops <= 0 THEN 0.0 WHEN loops <= 1 THEN 0.75 WHEN loops <= 2 THEN 0.9 ELSE 1.0 END)

@@ -175,3 +175,38 @@ def import_tags(calls: DataFrame, imports: DataFrame, capabilities: DataFrame) -
     lower case. Names that begin otherwise than with a letter or `_` have none."""
     named = calls.join(imports.select("iat_va", F.lower("name").alias("name")), "iat_va").where(F.col("name").rlike("^[a-z_]"))
     return named.join(capabilities, "name").groupBy("function").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+
+
+#: Mnemonics that work on bits. Fixed values.
+BITWISE = ("xor", "and", "or", "not", "shl", "shr", "sar", "rol", "ror", "rcl", "rcr")
+
+
+def byte_sizes(blocks: DataFrame) -> DataFrame:
+    """(function, byte_size): the length of its blocks together."""
+    return blocks.groupBy("function").agg(F.sum(F.col("end") - F.col("start")).alias("byte_size"))
+
+
+def densities(instructions: DataFrame, bitwise: tuple[str, ...] = BITWISE) -> DataFrame:
+    """(function, instructions, bitwise_density) from (function, mnemonic)."""
+    hits = F.count(F.when(F.lower("mnemonic").isin(*bitwise), 1))
+    return instructions.groupBy("function").agg(F.count("*").alias("instructions"), (hits / F.count("*")).alias("bitwise_density"))
+
+
+def predecessors(blocks: DataFrame, edges: DataFrame) -> DataFrame:
+    """(function, start, predecessor): the blocks from which a block is reached in one step."""
+    own = blocks.select("function", F.col("start").alias("dst"))
+    return edges.join(own, ["function", "dst"]).select("function", F.col("dst").alias("start"), F.col("src").alias("predecessor")).distinct()
+
+
+def candidates(blocks: DataFrame, edges: DataFrame, calls: DataFrame, instructions: DataFrame, symbols: DataFrame, strings: DataFrame) -> DataFrame:
+    """A row for each function that looks like a decoder, with its features, score, name and the number of strings whose
+    address it is. `calls` is (caller, callee, imported), `symbols` (va, name), `strings` (address)."""
+    out = calls.select("caller", "callee", "imported").distinct().groupBy(F.col("caller").alias("function")).agg(
+        F.count(F.when(F.col("imported"), 1)).alias("imports"), F.count(F.when(~F.col("imported"), 1)).alias("callees")
+    )
+    callers = caller_counts(calls).withColumnRenamed("callee", "function")
+    made = strings.groupBy(F.col("address").alias("function")).agg(F.count("*").alias("recovered_strings"))
+    features = byte_sizes(blocks).join(densities(instructions), "function", "left").join(back_edges(blocks, edges), "function", "left").join(callers, "function", "left").join(out, "function", "left").join(made, "function", "left")
+    filled = features.na.fill(0, ["instructions", "bitwise_density", "loops", "callers", "imports", "callees", "recovered_strings"])
+    named = decoder_scores(filled).withColumnRenamed("function", "va").join(symbols.select("va", "name"), "va", "left")
+    return named.where(F.col("score") >= 0.3)

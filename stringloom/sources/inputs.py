@@ -30,3 +30,8 @@ def trigram_model(lines: DataFrame) -> DataFrame:
     good = (F.size(parts) == 4) & F.forall(marks, lambda c: F.length(c) == 1) & F.get(parts, F.lit(3)).rlike("^[0-9]+$")
     checked = F.when(good, F.array_join(marks, "")).otherwise(F.raise_error(F.concat(F.lit("malformed model line: "), F.col("value"))))
     return rows.select(checked.alias("gram"), F.greatest(F.get(parts, F.lit(3)).cast("long"), F.lit(1)).alias("n")).groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def is_lowercase_model(lines: DataFrame) -> bool:
+    """Whether a comment says that the model is of lower-case text."""
+    return not lines.where(F.col("value").startswith("#") & F.col("value").contains("Model Type: lowercase")).isEmpty()
