@@ -53,8 +53,8 @@ def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_sha256): the ids as little-endian unsigned 32-bit integers, and the digest of the
     bytes that they decode to."""
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    ids = bpe_codec.encode(docs, vocabulary, pattern=public_tokenizers.PATTERN).select("doc_id", "n_tokens", F.col("ids").alias("packed"), F.col("ids"))
-    return bpe_codec.decode(ids, vocabulary, "packed").select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = bpe_codec.encode(docs, vocabulary, decoded=True, pattern=public_tokenizers.PATTERN)
+    return both.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

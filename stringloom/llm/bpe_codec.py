@@ -13,11 +13,11 @@ from pyspark.sql import types as T
 
 from stringloom.llm.common import texts
 
-#: UTF-8 bytes that one call of the tokenizer gets.
-CALL_BYTES = 1 << 20
+#: Characters that one call of the tokenizer gets; what it returns takes many times their memory.
+CALL_BYTES = 1 << 17
 
 #: Pre-tokens whose ids a task holds at once.
-HELD = 1 << 18
+HELD = 1 << 17
 
 #: Characters from U+0250 on: those below have had their class since long ago.
 BEYOND = regex.compile("[^\\x00-\u024f]")
@@ -102,20 +102,22 @@ def spans(text: str, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return character[starts], character[np.maximum(ends - 1, 0)] + (lengths > 0)
 
 
-def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False, pattern: str | None = None) -> DataFrame:
+def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False, decoded: bool = False, pattern: str | None = None) -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids (little-endian unsigned 32-bit integers in one binary value), n_split
-    (tokens that hold only a part of some character) and, if asked for, the character offsets `starts` and `ends`.
+    (tokens that hold only a part of some character) and, if asked for, the character offsets `starts` and `ends`, and
+    `decoded`, the bytes that the ids decode to, by the same Python worker.
     `pattern`, if given, must be the one by which the tokenizer splits text; see Encoder.
 
     Null or empty text gives no tokens. Repeated rows and ids give a row each; a null id stays null; other columns are
     not carried. A text of any length is encoded whole."""
-    schema = "doc_id long, n_tokens long, ids binary, n_split long" + ", starts array<int>, ends array<int>" * offsets
+    schema = "doc_id long, n_tokens long, ids binary, n_split long" + ", starts array<int>, ends array<int>" * offsets + ", decoded binary" * decoded
     id_type = df.schema[id_col].dataType
     fields = [T.StructField("doc_id", id_type), *T._parse_datatype_string(schema).fields[1:]]
 
     def run(batches):
         encoder = Encoder(vocabulary, pattern)
-        lengths = np.array([len(x) for x in token_bytes(encoder.tokenizer)], np.int64)
+        table = token_bytes(encoder.tokenizer)
+        lengths = np.array([len(x) for x in table], np.int64)
         for batch in batches:
             ids, found, counts, split, first, last = batch.column(0), batch.column(1).to_pylist(), [], [], [], []
             packed = encoder(found)
@@ -136,11 +138,18 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
             columns = [ids, pa.array(counts, pa.int64()), pa.array(packed, pa.binary()), pa.array(split, pa.int64())]
             if offsets:
                 columns += [pa.array(x, pa.list_(pa.int32())) for x in (first, last)]
+            if decoded:
+                columns.append(pa.array([joined(raw, table) for raw in packed], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 
     return texts(df, id_col, text_col).mapInArrow(run, T.StructType(fields))
 
 
+def joined(raw: bytes | None, table: list[bytes]) -> bytes:
+    """The bytes of packed ids; those of a character that is split over tokens come together again."""
+    return b"".join(map(table.__getitem__, np.frombuffer(raw or b"", "<u4").tolist()))
+
+
 def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
     """All columns of `df` but `ids_col`, then `decoded`, the bytes of the tokens in order. A character that is split over
     tokens is whole again as its bytes are joined. Null ids decode to no bytes; an id outside the vocabulary is an error."""
@@ -150,7 +159,7 @@ def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
     def run(batches):
         table = token_bytes(load(vocabulary))
         for batch in batches:
-            out = [b"".join(map(table.__getitem__, np.frombuffer(raw or b"", "<u4").tolist())) for raw in batch.column(len(kept)).to_pylist()]
+            out = [joined(raw, table) for raw in batch.column(len(kept)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(out, pa.binary())], schema.names)
 
     return df.select(*(F.col(f"`{f.name}`") for f in kept), F.col(ids_col)).mapInArrow(run, schema)

@@ -45,10 +45,10 @@ def step(size: int) -> int:
 
 
 class Hashes(dict):
-    """64-bit hashes of words, at most 2**18 of them at a time."""
+    """64-bit hashes of words, at most 2**16 of them at a time."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 18:
+        if len(self) >= 1 << 16:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word, 7)
         return value
@@ -102,12 +102,17 @@ class Index:
         for low, high in zip(edges, edges[1:]):
             width = high - low
             value = ((prints >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.int64)
-            keys = (value[:, None] ^ balls(width, radius // blocks)[None, :]).ravel().astype(np.int32)
-            owner = np.repeat(np.arange(len(prints), dtype=np.int32), len(keys) // max(1, len(prints)))
-            order = np.argsort(keys, kind="stable")
+            keys = (value.astype(np.int32)[:, None] ^ balls(width, radius // blocks).astype(np.int32)[None, :]).ravel()
             first = np.zeros((1 << width) + 1, np.int32)
-            np.cumsum(np.bincount(keys, minlength=1 << width), out=first[1:])
-            self.tables.append((low, np.uint64((1 << width) - 1), first, owner[order]))
+            first[1:] = np.bincount(keys, minlength=1 << width)
+            np.cumsum(first, out=first)
+            # Sorted in place as one number each: the key, then the fingerprint's place.
+            both = keys.astype(np.int64) << 32
+            del keys
+            both |= np.repeat(np.arange(len(prints)), len(both) // max(1, len(prints)))
+            both.sort()
+            both &= (1 << 32) - 1
+            self.tables.append((low, np.uint64((1 << width) - 1), first, both.astype(np.uint16 if len(prints) < 1 << 16 else np.int32)))
 
     def search(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in wanted, place in prints) of all pairs within the radius."""

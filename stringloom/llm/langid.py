@@ -20,6 +20,9 @@ SEGMENT = 48
 #: What a further language must add to the log-likelihood, per unit of 0.5 * log(segments); and rounds of EM.
 PENALTY, ROUNDS = 8.0, 30
 
+#: Characters of the texts that are worked on together.
+PART = 1 << 18
+
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 #: Bytes of ASCII that are no letters become spaces; letters are lower-cased before.
@@ -41,6 +44,19 @@ def trigrams(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (mixed[keep] >> np.uint32(32 - 17)).astype(np.int64), np.bincount(owner[keep], minlength=len(found))
 
 
+def _some(found: list[str]):
+    """The texts in parts of about PART characters; a longer one is a part of its own, whole."""
+    part, size = [], 0
+    for text in found:
+        if part and size + len(text) > PART:
+            yield part
+            part, size = [], 0
+        part.append(text)
+        size += len(text)
+    if part:
+        yield part
+
+
 def learn(df: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tuple[list[str], np.ndarray]:
     """(languages, log-likelihoods by slot and language) from all rows of `df` with a language and a text. Tasks add up
     their counts; at most SLOTS rows for each language reach the driver, whatever the input."""
@@ -53,8 +69,9 @@ def learn(df: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tupl
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 by.setdefault(lang, []).append(text)
             for lang, own in by.items():
-                counts = np.bincount(trigrams(own)[0], minlength=SLOTS)
-                found[lang] = found[lang] + counts if lang in found else counts
+                for some in _some(own):
+                    counts = np.bincount(trigrams(some)[0], minlength=SLOTS)
+                    found[lang] = found[lang] + counts if lang in found else counts
         for lang, counts in found.items():
             slots = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(slots), pa.string()), pa.array(slots, pa.int64()), pa.array(counts[slots], pa.int64())], ["lang", "slot", "n"])
@@ -127,21 +144,22 @@ def identify(df: DataFrame, langs: list[str], model: np.ndarray, id_col: str = "
     def run(batches):
         table = shared.value
         for batch in batches:
-            found, out = batch.column(1).to_pylist(), []
-            slots, counts = trigrams(found)
-            ends = np.cumsum(counts)
-            # Segments of all texts of the batch: a text's trigrams are cut evenly, so that none is tiny.
-            pieces = np.maximum(1, counts // SEGMENT) * (counts > 0)
-            borders = np.concatenate([e - n + np.arange(p, dtype=np.int64) * n // max(1, p) for e, n, p in zip(ends.tolist(), counts.tolist(), pieces.tolist())] or [np.empty(0, np.int64)])
-            sizes = np.diff(np.append(borders, len(slots)))
-            likes = np.add.reduceat(table[slots], borders, axis=0, dtype=np.float64) if len(borders) and table.shape[1] else np.zeros((0, table.shape[1]))
-            at = 0
-            for text, p in zip(found, pieces.tolist()):
-                if p and table.shape[1] and LETTER.search(text):
-                    out.append(one(likes[at : at + p], sizes[at : at + p]))
-                else:
-                    out.append((UNKNOWN, 0.0, []))
-                at += p
+            out = []
+            for found in _some(batch.column(1).to_pylist()):
+                slots, counts = trigrams(found)
+                ends = np.cumsum(counts)
+                # Segments of all these texts: a text's trigrams are cut evenly, so that none is tiny.
+                pieces = np.maximum(1, counts // SEGMENT) * (counts > 0)
+                borders = np.concatenate([e - n + np.arange(p, dtype=np.int64) * n // max(1, p) for e, n, p in zip(ends.tolist(), counts.tolist(), pieces.tolist())] or [np.empty(0, np.int64)])
+                sizes = np.diff(np.append(borders, len(slots)))
+                likes = np.add.reduceat(table[slots], borders, axis=0, dtype=np.float64) if len(borders) and table.shape[1] else np.zeros((0, table.shape[1]))
+                at = 0
+                for text, p in zip(found, pieces.tolist()):
+                    if p and table.shape[1] and LETTER.search(text):
+                        out.append(one(likes[at : at + p], sizes[at : at + p]))
+                    else:
+                        out.append((UNKNOWN, 0.0, []))
+                    at += p
             kept = [batch.column(0), *(batch.column(i) for i in range(2, batch.num_columns))]
             shares = pa.array([x[2] for x in out], pa.map_(pa.string(), pa.float64()))
             yield pa.RecordBatch.from_arrays([*kept, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), shares], schema.names)

@@ -27,8 +27,8 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    both = bpe_codec.decode(bpe_codec.encode(documents(spark, sf_dir), vocabulary, pattern=public_tokenizers.PATTERN).withColumn("ids_sha256", F.sha2("ids", 256)), vocabulary)
-    return both.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "n_split")
+    both = bpe_codec.encode(documents(spark, sf_dir), vocabulary, decoded=True, pattern=public_tokenizers.PATTERN)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "n_split")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

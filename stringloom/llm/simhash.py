@@ -102,7 +102,7 @@ def _edges(keys: np.ndarray, prints: np.ndarray, bits: int, sent: set):
     for a, b in found:
         pairs.update(zip(a.view(np.int64).tolist(), b.view(np.int64).tolist()))
     pairs -= sent
-    if len(sent) < 1_000_000:  # only spares repeats; distinct() follows
+    if len(sent) < 200_000:  # only spares repeats; distinct() follows
         sent |= pairs
     if pairs:
         a, b = zip(*pairs)
