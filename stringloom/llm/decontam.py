@@ -135,6 +135,12 @@ def shingles(words: list[bytes], n: int = WORDS) -> Counter:
     return Counter(b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))) if words else Counter()
 
 
+def hull(words: list[bytes], low: int, high: int, bag: Counter, n: int) -> tuple[int, int]:
+    """The part of words[low:high] from the first to the last shingle of the item; all of it if it has none."""
+    hits = [i for i in range(low, high - n + 1) if b" ".join(words[i : i + n]) in bag]
+    return (hits[0], hits[-1] + n) if hits else (low, high)
+
+
 def similarity(a: Counter, b: Counter, weight: dict) -> float:
     """Weighted Jaccard of two bags of shingles: the sum of the smaller weighted counts over that of the larger ones."""
     both = sum(min(n, b[s]) * weight.get(s, 1.0) for s, n in a.items() if s in b)
@@ -171,8 +177,8 @@ def built(name: str, items: list) -> Benchmark:
 
 
 def passages(docs: list[list[bytes]], bench: Benchmark, hashes: Hashes, n: int = WORDS, similar: float = SIMILAR) -> list[dict]:
-    """For each document {item: (similarity, first word, end)} of the best passage of each item that it holds. Documents
-    are worked on together, one after the other; windows over their borders are left out."""
+    """For each document {item: (similarity, first word, end)} of the best passage of each item that it holds: around a
+    window, what lies between the first and the last shingle of the item. Documents are worked on together, one after the other; windows over their borders are left out."""
     best: list[dict[int, tuple[float, int, int]]] = [{} for _ in docs]
     flat, sizes = [w for x in docs for w in x], np.array([len(x) for x in docs], np.int64)
     if not flat or not bench.sizes:
@@ -193,7 +199,8 @@ def passages(docs: list[list[bytes]], bench: Benchmark, hashes: Hashes, n: int =
                 if window + size > high or (k, start, d) in tried:
                     continue
                 tried.add((k, start, d))
-                a, b = max(low, start), min(high, start + len(bench.items[k][1]))
+                length = len(bench.items[k][1])
+                a, b = hull(flat, max(low, start - n), min(high, start + length + n), bench.bags[k], min(n, length))
                 score = similarity(bench.bags[k], shingles(flat[a:b], n), bench.weight)
                 a, b = a - low, b - low
                 if score >= similar and (k not in best[d] or (-score, a) < (-best[d][k][0], best[d][k][1])):

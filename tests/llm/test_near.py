@@ -128,14 +128,16 @@ def test_contamination(spark):
             changed = [*own[: len(own) // 2], "other", *own[len(own) // 2 + 1 :]]
             rows.append((200 + i, " ".join([*filler(40), *changed, *filler(40)])))
             expected.add((200 + i, i))
+        rows.append((400 + i, " ".join([*filler(30), *own[: -(len(own) // 10)], *filler(30)])))  # most of it is
+        expected.add((400 + i, i))
         rows.append((300 + i, " ".join([*filler(40), *own[: len(own) // 2], *filler(40)])))  # half of it is no copy
-    rows += [(500, "a Short, item!"), (100, rows[3][1])]
+    rows += [(600, "a Short, item!"), (100, next(t for d, t in rows if d == 100))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     for words in (decontam.PASS_WORDS, 300):
         found = decontam.contaminated(frame(spark, rows), bench, pass_words=words).collect()
-        assert {(r.doc_id, r.item_id) for r in found} == expected | {(500, 90)}
+        assert {(r.doc_id, r.item_id) for r in found} == expected | {(600, 90)}
         assert all(r.similarity >= 0.8 for r in found) and len(found) == len(expected) + 2
     clean = decontam.decontaminate(frame(spark, rows), bench)
-    assert {r.doc_id for r in clean.collect()} == {i for i, _ in rows} - {d for d, _ in expected} - {500}
+    assert {r.doc_id for r in clean.collect()} == {i for i, _ in rows} - {d for d, _ in expected} - {600}
     assert clean.columns == frame(spark, rows).columns
     assert decontam.contaminated(frame(spark, []), bench).count() == 0 and decontam.contaminated(frame(spark, rows), bench.limit(0)).count() == 0
