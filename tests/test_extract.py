@@ -113,6 +113,15 @@ def test_score_needs_model(spark):
         result(spark, b"x", min_trigram_score=0.0)
 
 
+def test_low_scores_go_and_null_scores_stay(spark):
+    model = spark.createDataFrame([("\u0080he", 100), ("hel", 100), ("ell", 100), ("llo", 100)], "gram string, n long")
+    data = "hello\0你好世界".encode()
+    rows = result(spark, data, model=model, min_trigram_score=0.0, enabled=("static_ascii", "static_utf8")).strings.collect()
+    assert [(r.value, r.analysis.trigram_score) for r in rows] == [("你好世界", None)]
+    rows = result(spark, data, model=model, enabled=("static_ascii",)).strings.collect()
+    assert [r.value for r in rows] == ["hello"] and rows[0].analysis.trigram_score < 0
+
+
 def test_json(spark):
     r = result(spark, b"https://example.com/\0noise text", annotate=True, enabled=("static_ascii",))
     lines = [json.loads(x.line) for x in sinks.json_lines(r).collect()]
