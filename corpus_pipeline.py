@@ -41,7 +41,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def _having(rows: DataFrame, kept: DataFrame, columns: list[str]) -> DataFrame:
-    return rows.withColumn("row", F.col("key.row")).join(stash(kept, "kept"), "row", "left_semi").select(*columns)
+    """The rows that were kept. Their numbers grow with the documents, so both sides are shuffled at every size."""
+    return rows.withColumn("row", F.col("key.row")).join(stash(kept, "kept").hint("shuffle_merge"), "row", "left_semi").select(*columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
