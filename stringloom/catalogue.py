@@ -110,7 +110,7 @@ def endian_suppression(spark, sf_dir):
     """Texts as UTF-16LE. All-ASCII strings are found in that byte order only, but for those after a line break: read the
     other way round, from the zero byte before them, they are as long, which is no sign of the true order."""
     wide = read(spark, sf_dir, "benchmark").where(F.col("text").rlike(r"^\p{ASCII}*$")).select("item_id", F.encode("text", "UTF-16LE").alias("text"))
-    located = strings.located(runs.scan(parse(inputs.table(wide, "item_id", "text")), Options(enabled=("static_utf16_le", "static_utf16_be"))))
+    located = strings.located(runs.scan(parse(inputs.table(wide, "item_id", "text")), Options(enabled=("static_utf16_le", "static_utf16_be")), mirrored=True))
     return runs.without_mirrored(located).where(F.col("value").rlike(r"^\p{ASCII}+$")).select("input_id", "value", "kind", "offset")
 
 

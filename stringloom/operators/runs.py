@@ -82,8 +82,9 @@ def decoded(token: bytes) -> bytes | None:
     return None
 
 
-def static_runs(data: bytes, least: int, kinds) -> list[dict]:
-    """The scans in their order, each run once; opposite byte orders are told apart later."""
+def static_runs(data: bytes, least: int, kinds, mirrored: bool = False) -> list[dict]:
+    """The scans in their order. Without `mirrored`, UTF-16 rows that only the wrong byte order sees are left out at once; see
+    `without_mirrored`."""
     if least == 0:
         return []
     out = ascii_runs(data, least) if "static_ascii" in kinds else []
@@ -92,16 +93,21 @@ def static_runs(data: bytes, least: int, kinds) -> list[dict]:
     for end in ("le", "be"):
         if f"static_utf16_{end}" in kinds:
             out += utf16_runs(data, least, end)
-    return out
+    if mirrored or not {"static_utf16_le", "static_utf16_be"} <= set(kinds):
+        return out
+    plain = {(x["kind"], x["offset"], x["length"]) for x in out if x["encoding"].startswith("utf16") and x["value"].isascii()}
+    other = {"static_utf16_le": "static_utf16_be", "static_utf16_be": "static_utf16_le"}
+    return [x for x in out if (x["kind"], x["offset"], x["length"]) not in plain or (other[x["kind"]], x["offset"] - 1, x["length"] + 2) not in plain]
 
 
 def _row(kind: str, encoding: str, offset: int, length: int, value: str, align: int = 0) -> dict:
     return {"kind": kind, "encoding": encoding, "offset": offset, "length": length, "value": value, "align": align, "decoded_offset": None, "source_length": None}
 
 
-def scan(parsed: DataFrame, options: Options) -> DataFrame:
+def scan(parsed: DataFrame, options: Options, mirrored: bool = False) -> DataFrame:
     """All columns of `parsed` (with `content`, `scan_start` and `scan_end`) but the content, and `runs`. Offsets count from
-    the beginning of the input; Base64 tokens are sought in the whole input, once, with its first architecture."""
+    the beginning of the input; Base64 tokens are sought in the whole input, once, with its first architecture. No shuffle and
+    no join: a row says all that its scan needs."""
     spark = parsed.sparkSession
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
@@ -116,7 +122,7 @@ def scan(parsed: DataFrame, options: Options) -> DataFrame:
             column = {n: batch.column(i) for i, n in enumerate(names)}
             out = []
             for data, start, end, arch in zip(*(column[x].to_pylist() for x in ("content", "scan_start", "scan_end", "arch_idx"))):
-                found = [x | {"offset": x["offset"] + start} for x in static_runs(data[start:end], options.min_length, kinds)]
+                found = [x | {"offset": x["offset"] + start} for x in static_runs(data[start:end], options.min_length, kinds, mirrored)]
                 out.append(found + (base64_runs(data, options) if with_base64 and arch == 0 else []))
             yield pa.RecordBatch.from_arrays([*(column[f.name] for f in kept), pa.array(out, arrow)], schema.names)
 
@@ -125,7 +131,8 @@ def scan(parsed: DataFrame, options: Options) -> DataFrame:
 
 def without_mirrored(strings: DataFrame) -> DataFrame:
     """Without UTF-16 rows that are an artefact of the other byte order: all ASCII, at offset o with 2n bytes, while the
-    other order has an all-ASCII row at o - 1 with 2n + 2 bytes. Only UTF-16 rows take part in the join."""
+    other order has an all-ASCII row at o - 1 with 2n + 2 bytes. For tables of strings that are there already; `scan` does the
+    same within each input. Only UTF-16 rows take part in the join."""
     wide = strings.where(F.col("kind").isin("static_utf16_le", "static_utf16_be"))
     plain = F.col("value").rlike(r"^\p{ASCII}*$")
     other = wide.where(plain).select(

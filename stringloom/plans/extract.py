@@ -41,8 +41,7 @@ def extract(inputs: DataFrame, options: Options = Options(), library: DataFrame
     none = lambda kind: F.lit(None).cast(kind)
     branches = []
     if any(options.wants(k) for k in STATIC) or (options.decode_base64 and options.wants("base64")):
-        found = rows.located(runs.scan(parsed, options))
-        branches.append(runs.without_mirrored(found).withColumn("function_va", none("long")))
+        branches.append(rows.located(runs.scan(parsed, options)).withColumn("function_va", none("long")))
     if options.wants("go") or options.wants("rust"):
         branches.append(rows.located(language.scan(parsed, options)).withColumn("function_va", none("long")))
     if options.wants("rust"):

@@ -7,9 +7,11 @@ import re
 import pytest
 
 from stringloom.operators import runs
+from stringloom.operators.strings import located as strings_of
 from stringloom.plans import sinks
 from stringloom.plans.extract import extract
 from stringloom.schema import STATIC, Options, address_of, selection, tag_of
+from stringloom.sources.containers import parse
 
 MIXED = "Привет 世界 😀"
 
@@ -56,6 +58,16 @@ def test_utf16_surrogates_and_order(spark):
     assert ("hello world", "static_utf16_be", 0) in found and not any(v == "hello worl" for v, *_ in found)
 
 
+def test_mirrored_rows_by_scan_and_by_join(spark):
+    rng = random.Random(5)
+    data = [b"".join(rng.choice(("hello world", "x\n", "abcd")).encode(rng.choice(("utf-16-le", "utf-16-be"))) + b"\0" * rng.randrange(3) for _ in range(5)) for _ in range(40)]
+    parsed = parse(spark.createDataFrame([(str(i), bytearray(x)) for i, x in enumerate(data)], "input_id string, content binary"))
+    options = Options(enabled=("static_utf16_le", "static_utf16_be"))
+    key = lambda df: sorted((r.input_id, r.kind, r.offset, r.length) for r in df.collect())
+    whole = strings_of(runs.scan(parsed, options, mirrored=True))
+    assert key(runs.without_mirrored(whole)) == key(strings_of(runs.scan(parsed, options))) != key(whole)
+
+
 def test_base64(spark):
     (row,) = [x for x in result(spark, b"\0aGVsbG8gd29ybGQ=\0", enabled=("static_ascii", "base64"), decode_base64=True).strings.collect() if x.kind == "base64"]
     assert (row.value, row.location.offset, row.analysis.decoded_offset, row.analysis.source_length) == ("hello world", 1, 0, 16)
