@@ -44,7 +44,7 @@ def tags(v: Column, kind: Column | None = None, in_library: Column | None = None
 def quality(v: Column) -> Column:
     """0 to 1: much of letters and digits, many different bytes, no long run of one byte; a little more for short strings.
     Other than ASCII counts by its UTF-8 bytes."""
-    b = F.when(v.rlike(r"^\p{ASCII}*$"), v).otherwise(F.decode(F.encode(v, "UTF-8"), "ISO-8859-1"))
+    b = F.when(F.octet_length(v) == F.char_length(v), v).otherwise(F.decode(F.encode(v, "UTF-8"), "ISO-8859-1"))
     n = F.length(b).cast("double")
     kinds = F.size(F.array_distinct(F.split(b, ""))).cast("double")
     good = F.length(F.regexp_replace(b, "[^A-Za-z0-9]", "")).cast("double")
