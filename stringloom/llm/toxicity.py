@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -83,18 +85,16 @@ def ratios(rows: DataFrame) -> tuple[np.ndarray, tuple[int, int]]:
 
 
 def bounded(rows: DataFrame, most: int) -> Column:
-    """A condition on (doc_id, label) that at most `most` rows of each label meet: ids come in by a hash, bin after bin."""
-    bins = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1024))
-    sizes = rows.groupBy("label", bins.alias("bin")).count().collect()  # two labels of 1024 bins
-    take = F.lit(False)
-    for label in (0, 1):
-        total, last = 0, -1
-        for row in sorted((r for r in sizes if r.label == label), key=lambda r: r.bin):
-            total += row["count"]
-            if total > most:
-                break
-            last = row.bin
-        take = take | ((F.col("label") == label) & (bins <= last))
+    """A condition on (doc_id, label) that the `most` rows of each label with the smallest hashes of their ids meet, or all of
+    a label with no more. The class's size gives a hash below which a few more than `most` lie; only these reach the driver."""
+    place, take = F.xxhash64("doc_id", F.lit(17)), F.lit(False)
+    for label, n in rows.groupBy("label").count().collect():  # two labels
+        own, expected, first = F.col("label") == label, most + 8 * math.sqrt(most) + 8, []
+        while n > most and len(first) <= most:
+            edge = min((1 << 63) - 1, int(expected / n * 2.0**64) - (1 << 63))
+            first = sorted(x.place for x in rows.where(own & (place <= edge)).select(place.alias("place")).collect())
+            expected *= 2
+        take = take | (own & (place < first[most]) if n > most else own)
     return take
 
 

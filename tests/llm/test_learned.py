@@ -149,3 +149,14 @@ def test_toxicity(spark):
     nothing = toxicity.learn(df.limit(0), marks)
     assert {r.score for r in toxicity.score(df, *nothing).collect()} == {0.5}
     assert toxicity.score(df.limit(0), values, bias).count() == 0
+
+
+def test_toxicity_sample_is_full_at_any_size(spark):
+    """Far fewer rows are wanted than a 1024th of a class, and each class gives as many all the same."""
+    marks = spark.range(8000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    rows = marks.withColumnRenamed("toxic", "label")
+    place = lambda most: sorted((r.label, r["count"]) for r in rows.where(toxicity.bounded(rows, most)).groupBy("label").count().collect())
+    assert place(1) == [(0, 1), (1, 1)] and place(2) == [(0, 2), (1, 2)] and place(3999) == [(0, 3999), (1, 3999)] and place(4000) == place(9000) == [(0, 4000), (1, 4000)]
+    df = marks.select("doc_id", F.when(F.col("toxic") == 1, "you are scum").otherwise("you are kind").alias("text"))
+    values, bias = toxicity.learn(df, marks, most=2)
+    assert {(r.doc_id % 2, r.score >= 0.5) for r in toxicity.score(df, values, bias).collect()} == {(0, False), (1, True)}
