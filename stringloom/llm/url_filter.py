@@ -9,13 +9,12 @@ from stringloom.llm.common import stash
 
 #: (verdict, rule): a host and the beginning of a path. The longest rule that fits a URL decides.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-#: Segments of a path that the tree tells apart; what follows is one more segment, `**`.
-DEPTH = 6
-#: A node with more different segments than this under it has a wildcard for them.
+#: Where a node has more different segments than this under it, their names count for little.
 VARIABLE = 20
 #: Standard errors within which the share of blocked URLs of a branch counts as that of its siblings.
 ERRORS = 2.0
-#: Strength of the prior, its purity for hosts without labels, and the purity from which a template is rejected.
+#: Strength of the prior, its purity for hosts without labels, and the purity from which a template is rejected. What a host's
+#: labels say about its unlabelled paths is one observation for each first segment, however many URLs it has.
 STRENGTH, PRIOR, REJECT = 4.0, 0.25, 0.7
 
 
@@ -44,49 +43,68 @@ def decided(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def segments(path: Column, depth: int = DEPTH) -> Column:
+def segments(path: Column) -> Column:
     """Segments of a path, those that vary by their form generalised: numbers, hexadecimal ids, and names that hold a
     number, whose digits become `#`."""
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
     form = lambda x: F.when(x.rlike(r"^[0-9a-fA-F-]{16,}$"), F.lit("<id>")).otherwise(F.regexp_replace(x, r"[0-9]+", "#"))
-    named = F.transform(parts, form)
-    return F.when(F.size(named) > depth, F.concat(F.slice(named, 1, depth), F.array(F.lit("**")))).otherwise(named)
-
-
-def templates(urls: DataFrame, depth: int = DEPTH, variable: int = VARIABLE, errors: float = ERRORS) -> DataFrame:
-    """(host, parts, template) for each distinct (host, parts) of `urls` (host, parts, n, blocked, allowed: URLs, and those
-    labelled). The tree grows from the host down. At each node the segments under it become `*` if there are more than
-    `variable`, and so does a branch whose share of blocked URLs lies within `errors` standard errors of that of all
-    its siblings: similar branches are one branch from there on."""
-    nodes, levels = urls.withColumn("template", F.lit("")), urls.agg(F.max(F.size("parts"))).first()[0] or 0
-    for level in range(min(levels, depth + 1)):
-        deep = F.size("parts") > level
-        under = nodes.where(deep).groupBy("host", "template", F.get("parts", F.lit(level)).alias("segment"))
-        branches = under.agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"), F.sum("allowed").alias("allowed"))
+    return F.transform(parts, form)
+
+
+def templates(urls: DataFrame, variable: int = VARIABLE, errors: float = ERRORS) -> DataFrame:
+    """(host, parts, template, ...) for each distinct (host, parts) of `urls` (host, parts, n, blocked, allowed: URLs, and
+    those labelled). The tree grows from the host down, to the end of every path. Branches of a node merge on evidence only:
+
+    - those with labels become `*` where the share of blocked URLs lies within `errors` standard errors of that of all
+      labelled siblings; a branch that differs, or that alone has labels, keeps its name;
+    - those without labels keep their names, too, unless the node has more than `variable` segments. There they become `*` if
+      two labelled branches that did have the same children (depths, first and last name), and `?` if not.
+
+    What all paths of a node begin with is taken at once, so there are as many rounds as places where paths part."""
+    nodes = urls.select("*", F.lit("").alias("template"), F.lit(0).alias("level"))
+    while True:
+        deep = F.size("parts") > F.col("level")
+        if nodes.where(deep).isEmpty():
+            return nodes.drop("level")
+        open_ = nodes.where(deep).select("*", F.slice("parts", F.col("level") + 1, F.size("parts")).alias("rest"))
+        ends = open_.groupBy("host", "template").agg(F.min("rest").alias("a"), F.max("rest").alias("b"))
+        differs = F.array_position(F.zip_with("a", "b", lambda x, y: ~x.eqNullSafe(y)), True)
+        ends = ends.select("host", "template", F.slice("a", 1, F.when(differs == 0, F.size("a")).otherwise(differs - 1).cast("int")).alias("common"))
+        # One step: the common beginning where there is one, else the branch's name.
+        below = F.get("rest", F.lit(1))
+        under = open_.groupBy("host", "template", F.get("rest", F.lit(0)).alias("segment"))
+        branches = under.agg(
+            F.sum("blocked").alias("blocked"), F.sum("allowed").alias("allowed"),
+            F.struct(F.min(F.size("rest")), F.max(F.size("rest")), F.coalesce(F.min(below), F.lit("")), F.coalesce(F.max(below), F.lit(""))).cast("string").alias("shape"),
+        )
         whole = branches.groupBy("host", "template").agg(F.count("*").alias("kinds"), F.sum("blocked").alias("all_blocked"), F.sum("allowed").alias("all_allowed"))
         seen, all_seen = F.col("blocked") + F.col("allowed"), F.col("all_blocked") + F.col("all_allowed")
         rest_seen, rest_blocked = all_seen - seen, F.col("all_blocked") - F.col("blocked")
         pooled = (F.col("all_blocked") + 1) / (all_seen + 2)
         error = F.sqrt(pooled * (1 - pooled) * (1 / F.greatest(seen, F.lit(1)) + 1 / F.greatest(rest_seen, F.lit(1))))
         apart = F.abs(F.col("blocked") / F.greatest(seen, F.lit(1)) - rest_blocked / F.greatest(rest_seen, F.lit(1)))
-        alone = (F.col("kinds") == 1) | ((seen > 0) & (rest_seen > 0) & (apart > errors * error))
-        named = branches.join(whole, ["host", "template"]).select("host", "template", "segment", F.when((F.col("kinds") <= variable) & alone, F.col("segment")).otherwise("*").alias("name"))
-        named = stash(named, "branches")
-        nodes = nodes.withColumn("segment", F.when(deep, F.get("parts", F.lit(level)))).join(named, ["host", "template", "segment"], "left")
-        nodes = stash(nodes.withColumn("template", F.when(deep, F.concat("template", F.lit("/"), "name")).otherwise(F.col("template"))).drop("segment", "name"), "nodes")
-    return nodes
+        alike = (seen > 0) & (rest_seen > 0) & (apart <= errors * error)
+        judged = stash(branches.join(whole, ["host", "template"]).select("host", "template", "segment", "shape", "kinds", (seen > 0).alias("labelled"), alike.alias("alike")), "branches")
+        kin = judged.where("alike").groupBy("host", "template", "shape").agg((F.count("*") > 1).alias("kin"))
+        name = F.when(F.col("alike"), "*").when(F.col("labelled") | (F.col("kinds") <= variable), F.col("segment")).when(F.col("kin"), "*").otherwise("?")
+        named = judged.join(kin, ["host", "template", "shape"], "left").join(ends, ["host", "template"]).select("host", "template", "segment", F.when(F.size("common") > 0, F.col("common")).otherwise(F.array(name)).alias("names"))
+        nodes = nodes.withColumn("segment", F.when(deep, F.get("parts", F.col("level")))).join(named, ["host", "template", "segment"], "left")
+        grown = F.concat("template", F.lit("/"), F.array_join("names", "/"))
+        nodes = nodes.select(*urls.columns, F.when(deep, grown).otherwise(F.col("template")).alias("template"), F.when(deep, F.col("level") + F.size("names")).otherwise(F.col("level")).alias("level"))
+        nodes = stash(nodes, "nodes")
 
 
 def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
     """One row per input row: page_id, host, path, rule, verdict, template and purity.
 
     The rule's verdict holds where one fits. The URLs that rules decide are also the labels of the tree: a template's
-    purity is the share of blocked URLs among its labelled ones, smoothed towards that of its host, which is smoothed
-    towards PRIOR; templates that reach REJECT are blocked, all others allowed.
+    purity is the share of blocked URLs among its labelled ones, smoothed towards that of its host: the mean of the shares
+    of its labelled first segments, smoothed towards PRIOR. So one blocked branch does not block what lies beside it.
+    Templates that reach REJECT are blocked, all others allowed.
 
     A null URL and one without `://` have empty host and path, fit no rule and are allowed unless that template is
     rejected. Repeated rows and ids give a row each; a null id stays null; a null or empty table is no error; paths of any
-    length are read whole, but segments beyond DEPTH are one; other columns are not carried.
+    length and depth are read whole; other columns are not carried.
 
     Rows of a host are never brought together: URLs are first counted by host and form of the path."""
     host, path = host_and_path(F.col("url"))
@@ -96,8 +114,10 @@ def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RU
     count = lambda what: F.count(F.when(F.col("ruled") == what, 1))
     forms = rows.groupBy("host", "parts").agg(F.count("*").alias("n"), count("block").alias("blocked"), count("allow").alias("allowed"))
     placed = templates(stash(forms, "forms"))
-    by_host = placed.groupBy("host").agg(F.sum("blocked").alias("host_blocked"), F.sum("allowed").alias("host_allowed"))
-    host_purity = (F.col("host_blocked") + STRENGTH * PRIOR) / (F.col("host_blocked") + F.col("host_allowed") + STRENGTH)
+    by_branch = placed.groupBy("host", F.get("parts", F.lit(0)).alias("first")).agg(F.sum("blocked").alias("blocked"), F.sum("allowed").alias("allowed"))
+    share = F.when(F.col("blocked") + F.col("allowed") > 0, F.col("blocked") / (F.col("blocked") + F.col("allowed")))
+    by_host = by_branch.groupBy("host").agg(F.coalesce(F.sum(share), F.lit(0.0)).alias("bad"), F.count(share).alias("labelled"))
+    host_purity = (F.col("bad") + STRENGTH * PRIOR) / (F.col("labelled") + STRENGTH)
     by_template = placed.groupBy("host", "template").agg(F.sum("blocked").alias("blocked"), F.sum("allowed").alias("allowed")).join(by_host, "host")
     purity = (F.col("blocked") + STRENGTH * host_purity) / (F.col("blocked") + F.col("allowed") + STRENGTH)
     known = by_template.select("host", "template", purity.alias("purity"))

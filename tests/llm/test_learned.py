@@ -76,6 +76,23 @@ def test_templates_block_what_is_labelled_so(spark):
     assert got["/buy/25"].template == "/buy/#" and got["/buy/25"].verdict == "block" and got["/news/25"].verdict == "allow"
 
 
+def test_unlabelled_siblings_of_a_blocked_branch(spark):
+    """They keep their own template and are allowed, at every depth and however many they are; a variable segment whose
+    labelled names are blocked alike, with the same children, is blocked under new names."""
+    rules = (("block", "a.com/en/"), ("block", "b.com/x/y/z/u/v/w/bad/"), ("block", "c.com/bad/"), ("block", "d.com/user/b"))
+    names = [chr(97 + i) * 3 for i in range(26)]
+    urls = [f"http://a.com/{lang}/{i}" for lang in ("en", "fr") for i in range(50)]
+    urls += [f"http://b.com/x/y/z/u/v/w/{end}/{i}" for end in ("bad", "good") for i in range(50)]
+    urls += [f"http://c.com/{x}/{i}" for x in ["bad", *names] for i in range(20)]
+    urls += [f"http://d.com/user/{x}{y}/spam" for x in ("b", "c") for y in names] + ["http://d.com/user/cxyz/about/me", "http://e.com/" + "s/" * 3000 + "end"]
+    got = {r.path if r.host != "a.com" else "a" + r.path: r for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules).collect()}
+    assert (got["a/fr/1"].template, got["a/fr/1"].verdict, got["a/en/1"].verdict) == ("/fr/#", "allow", "block")
+    assert got["/x/y/z/u/v/w/good/1"].template == "/x/y/z/u/v/w/good/#" and got["/x/y/z/u/v/w/good/1"].verdict == "allow" and got["/x/y/z/u/v/w/bad/1"].purity > 0.7
+    assert {got[f"/{x}/1"].verdict for x in names} == {"allow"} and got["/bad/1"].template == "/bad/#"
+    assert (got["/user/cddd/spam"].template, got["/user/cddd/spam"].verdict) == ("/user/*/spam", "block") and got["/user/cxyz/about/me"].verdict == "allow"
+    assert got["/" + "s/" * 3000 + "end"].template == "/" + "s/" * 3000 + "end"
+
+
 def test_language_model(spark):
     rng = random.Random(7)
     rows = [(i, " ".join(rng.choice(("red fox", "blue whale", "green tree")) for _ in range(rng.randint(5, 60)))) for i in range(400)]
