@@ -18,14 +18,12 @@ PATTERNS = {
     "card": (r"[0-9]([\x20-]?[0-9])+", r"(?:(?<![0-9])|\G)[0-9](?:[\x20-]?[0-9])++"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
-#: Code points before and after a protected value in which a term can give it away.
-WINDOW = 60
 #: Share of the information in a protected value that a term may disclose: terms beyond the first are generalised, beyond
-#: the second removed; and the number of different contexts of a value that must hold the term.
+#: the second removed; and the number of different texts with a value that must hold the term.
 GENERALISE, REMOVE, SUPPORT = 0.5, 0.8, 2
 #: Terms: runs of letters, marks and digits, lower-cased, of at least this many characters.
 TERM, SHORTEST = r"[\p{L}\p{M}\p{N}]+", 3
-#: Tasks that one protected value's contexts are spread over.
+#: Tasks that copies of one text are spread over.
 SALTS = 16
 
 KINDS = (*PATTERNS, "generalise", "remove")
@@ -89,45 +87,55 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def terms(text: Column, shift) -> Column:
-    """Terms of a text with their places, `shift` code points further on."""
-    kept = F.filter(matches(text, TERM), lambda m: F.length(m["value"]) >= SHORTEST)
-    return F.transform(kept, lambda m: F.struct(F.lower(m["value"]).alias("term"), (m["start"] + shift).alias("start"), (m["end"] + shift).alias("end")))
+def terms(text: Column, base: Column) -> Column:
+    """The different terms of a text outside its base spans, lower-cased."""
+    outside = F.when(F.size(base) == 0, text).otherwise(cleaned(text, base, " "))
+    words = F.filter(F.regexp_extract_all(outside, F.lit(TERM), F.lit(0)), lambda x: F.length(x) >= SHORTEST)
+    return F.array_distinct(F.transform(words, F.lower))
 
 
-def disclosures(found: DataFrame, document_terms: DataFrame, documents: int) -> DataFrame:
-    """(value, before, after, spans): for each context of a protected value the terms that disclose too much of it, as
-    array<struct<kind, start, end>> with places relative to the value's start.
+def places(text: Column, kinds: Column) -> Column:
+    """array<struct<kind, start, end>> of all words whose lower-cased form is in `kinds`, a map from terms."""
+    pairs = F.arrays_zip(F.split(text, TERM, -1).alias("gap"), F.regexp_extract_all(text, F.lit(TERM), F.lit(0)).alias("value"))
 
-    Of a value with probability p(v) a term discloses log p(v|t) / p(v) of -log p(v) bits, both from the corpus: contexts of
-    the value that hold the term, against all documents that hold it. Equal contexts, as copies have, count once.
-    `found` is (value, before, after) with repeats, `document_terms` (term, documents)."""
-    contexts = stash(found.groupBy("value", "before", "after").agg(F.count("*").alias("n")), "contexts")
-    width = F.length("value")
-    around = F.concat(terms(F.col("before"), -F.length("before")), terms(F.col("after"), width))
-    pairs = stash(contexts.select("value", "before", "after", F.explode(around).alias("t")).select("value", "before", "after", "t.term", "t.start", "t.end"), "terms")
-    own = contexts.groupBy("value").agg(F.count("*").alias("contexts"))
-    joint = pairs.select("value", "term", "before", "after").distinct().groupBy("value", "term").agg(F.count("*").alias("both")).where(F.col("both") >= SUPPORT)
-    seen = joint.join(own, "value").join(document_terms, "term", "left")
+    def step(acc, x):
+        start, kind = acc["at"] + F.length(x["gap"]), F.element_at(kinds, F.lower(x["value"]))
+        end = start + F.length(x["value"])
+        span = F.array(F.struct(kind.alias("kind"), start.alias("start"), end.alias("end")))
+        return F.when(x["value"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.when(kind.isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], span)).alias("spans")))
+
+    none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
+
+
+def disclosures(held: DataFrame, document_terms: DataFrame, documents: int) -> DataFrame:
+    """(text_id, kinds): for each text with protected values the terms that disclose too much of one, as a map to their kind.
+
+    Of a value with probability p(v) a term discloses log p(v|t) / p(v) of -log p(v) bits, both from the corpus: documents
+    with both, against all that hold the term. SUPPORT different texts must have both; values in fewer are left out first.
+    `held` is (text_id, n, value, terms) for each text and value, n documents having the text; `document_terms`
+    (term, documents)."""
+    own = held.groupBy("value").agg(F.sum("n").alias("contexts"), F.count("*").alias("different")).where(F.col("different") >= SUPPORT).drop("different")
+    pairs = held.join(stash(own, "values"), "value").select("text_id", "n", "value", "contexts", F.explode("terms").alias("term"))
+    joint = pairs.groupBy("value", "contexts", "term").agg(F.sum("n").alias("both"), F.count("*").alias("different")).where(F.col("different") >= SUPPORT)
     total = F.lit(float(max(2, documents)))
     information = F.log2(total / F.col("contexts"))
-    given = F.least(F.lit(1.0), F.col("both") / F.greatest(F.coalesce("documents", F.lit(0)), F.col("both")))
-    share = F.when(information > 0, 1 + F.log2(given) / information)
-    risky = stash(seen.select("value", "term", share.alias("share")).where(F.col("share") > GENERALISE), "risky")
+    share = F.when(information > 0, 1 + F.log2(F.least(F.lit(1.0), F.col("both") / F.col("documents"))) / information)
+    risky = stash(joint.join(document_terms, "term").select("value", "term", share.alias("share")).where(F.col("share") > GENERALISE), "risky")
     kind = F.when(F.col("share") > REMOVE, KINDS.index("remove")).otherwise(KINDS.index("generalise"))
-    hits = pairs.join(risky, ["value", "term"])
-    return stash(hits.groupBy("value", "before", "after").agg(F.array_sort(F.collect_set(F.struct(kind.alias("kind"), "start", "end"))).alias("more")), "disclosed")
+    hits = pairs.join(risky, ["value", "term"]).groupBy("text_id", "term").agg(F.max(kind).alias("kind"))
+    return hits.groupBy("text_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("kinds"))
 
 
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, base and spans, both array<struct<kind, start, end, value>> by kind (a place in
-    KINDS), then start. `spans` also has the terms around protected values that disclose too much of them.
+    KINDS), then start. `spans` also has all places of the terms that disclose too much of a protected value of the text.
 
     Null and empty texts have no spans. Repeated rows and ids give a row each; a null id stays null; an empty table gives no
     rows; texts of any length are searched whole; other columns are not carried.
 
-    Only documents with protected values are shuffled, as contexts; the words of all documents are counted by task first. A
-    value that very many documents share is spread over SALTS tasks when its contexts come back to the documents."""
+    Only documents with protected values are shuffled; the words of all documents are counted by task first, and so are values
+    with their terms. A text that very many documents share is spread over SALTS tasks when its spans come back to them."""
     rows = _numbered(df, id_col, text_col).withColumn("base", base_spans(F.col("text")))
     added = _added(rows, df.count())
     overlaps = lambda x: F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
@@ -141,27 +149,23 @@ def _numbered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _added(rows: DataFrame, documents: int) -> DataFrame:
     """(row, more): the disclosing terms of the rows that have some."""
-    hit = rows.where(F.size("base") > 0).select("row", "text", F.explode("base").alias("m"))
-    start, end = F.col("m.start"), F.col("m.end")
-    first = F.greatest(start - WINDOW, F.lit(0))
-    found = stash(
-        hit.select("row", start.alias("at"), F.col("m.value").alias("value"), F.substring("text", first + 1, start - first).alias("before"), F.substring("text", end + 1, F.lit(WINDOW)).alias("after")),
-        "protected",
-    )
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-    counted = rows.select(F.explode(words).alias("term")).where(F.length("term") >= SHORTEST).groupBy("term").agg(F.count("*").alias("documents"))
-    more = disclosures(found.select("value", "before", "after"), counted, documents)
+    found = stash(rows.where(F.size("base") > 0).select("row", "text", F.sha2("text", 256).alias("text_id"), "base"), "protected")
+    once = found.groupBy("text_id", "text", "base").agg(F.count("*").alias("n"))
+    values = F.array_distinct(F.transform("base", lambda b: b["value"]))
+    once = stash(once.select("text_id", "text", "n", values.alias("values"), terms(F.col("text"), F.col("base")).alias("terms")), "texts")
+    counted = rows.select(F.explode(terms(F.col("text"), F.col("base"))).alias("term")).groupBy("term").agg(F.count("*").alias("documents"))
+    kinds = disclosures(once.select("text_id", "n", F.explode("values").alias("value"), "terms"), counted, documents)
+    span = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lit(None).cast("string").alias("value"))
+    more = stash(once.join(kinds, "text_id").select("text_id", F.transform(places(F.col("text"), F.col("kinds")), span).alias("more")), "disclosed")
     spread = more.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    placed = found.withColumn("salt", F.pmod(F.xxhash64("row", "at"), F.lit(SALTS))).join(spread, ["value", "before", "after", "salt"])
-    placed = placed.select("row", "at", F.explode("more").alias("x"))
-    span = F.struct(F.col("x.kind").alias("kind"), (F.col("at") + F.col("x.start")).alias("start"), (F.col("at") + F.col("x.end")).alias("end"), F.lit(None).cast("string").alias("value"))
-    return stash(placed.select("row", span.alias("s")).groupBy("row").agg(F.collect_set("s").alias("more")), "added")
+    placed = found.select("row", "text_id", F.pmod(F.xxhash64("row"), F.lit(SALTS)).alias("salt")).join(spread, ["text_id", "salt"])
+    return stash(placed.select("row", "more"), "added")
 
 
-def cleaned(text: Column, spans: Column) -> Column:
-    """The text with its spans replaced: base kinds by their name, generalised terms by a class, removed ones by nothing.
-    Where spans overlap, what they cover together goes."""
-    token = lambda s: F.when(s["kind"] == KINDS.index("remove"), "").when(s["kind"] == KINDS.index("generalise"), "[TERM]").otherwise(F.concat(F.lit("["), F.upper(F.get(F.array(*(F.lit(k) for k in KINDS)), s["kind"])), F.lit("]")))
+def cleaned(text: Column, spans: Column, mask: str | None = None) -> Column:
+    """The text with its spans replaced: by `mask` if there is one, else base kinds by their name, generalised terms by a
+    class, removed ones by nothing. Where spans overlap, what they cover together goes."""
+    token = lambda s: F.lit(mask) if mask is not None else F.when(s["kind"] == KINDS.index("remove"), "").when(s["kind"] == KINDS.index("generalise"), "[TERM]").otherwise(F.concat(F.lit("["), F.upper(F.get(F.array(*(F.lit(k) for k in KINDS)), s["kind"])), F.lit("]")))
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     return F.aggregate(
         ordered,

@@ -57,3 +57,17 @@ def test_disclosure(spark):
     assert got[400] == [] and got[0] == []
     clean = {r.doc_id: r.text for r in pii.sanitise(frame(spark, rows)).collect()}
     assert "zanzibar" not in clean[300] and "[EMAIL]" in clean[300] and clean[0] == rows[0][1] and clean[400] == "common quixotic [EMAIL] common"
+
+
+def test_disclosure_in_the_whole_text(spark):
+    """A term far from the value goes wherever it stands; a word that a window would cut is no term of its own."""
+    far = "common words " * 30
+    rows = [(i, f"common words number {i}") for i in range(200)]
+    rows += [(300 + i, f"Zanzibar {w} {far} me@here.org {far} zanzibar. common zanzibars") for i, w in enumerate(("alpha", "beta"))]
+    rows += [(400, f"unprecedented {'x ' * 25}you@there.org"), (401, f"unprecedented {'x ' * 24}y you@there.org")] + [(500 + i, f"unprecedented number {i}") for i in range(100)]
+    text = dict(rows)
+    got = {r.doc_id: [(pii.KINDS[x.kind], text[r.doc_id][x.start : x.end]) for x in r.spans if x.kind > 3] for r in pii.find(frame(spark, rows)).collect()}
+    assert got[300].count(("remove", "Zanzibar")) == got[300].count(("remove", "zanzibar")) == 1 and "common" not in {x for _, x in got[300]}
+    assert got[400] == got[401] == []
+    clean = {r.doc_id: r.text for r in pii.sanitise(frame(spark, rows)).collect()}
+    assert "zanzibar." not in clean[301].lower() and not clean[301].startswith("Zanzibar") and "alpha" in clean[300]
