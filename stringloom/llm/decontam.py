@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from stringloom.llm.common import bound_rows, texts
+from stringloom.llm.common import bound_rows, stash, texts
 
 #: Words of a shingle and the similarity from which a passage counts as the item.
 WORDS, SIMILAR = 5, 0.8
@@ -149,14 +149,13 @@ def similarity(a: Counter, b: Counter, weight: dict) -> float:
 
 
 class Benchmark:
-    """Items with the index of their windows, by window size. A shingle's weight is 1 over the number of items with it, so
-    what items have in common counts little."""
+    """Items with the index of their windows, by window size. A shingle's weight is 1 over the number of different items of
+    the whole benchmark with it, so what items have in common counts little; each item brings its numbers beyond 1."""
 
-    def __init__(self, items: list[tuple[object, str]], words: int = WORDS):
-        self.items = [(i, w) for i, t in items if (w := words_of(t or ""))]
+    def __init__(self, items: list[tuple[object, str, list]], words: int = WORDS):
+        self.items = [(i, w) for i, t, _ in items if (w := words_of(t or ""))]
         self.bags = [shingles(w, words) for _, w in self.items]
-        in_items = Counter(s for bag in self.bags for s in bag)
-        self.weight = {s: 1.0 / n for s, n in in_items.items()}
+        self.weight = {bytes(s): 1.0 / n for _, _, common in items for s, n in common}
         places, hashes = defaultdict(list), Hashes()
         for k, (_, w) in enumerate(self.items):
             size = window_size(len(w))
@@ -208,11 +207,35 @@ def passages(docs: list[list[bytes]], bench: Benchmark, hashes: Hashes, n: int =
     return best
 
 
+def with_common(items: DataFrame, item_col: str, item_text: str) -> DataFrame:
+    """(item_id, text, common): with each item those of its shingles that other items have too, and how many have them.
+    Items with the same words are one item here, so a repeated item weighs as if it stood once."""
+    rows = items.select(F.col(item_col).alias("item_id"), F.col(item_text).cast("string").alias("text"))
+    bound_rows(items.sparkSession)
+
+    def key(batches):
+        for batch in batches:
+            own = pa.array([b" ".join(words_of(x or "")) for x in batch.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, own], ["item_id", "text", "key"])
+
+    def split(batches):
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                own = list(shingles(k.split()))
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(own), pa.binary()), pa.array(own, pa.binary())], ["key", "shingle"])
+
+    keyed = stash(rows.mapInArrow(key, T.StructType([*rows.schema.fields, T.StructField("key", T.BinaryType())])), "items")
+    held = stash(keyed.select("key").distinct().mapInArrow(split, "key binary, shingle binary"), "shingles")
+    counts = held.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    common = held.join(counts, "shingle").groupBy("key").agg(F.collect_list(F.struct("shingle", "n")).alias("common"))
+    return stash(keyed.join(common, "key", "left").select("item_id", "text", F.coalesce("common", F.array().cast(common.schema["common"].dataType)).alias("common")), "weighed")
+
+
 def blocks(items: DataFrame, item_col: str, item_text: str, pass_words: int):
-    """Lists of (item, text) of at least `pass_words` words, but for the last; one list is on the driver at a time."""
+    """Lists of (item, text, common) of at least `pass_words` words, but for the last; one list is on the driver at a time."""
     block, size = [], 0
-    for item in items.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text")).toLocalIterator():
-        block.append((item.item_id, item.text))
+    for item in with_common(items, item_col, item_text).toLocalIterator():
+        block.append((item.item_id, item.text, [(bytes(x.shingle), x.n) for x in item.common]))
         size += len((item.text or "").split())
         if size >= pass_words:
             yield block

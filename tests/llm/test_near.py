@@ -141,3 +141,19 @@ def test_contamination(spark):
     assert {r.doc_id for r in clean.collect()} == {i for i, _ in rows} - {d for d, _ in expected} - {600}
     assert clean.columns == frame(spark, rows).columns
     assert decontam.contaminated(frame(spark, []), bench).count() == 0 and decontam.contaminated(frame(spark, rows), bench.limit(0)).count() == 0
+
+
+def test_near_copies_of_repeated_items(spark):
+    """The similarity is the same whether items that share shingles fall into one pass or into several, and whether an item
+    stands in the benchmark once or twice."""
+    own = [f"q{i}" for i in range(60)]
+    other = [*own[:20], *[f"r{i}" for i in range(40)]]
+    copy = " ".join([*own[:30], "changed", *own[31:]])
+    found = []
+    for items, words in (((own, own, other), 10_000), ((own, own, other), 1), ((own, other), 10_000)):
+        bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+        got = decontam.contaminated(frame(spark, [(1, copy)]), bench, pass_words=words).collect()
+        assert {r.item_id for r in got} == set(range(len(items) - 1))
+        assert decontam.decontaminate(frame(spark, [(1, copy)]), bench, pass_words=words).count() == 0
+        found.append({round(r.similarity, 9) for r in got})
+    assert found[0] == found[1] == found[2] == {round((16 / 2 + 35) / (16 / 2 + 35 + 10), 9)}
