@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +11,7 @@ from stringloom.plans.extract import extract
 from stringloom.schema import Options
 from stringloom.sources import inputs
 from stringloom.sources.containers import parse
+from stringloom.tables import stash
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -33,18 +31,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stash(df: DataFrame) -> DataFrame:
-    """Written to the folder that driver and executors share, and read again."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:  # in tests, where none is set
-        folder = tempfile.mkdtemp(prefix="stringloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/stringloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 ASCII = Options(enabled=("static_ascii",))
 
 
