@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections import Counter
 from collections.abc import Callable
 
@@ -12,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stringloom.tables import stash as stash  # what the operators write goes where all tables go
+
 #: Rows of one Arrow batch that goes to Python; whole documents can be long.
 ARROW_ROWS = 256
 
@@ -44,49 +43,21 @@ def fold(id_col: str, modulus: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where none is set, as in tests, a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="stringloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back: the plan ends there, every reader sees the same rows,
-    and lost executors lose none of them. The folders go when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stringloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _remove_written() -> None:
-    for spark, path in _written:
-        try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session has ended already; nothing can be removed through it
-            return
-
-
-def count_keys(df: DataFrame, gather: Callable[[Counter, pa.RecordBatch], None], most: int = 300_000) -> DataFrame:
+def count_keys(df: DataFrame, gather: Callable[[Counter, pa.RecordBatch], None], most: int = 300_000, most_bytes: int = 256 << 20) -> DataFrame:
     """(key, n): how often each key occurs. `gather` adds the keys of a batch, strings or their UTF-8 bytes, to a counter;
-    each task hands its counter on when it has `most` keys, so little is shuffled and memory is bounded."""
+    each task hands its counter on when it has `most` keys or has read `most_bytes`, which its keys cannot exceed, so
+    little is shuffled and memory is bounded."""
 
     def run(batches):
         found: Counter = Counter()
+        size = 0
         for batch in batches:
             gather(found, batch)
-            if len(found) > most:
+            size += batch.nbytes
+            if len(found) > most or size > most_bytes:
                 yield _counted(found)
                 found.clear()
+                size = 0
         if found:
             yield _counted(found)
 
@@ -97,9 +68,15 @@ def _counted(found: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["key", "n"])
 
 
+#: Bytes of the longest key that tasks hold; longer ones are joined like rare ones.
+LONGEST = 128
+
+
 def frequent(counts: DataFrame, most: int) -> DataFrame:
-    """The most frequent keys of (key, n), at most `most` of them: all whose count reaches a threshold that a histogram
-    of the counts gives. The histogram has at most some hundred rows, whatever the input."""
+    """The most frequent keys of (key, n), at most `most` of them and none of more than LONGEST bytes: all whose count
+    reaches a threshold that a histogram of the counts gives. The histogram has at most some hundred rows, whatever the
+    input."""
+    counts = counts.where(F.octet_length("key") <= LONGEST)
     level = F.floor(F.log2("n") * 16).cast("int")
     sizes = counts.groupBy(level.alias("level")).agg(F.count("*").alias("keys")).orderBy(F.desc("level")).collect()
     total, least = 0, None

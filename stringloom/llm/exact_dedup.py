@@ -15,17 +15,17 @@ from stringloom.llm.common import WHITE_SPACE, stash, texts
 
 #: UTF-8 bytes of a block of normalised text.
 BLOCK = 4096
-#: Bytes of distinct normalised text that a task holds before it starts a new chunk.
-CHUNK_BYTES = 48 << 20
+#: Bytes of distinct normalised text, and rows, that a task holds before it starts a new chunk.
+CHUNK_BYTES, CHUNK_ROWS = 48 << 20, 200_000
 
 
-def _chunks(batches, block: int, chunk_bytes: int):
+def _chunks(batches, block: int, chunk_bytes: int, chunk_rows: int):
     """Per chunk of a task's rows: {normalised text: (its number, names of its blocks, its rows)} and {block: its name}.
 
     Blocks of distinct texts are numbered through within the task; with the task's number above, no two places of the
     table share a number. In its chunk a block has the number of its first place as its name."""
     task = TaskContext.get().partitionId() << 40
-    groups, names, size, place = {}, {}, 0, 0
+    groups, names, size, rows, place = {}, {}, 0, 0, 0
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             normal = text.encode().translate(None, WHITE_SPACE)
@@ -38,14 +38,15 @@ def _chunks(batches, block: int, chunk_bytes: int):
                 groups[normal] = own = (first, refs, [])
                 size += len(normal)
             own[2].append((doc_id, len(text)))
-        if size > chunk_bytes:
+        rows += batch.num_rows
+        if size > chunk_bytes or rows > chunk_rows:
             yield groups, names
-            groups, names, size = {}, {}, 0
+            groups, names, size, rows = {}, {}, 0, 0
     if groups:
         yield groups, names
 
 
-def duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, chunk_bytes: int = CHUNK_BYTES, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal if they are identical without white space (space, U+0009 to U+000D); null counts as empty. Of equal
@@ -57,32 +58,32 @@ def duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
     smallest local name. Documents are then sequences of names; each round sorts the pairs of adjacent names and renames
     them, which halves the sequences. (number of bytes, last name) is the identity of a text.
 
-    `df` is evaluated twice and must give its rows in the same order each time, as a table of files does. An empty table
-    gives no rows; a text may be of any length; other columns are not carried."""
+    `df` is evaluated once: texts and blocks are written by one pass, and all that follows reads what it wrote, so nothing
+    depends on how the input is split or ordered. An empty table gives no rows; a text may be of any length; other columns
+    are not carried."""
     id_type = df.schema[id_col].dataType
     rows = texts(df, id_col, text_col)
     members = T.ArrayType(T.StructType([T.StructField("doc_id", id_type), T.StructField("points", T.LongType())]))
     reps_type = T.StructType([T.StructField("rep", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("text_sha256", T.StringType()), T.StructField("refs", T.ArrayType(T.LongType())), T.StructField("members", members)])
     arrow_members = to_arrow_type(members)
 
-    def local_groups(batches):
-        for groups, _ in _chunks(batches, block, chunk_bytes):
-            for some in _slices(list(groups.items()), 2000):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([x[1][0] for x in some], pa.int64()),
-                        pa.array([len(x[0]) for x in some], pa.int64()),
-                        pa.array([hashlib.sha256(x[0]).hexdigest() for x in some]),
-                        pa.array([x[1][1] for x in some], pa.list_(pa.int64())),
-                        pa.array([[{"doc_id": d, "points": n} for d, n in x[1][2]] for x in some], arrow_members),
-                    ],
-                    reps_type.names,
-                )
+    pass_type = T.StructType([*(T.StructField(f.name, f.dataType) for f in reps_type), T.StructField("block", T.BinaryType()), T.StructField("ref", T.LongType())])
 
     def local_names(batches):
-        for _, names in _chunks(batches, block, chunk_bytes):
+        """Rows of two sorts: texts with their rows, and blocks with their local names."""
+        for groups, names in _chunks(batches, block, chunk_bytes, chunk_rows):
+            for some in _slices(list(groups.items()), 2000):
+                own = [
+                    pa.array([x[1][0] for x in some], pa.int64()),
+                    pa.array([len(x[0]) for x in some], pa.int64()),
+                    pa.array([hashlib.sha256(x[0]).hexdigest() for x in some]),
+                    pa.array([x[1][1] for x in some], pa.list_(pa.int64())),
+                    pa.array([[{"doc_id": d, "points": n} for d, n in x[1][2]] for x in some], arrow_members),
+                ]
+                yield pa.RecordBatch.from_arrays([*own, pa.nulls(len(some), pa.binary()), pa.nulls(len(some), pa.int64())], pass_type.names)
             for some in _slices(list(names.items()), 2000):
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.binary()), pa.array([x[1] for x in some], pa.int64())], ["block", "ref"])
+                none = [pa.nulls(len(some), to_arrow_type(f.dataType)) for f in reps_type]
+                yield pa.RecordBatch.from_arrays([*none, pa.array([x[0] for x in some], pa.binary()), pa.array([x[1] for x in some], pa.int64())], pass_type.names)
 
     def name_runs(batches):
         """Sorted (block, ref) to (ref, name): the name of a block is the first ref of its run."""
@@ -95,8 +96,9 @@ def duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
                 out.append(name)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.int64())], ["ref", "name"])
 
-    reps = stash(rows.mapInArrow(local_groups, reps_type), "texts")
-    blocks = rows.mapInArrow(local_names, "block binary, ref long").repartition("block").sortWithinPartitions("block", "ref")
+    once = stash(rows.mapInArrow(local_names, pass_type), "pass")
+    reps = once.where("rep is not null").select(*reps_type.names)
+    blocks = once.where("ref is not null").select("block", "ref").repartition("block").sortWithinPartitions("block", "ref")
     names = stash(blocks.mapInArrow(name_runs, "ref long, name long"), "blocks")
     parts = reps.select("rep", F.posexplode("refs").alias("i", "ref")).join(names, "ref").select("rep", "i", "name")
     most = reps.agg(F.max(F.size("refs"))).first()[0] or 1

@@ -5,6 +5,8 @@ leftmost non-overlapping matches of the plain pattern beside it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,26 +27,44 @@ GENERALISE, REMOVE, SUPPORT = 0.5, 0.8, 2
 TERM, SHORTEST = r"[\p{L}\p{M}\p{N}]+", 3
 #: Tasks that copies of one text are spread over.
 SALTS = 16
+#: Matches of a text that are placed together.
+GROUP = 256
 
 KINDS = (*PATTERNS, "generalise", "remove")
 
 
+def running(pieces: Column, step: Callable[[Column, Column], Column], kind: str) -> Column:
+    """array<`kind`> of the pieces, struct<gap, value>, in order: step(where the value begins in code points, its piece), null
+    for none. Pieces are added up in groups of GROUP and the groups after that, so the cost does not grow with the square."""
+    size = lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["value"]), F.lit(0))
+    none = F.array().cast(f"array<{kind}>")
+
+    def group(part: Column, begin: Column) -> Column:
+        def add(acc, x):
+            own = step(acc["at"] + F.length(x["gap"]), x)
+            return F.struct((acc["at"] + size(x)).alias("at"), F.when(own.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(own))).alias("out"))
+
+        return F.aggregate(part, F.struct(begin.alias("at"), none.alias("out")), add, lambda acc: acc["out"])
+
+    def placed(parts: Column) -> Column:
+        totals = F.transform(parts, lambda part: F.aggregate(part, F.lit(0), lambda n, x: n + size(x)))
+        begins = F.aggregate(totals, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        return F.flatten(F.zip_with(parts, F.slice(begins, 1, F.size(parts)), group))
+
+    # An array of one element is a name for a value that is used several times and computed once.
+    split = lambda own: F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / GROUP).cast("int")), lambda k: F.slice(own, k * GROUP + 1, F.lit(GROUP)))
+    return F.transform(F.transform(F.array(pieces), split), placed)[0]
+
+
+def pieces(text: Column, pattern: str) -> Column:
+    """array<struct<gap, value>>: what lies before each match, and the match; the last gap has none after it."""
+    return F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>> of all matches, in code points. Text is cut at the matches; the lengths of the
-    pieces and of the matches give the places. The last piece has no match after it."""
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
-    start = lambda acc, x: acc["at"] + F.length(x["gap"])
-    return F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("spans")),
-        lambda acc, x: F.when(x["value"].isNull(), acc).otherwise(
-            F.struct(
-                (start(acc, x) + F.length(x["value"])).alias("at"),
-                F.concat(acc["spans"], F.array(F.struct(start(acc, x).alias("start"), (start(acc, x) + F.length(x["value"])).alias("end"), x["value"].alias("value")))).alias("spans"),
-            )
-        ),
-        lambda acc: acc["spans"],
-    )
+    """array<struct<start, end, value>> of all matches, in code points."""
+    span = lambda start, x: F.when(x["value"].isNotNull(), F.struct(start.alias("start"), (start + F.length(x["value"])).alias("end"), x["value"].alias("value")))
+    return running(pieces(text, pattern), span, "struct<start:int,end:int,value:string>")
 
 
 def passes_luhn(digits: Column) -> Column:
@@ -96,16 +116,12 @@ def terms(text: Column, base: Column) -> Column:
 
 def places(text: Column, kinds: Column) -> Column:
     """array<struct<kind, start, end>> of all words whose lower-cased form is in `kinds`, a map from terms."""
-    pairs = F.arrays_zip(F.split(text, TERM, -1).alias("gap"), F.regexp_extract_all(text, F.lit(TERM), F.lit(0)).alias("value"))
 
-    def step(acc, x):
-        start, kind = acc["at"] + F.length(x["gap"]), F.element_at(kinds, F.lower(x["value"]))
-        end = start + F.length(x["value"])
-        span = F.array(F.struct(kind.alias("kind"), start.alias("start"), end.alias("end")))
-        return F.when(x["value"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.when(kind.isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], span)).alias("spans")))
+    def step(start, x):
+        kind = F.element_at(kinds, F.lower(x["value"]))
+        return F.when(kind.isNotNull(), F.struct(kind.alias("kind"), start.alias("start"), (start + F.length(x["value"])).alias("end")))
 
-    none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
+    return running(pieces(text, TERM), step, "struct<kind:int,start:int,end:int>")
 
 
 def disclosures(held: DataFrame, document_terms: DataFrame, documents: int) -> DataFrame:
@@ -116,14 +132,14 @@ def disclosures(held: DataFrame, document_terms: DataFrame, documents: int) -> D
     `held` is (text_id, n, value, terms) for each text and value, n documents having the text; `document_terms`
     (term, documents)."""
     own = held.groupBy("value").agg(F.sum("n").alias("contexts"), F.count("*").alias("different")).where(F.col("different") >= SUPPORT).drop("different")
-    pairs = held.join(stash(own, "values"), "value").select("text_id", "n", "value", "contexts", F.explode("terms").alias("term"))
+    pairs = held.join(stash(own, "values").hint("shuffle_merge"), "value").select("text_id", "n", "value", "contexts", F.explode("terms").alias("term"))
     joint = pairs.groupBy("value", "contexts", "term").agg(F.sum("n").alias("both"), F.count("*").alias("different")).where(F.col("different") >= SUPPORT)
     total = F.lit(float(max(2, documents)))
     information = F.log2(total / F.col("contexts"))
     share = F.when(information > 0, 1 + F.log2(F.least(F.lit(1.0), F.col("both") / F.col("documents"))) / information)
-    risky = stash(joint.join(document_terms, "term").select("value", "term", share.alias("share")).where(F.col("share") > GENERALISE), "risky")
+    risky = stash(joint.join(document_terms.hint("shuffle_merge"), "term").select("value", "term", share.alias("share")).where(F.col("share") > GENERALISE), "risky")
     kind = F.when(F.col("share") > REMOVE, KINDS.index("remove")).otherwise(KINDS.index("generalise"))
-    hits = pairs.join(risky, ["value", "term"]).groupBy("text_id", "term").agg(F.max(kind).alias("kind"))
+    hits = pairs.join(risky.hint("shuffle_merge"), ["value", "term"]).groupBy("text_id", "term").agg(F.max(kind).alias("kind"))
     return hits.groupBy("text_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("kinds"))
 
 
@@ -134,31 +150,36 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     Null and empty texts have no spans. Repeated rows and ids give a row each; a null id stays null; an empty table gives no
     rows; texts of any length are searched whole; other columns are not carried.
 
-    Only documents with protected values are shuffled; the words of all documents are counted by task first, and so are values
-    with their terms. A text that very many documents share is spread over SALTS tasks when its spans come back to them."""
-    rows = _numbered(df, id_col, text_col).withColumn("base", base_spans(F.col("text")))
-    added = _added(rows, df.count())
-    overlaps = lambda x: F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    more = F.array_sort(F.filter(F.coalesce("more", F.array().cast(added.schema["more"].dataType)), lambda x: ~overlaps(x)))
-    return rows.select("row", "doc_id", "base").join(added, "row", "left").select("row", "doc_id", "base", F.concat("base", more).alias("spans"))
+    `df` is evaluated once for the spans, which are written with a number for each row and with the text where there are some,
+    and once for the words of all documents, which need no number. Only documents with protected values are shuffled; words
+    are counted by task first, and so are values with their terms. A text that very many documents share is spread over
+    SALTS tasks when its spans come back to them. All tables that grow with the documents are joined by a shuffle."""
+    return _found(df, id_col, text_col).select("row", "doc_id", "base", "spans")
 
 
-def _numbered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return texts(df, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+def _found(df: DataFrame, id_col: str, text_col: str, whole: bool = False) -> DataFrame:
+    """(row, doc_id, text, base, spans). The text is null where there are no spans, unless it is asked for as a `whole`."""
+    spans = texts(df, id_col, text_col).withColumn("base", base_spans(F.col("text")))
+    rows = stash(spans.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.when(F.lit(whole) | (F.size("base") > 0), F.col("text")).alias("text"), "base"), "spans")
+    words = texts(df, id_col, text_col).select(F.explode(terms(F.col("text"), base_spans(F.col("text")))).alias("term"))
+    added = _added(rows, words, rows.count())
+    overlaps = lambda x: F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    more = F.array_sort(F.filter(F.coalesce("more", F.array().cast(added.schema["more"].dataType)), lambda x: ~overlaps(x)))
+    return rows.join(added.hint("shuffle_merge"), "row", "left").select("row", "doc_id", "text", "base", F.concat("base", more).alias("spans"))
 
 
-def _added(rows: DataFrame, documents: int) -> DataFrame:
+def _added(rows: DataFrame, words: DataFrame, documents: int) -> DataFrame:
     """(row, more): the disclosing terms of the rows that have some."""
-    found = stash(rows.where(F.size("base") > 0).select("row", "text", F.sha2("text", 256).alias("text_id"), "base"), "protected")
+    found = rows.where(F.size("base") > 0).select("row", "text", F.sha2("text", 256).alias("text_id"), "base")
     once = found.groupBy("text_id", "text", "base").agg(F.count("*").alias("n"))
     values = F.array_distinct(F.transform("base", lambda b: b["value"]))
     once = stash(once.select("text_id", "text", "n", values.alias("values"), terms(F.col("text"), F.col("base")).alias("terms")), "texts")
-    counted = rows.select(F.explode(terms(F.col("text"), F.col("base"))).alias("term")).groupBy("term").agg(F.count("*").alias("documents"))
+    counted = words.groupBy("term").agg(F.count("*").alias("documents"))
     kinds = disclosures(once.select("text_id", "n", F.explode("values").alias("value"), "terms"), counted, documents)
     span = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lit(None).cast("string").alias("value"))
-    more = stash(once.join(kinds, "text_id").select("text_id", F.transform(places(F.col("text"), F.col("kinds")), span).alias("more")), "disclosed")
+    more = stash(once.join(kinds.hint("shuffle_merge"), "text_id").select("text_id", F.transform(places(F.col("text"), F.col("kinds")), span).alias("more")), "disclosed")
     spread = more.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    placed = found.select("row", "text_id", F.pmod(F.xxhash64("row"), F.lit(SALTS)).alias("salt")).join(spread, ["text_id", "salt"])
+    placed = found.select("row", "text_id", F.pmod(F.xxhash64("row"), F.lit(SALTS)).alias("salt")).join(spread.hint("shuffle_merge"), ["text_id", "salt"])
     return stash(placed.select("row", "more"), "added")
 
 
@@ -179,10 +200,10 @@ def cleaned(text: Column, spans: Column, mask: str | None = None) -> Column:
 
 
 def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, text without personal data and without what gives it away. Only texts with spans are
-    shuffled."""
-    found = stash(find(df, id_col, text_col).where(F.size("spans") > 0).select("row", "spans"), "spans")
-    rows = _numbered(df, id_col, text_col)
-    clean = F.size(base_spans(F.col("text"))) == 0
-    changed = rows.where(~clean).join(found, "row").select("doc_id", cleaned(F.col("text"), F.col("spans")).alias("text"))
-    return rows.where(clean).select("doc_id", "text").unionByName(changed)
+    """One row per input row: doc_id, text without personal data and without what gives it away. Base kinds become their
+    name in brackets, generalised terms `[TERM]`, removed ones nothing.
+
+    Null and empty texts give an empty text; repeated rows and ids give a row each; a null id stays null; an empty table
+    gives no rows; texts are taken whole; other columns are not carried."""
+    found = _found(df, id_col, text_col, whole=True)
+    return found.select("doc_id", F.when(F.size("spans") == 0, F.col("text")).otherwise(cleaned(F.col("text"), F.col("spans"))).alias("text"))
