@@ -5,16 +5,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stringloom.llm.common import stash, texts
+from stringloom.llm.common import rows_per_batch, stash, texts
 
 #: Words of a shingle, seed of its hash, and differing bits of a link.
 WORDS, SEED, BITS = 4, 42, 4
 #: Up to this many fingerprints under one key are compared pair by pair; in larger groups hubs stand for the others.
 SMALL = 32
+#: Larger groups are dealt out anew by a second key.
+LARGE = 2048
 #: Shingles whose bits are counted at once.
 COUNT_ROWS = 1 << 16
 
@@ -49,41 +51,116 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return texts(df, id_col, text_col).mapInArrow(run, schema)
 
 
-def segments(bits: int = BITS) -> list[tuple[int, int]]:
-    """(first bit, width) of the segments of a fingerprint: so many that of `bits` differing bits at most one falls into
-    some segment, which is one more than half of them."""
+def segments(bits: int = BITS, width: int = 64) -> list[tuple[int, int]]:
+    """(first bit, width) of the segments of `width` bits: so many that of `bits` differing bits at most one falls into some
+    segment, which is one more than half of them."""
     n = bits // 2 + 1
-    edges = [round(64 * i / n) for i in range(n + 1)]
+    edges = [round(width * i / n) for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
-    """(a, b): pairs of fingerprints of column `bits` that differ in at most `bits` bits, enough to connect all that are
-    linked, directly or through others.
+def variants(value: Column, own: list[tuple[int, int]]) -> list[Column]:
+    """A key for each bit of the segments: the segment with that bit deleted, and which bit it is."""
+    out = []
+    for first, width in own:
+        for i in range(width):
+            mask = ((1 << width) - 1) ^ (1 << i)
+            out.append(F.shiftleft(F.shiftrightunsigned(value, first).bitwiseAND(F.lit(mask)), 6) + F.lit(first + i))
+    return out
+
+
+def second_keys(bits: int = BITS) -> Column:
+    """For (key, bits) of a group that is too large: the key again with each variant of the bits outside its segment. Two
+    fingerprints that link still share one, since of the bits outside no more than `bits` differ."""
+    out = F.lit(None).cast("array<long>")
+    for first, width in segments(bits):
+        after = first + width
+        rest = F.col("bits").bitwiseAND(F.lit((1 << first) - 1))
+        if after < 64:
+            rest = rest + F.shiftleft(F.shiftrightunsigned("bits", after), first)
+        own = segments(bits, 64 - width)
+        room = 6 + max(w for _, w in own)
+        here = F.array(*(F.shiftleft("key", room) + x for x in variants(rest, own)))
+        out = F.when((F.col("key").bitwiseAND(F.lit(63)) >= first) & (F.col("key").bitwiseAND(F.lit(63)) < after), here).otherwise(out)
+    return out
+
+
+def links(distinct: DataFrame, bits: int = BITS, large: int = LARGE) -> DataFrame:
+    """(a, b): pairs of fingerprints of column `bits` that differ in at most `bits` bits (2 to 8), enough to connect all that
+    are linked, directly or through others.
 
     The fingerprint is cut into segments of which one differs by at most one bit. Each segment is indexed once for each
     of its bits with that bit deleted, so two fingerprints that link share one of these variants: 64 rows for each
-    distinct fingerprint, sorted by variant. Runs of equal variants are then verified bit by bit."""
-    variants = []
-    for first, width in segments(bits):
-        for i in range(width):
-            mask = ((1 << width) - 1) ^ (1 << i)
-            value = F.shiftrightunsigned("bits", first).bitwiseAND(F.lit(mask))
-            variants.append(F.shiftleft(value, 6) + F.lit(first + i))
-    keyed = distinct.select(F.explode(F.array(*variants)).alias("key"), "bits")
+    distinct fingerprint, sorted by variant. Runs of equal variants are then verified bit by bit.
+
+    A run of more than `large` fingerprints is not held by its task. It is handed on row by row and dealt out over many tasks
+    by variants of the bits outside the segment, under which the same holds for any two that link."""
+    if not 2 <= bits <= 8:
+        raise ValueError("bits must be within 2 and 8")
+    spark = distinct.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    first = distinct.repartition(tasks, "bits").select(F.explode(F.array(*variants(F.col("bits"), segments(bits)))).alias("key"), "bits")
+    with rows_per_batch(spark, 10_000):
+        met = stash(_met(first, bits, large), "met")
+        crowded = met.where("key is not null").select("key", F.col("a").alias("bits"))
+        again = crowded.repartition(tasks, "bits").select(F.explode(second_keys(bits)).alias("key"), "bits")
+        more = stash(_met(again, bits, None), "met")
+    return met.where("key is null").select("a", "b").unionByName(more.select("a", "b")).distinct()
+
+
+def _met(keyed: DataFrame, bits: int, large: int | None) -> DataFrame:
+    """(a, b, key): links of (key, bits), with a null key, and the members `a` of runs beyond `large`, with theirs."""
 
-    def verify(batches):
-        keys, prints = np.empty(0, np.int64), np.empty(0, np.uint64)
+    def run(batches):
         sent: set[tuple[int, int]] = set()
-        for batch in batches:
-            keys = np.concatenate((keys, batch.column(0).to_numpy()))
-            prints = np.concatenate((prints, batch.column(1).to_numpy().view(np.uint64)))
-            whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last run can go on in the next batch
-            yield from _edges(keys[:whole], prints[:whole], bits, sent)
-            keys, prints = keys[whole:], prints[whole:]
-        yield from _edges(keys, prints, bits, sent)
-
-    return keyed.repartition("key").sortWithinPartitions("key", "bits").mapInArrow(verify, "a long, b long").distinct()
+        for keys, prints, crowded in _runs(batches, large):
+            if crowded:
+                yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.nulls(len(keys), pa.int64()), pa.array(keys)], ["a", "b", "key"])
+            else:
+                for pairs in _edges(keys, prints, bits, sent):
+                    yield pa.RecordBatch.from_arrays([*pairs.columns, pa.nulls(pairs.num_rows, pa.int64())], ["a", "b", "key"])
+
+    return keyed.repartition("key").sortWithinPartitions("key", "bits").mapInArrow(run, "a long, b long, key long")
+
+
+def _runs(batches, large: int | None):
+    """(keys, fingerprints, crowded) of whole runs of equal keys, many at a time. A run beyond `large` is crowded and comes
+    alone, in parts, so no more than `large` and a batch are held."""
+    key, held, crowded = None, [], False  # the run that can go on in the next batch
+
+    def parts():
+        if sum(len(k) for k, _ in held):
+            yield np.concatenate([k for k, _ in held]), np.concatenate([p for _, p in held]), crowded
+
+    for batch in batches:
+        keys, prints = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+        if not len(keys):
+            continue
+        n = int(np.searchsorted(keys, key, "right")) if key is not None else 0
+        held.append((keys[:n], prints[:n]))
+        if n < len(keys):
+            yield from parts()
+            keys, prints, crowded = keys[n:], prints[n:], False
+            last = int(np.searchsorted(keys, keys[-1]))
+            yield from _apart(keys[:last], prints[:last], large)
+            key, held = keys[-1], [(keys[last:], prints[last:])]
+        if large and (crowded or sum(len(k) for k, _ in held) > large):
+            crowded = True
+            yield from parts()
+            held = []
+    yield from parts()
+
+
+def _apart(keys: np.ndarray, prints: np.ndarray, large: int | None):
+    """Each run beyond `large` alone, and all others together."""
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+    sizes = np.diff(np.append(starts, len(keys)))
+    long = sizes > large if large else np.zeros(len(sizes), bool)
+    for at, n in zip(starts[long].tolist(), sizes[long].tolist()):
+        yield keys[at : at + n], prints[at : at + n], True
+    rest = ~np.repeat(long, sizes)
+    if rest.any():
+        yield keys[rest], prints[rest], False
 
 
 def _edges(keys: np.ndarray, prints: np.ndarray, bits: int, sent: set):

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -59,8 +60,10 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(frame(spark, [(None, "a b c d e"), (7, "a b c d e"), (7, "a b c d e")])).where("component_id = 7").count() == 3
 
 
-def test_links_of_dense_groups(spark):
-    """Many fingerprints around one, a chain, and random ones: the components are those of all pairs."""
+@pytest.mark.parametrize("large", [simhash.LARGE, 12])
+def test_links_of_dense_groups(spark, large):
+    """Many fingerprints around one, a chain, and random ones: the components are those of all pairs, also where groups are
+    dealt out by a second key."""
     rng = random.Random(6)
     center, prints = rng.getrandbits(64), set()
     for _ in range(150):
@@ -75,7 +78,7 @@ def test_links_of_dense_groups(spark):
         prints.add(p)
     prints = sorted(prints | {rng.getrandbits(64) for _ in range(100)})
     signed = [x - (1 << 64) if x >> 63 else x for x in prints]
-    roots = simhash.components(simhash.links(spark.createDataFrame([(x,) for x in signed], "bits long"))).collect()
+    roots = simhash.components(simhash.links(spark.createDataFrame([(x,) for x in signed], "bits long"), large=large)).collect()
     where = {r.node: r.root for r in roots}
     groups: dict = {}
     for x, r in zip(signed, components(prints)):
@@ -83,6 +86,20 @@ def test_links_of_dense_groups(spark):
     assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+@pytest.mark.parametrize("rows", [1, 3, 7, 1000])
+def test_runs_over_batches(rows):
+    """Runs are whole however the rows are cut into batches; those beyond `large` come alone and lose no row."""
+    keys = np.repeat(np.arange(9), [1, 5, 2, 30, 1, 6, 17, 3, 12]).astype(np.int64)
+    prints = np.arange(len(keys), dtype=np.int64)
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + rows]), pa.array(prints[i : i + rows])], ["key", "bits"]) for i in range(0, len(keys), rows)]
+    seen, crowded = [], set()
+    for k, p, own in simhash._runs([batches[0].slice(0, 0), *batches], 10):
+        seen += p.tolist()
+        crowded |= set(k.tolist()) if own else set()
+        assert own or all((keys == x).sum() == (k == x).sum() <= 10 for x in set(k.tolist()))
+    assert sorted(seen) == prints.tolist() and crowded == {3, 6, 8}
+
+
 @pytest.mark.parametrize("size", [5, 40, 400])
 def test_forest(size):
     rng = np.random.default_rng(size)
