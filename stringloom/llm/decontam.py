@@ -54,18 +54,23 @@ class Hashes(dict):
         return value
 
 
-def grams(words: list[bytes], hashes: Hashes) -> np.ndarray:
-    """A hash for each pair of adjacent words; the last word stands alone."""
+def grams(words: list[bytes], hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """(a hash for each word, a hash for each pair of adjacent words); the last word is no pair and stands alone."""
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    after = np.append(h[1:], np.uint64(0))
+    return h, _mixed(h, np.append(h[1:], np.uint64(0)))
+
+
+def _mixed(h: np.ndarray, after: np.ndarray) -> np.ndarray:
     mixed = (h * np.uint64(0x9E3779B97F4A7C15)) ^ (after + (after << np.uint64(31)))
     mixed ^= mixed >> np.uint64(29)
     return mixed * np.uint64(0xBF58476D1CE4E5B9) ^ (mixed >> np.uint64(32))
 
 
-def window_prints(pairs: np.ndarray, sizes: dict[int, int]) -> dict[int, np.ndarray]:
+def window_prints(hashed: tuple[np.ndarray, np.ndarray], sizes: dict[int, int]) -> dict[int, np.ndarray]:
     """{size: SimHash of each window of so many words, `sizes[size]` words apart}: the majority of the bits of its word
-    pairs. Sizes are powers of two; set bits are added up over 1, 2, 4 ... pairs, and a window has one of each of these."""
+    pairs, or the hash of its only word. Sizes are powers of two; set bits are added up over 1, 2, 4 ... pairs, and a
+    window has one of each of these."""
+    words, pairs = hashed
     longest = max(sizes)
     bits = np.unpackbits(pairs.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
     levels = [bits if longest < 256 else bits.astype(np.uint16 if longest < 65536 else np.uint32)]
@@ -74,12 +79,15 @@ def window_prints(pairs: np.ndarray, sizes: dict[int, int]) -> dict[int, np.ndar
         levels.append(last[: max(0, len(last) - n)] + last[n:])
     out = {}
     for size, every in sizes.items():
+        if size == 1:
+            out[size] = _mixed(words, np.zeros_like(words))[::every]
+            continue
         number, at = max(0, (len(pairs) - size) // every + 1), 0
         ones = np.zeros((number, 64), levels[0].dtype)
-        for k in range(size.bit_length() - 2 if size > 1 else 0, -1, -1):
+        for k in range(size.bit_length() - 2, -1, -1):
             ones += levels[k][at::every][:number]
             at += 1 << k
-        out[size] = np.packbits(ones > max(1, size - 1) // 2, axis=1).view(">u8").ravel().astype(np.uint64)
+        out[size] = np.packbits(ones > (size - 1) // 2, axis=1).view(">u8").ravel().astype(np.uint64)
     return out
 
 

@@ -100,16 +100,23 @@ def bounded(rows: DataFrame, most: int) -> Column:
 
 def fit(sample: DataFrame, ratio: np.ndarray, docs: tuple[int, int]) -> tuple[np.ndarray, float]:
     """(weight of each slot, intercept) of a logistic regression on the scaled features, by stochastic gradient descent in
-    one task over the bounded sample. The intercept is moved from the sample's balance of classes to that of `docs`."""
+    one task over the bounded sample. Other tasks find the features first: the one that fits gets slots, each text's at
+    most SLOTS, however long it is. The intercept is moved from the sample's balance of classes to that of `docs`."""
     shared = sample.sparkSession.sparkContext.broadcast(ratio)
 
+    def find(batches):
+        scale, features = shared.value, Features()
+        for batch in batches:
+            slots = [own[scale[own] != 0].astype(np.int32) for own in map(features, batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slots, pa.list_(pa.int32())), batch.column(2)], ["doc_id", "slots", "label"])
+
     def train(batches):
-        scale, features, seen, marks = shared.value, Features(), [], []
+        scale, seen, marks = shared.value, [], []
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = features(text)
-                seen.append(own[scale[own] != 0].astype(np.int32))
-                marks.append(label)
+            column = batch.column(0)
+            flat, ends = column.flatten().to_numpy(), np.cumsum(column.value_lengths().to_numpy())
+            seen += np.split(flat, ends[:-1]) if len(ends) else []
+            marks += batch.column(1).to_pylist()
         weights, squares, bias, bias_squares = np.zeros(SLOTS), np.full(SLOTS, 1e-6), 0.0, 1e-6
         order = np.random.default_rng(7)
         for _ in range(EPOCHS if len(set(marks)) == 2 else 0):
@@ -127,7 +134,9 @@ def fit(sample: DataFrame, ratio: np.ndarray, docs: tuple[int, int]) -> tuple[np
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(weights[used], bias))], ["slot", "weight"])
 
     # In the order of the ids, so that the fit is the same each time.
-    found = sample.repartition(1).sortWithinPartitions("doc_id", "text").select("text", "label").mapInArrow(train, "slot long, weight double").toArrow()
+    kind = T.StructType([sample.schema["doc_id"], T.StructField("slots", T.ArrayType(T.IntegerType())), T.StructField("label", T.IntegerType())])
+    few = sample.select("doc_id", "text", "label").mapInArrow(find, kind)
+    found = few.repartition(1).sortWithinPartitions("doc_id", "slots").select("slots", "label").mapInArrow(train, "slot long, weight double").toArrow()
     slot, weight = found.column("slot").to_numpy(), found.column("weight").to_numpy()
     out = np.zeros(SLOTS)
     out[slot[slot >= 0]] = weight[slot >= 0]

@@ -124,10 +124,11 @@ def test_window_prints():
     """Windows of 4, 8 and 1 words against bits that are counted one by one."""
     words = [b"w%d" % (i * i % 17) for i in range(40)]
     pairs = decontam.grams(words, decontam.Hashes())
-    for size, every in ((8, 2), (4, 1), (1, 1), (32, 8)):
+    assert decontam.window_prints(pairs, {1: 1})[1].tolist() == [decontam.window_prints(decontam.grams([w], decontam.Hashes()), {1: 1})[1][0] for w in words]
+    for size, every in ((8, 2), (4, 1), (2, 1), (32, 8)):
         got = decontam.window_prints(pairs, {size: every, 2: 1})[size].tolist()
         for k, p in enumerate(got):
-            own = [int(x) for x in pairs[k * every : k * every + max(1, size - 1)]]
+            own = [int(x) for x in pairs[1][k * every : k * every + size - 1]]
             assert p == sum(1 << b for b in range(64) if sum(x >> b & 1 for x in own) * 2 > len(own))
         assert len(got) == (40 - size) // every + 1
 
@@ -148,14 +149,15 @@ def test_contamination(spark):
         rows.append((400 + i, " ".join([*filler(30), *own[: -(len(own) // 10)], *filler(30)])))  # most of it is
         expected.add((400 + i, i))
         rows.append((300 + i, " ".join([*filler(40), *own[: len(own) // 2], *filler(40)])))  # half of it is no copy
-    rows += [(600, "a Short, item!"), (100, next(t for d, t in rows if d == 100))]
+    rows += [(600, "a Short, item!"), (100, next(t for d, t in rows if d == 100)), (601, " ".join([*filler(50), "Supercalifragilistic!", *filler(50)]))]
+    items.append((93, "supercalifragilistic"))
     bench = spark.createDataFrame(items, "item_id long, text string")
     for words in (decontam.PASS_WORDS, 300):
         found = decontam.contaminated(frame(spark, rows), bench, pass_words=words).collect()
-        assert {(r.doc_id, r.item_id) for r in found} == expected | {(600, 90)}
-        assert all(r.similarity >= 0.8 for r in found) and len(found) == len(expected) + 2
+        assert {(r.doc_id, r.item_id) for r in found} == expected | {(600, 90), (601, 93)}
+        assert all(r.similarity >= 0.8 for r in found) and len(found) == len(expected) + 3
     clean = decontam.decontaminate(frame(spark, rows), bench)
-    assert {r.doc_id for r in clean.collect()} == {i for i, _ in rows} - {d for d, _ in expected} - {600}
+    assert {r.doc_id for r in clean.collect()} == {i for i, _ in rows} - {d for d, _ in expected} - {600, 601}
     assert clean.columns == frame(spark, rows).columns
     assert decontam.contaminated(frame(spark, []), bench).count() == 0 and decontam.contaminated(frame(spark, rows), bench.limit(0)).count() == 0
 
