@@ -19,9 +19,10 @@ from stringloom.llm.common import bound_rows, stash, texts
 #: Words of a shingle and the similarity from which a passage counts as the item.
 WORDS, SIMILAR = 5, 0.8
 #: Differing bits of the 64-bit fingerprints up to which windows are found, and the blocks of the index.
-RADIUS, BLOCKS = 11, 3
-#: Words of benchmark items that one pass over the documents searches; a larger benchmark takes more passes.
-PASS_WORDS = 10_000
+RADIUS, BLOCKS = 11, 4
+#: Words of benchmark items that one pass over the documents searches, with an index of about 70 MB in each Python worker; a
+#: larger benchmark takes more passes.
+PASS_WORDS = 100_000
 #: Words that are worked on at once; a part goes on into the next by a window, so that none is lost at the border.
 PART_WORDS = 1 << 14
 
@@ -185,7 +186,8 @@ def built(name: str, items: list) -> Benchmark:
 
 def passages(docs: list[list[bytes]], bench: Benchmark, hashes: Hashes, n: int = WORDS, similar: float = SIMILAR) -> list[dict]:
     """For each document {item: (similarity, first word, end)} of the best passage of each item that it holds: around a
-    window, what lies between the first and the last shingle of the item. Documents are worked on together, one after the other; windows over their borders are left out."""
+    window, what lies between the first and the last shingle of the item. Documents are worked on together, one after the
+    other; windows over their borders are left out."""
     best: list[dict[int, tuple[float, int, int]]] = [{} for _ in docs]
     flat, sizes = [w for x in docs for w in x], np.array([len(x) for x in docs], np.int64)
     if not flat or not bench.sizes:
@@ -259,7 +261,7 @@ def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     Every document is searched whole. The items are the stated query set: they are read in blocks of `pass_words` words,
     and each block, which is all that a task holds, is searched in a pass of its own. Null and empty texts, and items
     without words, match nothing; repeated items and rows give a row each; an empty table gives no rows; clean documents
-    have no row; other columns are not carried."""
+    have no row; a document of any length is searched in parts that overlap by a window; other columns are not carried."""
     id_type, item_type = df.schema[id_col].dataType, items.schema[item_col].dataType
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("item_id", item_type), T.StructField("similarity", T.DoubleType()), T.StructField("first_word", T.LongType()), T.StructField("end_word", T.LongType())])
     arrow, rows, spark = to_arrow_schema(schema), texts(df, id_col, text_col), df.sparkSession
@@ -284,7 +286,8 @@ def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
 
 def decontaminate(df: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similar: float = SIMILAR, pass_words: int = PASS_WORDS) -> DataFrame:
-    """The rows of `df`, with all their columns, that hold no passage of any item. No row is shuffled."""
+    """The rows of `df`, with all their columns, that hold no passage of any item; null and empty texts hold none. No row is
+    shuffled; repeated rows and ids each stay or go; an empty table gives no rows."""
     schema, place, spark = df.schema, df.columns.index(text_col), df.sparkSession
 
     def one_pass(rows: DataFrame, block: list) -> DataFrame:

@@ -176,3 +176,34 @@ def test_near_copies_of_repeated_items(spark):
         assert decontam.decontaminate(frame(spark, [(1, copy)]), bench, pass_words=words).count() == 0
         found.append({round(r.similarity, 9) for r in got})
     assert found[0] == found[1] == found[2] == {round((16 / 2 + 35) / (16 / 2 + 35 + 10), 9)}
+
+
+def test_passages_against_all_windows():
+    """All windows of an item's size in all documents are compared by shingles: at least nine of ten items that some window
+    resembles are found, in texts longer than a part too, and nothing else is."""
+    rng = random.Random(12)
+    items = [[rng.choice(WORDS) for _ in range(rng.randint(12, 60))] for _ in range(60)]
+    docs = []
+    for i, own in enumerate(items):
+        for edits in (0, 1, 2):
+            copy = list(own)
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = rng.choice(WORDS)
+            copy = copy[rng.randint(0, 2) :]
+            docs.append([rng.choice(WORDS) for _ in range(rng.randint(0, 60))] + copy + [rng.choice(WORDS) for _ in range(rng.randint(0, 60))])
+    docs.append([rng.choice(WORDS) for _ in range(decontam.PART_WORDS - 10)] + items[0] + items[1] + [rng.choice(WORDS) for _ in range(100)])
+    docs.append(items[2] + ["between"] * 3 + items[2])  # a tie: the first counts
+    bench = decontam.Benchmark([(i, " ".join(w), []) for i, w in enumerate(items)])
+    bytes_of = [[w.encode() for w in x] for x in docs]
+    found = decontam.passages(bytes_of, bench, decontam.Hashes())
+    wanted = set()
+    for d, words in enumerate(bytes_of):
+        for k, (_, own) in enumerate(bench.items):
+            bag, n = bench.bags[k], len(own)
+            starts = {p + q for p in range(len(words) - 4) if b" ".join(words[p : p + 5]) in bag for q in range(-n, 1)}
+            if any(decontam.similarity(bag, decontam.shingles(words[a : a + n]), {}) >= 0.8 for a in starts if 0 <= a <= len(words) - n):
+                wanted.add((d, k))
+    got = {(d, k) for d, x in enumerate(found) for k in x}
+    assert len(got & wanted) >= 0.9 * len(wanted) and len(wanted) > 60
+    assert all(decontam.similarity(bench.bags[k], decontam.shingles(bytes_of[d][a:b]), {}) == s >= 0.8 for d, x in enumerate(found) for k, (s, a, b) in x.items())
+    assert {(len(docs) - 2, 0), (len(docs) - 2, 1)} <= got and found[-1][2][1] == 0
