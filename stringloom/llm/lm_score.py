@@ -21,26 +21,31 @@ END = " "
 #: Added to every count, that of an unseen word included.
 SMOOTH = 0.1
 #: Words that are units of the network themselves, and hash buckets for all the others, which are units too.
-HEAD, BUCKETS = 511, 64
+HEAD, BUCKETS = 1023, 64
 #: Units of a class of the output; there are about as many classes.
-MEMBERS = 24
+MEMBERS = 32
 #: Size of the state, steps of a truncated window, streams side by side, documents that are dealt to them together.
-HIDDEN, WINDOW, STREAMS, SORTED = 16, 16, 256, 4096
-#: The training documents are gone through once, in so many rounds; after each the tasks' networks are averaged. The step
-#: size of the first round, and the windows over which it rises to that.
-ROUNDS, RATE, RISE = 3, 0.15, 20
+HIDDEN, WINDOW, STREAMS, SORTED = 24, 16, 256, 4096
+#: The training documents are gone through once, in so many rounds; after each the shards' networks are averaged. The step
+#: size, and the windows over which it rises to that in each round.
+ROUNDS, RATE, RISE = 3, 0.3, 20
 #: A window's gradient is divided by the tokens of a full one, so windows with few streams left move the weights little.
 FULL = np.float32(1 / (WINDOW * STREAMS))
-#: Tokens after which training, not scoring, starts a document's state anew, so that a long document trains beside others.
-PIECE = 512
+#: Where few streams are left, a window has up to so many times the steps.
+LONGER = 8
+#: Tokens of a shard of the training documents. Its number of shards depends on the corpus alone, not on the cluster, and so
+#: do the weights.
+SHARD = 1 << 20
 #: Sum of squared gradients that every weight starts with: early steps follow the gradient, not its sign.
 START = 1e-6
 #: The outputs before the softmax stay within these, so that their exponentials are finite.
 LOGIT = np.float32(60)
 #: Words whose counts every task holds; the other words meet their counts by a join.
 HELD = 1 << 18
-#: Parts in which the tasks' networks are added up.
+#: Parts in which the shards' networks are added up.
 PARTS = 32
+#: How units are written.
+UNIT = np.dtype("<u2")
 
 
 def words_of(text: str) -> list[bytes]:
@@ -275,9 +280,12 @@ def windows(found: list[np.ndarray]):
     length = np.array([sizes[x].sum() for x in lanes])
     starts = np.cumsum(length) - length
     before = np.where(begins, 0, np.roll(flat, 1))
-    for begin in range(0, int(length[0]), WINDOW):
+    begin = 0
+    while begin < length[0]:
         active = int((length > begin).sum())
-        at = begin + np.arange(min(WINDOW, int(length[0]) - begin))[:, None]
+        # As streams end, windows grow longer, so that a few long documents take no more steps than many short ones.
+        at = begin + np.arange(min(WINDOW * min(LONGER, max(1, STREAMS // active)), int(length[0]) - begin))[:, None]
+        begin += len(at)
         valid = at < length[None, :active]
         place = np.where(valid, starts[:active] + at, 0)
         yield before[place], flat[place], doc[place], begins[place], valid
@@ -295,18 +303,17 @@ def units_of(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndar
     return out, place[place >= 0], cold
 
 
-def train(docs: DataFrame, vocab, start: np.ndarray, rate: float) -> np.ndarray:
-    """Each task trains the network on its documents; the mean of their networks, by tokens. `start` and the result are the
-    weights and the sums of their squared gradients. They are cut into PARTS that are added up apart, so that only one
-    network reaches the driver."""
-    shared = docs.sparkSession.sparkContext.broadcast(start)
+def train(coded: DataFrame, vocab, start: np.ndarray, rate: float, shards: int) -> np.ndarray:
+    """Each shard of (units) trains the network on its documents; the mean of their networks, by tokens. `start` and the
+    result are the weights and the sums of their squared gradients. They are cut into PARTS that are added up apart, so
+    that only one network reaches the driver."""
+    shared = coded.sparkSession.sparkContext.broadcast(start)
 
     def run(batches):
         net, squares = (Network(vocab.value, x) for x in shared.value)
         tokens = steps = 0
-        for some in _gather(batches, 0):
-            found = [units_of(words_of(x), vocab.value)[0] for x in some]
-            found = [x[i : i + PIECE] for x in found for i in range(0, len(x), PIECE)]
+        for some in _tables(batches):
+            found = [np.frombuffer(x, UNIT).astype(np.int32) for x in some.column(0).to_pylist()]
             tokens += sum(map(len, found))
             state = np.zeros((STREAMS, HIDDEN), np.float32)
             for before, unit, _, begins, valid in windows(found):
@@ -327,23 +334,11 @@ def train(docs: DataFrame, vocab, start: np.ndarray, rate: float) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([x[0] for x in sums.values()]), pa.array([(x[1] / x[0]).astype(np.float32).tobytes() for x in sums.values()], pa.binary())], ["part", "tokens", "network"])
 
     kind = "part int, tokens double, network binary"
-    found = sorted(docs.select("text").mapInArrow(run, kind).repartition("part").mapInArrow(add, kind).collect(), key=lambda r: r.part)
+    dealt = coded.select("units", F.xxhash64("doc_id", "units").alias("place")).repartition(shards, "place").sortWithinPartitions("place")
+    found = sorted(dealt.select("units").mapInArrow(run, kind).repartition("part").mapInArrow(add, kind).collect(), key=lambda r: r.part)
     return np.concatenate([np.frombuffer(r.network, np.float32) for r in found]).reshape(2, -1) if found else start
 
 
-def _gather(batches, column: int):
-    """The texts of up to SORTED documents at a time."""
-    held: list[str] = []
-    for batch in batches:
-        for text in batch.column(column).to_pylist():
-            held.append(text)
-            if len(held) == SORTED:
-                yield held
-                held = []
-    if held:
-        yield held
-
-
 def log_likelihoods(net: Network, found: list[np.ndarray]) -> np.ndarray:
     """log10 probability of each document's units; the state goes on from window to window."""
     out, state = np.zeros(len(found)), np.zeros((STREAMS, HIDDEN), np.float32)
@@ -363,48 +358,37 @@ def score(df: DataFrame, held_out: Column, round_of: Column, id_col: str = "doc_
     score is the log10 probability of its words and its end: of the unit by the network, and of a word that shares a
     bucket by its count within the bucket, where unseen words together have the share of one.
 
-    Null and empty texts are one end. Repeated rows and ids give a row each; a null id stays null; an empty table gives no
-    rows; texts are taken whole; other columns are not carried."""
+    After the counts the texts are read once more: their units and what their held words add up to are written, and
+    training and scoring read that. Null and empty texts are one end. Repeated rows and ids give a row each; a null id stays
+    null; an empty table gives no rows; texts are taken whole, their state being carried from window to window in
+    training and in scoring; other columns are not carried."""
     spark = df.sparkSession
     rows = texts(df, id_col, text_col, F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(round_of, F.lit(0)).alias("round"))
-    training = rows.where(~F.col("held_out"))
 
     def count(found, batch):
         for text in batch.column(0).to_pylist():
             found.update(words_of(text))
         found[END.encode()] += batch.num_rows
 
-    counts = stash(count_keys(training.select("text"), count), "words")
+    counts = stash(count_keys(rows.where(~F.col("held_out")).select("text"), count), "words")
     vocab, rare = vocabulary(counts, held)
     shared = spark.sparkContext.broadcast(vocab)
+    coded = stash(encoded(rows, shared), "units")
     first = Network.untrained(vocab).values
     values = np.stack((first, np.full_like(first, START)))
     for r in range(rounds):
-        values = train(training.where(F.col("round") == r), shared, values, RATE)
+        values = train(coded.where(~F.col("held_out") & (F.col("round") == r)), shared, values, RATE, -(-vocab.total // SHARD) or 1)
     network = spark.sparkContext.broadcast(values[0])
+    out = T.StructType([f for f in coded.schema if f.name not in ("units", "round")] + [T.StructField("logs", T.DoubleType())])
 
     def run(batches):
-        own, net = shared.value, Network(shared.value, network.value)
-        first = own.units - BUCKETS
+        net = Network(shared.value, network.value)
         for some in _tables(batches):
-            found, places, cold = zip(*(units_of(words_of(x), own) for x in some.column(3).to_pylist()))
-            logs, sums, base, known = log_likelihoods(net, list(found)), [], [], []
-            for units, place in zip(found, places):
-                tail = units[units >= first] - first
-                held_tail = place[own.unit[place] >= first]
-                sums.append(own.log_count[held_tail].sum() - own.rest[tail].sum())
-                base.append(own.log_count[place].sum())
-                known.append(len(place) - (own.total == 0))
-            keys = [Counter(x) for x in cold]
-            columns = [some.column(0), some.column(1), some.column(2), pa.array([len(x) for x in found], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(logs + np.array(sums), pa.float64())]
-            columns += [pa.array([[w.decode() for w in x] for x in keys], pa.list_(pa.string())), pa.array([list(x.values()) for x in keys], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in columns], names)
+            logs = log_likelihoods(net, [np.frombuffer(x, UNIT).astype(np.int32) for x in some.column(0).to_pylist()])
+            columns = [some.column(i).combine_chunks() for i in range(1, some.num_columns)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(logs + some.column("tail").to_numpy(), pa.float64())], out.names)
 
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", df.schema[id_col].dataType), T.StructField("held_out", T.BooleanType())])
-    for name, kind in (("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base", T.DoubleType()), ("logs", T.DoubleType()), ("keys", T.ArrayType(T.StringType())), ("times", T.ArrayType(T.LongType()))):
-        schema.add(name, kind)
-    names = schema.names
-    docs = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text").mapInArrow(run, schema)
+    docs = coded.select("units", *out.names[:-1]).mapInArrow(run, out)
     # A row for each word that is not held; the first of a document also brings what the task has summed. A document
     # without such words has one row, under a key with a space, which no word has.
     first = F.coalesce("i", F.lit(0)) == 0
@@ -426,6 +410,37 @@ def score(df: DataFrame, held_out: Column, round_of: Column, id_col: str = "doc_
     )
 
 
+def encoded(rows: DataFrame, vocab) -> DataFrame:
+    """A row for each of (doc_id, text, held_out, round): its number, the units of its tokens, how many tokens it has and how
+    many of them are held, the sums of their log-counts (`base`) and of what its held words have of their buckets (`tail`),
+    and the words that are not held with their numbers."""
+    schema = T.StructType([T.StructField("row", T.LongType()), rows.schema["doc_id"], *(rows.schema[x] for x in ("held_out", "round"))])
+    kinds = {"units": T.BinaryType(), "n_tokens": T.LongType(), "n_known": T.LongType(), "base": T.DoubleType(), "tail": T.DoubleType(), "keys": T.ArrayType(T.StringType()), "times": T.ArrayType(T.LongType())}
+    for name, kind in kinds.items():
+        schema.add(name, kind)
+
+    def run(batches):
+        own = vocab.value
+        first = own.units - BUCKETS
+        for batch in batches:
+            found, places, cold = zip(*(units_of(words_of(x), own) for x in batch.column(4).to_pylist())) if batch.num_rows else ((), (), ())
+            sums = [own.log_count[place[own.unit[place] >= first]].sum() - own.rest[units[units >= first] - first].sum() for units, place in zip(found, places)]
+            keys = [Counter(x) for x in cold]
+            columns = [
+                *(batch.column(i) for i in range(4)),
+                pa.array([x.astype(UNIT).tobytes() for x in found], pa.binary()),
+                pa.array([len(x) for x in found], pa.int64()),
+                pa.array([len(x) - (own.total == 0) for x in places], pa.int64()),
+                pa.array([own.log_count[x].sum() for x in places], pa.float64()),
+                pa.array(sums, pa.float64()),
+                pa.array([[w.decode() for w in x] for x in keys], pa.list_(pa.string())),
+                pa.array([list(x.values()) for x in keys], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "round", "text").mapInArrow(run, schema)
+
+
 def _tables(batches):
     """Batches of up to SORTED rows: more documents side by side."""
     held, size = [], 0

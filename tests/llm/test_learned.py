@@ -113,6 +113,39 @@ def test_language_model(spark):
             assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held_out(i), len(own), sum(counts[w] > 0 for w in own), n)
             assert r.base_score == pytest.approx(base) and math.isfinite(r.score)
     assert lm_score.score(df.limit(0), crc % 10 == 0, F.lit(0)).count() == 0
+    held = [r for r in got if r.held_out]
+    assert sum(r.score for r in held) > 0.9 * sum(r.base_score for r in held)  # less surprise, by a tenth at least
+    # The weights and so the scores are those of the corpus, however many tasks read it.
+    dealt = lm_score.score(df.repartition(7), crc % 10 == 0, (F.floor(crc / 10) % 3).cast("int"), held=4).collect()
+    assert sorted(round(r.score, 3) for r in dealt) == pytest.approx(sorted(round(r.score, 3) for r in got), abs=2e-3)
+
+
+def test_scores_of_a_slow_network():
+    """Gates, classes and members one by one in plain loops, over texts longer than any window; probabilities add up to one."""
+    vocab = lm_score.Vocabulary(1, 1, lm_score.Places(), np.zeros(1, np.int32), np.zeros(1), None, 70, np.ones(70))
+    rng = np.random.default_rng(4)
+    net = lm_score.Network(vocab, lm_score.Network.untrained(vocab).values + rng.normal(0, 0.3, lm_score.Network.untrained(vocab).values.size).astype(np.float32))
+    sigmoid, h = lambda x: 1 / (1 + math.exp(-x)), lm_score.HIDDEN
+
+    def slow(units):
+        state, last, total = [0.0] * h, 0, 0.0
+        for unit in units:
+            own = net.embed[last] + net.bias
+            update = [sigmoid(own[j] + sum(state[i] * net.gates[i, j] for i in range(h))) for j in range(h)]
+            reset = [sigmoid(own[h + j] + sum(state[i] * net.gates[i, h + j] for i in range(h))) for j in range(h)]
+            new = [math.tanh(own[2 * h + j] + sum(reset[i] * state[i] * net.candidate[i, j] for i in range(h))) for j in range(h)]
+            state = [update[j] * state[j] + (1 - update[j]) * new[j] for j in range(h)]
+            logits = [sum(state[i] * net.to_class[i, k] for i in range(h)) + net.class_bias[k] for k in range(len(net.class_bias))]
+            k, m = divmod(int(unit), lm_score.MEMBERS)
+            inner = [sum(state[i] * net.to_member[k, i, j] for i in range(h)) + net.member_bias[k, j] for j in range(lm_score.MEMBERS)]
+            total += logits[k] - math.log(sum(map(math.exp, logits))) + inner[m] - math.log(sum(map(math.exp, inner)))
+            last = unit
+        return total / math.log(10)
+
+    docs = [rng.integers(0, 70, n).astype(np.int32) for n in (300, 40, 1, 7)]
+    assert lm_score.log_likelihoods(net, docs) == pytest.approx([slow(x) for x in docs], rel=1e-3)
+    every = lm_score.log_likelihoods(net, [np.array([5, 9, u], np.int32) for u in range(len(net.class_bias) * lm_score.MEMBERS)])
+    assert sum(10 ** (every - lm_score.log_likelihoods(net, [np.array([5, 9], np.int32)])[0])) == pytest.approx(1, abs=1e-3)
 
 
 def test_network_learns_and_carries_state():
