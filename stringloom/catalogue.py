@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stringloom.functions import capabilities
 from stringloom.functions import text as T
 from stringloom.operators import code, runs, strings
-from stringloom.plans.extract import extract
+from stringloom.plans.extract import examined, extract
 from stringloom.schema import Options
 from stringloom.sources import inputs
 from stringloom.sources.containers import parse
@@ -31,6 +32,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+CAPABILITIES_SQL = "capabilities(place, name, tag) AS (VALUES " + ", ".join(f"({i}, '{name}', '{tag}')" for i, (name, tag) in enumerate(capabilities.rows())) + ")"
+
 ASCII = Options(enabled=("static_ascii",))
 
 
@@ -39,7 +42,12 @@ def text_inputs(spark: SparkSession, sf_dir: str, name: str = "documents", id_co
 
 
 def found(spark: SparkSession, sf_dir: str, name: str = "documents", id_col: str = "doc_id", options: Options = ASCII) -> DataFrame:
-    return strings.located(runs.scan(parse(text_inputs(spark, sf_dir, name, id_col)), options))
+    return strings.located(examined(text_inputs(spark, sf_dir, name, id_col), options))
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, text) of all turns of conversations."""
+    return read(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), "text")
 
 
 # ASCII runs of a table's texts: segments of other bytes and a run; a run begins where its segment ends, less its length.
@@ -63,19 +71,19 @@ def ascii_runs_native(spark, sf_dir):
 
 @query(rf"""
     WITH {ascii_sql()},
-    chars AS (SELECT input_id, "offset", unnest(string_split(value, '')) AS c, generate_subscripts(string_split(value, ''), 1) AS i FROM runs),
-    islands AS (SELECT input_id, "offset", c, i - row_number() OVER (PARTITION BY input_id, "offset", c ORDER BY i) AS island FROM chars),
-    longest AS (SELECT input_id, "offset", max(n) AS mr FROM (SELECT input_id, "offset", c, island, count(*) AS n FROM islands GROUP BY ALL) GROUP BY ALL),
-    scored AS (SELECT r.input_id, r.value, r."offset", CAST(strlen(value) AS DOUBLE) AS n, CAST(len(list_distinct(string_split(value, ''))) AS DOUBLE) AS dc,
-                      CAST(strlen(regexp_replace(value, '[^A-Za-z0-9]', '', 'g')) AS DOUBLE) AS al, mr FROM runs r JOIN longest USING (input_id, "offset"))
-    SELECT * FROM (SELECT input_id, value, "offset", round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.6::DOUBLE * ((al / n) * (dc / n)) + 0.4::DOUBLE * (1.0::DOUBLE - (mr - 1) / n)
-        + CASE WHEN n <= 6 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END)), 9) AS quality FROM scored) WHERE quality >= 0.4""")
+    split AS (SELECT value, string_split(value, '') AS c FROM (SELECT DISTINCT value FROM runs)),
+    marked AS (SELECT value, c, array_to_string(list_transform(list_zip(c, list_slice(c, 2, len(c))), lambda p: CASE WHEN p[1] = p[2] THEN '1' ELSE '0' END), '') AS same FROM split),
+    sized AS (SELECT value, CAST(strlen(value) AS DOUBLE) AS n, CAST(len(list_distinct(c)) AS DOUBLE) AS dc, CAST(strlen(regexp_replace(value, '[^A-Za-z0-9]', '', 'g')) AS DOUBLE) AS al,
+                     coalesce(list_max(list_transform(regexp_extract_all(same, '1+'), lambda x: strlen(x))), 0) + 1 AS mr FROM marked),
+    scored AS (SELECT value, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.6::DOUBLE * ((al / n) * (dc / n)) + 0.4::DOUBLE * (1.0::DOUBLE - (mr - 1) / n)
+        + CASE WHEN n <= 6 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END)), 9) AS quality FROM sized)
+    SELECT input_id, value, "offset", quality FROM runs JOIN scored USING (value) WHERE quality >= 0.4""")
 def ascii_quality(spark, sf_dir):
-    scored = found(spark, sf_dir).select("input_id", "value", "offset", F.round(T.quality(F.col("value")), 9).alias("quality"))
-    return scored.where("quality >= 0.4")
+    scored = found(spark, sf_dir).select("input_id", "value", "offset", T.once(T.quality(F.col("value"))).alias("quality"))
+    return scored.withColumn("quality", F.round("quality", 9)).where("quality >= 0.4")
 
 
-UNICODE = r"\x00-\x08\x0a-\x1f\x7f-\x9f\x{FFFD}\x{FEFF}\x{FDD0}-\x{FDEF}"
+UNICODE = r"\x00-\x08\x0a-\x1f\x7f-\x9f\x{FFFD}-\x{FFFF}\x{FEFF}\x{FDD0}-\x{FDEF}"
 
 
 @query(rf"""
@@ -83,21 +91,46 @@ UNICODE = r"\x00-\x08\x0a-\x1f\x7f-\x9f\x{FFFD}\x{FEFF}\x{FDD0}-\x{FDEF}"
     pieces AS (SELECT conv_id, turn, regexp_extract(seg, '[^{UNICODE}]+$') AS value, sum(strlen(seg)) OVER (PARTITION BY conv_id, turn ORDER BY i) AS ends FROM segments)
     SELECT conv_id || '/' || turn AS input_id, value, CAST(ends - strlen(value) AS BIGINT) AS "offset", CAST(strlen(value) AS BIGINT) AS length FROM pieces WHERE length(value) >= 4""")
 def utf8_runs(spark, sf_dir):
-    turns = read(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), "text")
-    return strings.located(runs.scan(parse(inputs.table(turns, "id", "text")), Options(enabled=("static_utf8",)))).select("input_id", "value", "offset", "length")
+    wanted = Options(enabled=("static_utf8",))
+    return strings.located(examined(inputs.table(turns(spark, sf_dir), "id", "text"), wanted)).select("input_id", "value", "offset", "length")
+
+
+def utf16_sql(texts: str, both: bool) -> str:
+    """Runs of the texts (id, text) as UTF-16LE, in all alignments and, if `both`, in the other byte order too: the units of each
+    reading as a text of its own. Surrogates and NUL, which separate, become U+0001; only the first reading can hold more."""
+    reading = lambda kind, align, v: f"""SELECT id, '{kind}' AS kind, {align} AS align, array_to_string(list_transform({v}, lambda x: CASE WHEN x = 0 OR x BETWEEN 55296 AND 57343 THEN chr(1) ELSE chr(x) END), '') AS s FROM pairs"""
+    others = [reading("static_utf16_le", 1, "list_transform(p, lambda q: ((q[2] & 255) << 8) | (q[1] >> 8))")]
+    if both:
+        others += [reading("static_utf16_be", 0, "list_transform(u, lambda x: ((x & 255) << 8) | (x >> 8))"), reading("static_utf16_be", 1, "list_transform(p, lambda q: ((q[1] >> 8) << 8) | (q[2] & 255))")]
+    units = lambda x: f"length({x}) + length(regexp_replace({x}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g'))"
+    return rf"""
+        units AS (SELECT id, text, flatten(list_transform(string_split(text, ''), lambda c: CASE WHEN unicode(c) > 65535 THEN [55296 + ((unicode(c) - 65536) >> 10), 56320 + ((unicode(c) - 65536) & 1023)] ELSE [unicode(c)] END)) AS u FROM ({texts})),
+        pairs AS (SELECT id, text, u, list_slice(list_zip(u, list_slice(u, 2, len(u))), 1, len(u) - 1) AS p FROM units),
+        readings AS (SELECT id, 'static_utf16_le' AS kind, 0 AS align, text AS s FROM pairs UNION ALL {" UNION ALL ".join(others)}),
+        segments AS (SELECT id, kind, align, unnest(regexp_extract_all(s, '[{UNICODE}]*[^{UNICODE}]+')) AS seg, generate_subscripts(regexp_extract_all(s, '[{UNICODE}]*[^{UNICODE}]+'), 1) AS i FROM readings),
+        pieces AS (SELECT id, kind, align, regexp_extract(seg, '[^{UNICODE}]+$') AS value, sum({units("seg")}) OVER (PARTITION BY id, kind, align ORDER BY i) AS ends FROM segments),
+        wide AS (SELECT CAST(id AS VARCHAR) AS input_id, value, kind, CAST(align + 2 * (ends - ({units("value")})) AS BIGINT) AS "offset", CAST(2 * ({units("value")}) AS BIGINT) AS length FROM pieces WHERE length(value) >= 4)"""
+
+
+@query(f'WITH {utf16_sql("SELECT doc_id AS id, text FROM documents", False)} SELECT input_id, value, "offset", length FROM wide')
+def utf16_runs(spark, sf_dir):
+    """All texts as UTF-16LE, read at even and odd offsets."""
+    wide = read(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-16LE").alias("text"))
+    return strings.located(examined(inputs.table(wide, "doc_id", "text"), Options(enabled=("static_utf16_le",)))).select("input_id", "value", "offset", "length")
 
 
 @query(rf"""
-    WITH texts AS (SELECT item_id, text FROM benchmark WHERE regexp_full_match(text, '[\x00-\x7F]*')),
-    {ascii_sql("texts", "item_id")}
-    SELECT input_id, value, 'static_utf16_le' AS kind, "offset" * 2 AS "offset" FROM runs UNION ALL
-    SELECT input_id, value, 'static_utf16_be', "offset" * 2 - 1 FROM runs WHERE "offset" > 0""")
+    WITH {utf16_sql("SELECT conv_id || '/' || turn AS id, text FROM conversations", True)},
+    plain AS (SELECT * FROM wide WHERE regexp_full_match(value, '[\x00-\x7F]*'))
+    SELECT w.input_id, w.value, w.kind, w."offset" FROM wide w LEFT JOIN plain o
+        ON w.input_id = o.input_id AND w.kind <> o.kind AND o."offset" = w."offset" - 1 AND o.length = w.length + 2 AND regexp_full_match(w.value, '[\x00-\x7F]*')
+    WHERE o.input_id IS NULL""")
 def endian_suppression(spark, sf_dir):
-    """Texts as UTF-16LE. All-ASCII strings are found in that byte order only, but for those after a line break: read the
-    other way round, from the zero byte before them, they are as long, which is no sign of the true order."""
-    wide = read(spark, sf_dir, "benchmark").where(F.col("text").rlike(r"^\p{ASCII}*$")).select("item_id", F.encode("text", "UTF-16LE").alias("text"))
-    located = strings.located(runs.scan(parse(inputs.table(wide, "item_id", "text")), Options(enabled=("static_utf16_le", "static_utf16_be")), mirrored=True))
-    return runs.without_mirrored(located).where(F.col("value").rlike(r"^\p{ASCII}+$")).select("input_id", "value", "kind", "offset")
+    """All turns as UTF-16LE, read in both byte orders and alignments, without rows that only the wrong order sees. After a line
+    break the wrong order sees as much as the true one, and both stay."""
+    wide = turns(spark, sf_dir).select("id", F.encode("text", "UTF-16LE").alias("text"))
+    located = stash(strings.located(examined(inputs.table(wide, "id", "text"), Options(enabled=("static_utf16_le", "static_utf16_be")), mirrored=True)))
+    return runs.without_mirrored(located).select("input_id", "value", "kind", "offset")
 
 
 @query(f"""
@@ -107,7 +140,7 @@ def endian_suppression(spark, sf_dir):
 def base64_recover(spark, sf_dir):
     coded = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.translate(F.base64(F.encode("text", "UTF-8")), "\r\n", "").alias("text"))
     options = Options(enabled=("static_ascii", "base64"), decode_base64=True)
-    located = strings.located(runs.scan(parse(inputs.table(coded, "id", "text")), options))
+    located = strings.located(examined(inputs.table(coded, "id", "text"), options))
     return located.where("kind = 'base64'").select("input_id", "value", "offset", "decoded_offset", "source_length")
 
 
@@ -151,7 +184,7 @@ def library_filter(spark, sf_dir):
 @query(f"""
     WITH {ascii_sql()} SELECT input_id, value, "offset", row_number() OVER (PARTITION BY input_id, value ORDER BY "offset") > 1 AS is_duplicate FROM runs""")
 def duplicate_flag(spark, sf_dir):
-    return strings.with_duplicates(found(spark, sf_dir)).select("input_id", "value", "offset", "is_duplicate")
+    return strings.with_duplicates(stash(found(spark, sf_dir))).select("input_id", "value", "offset", "is_duplicate")
 
 
 @query(f'WITH {ascii_sql()} SELECT input_id, value, min("offset") AS "offset" FROM runs GROUP BY ALL')
@@ -186,14 +219,10 @@ def trigram_score(spark, sf_dir):
     words = lambda name: read(spark, sf_dir, name).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("value"))
     counts = words("documents").groupBy("value").count()
     model = counts.select("count", F.explode(T.trigrams(F.col("value"), True)).alias("gram")).groupBy("gram").agg(F.sum("count").alias("n"))
-    scored = _scores(words("benchmark").distinct(), stash(model))
+    scored = T.trigram_scores(words("benchmark"), stash(model), lowercase=True)
     return scored.select("value", F.round("trigram_score", 7).alias("trigram_score"))
 
 
-def _scores(values: DataFrame, model: DataFrame) -> DataFrame:
-    return T.trigram_scores(values.withColumn("key", F.col("value")), model, ["key"]).withColumnRenamed("key", "value")
-
-
 @query(f"""
     WITH {ascii_sql()}, sizes AS (SELECT CAST(doc_id AS VARCHAR) AS input_id, strlen(text) AS size FROM documents),
     sections AS (SELECT input_id, 0 AS idx, 0 AS file_offset, size AS file_size FROM sizes UNION ALL
@@ -272,7 +301,7 @@ def bitwise_density(spark, sf_dir):
 
 
 @query("""
-    WITH blocks AS (SELECT DISTINCT l_orderkey AS function, l_linenumber * 10 AS start FROM lineitem), sizes AS (SELECT function, count(*) * 12 AS byte_size FROM blocks GROUP BY 1),
+    WITH """ + CAPABILITIES_SQL + """, blocks AS (SELECT DISTINCT l_orderkey AS function, l_linenumber * 10 AS start FROM lineitem), sizes AS (SELECT function, count(*) * 12 AS byte_size FROM blocks GROUP BY 1),
     density AS (SELECT l_orderkey AS function, count(*) FILTER (WHERE l_suppkey % 3 = 0) / count(*)::DOUBLE AS d FROM lineitem GROUP BY 1),
     edges AS (SELECT l_orderkey AS function, l_linenumber * 10 AS src, (l_partkey % 7 + 1) * 10 AS dst FROM lineitem),
     loops AS (SELECT e.function, count(*) AS n FROM edges e JOIN blocks s ON e.function = s.function AND e.src = s.start JOIN blocks t ON e.function = t.function AND e.dst = t.start WHERE e.dst < e.src + 12 GROUP BY 1),
@@ -285,16 +314,19 @@ def bitwise_density(spark, sf_dir):
         + 0.3::DOUBLE * (CASE WHEN byte_size < 8 THEN 0.0 WHEN byte_size < 16 THEN 0.4 + 0.2 * ((byte_size - 8) / 8.0) WHEN byte_size < 256 THEN 0.6 + 0.4 * ((byte_size - 16) / 240.0) ELSE 1.0 END)::DOUBLE
         + 0.3::DOUBLE * (CASE WHEN callers <= 0 THEN 0.0 WHEN callers <= 1 THEN 0.4 WHEN callers <= 2 THEN 0.7 ELSE 1.0 END)
         + 0.4::DOUBLE * (CASE imports WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 WHEN 2 THEN 0.4 WHEN 3 THEN 0.15 ELSE 0.0 END)
-        + 0.3::DOUBLE * (CASE callees + imports WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 WHEN 2 THEN 0.4 WHEN 3 THEN 0.2 ELSE 0.0 END)) / 4.0::DOUBLE AS score FROM f)
-    SELECT va, c_name AS name, loops, callers, recovered_strings, round(score, 12) AS score FROM s LEFT JOIN customer ON va = c_custkey WHERE score >= 0.3""")
+        + 0.3::DOUBLE * (CASE callees + imports WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 WHEN 2 THEN 0.4 WHEN 3 THEN 0.2 ELSE 0.0 END)) / 4.0::DOUBLE AS score FROM f),
+    known AS (SELECT caller AS va, list_aggregate(list_sort(list(DISTINCT tag)), 'string_agg', ' ') AS tags FROM calls JOIN capabilities ON callee = place WHERE imported GROUP BY 1)
+    SELECT va, c_name AS name, loops, callers, recovered_strings, coalesce(tags, '') AS tags, round(score, 12) AS score FROM s LEFT JOIN customer ON va = c_custkey LEFT JOIN known USING (va) WHERE score >= 0.3""")
 def candidate_rows(spark, sf_dir):
-    """Orders as functions: their lines are blocks and instructions, they call their customers, who give them names."""
+    """Orders as functions: their lines are blocks and instructions, they call their customers, who give them names; some of
+    these are imports, whose numbers say what they can do."""
     lines, orders = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
     made = orders.select(F.col("o_orderkey").alias("caller"), F.col("o_custkey").alias("callee"), (F.col("o_orderstatus") == "F").alias("imported"))
     instructions = lines.select(F.col("l_orderkey").alias("function"), F.when(F.col("l_suppkey") % 3 == 0, "xor").otherwise("mov").alias("mnemonic"))
     symbols = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("va"), F.col("c_name").alias("name"))
-    found = code.candidates(*graph(spark, sf_dir), made, instructions, symbols, lines.select(F.col("l_partkey").alias("address")))
-    return found.select("va", "name", "loops", "callers", "recovered_strings", F.round("score", 12).alias("score"))
+    imports = spark.createDataFrame([(i, name) for i, (name, _) in enumerate(capabilities.rows())], "iat_va long, name string")
+    found = code.candidates(*graph(spark, sf_dir), made, instructions, symbols, lines.select(F.col("l_partkey").alias("address")), imports, capabilities.table(spark))
+    return found.select("va", "name", "loops", "callers", "recovered_strings", F.array_join("tags", " ").alias("tags"), F.round("score", 12).alias("score"))
 
 
 FEATURES = """features AS (SELECT p_partkey AS va, p_brand AS input_id, (p_partkey % 11) / 10.0::DOUBLE AS bitwise_density, p_partkey % 5 AS loops, CAST(floor(p_retailprice * 2) AS BIGINT) AS byte_size,
@@ -339,28 +371,39 @@ def stack_runs(spark, sf_dir):
 
 @query("""
     WITH RECURSIVE n AS (SELECT max(p_partkey) + 1 AS n FROM part), calls AS (SELECT p_partkey AS caller, (p_partkey * 3 + 1) % n.n AS callee FROM part, n WHERE p_size > 10),
-    r(function) AS (SELECT p_partkey FROM part WHERE p_partkey % 100 = 1 UNION SELECT callee FROM r JOIN calls ON r.function = calls.caller)
+    r(function) AS (SELECT p_partkey FROM part WHERE p_brand = 'Brand#1' UNION SELECT callee FROM r JOIN calls ON r.function = calls.caller)
     SELECT function FROM r""")
 def call_closure(spark, sf_dir):
     part = read(spark, sf_dir, "part")
     n = part.agg(F.max("p_partkey") + 1).first()[0]
     made = part.where("p_size > 10").select(F.col("p_partkey").alias("caller"), ((F.col("p_partkey") * 3 + 1) % n).alias("callee"))
-    return code.reachable(made, part.where("p_partkey % 100 = 1").select(F.col("p_partkey").alias("function")), stash)
+    return code.reachable(made, part.where("p_brand = 'Brand#1'").select(F.col("p_partkey").alias("function")), stash)
 
 
-KINDS = {"click": "calls_network", "purchase": "calls_crypto", "error": "calls_debug", "view": "calls_filesystem"}
+def imported(spark, events: DataFrame) -> DataFrame:
+    """(iat_va, name): imports by the number of the event, those of the table and some that are not in it, in capitals."""
+    known = spark.createDataFrame([(i, name) for i, (name, _) in enumerate(capabilities.rows())], "place long, name string")
+    return events.select((F.col("event_id") % 300).alias("iat_va")).distinct().join(known, F.col("iat_va") == F.col("place"), "left").select("iat_va", F.upper(F.coalesce("name", F.lit("other"))).alias("name"))
 
 
-@query("""
-    WITH capabilities(name, tag) AS (VALUES ('click', 'calls_network'), ('purchase', 'calls_crypto'), ('error', 'calls_debug'), ('view', 'calls_filesystem'))
-    SELECT user_id AS function, list_aggregate(list_sort(list(DISTINCT tag)), 'string_agg', ' ') AS tags FROM events JOIN capabilities ON lower(event_type) = name GROUP BY user_id""")
+@query(f"""
+    WITH {CAPABILITIES_SQL}
+    SELECT user_id AS function, list_aggregate(list_sort(list(DISTINCT tag)), 'string_agg', ' ') AS tags FROM events JOIN capabilities ON event_id % 300 = place GROUP BY user_id""")
 def capability_tags(spark, sf_dir):
-    """Users as functions, what they do as imports."""
+    """Users as functions; their events call imports."""
     events = read(spark, sf_dir, "events")
-    imports = events.select(F.xxhash64("event_type").alias("iat_va"), F.col("event_type").alias("name")).distinct()
-    made = events.select(F.col("user_id").alias("function"), F.xxhash64("event_type").alias("iat_va"))
-    capabilities = spark.createDataFrame(list(KINDS.items()), "name string, tag string")
-    return code.import_tags(made, imports, capabilities).select("function", F.array_join("tags", " ").alias("tags"))
+    made = events.select(F.col("user_id").alias("function"), (F.col("event_id") % 300).alias("iat_va"))
+    return code.import_tags(made, imported(spark, events), capabilities.table(spark)).select("function", F.array_join("tags", " ").alias("tags"))
+
+
+@query("""
+    SELECT target, caller, block, ip FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY caller, block, ip) AS n
+        FROM (SELECT l_partkey AS target, l_suppkey AS caller, l_orderkey AS block, CAST(l_linenumber AS BIGINT) AS ip FROM lineitem WHERE l_partkey <> l_suppkey)) WHERE n <= 6""")
+def call_sites(spark, sf_dir):
+    """Lines as calls of a part by a supplier, orders as blocks."""
+    lines = read(spark, sf_dir, "lineitem")
+    sites = lines.select(F.col("l_suppkey").alias("caller"), F.col("l_orderkey").alias("block"), F.col("l_linenumber").cast("long").alias("ip"), F.col("l_partkey").alias("target"))
+    return code.call_sites(calls(spark, sf_dir), sites)
 
 
 @query(f"""

@@ -4,28 +4,73 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Names by capability. A name with * stands for its A and W forms, as the Windows interface has them.
+# Names by capability, in alphabetical order.
 NAMES = {
-    "calls_alloc": "malloc calloc realloc free heapalloc heapfree heaprealloc heapcreate heapdestroy rtlallocateheap rtlfreeheap rtlreallocateheap localalloc localfree localrealloc globalalloc globalfree globalrealloc virtualalloc virtualallocex virtualfree virtualfreeex",
-    "calls_memcpy": "memcpy memmove memset memcmp rtlmovememory rtlcopymemory rtlfillmemory rtlzeromemory rtlcomparememory strcpy strncpy strcpy_s strncpy_s lstrcpy* lstrcpyna",
-    "calls_network": "socket bind listen accept connect send sendto recv recvfrom closesocket shutdown wsastartup wsacleanup wsagetlasterror gethostbyname gethostname getaddrinfo freeaddrinfo internetopen* internetopenurl* internetreadfile internetwritefile internetclosehandle internetconnect* httpopenrequest* httpsendrequest* winhttpopen winhttpconnect winhttpopenrequest winhttpsendrequest",
-    "calls_filesystem": "createfile* openfile deletefile* movefile* movefileex* copyfile* writefile readfile writefileex readfileex setfilepointer setfilepointerex getfilesize getfilesizeex getfiletype getfileattributes* setfileattributes* findfirstfile* findnextfile* findclose createdirectory* removedirectory* fopen fopen_s fclose fread fwrite open close read write stat fstat lstat unlink rename",
-    "calls_registry": "regopenkey* regopenkeyex* regclosekey regqueryvalue* regqueryvalueex* regsetvalue* regsetvalueex* regdeletevalue* regdeletekey* regdeletekeyex* regcreatekey* regcreatekeyex* regenumkey* regenumkeyex* regenumvalue*",
-    "calls_process": "createprocess* createprocessasuser* openprocess terminateprocess exitprocess createthread createremotethread createremotethreadex terminatethread openthread suspendthread resumethread writeprocessmemory readprocessmemory virtualprotectex ntcreatethreadex rtlcreateuserthread queueuserapc ntqueueapcthread setthreadcontext getthreadcontext",
-    "calls_crypto": "cryptacquirecontext* cryptcreatehash crypthashdata cryptderivekey cryptencrypt cryptdecrypt cryptgenrandom cryptreleasecontext cryptdestroyhash cryptdestroykey cryptimportkey cryptexportkey bcryptopenalgorithmprovider bcryptclosealgorithmprovider bcryptcreatehash bcrypthashdata bcryptdecrypt bcryptencrypt bcryptgenrandom ncryptopenstorageprovider ncryptopenkey",
-    "calls_loader": "loadlibrary* loadlibraryex* freelibrary getprocaddress getmodulehandle* getmodulehandleex* ldrloaddll ldrgetprocedureaddress dlopen dlsym dlclose",
-    "calls_debug": "isdebuggerpresent checkremotedebuggerpresent ntqueryinformationprocess outputdebugstring* debugbreak debugactiveprocess waitfordebugevent continuedebugevent setunhandledexceptionfilter unhandledexceptionfilter addvectoredexceptionhandler removevectoredexceptionhandler",
+    "calls_alloc": (
+        "calloc", "free", "globalalloc", "globalfree", "globalrealloc", "heapalloc", "heapcreate", "heapdestroy",
+        "heapfree", "heaprealloc", "localalloc", "localfree", "localrealloc", "malloc", "realloc", "rtlallocateheap",
+        "rtlfreeheap", "rtlreallocateheap", "virtualalloc", "virtualallocex", "virtualfree", "virtualfreeex",
+    ),
+    "calls_memcpy": (
+        "lstrcpya", "lstrcpyna", "lstrcpyw", "memcmp", "memcpy", "memmove", "memset", "rtlcomparememory",
+        "rtlcopymemory", "rtlfillmemory", "rtlmovememory", "rtlzeromemory", "strcpy", "strcpy_s", "strncpy",
+        "strncpy_s",
+    ),
+    "calls_network": (
+        "accept", "bind", "closesocket", "connect", "freeaddrinfo", "getaddrinfo", "gethostbyname", "gethostname",
+        "httpopenrequesta", "httpopenrequestw", "httpsendrequesta", "httpsendrequestw", "internetclosehandle",
+        "internetconnecta", "internetconnectw", "internetopena", "internetopenurla", "internetopenurlw",
+        "internetopenw", "internetreadfile", "internetwritefile", "listen", "recv", "recvfrom", "send", "sendto",
+        "shutdown", "socket", "winhttpconnect", "winhttpopen", "winhttpopenrequest", "winhttpsendrequest",
+        "wsacleanup", "wsagetlasterror", "wsastartup",
+    ),
+    "calls_filesystem": (
+        "close", "copyfilea", "copyfilew", "createdirectorya", "createdirectoryw", "createfilea", "createfilew",
+        "deletefilea", "deletefilew", "fclose", "findclose", "findfirstfilea", "findfirstfilew", "findnextfilea",
+        "findnextfilew", "fopen", "fopen_s", "fread", "fstat", "fwrite", "getfileattributesa", "getfileattributesw",
+        "getfilesize", "getfilesizeex", "getfiletype", "lstat", "movefilea", "movefileexa", "movefileexw",
+        "movefilew", "open", "openfile", "read", "readfile", "readfileex", "removedirectorya", "removedirectoryw",
+        "rename", "setfileattributesa", "setfileattributesw", "setfilepointer", "setfilepointerex", "stat", "unlink",
+        "write", "writefile", "writefileex",
+    ),
+    "calls_registry": (
+        "regclosekey", "regcreatekeya", "regcreatekeyexa", "regcreatekeyexw", "regcreatekeyw", "regdeletekeya",
+        "regdeletekeyexa", "regdeletekeyexw", "regdeletekeyw", "regdeletevaluea", "regdeletevaluew", "regenumkeya",
+        "regenumkeyexa", "regenumkeyexw", "regenumkeyw", "regenumvaluea", "regenumvaluew", "regopenkeya",
+        "regopenkeyexa", "regopenkeyexw", "regopenkeyw", "regqueryvaluea", "regqueryvalueexa", "regqueryvalueexw",
+        "regqueryvaluew", "regsetvaluea", "regsetvalueexa", "regsetvalueexw", "regsetvaluew",
+    ),
+    "calls_process": (
+        "createprocessa", "createprocessasusera", "createprocessasuserw", "createprocessw", "createremotethread",
+        "createremotethreadex", "createthread", "exitprocess", "getthreadcontext", "ntcreatethreadex",
+        "ntqueueapcthread", "openprocess", "openthread", "queueuserapc", "readprocessmemory", "resumethread",
+        "rtlcreateuserthread", "setthreadcontext", "suspendthread", "terminateprocess", "terminatethread",
+        "virtualprotectex", "writeprocessmemory",
+    ),
+    "calls_crypto": (
+        "bcryptclosealgorithmprovider", "bcryptcreatehash", "bcryptdecrypt", "bcryptencrypt", "bcryptgenrandom",
+        "bcrypthashdata", "bcryptopenalgorithmprovider", "cryptacquirecontexta", "cryptacquirecontextw",
+        "cryptcreatehash", "cryptdecrypt", "cryptderivekey", "cryptdestroyhash", "cryptdestroykey", "cryptencrypt",
+        "cryptexportkey", "cryptgenrandom", "crypthashdata", "cryptimportkey", "cryptreleasecontext", "ncryptopenkey",
+        "ncryptopenstorageprovider",
+    ),
+    "calls_loader": (
+        "dlclose", "dlopen", "dlsym", "freelibrary", "getmodulehandlea", "getmodulehandleexa", "getmodulehandleexw",
+        "getmodulehandlew", "getprocaddress", "ldrgetprocedureaddress", "ldrloaddll", "loadlibrarya",
+        "loadlibraryexa", "loadlibraryexw", "loadlibraryw",
+    ),
+    "calls_debug": (
+        "addvectoredexceptionhandler", "checkremotedebuggerpresent", "continuedebugevent", "debugactiveprocess",
+        "debugbreak", "isdebuggerpresent", "ntqueryinformationprocess", "outputdebugstringa", "outputdebugstringw",
+        "removevectoredexceptionhandler", "setunhandledexceptionfilter", "unhandledexceptionfilter",
+        "waitfordebugevent",
+    ),
 }
 
 
 def rows() -> list[tuple[str, str]]:
-    """A name in two capabilities has the first."""
-    out: dict[str, str] = {}
-    for tag, names in NAMES.items():
-        for name in names.split():
-            for form in ("a", "w") if name.endswith("*") else ("",):
-                out.setdefault(name.removesuffix("*") + form, tag)
-    return list(out.items())
+    """(name, tag) of all names; each has one capability."""
+    return [(name, tag) for tag, names in NAMES.items() for name in names]
 
 
 def table(spark: SparkSession) -> DataFrame:

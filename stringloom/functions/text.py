@@ -48,25 +48,32 @@ def quality(v: Column) -> Column:
     n = F.length(b).cast("double")
     kinds = F.size(F.array_distinct(F.split(b, ""))).cast("double")
     good = F.length(F.regexp_replace(b, "[^A-Za-z0-9]", "")).cast("double")
-    longest = F.aggregate(F.regexp_extract_all(b, F.lit(r"(?s)((.)\2*+)"), F.lit(1)), F.lit(0), lambda m, x: F.greatest(m, F.length(x)))
+    longest = F.aggregate(F.regexp_extract_all(b, F.lit(r"(?s)((.)\2++)"), F.lit(1)), F.lit(1), lambda m, x: F.greatest(m, F.length(x)))
     score = F.lit(0.6) * ((good / n) * (kinds / n)) + F.lit(0.4) * (F.lit(1.0) - (longest - 1) / n) + F.when(n <= 6, F.lit(0.2)).otherwise(F.lit(0.0))
     return F.when(n == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)))
 
 
-def trigrams(v: Column, lowercase: bool) -> Column:
+def trigrams(v: Column, lowercase: bool | Column) -> Column:
     """The trigrams of an ASCII string of three characters or more, from its first two after the beginning to its end."""
-    text = F.lower(v) if lowercase else v
+    text = F.when(lowercase, F.lower(v)).otherwise(v) if isinstance(lowercase, Column) else F.lower(v) if lowercase else v
     marked = F.concat(F.lit(BEGIN * 2), text, F.lit(END))
     return F.when(v.rlike(r"^\p{ASCII}{3,}$"), F.transform(F.sequence(F.lit(1), F.length(v)), lambda i: F.substring(marked, i + 1, F.lit(3))))
 
 
-def trigram_scores(strings: DataFrame, model: DataFrame, key: list[str], lowercase: bool = True) -> DataFrame:
-    """(key, trigram_score): the mean log10 probability of the trigrams of `value`, each count with one added; null for a
-    string that the model does not apply to. Distinct values are scored once and trigrams are counted before they meet the
-    model, so a frequent one is a row for each task."""
-    total = float(model.agg(F.sum("n")).first()[0] or 0) + TRIGRAMS
-    values = strings.select("value").distinct()
-    grams = values.select("value", F.explode(trigrams(F.col("value"), lowercase)).alias("gram"))
-    known = grams.groupBy("value", "gram").agg(F.count("*").alias("times")).join(model, "gram", "left")
-    score = F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(total))) / F.sum("times")
-    return strings.select(*key, "value").join(known.groupBy("value").agg(score.alias("trigram_score")), "value", "left").drop("value")
+def trigram_scores(strings: DataFrame, model: DataFrame, lowercase: bool | None = None) -> DataFrame:
+    """(value, trigram_score) of each distinct `value`: the mean log10 probability of its trigrams, each count with one added;
+    null for a string that the model does not apply to. Trigrams are counted before they meet the model, so a frequent one
+    is a row for each task. Whether strings are lower-cased is what the model says, in its column `lowercase`, if
+    nothing else is asked for. No job runs while the plan is built: the model's total is a scalar subquery."""
+    own = lowercase if lowercase is not None else model.agg(F.coalesce(F.max("lowercase"), F.lit(False))).scalar() if "lowercase" in model.columns else False
+    total = (F.coalesce(model.agg(F.sum("n")).scalar(), F.lit(0)) + TRIGRAMS).cast("double")
+    values = strings.select("value").distinct().withColumn("lower", F.lit(own) if isinstance(own, bool) else own)
+    grams = values.select("value", F.explode(trigrams(F.col("value"), F.col("lower"))).alias("gram"))
+    known = grams.groupBy("value", "gram").agg(F.count("*").alias("times")).join(model.select("gram", "n"), "gram", "left").withColumn("total", total)
+    score = F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.col("total"))) / F.sum("times")
+    return values.select("value").join(known.groupBy("value").agg(score.alias("trigram_score")), "value", "left")
+
+
+def once(c: Column) -> Column:
+    """A row generator that gives `c` for each row, so that a filter on it is not pushed below it and computed again."""
+    return F.explode(F.array(c))

@@ -7,6 +7,9 @@ from __future__ import annotations
 
 import re
 import struct
+from bisect import bisect_right
+from collections import Counter
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -14,66 +17,152 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from stringloom.schema import signed
-
-WRITES = "array<struct<place:long,region:long,target:long,bytes:binary>>"
+from stringloom.operators.runs import sliced
+from stringloom.schema import WRITES, signed
 
 #: lea with an address relative to the next instruction, with 64-bit operands.
 LEA = re.compile(rb"[\x48\x4c]\x8d[\x05\x0d\x15\x1d\x25\x2d\x35\x3d](.{4})", re.S)
-#: mov of an immediate to the stack: (pattern, width). The displacement is the first group, the immediate the second.
-STORES = (
-    (re.compile(rb"\xc6\x04\x24()(.)", re.S), 1), (re.compile(rb"\xc6\x44\x24(.)(.)", re.S), 1), (re.compile(rb"\xc6\x45(.)(.)", re.S), 1),
-    (re.compile(rb"\x66\xc7\x04\x24()(..)", re.S), 2), (re.compile(rb"\x66\xc7\x44\x24(.)(..)", re.S), 2), (re.compile(rb"\x66\xc7\x45(.)(..)", re.S), 2),
-    (re.compile(rb"(?<!\x66)\xc7\x04\x24()(....)", re.S), 4), (re.compile(rb"(?<!\x66)\xc7\x44\x24(.)(....)", re.S), 4), (re.compile(rb"(?<!\x66)\xc7\x45(.)(....)", re.S), 4),
-)
-RETURN = re.compile(rb"\xc3")
+#: What puts bytes on the stack or into a register that is then stored, one form after the other at each place. Displacements are
+#: a signed byte behind the stack or frame pointer, or none; registers are those without a prefix for the upper eight.
+FORMS = re.compile(
+    rb"(?P<imm1>\xc6(?:\x04\x24|\x44\x24(?P<d1>.)|\x45(?P<e1>.))(?P<v1>.))"
+    rb"|(?P<imm2>\x66\xc7(?:\x04\x24|\x44\x24(?P<d2>.)|\x45(?P<e2>.))(?P<v2>..))"
+    rb"|(?P<imm4>\xc7(?:\x04\x24|\x44\x24(?P<d4>.)|\x45(?P<e4>.))(?P<v4>....))"
+    rb"|(?P<wide>\x48(?P<r8>[\xb8-\xbf])(?P<v8>.{8}))"
+    rb"|(?P<load>(?P<r>[\xb8-\xbf])(?P<v>....))"
+    rb"|(?P<zero>\x31(?P<x>[\xc0\xc9\xd2\xdb\xe4\xed\xf6\xff]))"
+    rb"|(?P<store>(?P<size>[\x48\x66]?)(?P<op>[\x88\x89])(?:(?P<m0>[\x04\x0c\x14\x1c\x24\x2c\x34\x3c])\x24|(?P<m1>[\x44\x4c\x54\x5c\x64\x6c\x74\x7c])\x24(?P<ds>.)|(?P<m2>[\x45\x4d\x55\x5d\x65\x6d\x75\x7d])(?P<es>.)))"
+    rb"|(?P<vector>(?:\xf3\x0f\x6f|\x0f\x10|\x0f\x28|\x66\x0f\x6f)(?P<xmm>[\x05\x0d\x15\x1d\x25\x2d\x35\x3d])(?P<rip>.{4}))"
+    rb"|(?P<spill>(?:\xf3\x0f\x7f|\x0f\x11|\x0f\x29|\x66\x0f\x7f)(?:(?P<n0>[\x04\x0c\x14\x1c\x24\x2c\x34\x3c])\x24|(?P<n1>[\x44\x4c\x54\x5c\x64\x6c\x74\x7c])\x24(?P<dv>.)|(?P<n2>[\x45\x4d\x55\x5d\x65\x6d\x75\x7d])(?P<ev>.)))"
+    rb"|(?P<push>\x68(?P<p4>....)|\x6a(?P<p1>.))"
+    rb"|(?P<ret>\xc3)",
+    re.S,
+)
+
+
+def _byte(raw: bytes | None) -> int:
+    return struct.unpack("b", raw)[0] if raw else 0
+
+
+def x86_writes(body: bytes, wide: bool, inside=lambda offset, n: b"") -> list[tuple[int, int, bytes]]:
+    """(place, target, bytes) of what is written to the stack, by the forms of instructions that do it: immediates, registers that
+    an immediate was moved to, pushes, and vectors from data, which `inside` reads relative to the code. Registers and the
+    depth of pushes begin anew after each return. A push counts beside another one, since its first byte is a letter that
+    any text can hold."""
+    held: dict[tuple[str, int], bytes] = {}
+    depth, out, pushed = 0, [], []
+    for m in FORMS.finditer(body):
+        form = m.lastgroup  # the outermost closes last
+        if form in ("imm1", "imm2", "imm4"):
+            n = form[-1]
+            out.append((m.start(), _byte(m["d" + n] or m["e" + n]), m["v" + n]))
+        elif form == "wide":
+            held["r", m["r8"][0] & 7] = m["v8"]
+        elif form == "load":
+            held["r", m["r"][0] & 7] = m["v"]
+        elif form == "zero":
+            held["r", m["x"][0] & 7] = b"\0" * 8
+        elif form == "store":
+            reg = (m["m0"] or m["m1"] or m["m2"])[0] >> 3 & 7
+            size = 1 if m["op"] == b"\x88" else {b"\x48": 8, b"\x66": 2, b"": 4}[m["size"]]
+            value = held.get(("r", reg))
+            if value is not None and (size > 1 or reg < 4):
+                out.append((m.start(), _byte(m["ds"] or m["es"]), value.ljust(size, b"\0")[:size]))
+        elif form == "vector":
+            held["x", m["xmm"][0] >> 3 & 7] = inside(m.end() + struct.unpack("<i", m["rip"])[0], 16)
+        elif form == "spill":
+            value = held.get(("x", (m["n0"] or m["n1"] or m["n2"])[0] >> 3 & 7))
+            if value:
+                out.append((m.start(), _byte(m["dv"] or m["ev"]), value))
+        elif form == "push":
+            size = 8 if wide else 4
+            depth -= size
+            value = m["p4"] or m["p1"]
+            pushed.append((m.end(), (m.start(), depth, value + (b"\xff" if value[-1] & 0x80 else b"\0") * (size - len(value)))))
+        else:
+            held, depth = {}, 0
+    begins, ends = {x[0] for _, x in pushed}, {end for end, _ in pushed}
+    return out + [x for end, x in pushed if end in begins or x[0] in ends]
+
+
+def arm_writes(body: bytes) -> list[tuple[int, int, bytes]]:
+    """movz and movk of characters to a register, then strb, strh, str, stur or stp of it to [sp, #d]."""
+    held: dict[int, int] = {}
+    out = []
+    for at in range(0, len(body) - 3, 4):
+        word = struct.unpack_from("<I", body, at)[0]
+        reg, source = word & 31, word >> 5 & 31
+        value = held.get(reg)
+        if word & 0x7F800000 == 0x52800000:  # movz
+            held[reg] = (word >> 5 & 0xFFFF) << 16 * (word >> 21 & 3)
+        elif word & 0x7F800000 == 0x72800000 and value is not None:  # movk
+            shift = 16 * (word >> 21 & 3)
+            held[reg] = value & ~(0xFFFF << shift) | (word >> 5 & 0xFFFF) << shift
+        elif word == 0xD65F03C0:  # ret
+            held = {}
+        elif source == 31 and word & 0xFFC00000 in (0x39000000, 0x79000000, 0xB9000000, 0xF9000000):  # strb, strh, str
+            size = 1 << (word >> 30)
+            if value is not None:
+                out.append((at, (word >> 10 & 0xFFF) * size, (value & (1 << 64) - 1).to_bytes(8, "little")[:size]))
+        elif source == 31 and word & 0xFFE00C00 == 0xF8000000 and value is not None:  # stur
+            shift = word >> 12 & 0x1FF
+            out.append((at, shift - 512 if shift & 256 else shift, value.to_bytes(8, "little")))
+        elif source == 31 and word & 0xFFC00000 == 0xA9000000:  # stp
+            shift = word >> 15 & 0x7F
+            for k, r in enumerate((reg, word >> 10 & 31)):
+                if r in held:
+                    out.append((at, 8 * ((shift - 128 if shift & 64 else shift) + k), held[r].to_bytes(8, "little")))
+    return out
 
 
-def _x86_writes(body: bytes) -> list[tuple[int, int, bytes]]:
-    return [(m.start(), struct.unpack("b", m[1])[0] if m[1] else 0, m[2]) for pattern, _ in STORES for m in pattern.finditer(body)]
+def references(arch: str | None, sections: list[dict], data: bytes) -> dict[int, int]:
+    """How often code of 64 bits takes each address by lea."""
+    out: Counter = Counter()
+    if arch == "x86_64":
+        for s in (s for s in sections if s["executable"]):
+            body = data[s["file_offset"] : s["file_offset"] + s["file_size"]]
+            out.update(signed(s["virtual_address"] + m.end() + struct.unpack("<i", m[1])[0]) for m in LEA.finditer(body))
+    return out
 
 
-def _arm_writes(body: bytes) -> list[tuple[int, int, bytes]]:
-    """movz of a character to a register, then strb of that register to [sp, #d]."""
-    held: dict[int, int] = {}
+def writes_of(arch: str | None, sections: list[dict], symbols, data: bytes) -> list[dict]:
+    """What is written to the stack, with the function that does it: where a symbol or, without one, a return before it is."""
     out = []
-    for at in range(0, len(body) - 3, 4):
-        word = struct.unpack_from("<I", body, at)[0]
-        if word & 0xFFE00000 == 0x52800000:
-            held[word & 31] = word >> 5 & 0xFFFF
-        elif word & 0xFFC003E0 == 0x390003E0 and (word & 31) in held:
-            out.append((at, word >> 10 & 0xFFF, bytes([held[word & 31] & 0xFF])))
+    for s in (s for s in sections if s["executable"]):
+        base, size = s["virtual_address"], s["file_size"]
+        body = data[s["file_offset"] : s["file_offset"] + size]
+        if arch in ("x86", "x86_64"):
+            inside = lambda at, n: data[s["file_offset"] + at : s["file_offset"] + at + n] if at >= 0 else b""  # noqa: B023, E731
+            found, ends = x86_writes(body, arch == "x86_64", inside), re.finditer(rb"\xc3", body)
+        elif arch == "aarch64":
+            found, ends = arm_writes(body), (m for m in re.finditer(rb"\xc0\x03\x5f\xd6", body) if m.start() % 4 == 0)
+        else:
+            continue
+        if not found:
+            continue
+        named = sorted(va - base for va in symbols if 0 <= va - base < size)
+        borders = [0, *(named or (m.end() for m in ends))]
+        for at, target, value in found:
+            region = borders[bisect_right(borders, at) - 1]
+            out.append({"place": signed(base + at), "region": signed(base + region), "target": target, "bytes": value})
     return out
 
 
 def code_facts(parsed: DataFrame) -> DataFrame:
-    """(input_id, arch_idx, refs, writes) from the executable sections of parsed inputs: addresses that lea takes, and
-    immediates that are written to the stack, with the function (from one return to the next) that writes them."""
+    """(input_id, arch_idx, refs, writes) from the executable sections of parsed inputs: addresses that lea takes, and what is
+    written to the stack. Both go by the bytes of instructions wherever they stand, so bytes within another instruction or
+    within data between functions can look like one."""
     schema = T._parse_datatype_string(f"input_id string, arch_idx int, refs array<long>, writes {WRITES}")
     kinds = [to_arrow_type(schema[x].dataType) for x in ("refs", "writes")]
-    rows = parsed.select("input_id", "arch_idx", "arch", "sections", "content")
 
     def run(batches):
-        for batch in batches:
-            refs, writes = [], []
-            for arch, sections, data in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
-                own_refs, own_writes = [], []
-                for s in (s for s in sections if s["executable"]):
-                    body, base = data[s["file_offset"] : s["file_offset"] + s["file_size"]], s["virtual_address"]
-                    if arch in ("x86", "x86_64"):
-                        own_refs += [signed(base + m.end() + struct.unpack("<i", m[1])[0]) for m in LEA.finditer(body)] if arch == "x86_64" else []
-                        ends, found = [m.end() for m in RETURN.finditer(body)], _x86_writes(body)
-                    else:
-                        ends, found = [i + 4 for i in range(0, len(body) - 3, 4) if body[i : i + 4] == b"\xc0\x03\x5f\xd6"], _arm_writes(body) if arch == "aarch64" else []
-                    borders = [0, *ends]
-                    for at, target, value in found:
-                        region = max(b for b in borders if b <= at)
-                        own_writes.append({"place": signed(base + at), "region": signed(base + region), "target": target, "bytes": value})
-                refs.append(own_refs)
-                writes.append(own_writes)
+        for batch in sliced(batches):
+            rows = list(zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5))))
+            refs = [sorted(references(arch, sections, data).elements()) for arch, sections, _, data in rows]
+            writes = [writes_of(arch, sections, [va for va, _ in symbols], data) for arch, sections, symbols, data in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(refs, kinds[0]), pa.array(writes, kinds[1])], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return parsed.select("input_id", "arch_idx", "arch", "sections", "symbols", "content").mapInArrow(run, schema)
 
 
 def reference_counts(refs: DataFrame) -> DataFrame:
@@ -110,21 +199,34 @@ def back_edges(blocks: DataFrame, edges: DataFrame) -> DataFrame:
     return hits.groupBy("function").agg(F.count("*").alias("loops"))
 
 
+def call_sites(calls: DataFrame, sites: DataFrame, most: int = 6) -> DataFrame:
+    """(target, caller, block, ip): the first places from which a function is called, by caller, then place; a call of itself
+    does not count. `calls` is (caller, callee), `sites` (caller, block, ip, target): calls in the blocks of each caller."""
+    known = calls.where("caller <> callee").select("caller", F.col("callee").alias("target")).distinct()
+    w = Window.partitionBy("target").orderBy("caller", "block", "ip")
+    return sites.join(known, ["caller", "target"], "left_semi").withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("target", "caller", "block", "ip")
+
+
 def loop_blocks(blocks: DataFrame, edges: DataFrame) -> DataFrame:
-    """Blocks within a loop: their start lies between the target and the source of an edge that goes back."""
-    back = edges.where(F.col("dst") <= F.col("src")).select("function", "src", "dst").distinct()
-    return blocks.join(back, "function").where((F.col("start") >= F.col("dst")) & (F.col("start") <= F.col("src"))).select("function", "start").distinct()
+    """Blocks within a loop: their start lies between the target and the source of an edge that goes back. In the order of
+    addresses, a block is in a loop if some edge that goes back to here or before comes from here or later: one pass over
+    a function's blocks and edges, no join."""
+    back = edges.where(F.col("dst") <= F.col("src")).select("function", F.col("dst").alias("at"), "src")
+    both = back.unionByName(blocks.select("function", F.col("start").alias("at"), F.lit(None).cast(back.schema["src"].dataType).alias("src")))
+    furthest = F.max("src").over(Window.partitionBy("function").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return both.withColumn("furthest", furthest).where(F.col("src").isNull() & (F.col("furthest") >= F.col("at"))).select("function", F.col("at").alias("start")).distinct()
 
 
 def reachable(calls: DataFrame, entries: DataFrame, stash) -> DataFrame:
-    """(function): all that is called from the entries, directly or not. A round goes one call further; `stash` writes what
-    it found, so the plan does not grow. Cyclic calls end, as a function is visited once."""
-    front = found = stash(entries.select("function").distinct())
-    while not front.isEmpty():
-        step = front.join(calls, front["function"] == calls["caller"]).select(F.col("callee").alias("function")).distinct()
-        front = stash(step.join(found, "function", "left_anti"))
-        found = stash(found.unionByName(front))
-    return found
+    """(function): all that is called from the entries, directly or not. A round goes one call further and writes only what is
+    new; `stash` writes it. Cyclic calls end, as a function is visited once."""
+    fronts = [stash(entries.select("function").distinct())]
+    while not fronts[-1].isEmpty():
+        step = fronts[-1].join(calls, F.col("function") == F.col("caller")).select(F.col("callee").alias("function")).distinct()
+        fronts.append(stash(step.join(reduce(DataFrame.unionByName, fronts), "function", "left_anti")))
+        if len(fronts) > 16:  # what was found long ago becomes one table, so that the plan does not grow
+            fronts = [stash(reduce(DataFrame.unionByName, fronts[:-1])), fronts[-1]]
+    return reduce(DataFrame.unionByName, fronts)
 
 
 def _steps(c: Column, steps: list[tuple[int, float]], rest: float) -> Column:
@@ -198,9 +300,10 @@ def predecessors(blocks: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(own, ["function", "dst"]).select("function", F.col("dst").alias("start"), F.col("src").alias("predecessor")).distinct()
 
 
-def candidates(blocks: DataFrame, edges: DataFrame, calls: DataFrame, instructions: DataFrame, symbols: DataFrame, strings: DataFrame) -> DataFrame:
-    """A row for each function that looks like a decoder, with its features, score, name and the number of strings whose
-    address it is. `calls` is (caller, callee, imported), `symbols` (va, name), `strings` (address)."""
+def candidates(blocks: DataFrame, edges: DataFrame, calls: DataFrame, instructions: DataFrame, symbols: DataFrame, strings: DataFrame, imports: DataFrame | None = None, capabilities: DataFrame | None = None) -> DataFrame:
+    """A row for each function that looks like a decoder, with its features, score, name, the number of strings whose address
+    it is and, as `tags`, what the imports that it calls can do. `calls` is (caller, callee, imported), `symbols` (va,
+    name), `strings` (address), `imports` (iat_va, name), `capabilities` (name, tag)."""
     out = calls.select("caller", "callee", "imported").distinct().groupBy(F.col("caller").alias("function")).agg(
         F.count(F.when(F.col("imported"), 1)).alias("imports"), F.count(F.when(~F.col("imported"), 1)).alias("callees")
     )
@@ -208,5 +311,10 @@ def candidates(blocks: DataFrame, edges: DataFrame, calls: DataFrame, instructio
     made = strings.groupBy(F.col("address").alias("function")).agg(F.count("*").alias("recovered_strings"))
     features = byte_sizes(blocks).join(densities(instructions), "function", "left").join(back_edges(blocks, edges), "function", "left").join(callers, "function", "left").join(out, "function", "left").join(made, "function", "left")
     filled = features.na.fill(0, ["instructions", "bitwise_density", "loops", "callers", "imports", "callees", "recovered_strings"])
-    named = decoder_scores(filled).withColumnRenamed("function", "va").join(symbols.select("va", "name"), "va", "left")
-    return named.where(F.col("score") >= 0.3)
+    named = decoder_scores(filled).where(F.col("score") >= 0.3).withColumnRenamed("function", "va").join(symbols.select("va", "name"), "va", "left")
+    none = F.array().cast("array<string>")
+    if imports is None or capabilities is None:
+        return named.withColumn("tags", none)
+    called = calls.where("imported").select(F.col("caller").alias("function"), F.col("callee").alias("iat_va")).distinct()
+    tags = import_tags(called, imports, capabilities).withColumnRenamed("function", "va")
+    return named.join(tags, "va", "left").withColumn("tags", F.coalesce("tags", none))

@@ -9,10 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
-from stringloom.operators.runs import run_type
-from stringloom.schema import Options
+from stringloom.operators.runs import Run, as_arrow, run_type, sliced
+from stringloom.schema import Bounds, Options
 
 # Names of sections and marks in the bytes.
 GO_TEXT = (".rodata", ".rdata", "__rodata", "__TEXT,__rodata", "__TEXT,__cstring")
@@ -24,12 +23,17 @@ RUST_TOKENS = ("$LT$", "4core", "3std", "5alloc", "11collections", "17h")
 
 #: Characters that separate text in these sections: controls but tab, and bytes that are no UTF-8.
 BREAKS = "\x00-\x08\x0a-\x1f\x7f-\x9f\ud800-\udfff"
-#: Bytes of a section that are searched for the compiler's version and for crate names; longest name and most names of a table.
-VERSION, CRATES, NAME, NAMES = 256, 8192, 1024, 200_000
+
+
+def toolchain_of(sections: list[dict], data: bytes) -> str | None:
+    """go, rust or None, by section names and by marks anywhere in the input; go first."""
+    if any(s["name"].endswith("gopclntab") or "go.buildinfo" in s["name"] for s in sections) or b"\xff Go buildinf:" in data:
+        return "go"
+    return "rust" if any(mark.encode() in data for mark in RUST_MARKS) else None
 
 
 def toolchain(sections: Column, content: Column) -> Column:
-    """go, rust or null, by section names and by marks anywhere in the input; go first."""
+    """The same as an expression."""
     text = F.decode(content, "ISO-8859-1")
     go = F.exists(sections, lambda s: s["name"].endswith("gopclntab") | s["name"].contains("go.buildinfo")) | F.contains(text, F.lit("ÿ Go buildinf:"))
     rust = F.lit(False)
@@ -51,96 +55,113 @@ def _part(data: bytes, s: dict) -> bytes:
     return data[s["file_offset"] : end] if end <= len(data) else b""
 
 
-def _run(kind: str, at: int, raw: bytes) -> dict:
-    return {"kind": kind, "encoding": "utf8", "offset": at, "length": len(raw), "value": raw.decode("utf-8", "replace"), "align": 0, "decoded_offset": None, "source_length": None}
+def _run(kind: str, at: int, raw: bytes, place: int) -> Run:
+    return Run(kind, "utf8", at, len(raw), raw.decode("utf-8", "replace"), place=place)
 
 
-def text_runs(kind: str, data: bytes, s: dict, least: int) -> list[dict]:
+def text_runs(kind: str, data: bytes, s: dict, least: int, place: int = 0) -> list[Run]:
     """Runs of at least `least` bytes."""
     text, at, seen, out = _part(data, s).decode("utf-8", "surrogateescape"), s["file_offset"], 0, []
     for m in re.finditer(f"[^{BREAKS}]+", text):
         at += len(text[seen : m.start()].encode("utf-8", "surrogateescape"))
         raw = m[0].encode()
         if len(raw) >= max(1, least):
-            out.append(_run(kind, at, raw))
+            out.append(_run(kind, at, raw, place))
         seen, at = m.end(), at + len(raw)
     return out
 
 
-def go_names(data: bytes, s: dict) -> list[dict]:
-    """Function names of the line table: the header gives where they begin; they end with NUL."""
-    body = _part(data, s)
+def go_names(data: bytes, s: dict, least: int = 1, place: int = 0, bounds: Bounds = Bounds(), warnings: list[str] | None = None) -> list[Run]:
+    """Function names of the line table, as far as it lies within the input: the header gives where they begin; they end with
+    NUL. Names of at least `least` bytes count, up to the bounds."""
+    body = data[s["file_offset"] : s["file_offset"] + s["file_size"]]
     if len(body) < 8:
         return []
-    for end in "<>":
-        magic = struct.unpack_from(end + "I", body)[0]
-        if magic in (0xFFFFFFFA, 0xFFFFFFF0, 0xFFFFFFF1) and body[4:6] == b"\0\0" and body[7] in (4, 8):
-            width, field = body[7], 2 if magic == 0xFFFFFFFA else 3
-            place = 8 + field * width
-            if place + width > len(body):
-                return []
-            at = struct.unpack_from(end + ("Q" if width == 8 else "I"), body, place)[0]
-            break
-    else:
+    magic, width = struct.unpack_from("<I", body)[0], body[7]
+    if magic not in (0xFFFFFFFA, 0xFFFFFFF0, 0xFFFFFFF1) or body[4:6] != b"\0\0" or width not in (4, 8):
+        return []
+    field = 8 + (2 if magic == 0xFFFFFFFA else 3) * width
+    if field + width > len(body):
         return []
-    out, seen = [], 0
-    while at < len(body) and seen < NAMES:
-        stop = body.find(b"\0", at, at + NAME + 1)
-        stop = min(at + NAME, len(body)) if stop < 0 else stop
-        raw = body[at:stop]
-        seen += 1
-        if raw and re.search(rb"[./]", raw):
-            try:
-                text = raw.decode("utf-8")
-            except UnicodeDecodeError:
-                text = ""
-            if text and not re.search(r"[\x00-\x1f\x7f-\x9f]", text) and all(c.isascii() or c.isalnum() for c in text):
-                out.append(_run("go", s["file_offset"] + at, raw))
-        at = stop + 1
+    at, out, cut = struct.unpack_from("<Q" if width == 8 else "<I", body, field)[0], [], 0
+    for m in re.finditer(rb"[^\0]+", body[at:]):
+        # A longer name goes on as a name of its own after the byte at which it is cut.
+        step = len(m[0]) if bounds.name is None else bounds.name + 1
+        cut += len(m[0]) >= step
+        for begin in range(0, len(m[0]), step):
+            raw = m[0][begin : begin + (step if bounds.name is None else bounds.name)]
+            if len(raw) >= max(1, least) and _is_name(raw):
+                if bounds.names is not None and len(out) >= bounds.names:
+                    if warnings is not None:
+                        warnings.append(f"Go: no more than {bounds.names} names are taken")
+                    return out
+                out.append(_run("go", s["file_offset"] + at + m.start() + begin, raw, place))
+    if cut and bounds.name is not None and warnings is not None:
+        warnings.append(f"Go: {cut} names are cut after {bounds.name} bytes")
     return out
 
 
-def rust_metadata(data: bytes, s: dict) -> list[dict]:
-    """The compiler's version and the distinct crate names of a metadata section."""
+def _is_name(raw: bytes) -> bool:
+    if not re.search(rb"[./]", raw):
+        return False
+    try:
+        text = raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return False
+    return not re.search(r"[\x00-\x1f\x7f-\x9f]", text) and all(c.isascii() or c.isalnum() for c in text)
+
+
+def rust_metadata(data: bytes, s: dict, least: int = 1, place: int = 0, bounds: Bounds = Bounds(), warnings: list[str] | None = None) -> list[Run]:
+    """The compiler's version and the distinct crate names of a metadata section, of at least `least` bytes, up to the bounds."""
     body, out = _part(data, s), []
-    if m := re.search(rb"rustc [\x20-\x7e]*", body[:VERSION]):
-        out.append(_run("rust", s["file_offset"] + m.start(), m[0]))
+    if (m := re.search(rb"rustc [\x20-\x7e]*", body[: bounds.stamp])) and len(m[0]) >= least:
+        out.append(_run("rust", s["file_offset"] + m.start(), m[0], place))
     seen = set()
-    for m in re.finditer(rb"[a-z_][a-z0-9_]*", body[:CRATES]):
-        if 4 <= len(m[0]) <= 32 and m[0] not in seen:
+    for m in re.finditer(rb"[a-z_][a-z0-9_]*", body[: bounds.crates]):
+        if max(4, least) <= len(m[0]) <= 32 and m[0] not in seen:
             seen.add(m[0])
-            out.append(_run("rust", s["file_offset"] + m.start(), m[0]))
+            out.append(_run("rust", s["file_offset"] + m.start(), m[0], place))
+    if bounds.crates is not None and len(body) > bounds.crates and warnings is not None:
+        warnings.append(f"Rust: the first {bounds.crates} bytes of {s['name']} are searched for names")
     return out
 
 
+def scanned(data: bytes, sections: list[dict], language: str | None, options: Options, warnings: list[str] | None = None) -> list[Run]:
+    """The strings of the language that one input was built with."""
+    found: list[Run] = []
+    if not language or not options.wants(language):
+        return found
+    least, rest = options.min_length, (options.bounds, warnings)
+    own = [(i, s) for i, s in enumerate(sections)]
+    named = lambda known: [(i, s) for i, s in own if any(k in s["name"] for k in known)]
+    if language == "go":
+        for i, s in named(GO_TABLES)[:1]:
+            found += go_names(data, s, least, i, *rest)
+    for i, s in named(GO_TEXT if language == "go" else RUST_TEXT):
+        found += text_runs(language, data, s, least, i)
+    if language == "rust":
+        for i, s in named(RUST_METADATA):
+            found += rust_metadata(data, s, least, i, *rest)
+    return found
+
+
 def scan(parsed: DataFrame, options: Options) -> DataFrame:
     """All columns of `parsed` with `language` and `runs`: the strings of the language that the input was built with."""
-    own = parsed.withColumn("language", toolchain(F.col("sections"), F.col("content")))
-    kept = [f for f in own.schema.fields if f.name != "content"]
-    schema, names, arrow = T.StructType([*kept, T.StructField("runs", run_type())]), own.columns, to_arrow_type(run_type())
-    has = lambda s, known: any(k in s["name"] for k in known)
+    kept = [f for f in parsed.schema.fields if f.name not in ("content", "language")]
+    schema, names = T.StructType([*kept, T.StructField("language", T.StringType()), T.StructField("runs", run_type())]), parsed.columns
 
     def run(batches):
-        for batch in batches:
-            column, out = {n: batch.column(i) for i, n in enumerate(names)}, []
-            for data, sections, language in zip(*(column[x].to_pylist() for x in ("content", "sections", "language"))):
-                found: list[dict] = []
-                if language and options.wants(language):
-                    for s in (s for s in sections if has(s, GO_TEXT if language == "go" else RUST_TEXT)):
-                        found += text_runs(language, data, s, options.min_length)
-                    if language == "go":
-                        table = next((s for s in sections if has(s, GO_TABLES)), None)
-                        found += go_names(data, table) if table else []
-                    else:
-                        for s in (s for s in sections if s["name"] in RUST_METADATA):
-                            found += rust_metadata(data, s)
-                out.append(found)
-            yield pa.RecordBatch.from_arrays([*(column[f.name] for f in kept), pa.array(out, arrow)], schema.names)
-
-    return own.mapInArrow(run, schema)
-
-
-def rust_symbols(parsed: DataFrame) -> DataFrame:
-    """(input_id, arch_idx, value, address) of mangled symbols."""
+        for batch in sliced(batches):
+            column = {n: batch.column(i) for i, n in enumerate(names)}
+            rows = list(zip(column["content"].to_pylist(), column["sections"].to_pylist()))
+            languages = [toolchain_of(sections, data) for data, sections in rows]
+            out = [scanned(data, sections, language, options) for (data, sections), language in zip(rows, languages)]
+            yield pa.RecordBatch.from_arrays([*(column[f.name] for f in kept), pa.array(languages, pa.string()), as_arrow(out)], schema.names)
+
+    return parsed.mapInArrow(run, schema)
+
+
+def rust_symbols(parsed: DataFrame, least: int = 1) -> DataFrame:
+    """(input_id, arch_idx, value, address) of mangled symbols of at least `least` bytes."""
     exploded = parsed.select("input_id", "arch_idx", F.explode("symbols").alias("address", "value"))
-    return exploded.where(is_rust_symbol(F.col("value"))).select("input_id", "arch_idx", "value", "address")
+    return exploded.where(is_rust_symbol(F.col("value")) & (F.octet_length("value") >= least)).select("input_id", "arch_idx", "value", "address")

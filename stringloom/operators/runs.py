@@ -3,45 +3,66 @@
 from __future__ import annotations
 
 import base64
+import heapq
 import re
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from stringloom.schema import RUN, STATIC, Options
+from stringloom.schema import RUN, STATIC, Options, signed
 
 #: Characters that separate text: controls but tab, surrogates, U+FFFD, U+FEFF and non-characters.
 BREAKS = "\x00-\x08\x0a-\x1f\x7f-\x9f\ud800-\udfff\ufffd\ufeff\ufdd0-\ufdef" + "".join(chr(p << 16 | x) for p in range(17) for x in (0xFFFE, 0xFFFF))
-#: Rows of an Arrow batch: inputs can be large.
-ARROW_ROWS = 64
-#: Base64 tokens: the least and the greatest length, and the bytes that may be decoded from one input.
-TOKEN, LONGEST, BUDGET = 8, 1 << 20, 16 << 20
+#: Inputs of a batch that goes back to Spark.
+INPUTS = 64
+#: The least length of a Base64 token.
+TOKEN = 8
+
+
+class Run(NamedTuple):
+    """A row of RUN."""
+
+    kind: str
+    encoding: str
+    offset: int
+    length: int
+    value: str
+    align: int = 0
+    decoded_offset: int | None = None
+    source_length: int | None = None
+    place: int | None = None
+    xrefs: int = 0
 
 
 def run_type() -> T.DataType:
-    return T._parse_datatype_string(f"runs array<{RUN}>").fields[0].dataType
+    """array<RUN>, also where no session is, as in a task."""
+    kinds = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType()}
+    fields = (x.split(":") for x in RUN.removeprefix("struct<").removesuffix(">").split(","))
+    return T.ArrayType(T.StructType([T.StructField(name, kinds[kind]) for name, kind in fields]))
 
 
-def ascii_runs(data: bytes, least: int) -> list[dict]:
-    return [_row("static_ascii", "ascii", m.start(), len(m[0]), m[0].decode("ascii")) for m in re.finditer(rb"[\x09\x20-\x7e]{%d,}" % least, data)]
+def ascii_runs(data: bytes, least: int) -> list[Run]:
+    return [Run("static_ascii", "ascii", m.start(), m.end() - m.start(), m[0].decode("ascii")) for m in re.finditer(rb"[\x09\x20-\x7e]{%d,}" % least, data)]
 
 
-def utf8_runs(data: bytes, least: int, with_ascii: bool) -> list[dict]:
+def utf8_runs(data: bytes, least: int, with_ascii: bool) -> list[Run]:
     """Runs of at least `least` characters; pure ASCII ones only if the ASCII scan is off. Bytes that are no UTF-8 separate."""
     text, out, seen, at = data.decode("utf-8", "surrogateescape"), [], 0, 0
     for m in re.finditer(f"[^{BREAKS}]{{{least},}}", text):
         at += len(text[seen : m.start()].encode("utf-8", "surrogateescape"))
         size = len(m[0].encode())
         if not (with_ascii and m[0].isascii()):
-            out.append(_row("static_utf8", "utf8", at, size, m[0]))
+            out.append(Run("static_utf8", "utf8", at, size, m[0]))
         seen, at = m.end(), at + size
     return out
 
 
-def utf16_runs(data: bytes, least: int, end: str) -> list[dict]:
+def utf16_runs(data: bytes, least: int, end: str) -> list[Run]:
     """Both alignments; a lone surrogate separates."""
     out = []
     for align in (0, 1):
@@ -50,23 +71,31 @@ def utf16_runs(data: bytes, least: int, end: str) -> list[dict]:
         for m in re.finditer(f"[^{BREAKS}]{{{least},}}", text):
             at += 2 * sum(1 + (c > "\uffff") for c in text[seen : m.start()])
             size = len(m[0].encode(f"utf-16-{end}"))
-            out.append(_row(f"static_utf16_{end}", f"utf16_{end}", at, size, m[0], align))
+            out.append(Run(f"static_utf16_{end}", f"utf16_{end}", at, size, m[0], align))
             seen, at = m.end(), at + size
     return out
 
 
-def base64_runs(data: bytes, options: Options) -> list[dict]:
-    """Text within Base64 tokens, one layer deep, with the token's place and the place in what it decodes to."""
+def base64_runs(data: bytes, options: Options, warnings: list[str] | None = None) -> list[Run]:
+    """Text within Base64 tokens, one layer deep, with the token's place and the place in what it decodes to. Tokens beyond
+    the bounds are left out, and `warnings` says so."""
     kinds = [k for k in STATIC if options.wants(k)] or list(STATIC)
-    out, left = [], BUDGET
+    longest, left, out, beyond = options.bounds.base64_token, options.bounds.base64_total, [], 0
     for m in re.finditer(rb"[A-Za-z0-9+/\-_=]{%d,}" % TOKEN, data):
-        body = decoded(m[0]) if len(m[0]) <= LONGEST else None
-        if body is None:
+        if longest is not None and len(m[0]) > longest:
+            beyond += 1
+            continue
+        if (body := decoded(m[0])) is None:
             continue
-        if len(body) > left:
-            break
-        left -= len(body)
-        out += [x | {"kind": "base64", "offset": m.start(), "decoded_offset": x["offset"], "source_length": len(m[0])} for x in static_runs(body, options.min_length, kinds)]
+        if left is not None:
+            if len(body) > left:
+                if warnings is not None:
+                    warnings.append(f"Base64: no more than {options.bounds.base64_total} bytes are decoded")
+                break
+            left -= len(body)
+        out += [x._replace(kind="base64", offset=m.start(), decoded_offset=x.offset, source_length=len(m[0])) for x in static_runs(body, options.min_length, kinds)]
+    if beyond and warnings is not None:
+        warnings.append(f"Base64: {beyond} tokens of more than {longest} bytes are left out")
     return out
 
 
@@ -82,7 +111,7 @@ def decoded(token: bytes) -> bytes | None:
     return None
 
 
-def static_runs(data: bytes, least: int, kinds, mirrored: bool = False) -> list[dict]:
+def static_runs(data: bytes, least: int, kinds, mirrored: bool = False) -> list[Run]:
     """The scans in their order. Without `mirrored`, UTF-16 rows that only the wrong byte order sees are left out at once; see
     `without_mirrored`."""
     if least == 0:
@@ -95,36 +124,78 @@ def static_runs(data: bytes, least: int, kinds, mirrored: bool = False) -> list[
             out += utf16_runs(data, least, end)
     if mirrored or not {"static_utf16_le", "static_utf16_be"} <= set(kinds):
         return out
-    plain = {(x["kind"], x["offset"], x["length"]) for x in out if x["encoding"].startswith("utf16") and x["value"].isascii()}
+    plain = {(x.kind, x.offset, x.length) for x in out if x.encoding.startswith("utf16") and x.value.isascii()}
     other = {"static_utf16_le": "static_utf16_be", "static_utf16_be": "static_utf16_le"}
-    return [x for x in out if (x["kind"], x["offset"], x["length"]) not in plain or (other[x["kind"]], x["offset"] - 1, x["length"] + 2) not in plain]
+    return [x for x in out if (x.kind, x.offset, x.length) not in plain or (other[x.kind], x.offset - 1, x.length + 2) not in plain]
+
+
+def places(offsets: list[int], sections: list[dict]) -> list[int | None]:
+    """For each offset the position of the smallest section that holds it, the first of equals. Offsets and sections are
+    gone through once, in order, with the open sections in a heap."""
+    out: list[int | None] = [None] * len(offsets)
+    begins = sorted(range(len(sections)), key=lambda i: sections[i]["file_offset"])
+    open_: list[tuple[int, int, int]] = []
+    ahead = 0
+    for i in sorted(range(len(offsets)), key=offsets.__getitem__):
+        while ahead < len(begins) and sections[begins[ahead]]["file_offset"] <= offsets[i]:
+            s = sections[begins[ahead]]
+            heapq.heappush(open_, (s["file_size"], s["idx"], begins[ahead]))
+            ahead += 1
+        while open_ and sections[open_[0][2]]["file_offset"] + open_[0][0] <= offsets[i]:
+            heapq.heappop(open_)
+        if open_:
+            out[i] = open_[0][2]
+    return out
 
 
-def _row(kind: str, encoding: str, offset: int, length: int, value: str, align: int = 0) -> dict:
-    return {"kind": kind, "encoding": encoding, "offset": offset, "length": length, "value": value, "align": align, "decoded_offset": None, "source_length": None}
+def scanned(data: bytes, start: int, end: int, arch: int, sections: list[dict], options: Options, mirrored: bool = False, targets: dict[int, int] | None = None, warnings: list[str] | None = None) -> list[Run]:
+    """What one input holds between `start` and `end`, each string with the position of its section and, if `targets` gives how
+    often code takes each address, with its references. Base64 tokens are sought in the whole input, with its first
+    architecture."""
+    kinds = [k for k in STATIC if options.wants(k)]
+    found = static_runs(data[start:end], options.min_length, kinds, mirrored)
+    if start:
+        found = [x._replace(offset=x.offset + start) for x in found]
+    own = places([x.offset for x in found], sections)
+    if targets:
+        for i, (x, place) in enumerate(zip(found, own)):
+            if place is not None:
+                s = sections[place]
+                found[i] = x._replace(place=place, xrefs=targets.get(signed(s["virtual_address"] + x.offset - s["file_offset"]), 0))
+    else:
+        found = [Run(*x[:8], place, 0) for x, place in zip(found, own)]
+    return found + (base64_runs(data, options, warnings) if options.decode_base64 and options.wants("base64") and arch == 0 else [])
+
+
+def as_arrow(found: list[list[Run]]) -> pa.ListArray:
+    """Runs of several inputs as a column of lists, built column by column."""
+    kind = to_arrow_type(run_type())
+    fields = [kind.value_type.field(i) for i in range(kind.value_type.num_fields)]
+    columns = list(zip(*(x for own in found for x in own))) or [()] * len(fields)
+    ends = np.cumsum([0, *map(len, found)])
+    rows = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], fields=fields)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows, type=kind)
+
+
+def sliced(batches, rows: int = INPUTS):
+    """Batches of a few inputs each: inputs can be large, and so can what is found in them."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def scan(parsed: DataFrame, options: Options, mirrored: bool = False) -> DataFrame:
     """All columns of `parsed` (with `content`, `scan_start` and `scan_end`) but the content, and `runs`. Offsets count from
-    the beginning of the input; Base64 tokens are sought in the whole input, once, with its first architecture. No shuffle and
-    no join: a row says all that its scan needs."""
-    spark = parsed.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    the beginning of the input. No shuffle and no join: a row says all that its scan needs."""
     kept = [f for f in parsed.schema.fields if f.name != "content"]
-    schema = T.StructType([*kept, T.StructField("runs", run_type())])
-    names, arrow = parsed.columns, to_arrow_type(run_type())
-    kinds = [k for k in STATIC if options.wants(k)]
-    with_base64 = options.decode_base64 and options.wants("base64")
+    schema, names = T.StructType([*kept, T.StructField("runs", run_type())]), parsed.columns
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             column = {n: batch.column(i) for i, n in enumerate(names)}
-            out = []
-            for data, start, end, arch in zip(*(column[x].to_pylist() for x in ("content", "scan_start", "scan_end", "arch_idx"))):
-                found = [x | {"offset": x["offset"] + start} for x in static_runs(data[start:end], options.min_length, kinds, mirrored)]
-                out.append(found + (base64_runs(data, options) if with_base64 and arch == 0 else []))
-            yield pa.RecordBatch.from_arrays([*(column[f.name] for f in kept), pa.array(out, arrow)], schema.names)
+            rows = zip(*(column[x].to_pylist() for x in ("content", "scan_start", "scan_end", "arch_idx", "sections")))
+            out = [scanned(*row, options, mirrored) for row in rows]
+            yield pa.RecordBatch.from_arrays([*(column[f.name] for f in kept), as_arrow(out)], schema.names)
 
     return parsed.mapInArrow(run, schema)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stringloom.functions.text import quality, tags
+from stringloom.functions.text import once, quality, tags
 from stringloom.schema import ORDER, PASS, STATIC, Options
 
 
@@ -18,28 +18,26 @@ def place_of(values: dict[str, int] | tuple[str, ...], c: Column) -> Column:
     return out
 
 
-def containing(sections: Column, offset: Column) -> Column:
-    """The smallest section that holds a file offset, the first of equals; null if none does. The sections of an input are
-    an array in its row, so this is no join."""
-    inside = F.filter(sections, lambda s: (offset >= s["file_offset"]) & (offset < s["file_offset"] + s["file_size"]))
-    return F.array_min(F.transform(inside, lambda s: F.struct(s["file_size"].alias("file_size"), s["idx"].alias("idx"), s["name"].alias("name"), s["file_offset"].alias("file_offset"), s["virtual_address"].alias("virtual_address"), s["executable"].alias("executable"))))
+def located(scanned: DataFrame) -> DataFrame:
+    """A row for each run of `scanned` (parsed inputs with `runs`), with its section and address. Base64 rows have none. The
+    scan has said which section it is; it is looked up before the runs become rows, so no row carries the sections."""
 
+    def own(r: Column) -> Column:
+        s = F.get("sections", r["place"])
+        return F.struct(
+            *(r[x].alias(x) for x in ("value", "kind", "encoding", "offset", "length")),
+            (s["virtual_address"] + r["offset"] - s["file_offset"]).alias("address"), s["name"].alias("section"), F.coalesce(s["executable"], F.lit(False)).alias("in_code"),
+            *(r[x].alias(x) for x in ("align", "decoded_offset", "source_length", "xrefs")),
+        )
 
-def located(scanned: DataFrame) -> DataFrame:
-    """A row for each run of `scanned` (parsed inputs with `runs`), with its section and address. Base64 rows have none."""
-    r = scanned.select("input_id", "arch_idx", "sections", F.posexplode("runs").alias("pos", "r")).select("input_id", "arch_idx", "sections", "pos", "r.*")
-    r = r.withColumn("own", F.when(F.col("kind") != "base64", containing(F.col("sections"), F.col("offset"))))
-    seq = F.struct((F.col("kind") == "base64").cast("int").alias("stage"), F.col("arch_idx").alias("arch_idx"), place_of(PASS, F.col("kind")).alias("pass"), F.col("align").alias("align"), F.col("pos").cast("long").alias("pos"))
-    return r.select(
-        "input_id", "arch_idx", "value", "kind", "encoding", "offset", "length",
-        (F.col("own.virtual_address") + F.col("offset") - F.col("own.file_offset")).alias("address"),
-        F.col("own.name").alias("section"), F.coalesce("own.executable", F.lit(False)).alias("in_code"),
-        "decoded_offset", "source_length", seq.alias("seq"),
-    )
+    r = scanned.select("input_id", "arch_idx", F.posexplode(F.transform("runs", own)).alias("pos", "r")).select("input_id", "arch_idx", "pos", "r.*")
+    seq = F.struct((F.col("kind") == "base64").cast("int").alias("stage"), F.col("arch_idx").alias("arch_idx"), place_of(PASS, F.col("kind")).alias("pass"), F.col("align").cast("long").alias("align"), F.col("pos").cast("long").alias("pos"))
+    return r.select("input_id", "arch_idx", "value", "kind", "encoding", "offset", "length", "address", "section", "in_code", "decoded_offset", "source_length", "xrefs", seq.alias("seq"))
 
 
 def in_library(strings: DataFrame, library: DataFrame | None) -> DataFrame:
-    """With `in_library`: whether the whole value is in `library` (value), a table of known strings."""
+    """With `in_library`: whether the whole value is in `library` (value), a table of known strings. Spark broadcasts it if its
+    measured size allows; else both sides are shuffled, and adaptive execution splits a value that stands very often."""
     if library is None:
         return strings.withColumn("in_library", F.lit(False))
     known = library.select("value").distinct().withColumn("known", F.lit(True))
@@ -47,9 +45,12 @@ def in_library(strings: DataFrame, library: DataFrame | None) -> DataFrame:
 
 
 def with_duplicates(strings: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """With `is_duplicate`: the value came before in the same input, in the order of extraction."""
-    w = Window.partitionBy(*(by or ["input_id"]), "value").orderBy("seq")
-    return strings.withColumn("is_duplicate", F.row_number().over(w) > 1)
+    """With `is_duplicate`: the value came before in the same input, in the order of extraction. The first place of each value
+    is found by partial aggregates, so a value that stands very often is no large group anywhere. `strings` is read
+    twice and should be a written table."""
+    key = [*(by or ["input_id"]), "value"]
+    first = strings.groupBy(*key).agg(F.min("seq").alias("first_seq"))
+    return strings.join(first, key).withColumn("is_duplicate", F.col("seq") > F.col("first_seq")).drop("first_seq")
 
 
 def annotated(strings: DataFrame) -> DataFrame:
@@ -75,7 +76,9 @@ def late_filters(strings: DataFrame, options: Options) -> DataFrame:
         strings = strings.where(F.arrays_overlap("tags", F.array(*(F.lit(t) for t in options.required_tags))))
     if options.min_trigram_score is not None:
         strings = strings.where(F.col("trigram_score").isNull() | (F.col("trigram_score") >= options.min_trigram_score))
-    return strings.where(quality(F.col("value")) >= options.min_quality) if options.min_quality > 0 else strings
+    if options.min_quality > 0:
+        strings = strings.select("*", once(quality(F.col("value"))).alias("quality")).where(F.col("quality") >= options.min_quality).drop("quality")
+    return strings
 
 
 def order_columns() -> list[Column]:
@@ -84,9 +87,12 @@ def order_columns() -> list[Column]:
 
 
 def first_of_each(strings: DataFrame) -> DataFrame:
-    """The first row, in the order of results, of each value, kind and encoding of an input."""
-    w = Window.partitionBy("input_id", "value", "kind", "encoding").orderBy(*order_columns())
-    return strings.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+    """The first row, in the order of results, of each value, kind and encoding of an input. Tasks keep the first of their own
+    rows before anything is shuffled."""
+    key = ["input_id", "value", "kind", "encoding"]
+    rest = F.struct(*(c for c in strings.columns if c not in key))
+    order = F.struct(*(c.alias(f"k{i}") for i, c in enumerate(order_columns())))
+    return strings.groupBy(*key).agg(F.min_by(rest, order).alias("first")).select(*key, "first.*").select(*strings.columns)
 
 
 def by_kind(strings: DataFrame, *more: str) -> DataFrame:
@@ -99,8 +105,10 @@ def by_function(strings: DataFrame) -> DataFrame:
     return strings.groupBy("input_id", own.alias("function_va")).agg(F.count("*").alias("strings"))
 
 
-def only_candidates(strings: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Without strings of code (stack, tight, decoded) whose function is no candidate; others stay."""
-    from_code = F.col("kind").isin("stack", "tight", "decoded")
-    kept = strings.where(from_code).join(candidates.select("input_id", F.col("va").alias("function_va")).distinct(), ["input_id", "function_va"], "left_semi")
-    return strings.where(~from_code).unionByName(kept.select(*strings.columns))
+def only_candidates_of(strings: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Without strings of code (stack, tight, decoded) whose function is no candidate of their input; others stay. `strings` has
+    the address of the function as `function_va` in its location."""
+    known = candidates.select("input_id", F.col("va").alias("function_va"), F.lit(True).alias("known")).distinct()
+    own = F.when(F.col("kind").isin("stack", "tight", "decoded"), F.col("location.function_va"))
+    kept = strings.withColumn("function_va", own).join(known, ["input_id", "function_va"], "left")
+    return kept.where(F.col("known") | ~F.col("kind").isin("stack", "tight", "decoded")).select(*strings.columns)

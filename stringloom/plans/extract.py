@@ -1,81 +1,125 @@
-"""The whole extraction as one plan."""
+"""The whole extraction: one pass over the inputs, and relational work on what it found."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from stringloom.functions.text import trigram_scores
 from stringloom.operators import code, language, runs
 from stringloom.operators import strings as rows
-from stringloom.schema import STATIC, Options
-from stringloom.sources.containers import parse
+from stringloom.schema import PARSED, STATIC, WRITES, Options
+from stringloom.sources.containers import architectures
+from stringloom.tables import stash
 
 
 @dataclass
 class Result:
-    """Tables by input_id."""
+    """Tables by input_id. `candidates` are functions that look like decoders, (input_id, va, name, score, recovered_strings,
+    tags), where the caller has the call graph for `code.candidates`; reports and documents then show them."""
 
     strings: DataFrame
     inputs: DataFrame
     warnings: DataFrame
+    candidates: DataFrame | None = None
 
+    def only_candidates(self) -> Result:
+        """Without strings of code whose function is no candidate."""
+        return self if self.candidates is None else replace(self, strings=rows.only_candidates_of(self.strings, self.candidates))
 
-def stack_rows(parsed: DataFrame, least: int) -> DataFrame:
+
+def examined(inputs: DataFrame, options: Options, mirrored: bool = False) -> DataFrame:
+    """One row per input and architecture: PARSED, `language`, `runs` of all kinds that are wanted, and `writes`. Contents go to
+    Python once and do not come back; nothing is shuffled."""
+    schema = T._parse_datatype_string(f"{PARSED}, language string, runs array<{runs.RUN}>, writes {WRITES}")
+    head = T.StructType([f for f in schema if f.name != "runs"])
+    arrow, at = to_arrow_schema(head), schema.names.index("runs")
+    static = any(options.wants(k) for k in STATIC) or (options.decode_base64 and options.wants("base64"))
+    by_language, stack = options.wants("go") or options.wants("rust"), options.wants("stack")
+    beyond = [f"nothing here finds strings of kind {k}" for k in options.unsupported]
+
+    def one(input_id: str, data: bytes):
+        for x in architectures(input_id, data, options.format):
+            own = x | {"language": None, "writes": [], "warnings": [*x["warnings"], *(beyond if x["arch_idx"] == 0 else [])]}
+            found = []
+            if not x["error"]:
+                own["language"] = language.toolchain_of(x["sections"], data)
+                if static:
+                    targets = code.references(x["arch"], x["sections"], data)
+                    found += runs.scanned(data, x["scan_start"], x["scan_end"], x["arch_idx"], x["sections"], options, mirrored, targets, own["warnings"])
+                if by_language:
+                    found += language.scanned(data, x["sections"], own["language"], options, own["warnings"])
+                if stack:
+                    own["writes"] = code.writes_of(x["arch"], x["sections"], [va for va, _ in x["symbols"]], data)
+            yield own, found
+
+    def run(batches):
+        for batch in runs.sliced(batches):
+            both = [x for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in one(i, data or b"")]
+            table = pa.RecordBatch.from_pylist([own for own, _ in both], schema=arrow)
+            columns = table.columns
+            columns.insert(at, runs.as_arrow([found for _, found in both]))
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return inputs.select("input_id", "content").mapInArrow(run, schema)
+
+
+def stack_rows(facts: DataFrame, least: int) -> DataFrame:
     """Strings that code writes to the stack byte by byte or word by word."""
-    facts = code.code_facts(parsed).select("input_id", "arch_idx", F.explode("writes").alias("w")).select("input_id", "arch_idx", "w.*")
-    each = facts.select("input_id", "arch_idx", "region", "place", "target", F.posexplode(F.filter(F.split(F.hex("bytes"), "(?<=\\G..)"), lambda x: x != "")).alias("i", "x"))
+    each = facts.select("input_id", "arch_idx", F.explode("writes").alias("w")).select("input_id", "arch_idx", "w.*")
+    each = each.select("input_id", "arch_idx", "region", "place", "target", F.posexplode(F.filter(F.split(F.hex("bytes"), "(?<=\\G..)"), lambda x: x != "")).alias("i", "x"))
     each = each.select("input_id", "arch_idx", "region", "place", (F.col("target") + F.col("i")).alias("target"), F.conv("x", 16, 10).cast("int").alias("byte"))
     return code.stack_strings(each, ["input_id", "arch_idx", "region"], least)
 
 
-def extract(inputs: DataFrame, options: Options = Options(), library: DataFrame | None = None, model: DataFrame | None = None, lowercase: bool = True) -> Result:
-    """Strings of all `inputs` (input_id, content). Branches for kinds that are not wanted are not built. `library` (value)
-    are known strings, `model` (gram, n) scores trigrams. The rows are in no order; `strings.order_columns` gives it."""
+def _code_rows(found: DataFrame, kind: str, stage: int, section: str | None, align: str) -> DataFrame:
+    """(input_id, arch_idx, value, va) of a kind that belongs to a function, not to a place in the file."""
+    none = lambda t: F.lit(None).cast(t)
+    seq = F.struct(F.lit(0).alias("stage"), "arch_idx", F.lit(stage).alias("pass"), F.col(align).cast("long").alias("align"), F.col("va").alias("pos"))
+    encoding = "ascii" if kind == "stack" else "utf8"
+    return found.select(
+        "input_id", "arch_idx", "value", F.lit(kind).alias("kind"), F.lit(encoding).alias("encoding"), F.lit(0).cast("long").alias("offset"),
+        F.octet_length("value").cast("long").alias("length"), F.col("va").alias("address"), F.lit(section).cast("string").alias("section"), F.lit(False).alias("in_code"),
+        none("long").alias("decoded_offset"), none("long").alias("source_length"), F.lit(0).alias("xrefs"), seq.alias("seq"), F.col("va").alias("function_va"),
+    )
+
+
+def extract(inputs: DataFrame, options: Options = Options(), library: DataFrame | None = None, model: DataFrame | None = None, lowercase: bool | None = None) -> Result:
+    """Strings of all `inputs` (input_id, content). `library` (value) are known strings, `model` (gram, n, lowercase) scores
+    trigrams. What one pass over the inputs finds is written to the shared folder; all else reads that. Branches for kinds
+    that are not wanted are not built. The rows are in no order; `strings.order_columns` gives it."""
     if options.min_trigram_score is not None and model is None:
         raise ValueError("min_trigram_score needs a model")
-    parsed = parse(inputs, options.format)
-    none = lambda kind: F.lit(None).cast(kind)
-    branches = []
-    if any(options.wants(k) for k in STATIC) or (options.decode_base64 and options.wants("base64")):
-        branches.append(rows.located(runs.scan(parsed, options)).withColumn("function_va", none("long")))
-    if options.wants("go") or options.wants("rust"):
-        branches.append(rows.located(language.scan(parsed, options)).withColumn("function_va", none("long")))
+    if options.enabled is not None and not set(options.enabled) - set(options.unsupported):
+        raise ValueError(f"nothing here finds strings of these kinds, as no code is run: {sorted(options.enabled)}")
+    facts = stash(examined(inputs, options), "facts")
+    branches = [rows.located(facts).withColumn("function_va", F.lit(None).cast("long"))]
     if options.wants("rust"):
-        symbols = language.rust_symbols(parsed)
-        seq = F.struct(F.lit(0).alias("stage"), "arch_idx", F.lit(4).alias("pass"), F.lit(1).alias("align"), F.col("address").alias("pos"))
-        branches.append(symbols.select("input_id", "arch_idx", "value", F.lit("rust").alias("kind"), F.lit("utf8").alias("encoding"), F.lit(0).cast("long").alias("offset"), F.octet_length("value").cast("long").alias("length"), "address", none("string").alias("section"), F.lit(False).alias("in_code"), none("long").alias("decoded_offset"), none("long").alias("source_length"), seq.alias("seq"), F.col("address").alias("function_va")))
+        symbols = language.rust_symbols(facts.where("language = 'rust'"), options.min_length).withColumnRenamed("address", "va")
+        branches.append(_code_rows(symbols.withColumn("one", F.lit(1)), "rust", 4, None, "one"))
     if options.wants("stack"):
-        s = stack_rows(parsed, options.min_length)
-        seq = F.struct(F.lit(0).alias("stage"), "arch_idx", F.lit(6).alias("pass"), F.lit(0).alias("align"), F.col("region").alias("pos"))
-        branches.append(s.select("input_id", "arch_idx", "value", F.lit("stack").alias("kind"), F.lit("ascii").alias("encoding"), F.lit(0).cast("long").alias("offset"), F.length("value").cast("long").alias("length"), F.col("region").alias("address"), F.lit("stack").alias("section"), F.lit(False).alias("in_code"), none("long").alias("decoded_offset"), none("long").alias("source_length"), seq.alias("seq"), F.col("region").alias("function_va")))
-    if not branches:
-        raise ValueError("no kind is enabled")
+        branches.append(_code_rows(stack_rows(facts, options.min_length).withColumnRenamed("region", "va"), "stack", 6, "stack", "target"))
     found = reduce(DataFrame.unionByName, branches)
     if options.skip_library_strings or options.annotated:
         found = rows.in_library(found, library)
     found = rows.early_filters(found, options)
-    refs = code.code_facts(parsed).select("input_id", "arch_idx", F.explode("refs").alias("target"))
-    counts = refs.groupBy("input_id", "arch_idx", "target").agg(F.count("*").cast("int").alias("xrefs"))
-    static = F.when(F.col("kind").isin(*STATIC), F.col("address"))
-    found = found.withColumn("target", static).join(counts, ["input_id", "arch_idx", "target"], "left").withColumn("xrefs", F.coalesce("xrefs", F.lit(0))).drop("target")
-    found = rows.annotated(found) if options.annotated else found.withColumn("tags", none("array<string>"))
+    found = rows.annotated(found) if options.annotated else found.withColumn("tags", F.lit(None).cast("array<string>"))
     if model is not None:
-        key = ["input_id", "seq", "kind"]
-        found = found.join(trigram_scores(found, model, key, lowercase), key, "left")
+        found = found.join(trigram_scores(found, model, lowercase), "value", "left")
     else:
-        found = found.withColumn("trigram_score", none("double"))
+        found = found.withColumn("trigram_score", F.lit(None).cast("double"))
     found = rows.late_filters(found, options)
     if options.dedupe:
         found = rows.first_of_each(found)
-    location = F.struct("offset", "address", "section", "function_va", none("long").alias("source_va"), "xrefs")
+    location = F.struct("offset", "address", "section", "function_va", F.lit(None).cast("long").alias("source_va"), "xrefs")
     analysis = F.struct("tags", "trigram_score", "decoded_offset", "source_length")
     strings = found.select("input_id", "value", "kind", "encoding", location.alias("location"), analysis.alias("analysis"), "seq")
-    heads = parsed.drop("content").withColumn("order", F.col("arch_idx"))
-    first = heads.where("arch_idx = 0").select("input_id", "format", "arch", "bits", "size", "error")
-    langs = parsed.select("input_id", "arch_idx", language.toolchain(F.col("sections"), F.col("content")).alias("language")).groupBy("input_id").agg(F.min_by("language", F.when(F.col("language").isNotNull(), F.col("arch_idx"))).alias("language"))
-    warnings = heads.select("input_id", F.explode(F.concat("warnings", F.filter(F.array("error"), lambda x: x.isNotNull()))).alias("warning"))
-    return Result(strings, first.join(langs, "input_id"), warnings)
+    first = facts.groupBy("input_id").agg(F.min_by(F.struct("format", "arch", "bits", "size", "error"), "arch_idx").alias("x"), F.min_by("language", F.when(F.col("language").isNotNull(), F.col("arch_idx"))).alias("language"))
+    warnings = facts.select("input_id", F.explode(F.concat("warnings", F.filter(F.array("error"), lambda x: x.isNotNull()))).alias("warning"))
+    return Result(strings, first.select("input_id", "x.*", "language"), warnings)

@@ -24,7 +24,22 @@ PARSED = (
     "input_id string, arch_idx int, format string, arch string, bits int, size long, entry long, scan_start long, scan_end long, "
     f"sections array<{SECTION}>, imports array<{IMPORT}>, symbols map<long,string>, warnings array<string>, error string"
 )
-RUN = "struct<kind:string,encoding:string,offset:long,length:long,value:string,align:int,decoded_offset:long,source_length:long>"
+#: A string in an input: `place` is the position of its section in the input's array, `xrefs` how often code takes its address.
+RUN = "struct<kind:string,encoding:string,offset:long,length:long,value:string,align:int,decoded_offset:long,source_length:long,place:int,xrefs:int>"
+#: Bytes that code writes to the stack.
+WRITES = "array<struct<place:long,region:long,target:long,bytes:binary>>"
+
+
+@dataclass(frozen=True)
+class Bounds:
+    """What one input may cost; None is no bound. Where a bound acts, a warning of the input says so."""
+
+    base64_token: int | None = 1 << 20  # bytes of a Base64 token
+    base64_total: int | None = 16 << 20  # bytes that are decoded from an input
+    name: int | None = 1024  # bytes of a name in a table of names
+    names: int | None = 200_000  # names of a table
+    stamp: int | None = 256  # bytes of metadata that are searched for the compiler's version
+    crates: int | None = 8192  # and for crate names
 
 
 @dataclass(frozen=True)
@@ -42,6 +57,7 @@ class Options:
     annotate: bool = False
     required_tags: tuple[str, ...] = ()
     min_trigram_score: float | None = None
+    bounds: Bounds = Bounds()
 
     def __post_init__(self):
         if not (math.isfinite(self.min_quality) and 0 <= self.min_quality <= 1):
@@ -54,6 +70,11 @@ class Options:
             if unknown := set(given) - set(known):
                 raise ValueError(f"unknown: {sorted(unknown)}")
 
+    @property
+    def unsupported(self) -> tuple[str, ...]:
+        """Kinds that were asked for by name and that nothing here finds, as no code is run."""
+        return tuple(k for k in ("tight", "decoded") if k in (self.enabled or ()))
+
     def wants(self, kind: str) -> bool:
         return self.enabled is None or kind in self.enabled
 

@@ -236,6 +236,15 @@ def read(data: bytes, hint: str = "auto") -> list[dict]:
         return [dict(format=kind, arch=None, bits=None, entry=None, sections=[], imports=[], symbols={}, error=f"malformed {kind}: {e}")]
 
 
+def architectures(input_id: str, data: bytes, hint: str = "auto") -> list[dict]:
+    """A row of PARSED for each architecture of an input."""
+    out = []
+    for i, x in enumerate(read(data, hint)):
+        end = 0 if x.get("error") else len(data)
+        out.append(dict(scan_start=0, scan_end=end, warnings=[], error=None) | x | dict(input_id=input_id, arch_idx=i, size=len(data), symbols=list(x["symbols"].items())))
+    return out
+
+
 def parse(inputs: DataFrame, hint: str = "auto") -> DataFrame:
     """One row per input and architecture: PARSED and `content`. No shuffle; an input with an error has one row that says so
     and nothing to scan."""
@@ -244,12 +253,8 @@ def parse(inputs: DataFrame, hint: str = "auto") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for input_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = data or b""
-                for i, x in enumerate(read(data, hint)):
-                    end = 0 if x.get("error") else len(data)
-                    rows.append(dict(scan_start=0, scan_end=end, warnings=[], error=None) | x | dict(input_id=input_id, arch_idx=i, size=len(data), symbols=list(x["symbols"].items()), content=data))
-            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+            for at in range(batch.num_rows):
+                input_id, data = batch.column(0)[at].as_py(), batch.column(1)[at].as_py() or b""
+                yield pa.RecordBatch.from_pylist([x | {"content": data} for x in architectures(input_id, data, hint)], schema=arrow)
 
     return inputs.select("input_id", "content").mapInArrow(run, schema)

@@ -20,18 +20,15 @@ def table(df: DataFrame, id_col: str, content_col: str) -> DataFrame:
 
 
 def trigram_model(lines: DataFrame) -> DataFrame:
-    """(gram, n) from lines (value) of tab-separated characters and counts; comments start with `#`. `[^]` and `[$]`, the
-    beginning and the end, become U+0080 and U+0081; counts are at least 1 and repeated grams add up. A malformed line
-    fails the job with its text."""
+    """(gram, n, lowercase) from lines (value) of tab-separated characters and counts; comments start with `#`, and one of them
+    can say that the model is of lower-case text. `[^]` and `[$]`, the beginning and the end, become U+0080 and U+0081;
+    counts are at least 1 and repeated grams add up. A malformed line fails the job with its text."""
     code = lambda c: F.when(c == "[^]", "\u0080").when(c == "[$]", "\u0081").when(c == "[SP]", " ").when(c == "[HT]", "\t").otherwise(c)
     parts = F.split("value", "\t")
     rows = lines.where((F.trim("value") != "") & ~F.col("value").startswith("#"))
     marks = F.transform(F.slice(parts, 1, 3), code)
     good = (F.size(parts) == 4) & F.forall(marks, lambda c: F.length(c) == 1) & F.get(parts, F.lit(3)).rlike("^[0-9]+$")
     checked = F.when(good, F.array_join(marks, "")).otherwise(F.raise_error(F.concat(F.lit("malformed model line: "), F.col("value"))))
-    return rows.select(checked.alias("gram"), F.greatest(F.get(parts, F.lit(3)).cast("long"), F.lit(1)).alias("n")).groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def is_lowercase_model(lines: DataFrame) -> bool:
-    """Whether a comment says that the model is of lower-case text."""
-    return not lines.where(F.col("value").startswith("#") & F.col("value").contains("Model Type: lowercase")).isEmpty()
+    counts = rows.select(checked.alias("gram"), F.greatest(F.get(parts, F.lit(3)).cast("long"), F.lit(1)).alias("n")).groupBy("gram").agg(F.sum("n").alias("n"))
+    says = lines.agg(F.coalesce(F.bool_or(F.col("value").startswith("#") & F.col("value").contains("Model Type: lowercase")), F.lit(False)))
+    return counts.withColumn("lowercase", says.scalar())

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stringloom.operators import runs, strings
+from stringloom.operators import strings
+from stringloom.plans.extract import examined
 from stringloom.schema import Options
-from stringloom.sources.containers import parse
 
 BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
 
@@ -20,4 +20,4 @@ def new_files(spark: SparkSession, path: str, per_trigger: int = 1000) -> DataFr
 
 def static_strings(inputs: DataFrame, options: Options = Options()) -> DataFrame:
     """Strings of each input as it comes. Duplicates and order need a whole input and belong to what reads the result."""
-    return strings.located(runs.scan(parse(inputs, options.format), options))
+    return strings.located(examined(inputs, options))

@@ -1,12 +1,15 @@
 """Containers that are put together here, and code in bytes."""
 
+import json
 import struct
+from dataclasses import replace
 
 import pytest
 
 from stringloom.operators import code, language
+from stringloom.plans import sinks
 from stringloom.plans.extract import extract
-from stringloom.schema import Options
+from stringloom.schema import Bounds, Options
 from stringloom.sources.containers import FALLBACK, read
 
 H = bytes.fromhex
@@ -23,6 +26,11 @@ def found(spark, data: bytes, kind: str, **options):
         ("4883EC08 C7042448656C6C C74424046F212100 4883C408 C3", "sc64", ["Hello!!"]),
         ("C745E0496E7661 C745E46C696420 C745E864617461 C3", "sc32", ["Invalid data"]),
         ("66C704244142 66C744240A5859 C3", "sc64", ["AB", "XY"]),
+        ("4883EC08 B848656C6C 890424 B86F212100 89442404 4883C408 C3", "sc64", ["Hello!!"]),
+        ("48B848656C6C6F212121 48890424 C3", "sc64", ["Hello!!!"]),
+        ("686F000000 6848656C6C C3", "sc32", ["Hello"]),
+        ("31C0 48894424 08 B841424344 890424 C3", "sc64", ["ABCD"]),
+        ("F30F6F0518000000 F30F7F0424 C3 " + "90" * 18 + b"Hello, World!\0\0\0".hex(), "sc64", ["Hello, World!"]),
     ],
 )
 def test_stack(spark, data, form, values):
@@ -36,6 +44,35 @@ def test_stack_aarch64(spark):
     assert found(spark, b"".join(struct.pack("<I", w) for w in [*words, 0x910043FF, 0xD65F03C0]), "stack", format="sc64_arm64") == [("STACK", "stack")]
 
 
+def test_stack_aarch64_wide(spark):
+    """movz and movk, then str, strh and stp."""
+    mov = lambda r, text: [0xD2800000 | int.from_bytes(text[:2], "little") << 5 | r] + [0xF2800000 | k << 21 | int.from_bytes(text[2 * k : 2 * k + 2], "little") << 5 | r for k in range(1, 4)]
+    words = [*mov(1, b"wide str"), 0xF90003E1, 0xD65F03C0, *mov(2, b"one pair"), *mov(3, b" of them"), 0xA9000FE2, 0xD65F03C0, *mov(4, b"hhxxxxxx"), 0x790003E4, 0xD65F03C0]
+    assert sorted(v for v, _ in found(spark, b"".join(struct.pack("<I", w) for w in words), "stack", format="sc64_arm64", min_length=2)) == ["hh", "one pair of them", "wide str"]
+
+
+def test_text_is_no_push(spark):
+    assert found(spark, b"the house of words that begin with h, and jam", "stack", format="sc64") == []
+
+
+def test_functions_by_symbols():
+    """Where the input names functions, a return within one does not end it."""
+    body = H("C6042441 C3 C644240142 C3 C6042443")
+    section = [{"file_offset": 0, "file_size": len(body), "virtual_address": 0x1000, "executable": True}]
+    regions = lambda symbols: [x["region"] for x in code.writes_of("x86_64", section, symbols, body)]
+    assert regions([0x1000, 0x100B]) == [0x1000, 0x1000, 0x100B] and regions([]) == [0x1000, 0x1005, 0x100B]
+
+
+def test_two_strings_of_one_function_and_a_model(spark):
+    """Each has its own place in the order, and its own score; much code takes seconds."""
+    model = spark.createDataFrame([("abc", 9, True)], "gram string, n long, lowercase boolean")
+    one = H("C7042441424344 C744241058595A57 C3")
+    rows = extract(spark.createDataFrame([("a", bytearray(one * 200_000))], "input_id string, content binary"), Options(format="sc64", enabled=("stack",), annotate=True), model=model).strings
+    few = extract(spark.createDataFrame([("a", bytearray(one))], "input_id string, content binary"), Options(format="sc64", enabled=("stack",), annotate=True), model=model).strings.collect()
+    assert sorted(r.value for r in few) == ["ABCD", "XYZW"] and len({r.seq for r in few}) == 2 and len({r.analysis.trigram_score for r in few}) == 2
+    assert rows.count() == 400_000
+
+
 def test_references(spark):
     data = H("488D0502000000C390") + b"hello\0"  # lea rax, [rip + 2]: the string
     (row,) = extract(spark.createDataFrame([("a", bytearray(data))], "input_id string, content binary"), Options(format="sc64", enabled=("static_ascii",))).strings.collect()
@@ -97,8 +134,20 @@ def test_rust_symbols(spark):
 def test_go_names():
     names = b"main.main\0runtime/x\0plain\0"
     table = b"\xf1\xff\xff\xff\0\0\x01\x08" + struct.pack("<QQQQ", 0, 0, 0, 40) + names
-    section = {"file_offset": 0, "file_size": len(table), "name": ".gopclntab"}
-    assert [x["value"] for x in language.go_names(table, section)] == ["main.main", "runtime/x"]
+    section = {"file_offset": 0, "file_size": len(table) + 100, "name": ".gopclntab"}  # as far as it lies within the input
+    assert [x.value for x in language.go_names(table, section)] == ["main.main", "runtime/x"]
+    said: list = []
+    assert len(language.go_names(table, section, 9)) == 2 and language.go_names(table, section, 10) == []
+    assert [x.value for x in language.go_names(table, section, 1, 0, Bounds(names=1), said)] == ["main.main"] and "no more than 1" in said[0]
+    assert [x.value for x in language.go_names(table, section, 1, 0, Bounds(name=7), said)] == ["main.ma", "runtime"][:1] and "cut" in said[-1]
+
+
+def test_rust_metadata_bounds():
+    body = b"rust\0\0\0\x08rustc 1.80.0 (x)\0some_crate\0abc\0some_crate\0other_crate\0"
+    section, said = {"file_offset": 0, "file_size": len(body), "name": ".rustc"}, []
+    assert [x.value for x in language.rust_metadata(body, section)] == ["rustc 1.80.0 (x)", "rust", "rustc", "some_crate", "other_crate"]
+    assert [x.value for x in language.rust_metadata(body, section, 6)] == ["rustc 1.80.0 (x)", "some_crate", "other_crate"]
+    assert [x.value for x in language.rust_metadata(body, section, 6, 0, Bounds(crates=36), said)] == ["rustc 1.80.0 (x)", "some_crate"] and said
 
 
 def test_graph(spark):
@@ -109,3 +158,20 @@ def test_graph(spark):
     edges = spark.createDataFrame([(1, 4, 0), (1, 0, 4)], "function long, src long, dst long")
     assert code.back_edges(blocks, edges).collect()[0].loops == 1
     assert sorted(r.start for r in code.loop_blocks(blocks, edges).collect()) == [0, 4]
+
+
+def test_call_sites(spark):
+    calls = spark.createDataFrame([(c, 9) for c in (1, 2, 3, 9)] + [(1, 8)], "caller long, callee long")
+    sites = spark.createDataFrame([(c, b, b + i, 9) for c in (1, 2, 3, 4, 9) for b in (10, 20) for i in (1, 2)] + [(1, 30, 31, 8)], "caller long, block long, ip long, target long")
+    got = sorted((r.target, r.caller, r.block, r.ip) for r in code.call_sites(calls, sites).collect())
+    assert got == [(8, 1, 30, 31)] + [(9, c, b, b + i) for c in (1, 2) for b in (10, 20) for i in (1, 2)][:6]
+
+
+def test_candidates_in_reports(spark):
+    r = extract(spark.createDataFrame([("a", bytearray(H("C7042441424344 C3 C7042458595A57 C3") + b"\0plain text\0"))], "input_id string, content binary"), Options(format="sc64", enabled=("stack", "static_ascii")))
+    own = spark.createDataFrame([("a", 0, "decode", 0.75, 1, ["calls_crypto"])], "input_id string, va long, name string, score double, recovered_strings long, tags array<string>")
+    both = replace(r, candidates=own)
+    assert {x.value for x in both.only_candidates().strings.collect()} == {"ABCD", "plain text", "$ABCD", "$XYZW"}
+    lines = [x.line for x in sinks.report(both, by_function=True, brief=True).orderBy(*sinks.REPORT_ORDER).collect()]
+    assert lines[2:] == ["=== decoder candidates (1) ===", "  0x0000000000000000  score=0.75  recovered=1  decode  [calls_crypto]", "=== stack strings (2) ===", "  function 0x0000000000000000  decode  [calls_crypto]  (1 strings)", "    ABCD", "  function 0x0000000000000008  (1 strings)", "    XYZW"]
+    assert json.loads(sinks.json_documents(both).collect()[0].document)["candidates"][0]["name"] == "decode"

@@ -9,9 +9,10 @@ import pytest
 from stringloom.operators import runs
 from stringloom.operators.strings import located as strings_of
 from stringloom.plans import sinks
-from stringloom.plans.extract import extract
-from stringloom.schema import STATIC, Options, address_of, selection, tag_of
-from stringloom.sources.containers import parse
+from stringloom.plans.extract import examined, extract
+from stringloom.schema import STATIC, Bounds, Options, address_of, selection, tag_of
+from stringloom.sources.containers import FALLBACK, parse
+from stringloom.sources.inputs import files
 
 MIXED = "Привет 世界 😀"
 
@@ -84,7 +85,7 @@ def test_runs_are_in_bounds():
         data = bytes(rng.choice((rng.randrange(256), rng.randrange(32, 127), 0)) for _ in range(size))
         for least in (0, 1, 4):
             for r in runs.static_runs(data, least, STATIC):
-                assert data[r["offset"] : r["offset"] + r["length"]] == r["value"].encode(names[r["encoding"]])
+                assert data[r.offset : r.offset + r.length] == r.value.encode(names[r.encoding])
 
 
 def test_native_scan_equals_batches(spark):
@@ -141,7 +142,9 @@ def test_json(spark):
     assert [x.get("analysis") for x in lines if x["value"] == "noise text"] == [None]
     (document,) = sinks.json_documents(r).collect()
     assert [x["location"]["offset"] for x in json.loads(document.document)["strings"]] == [0, 21]
-    assert sinks.report(r).count() == 2
+    lines = [x.line for x in sinks.report(r).orderBy(*sinks.REPORT_ORDER).collect()]
+    assert lines == ["stringloom: format=unknown, size=31 bytes", "=== static strings (2) ===", "0x0000000000000000  https://example.com/ #url", "0x0000000000000015  noise text", "warnings:", f"  - {FALLBACK}"]
+    assert [x.line for x in sinks.report(r, quiet=True).orderBy(*sinks.REPORT_ORDER).collect()] == lines[2:4] and sinks.report(r, quiet=True, brief=True).count() == 0
 
 
 def test_stream(spark, tmp_path):
@@ -152,3 +155,66 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.value for r in spark.sql("select value from streamed").collect()) == ["hello", "world!"]
+
+
+def test_one_pass(spark, tmp_path):
+    """The inputs are read once, by one Python stage, and nothing after it goes back to them; also with a model."""
+    (tmp_path / "a.bin").write_bytes(b"\0hello\0world!\0")
+    options = Options(annotate=True, dedupe=True, min_quality=0.1)
+    plan = examined(files(spark, str(tmp_path)), options)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("FileScan binaryFile") == 1
+    model = spark.createDataFrame([("hel", 5)], "gram string, n long")
+    for more in ({}, {"model": model}):
+        r = extract(files(spark, str(tmp_path)), options, **more)
+        for df in (r.strings, r.inputs, r.warnings):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "MapInArrow" not in plan and "binaryFile" not in plan
+        assert {x.value for x in r.strings.collect()} >= {"hello", "world!"}
+    assert {x.input_id.split("/")[-1] for x in r.inputs.collect()} == {"a.bin"}
+
+
+def test_places():
+    """The smallest section that holds an offset, against trying all."""
+    rng = random.Random(3)
+    for _ in range(60):
+        sections = [{"idx": i, "file_offset": rng.randrange(50), "file_size": rng.randrange(1, 30)} for i in range(rng.randrange(12))]
+        offsets = [rng.randrange(90) for _ in range(40)]
+        for at, got in zip(offsets, runs.places(offsets, sections)):
+            inside = [(s["file_size"], s["idx"]) for s in sections if s["file_offset"] <= at < s["file_offset"] + s["file_size"]]
+            assert got == (min(inside)[1] if inside else None)
+
+
+def test_bounds_warn(spark):
+    tokens = b"\0" + b"A" * 64 + b"\0aGVsbG8gd29ybGQ=\0"
+    r = result(spark, tokens, enabled=("base64",), decode_base64=True, bounds=Bounds(base64_token=32))
+    assert "hello world" in {x.value for x in r.strings.collect()} and any("1 tokens of more than 32 bytes" in x.warning for x in r.warnings.collect())
+    r = result(spark, tokens, enabled=("base64",), decode_base64=True, bounds=Bounds(base64_total=4))
+    assert r.strings.count() == 0 and any("no more than 4 bytes" in x.warning for x in r.warnings.collect())
+    assert result(spark, b"A" * ((1 << 20) + 4), enabled=("base64",), decode_base64=True, bounds=Bounds(base64_token=None)).warnings.count() == 1
+
+
+def test_kinds_that_nothing_finds(spark):
+    with pytest.raises(ValueError):
+        result(spark, b"x", enabled=("decoded",))
+    r = result(spark, b"hello", enabled=("decoded", "static_ascii"))
+    assert r.strings.count() == 1 and any("decoded" in x.warning for x in r.warnings.collect())
+
+
+def test_ordered_lines(spark, tmp_path):
+    data = b"\0" + b"\0".join(b"text %d" % (i * 7 % 50) for i in range(50))
+    sinks.write_lines(result(spark, data, enabled=("static_ascii", "static_utf8")), str(tmp_path / "lines"))
+    parts = sorted((tmp_path / "lines").glob("part-*"))
+    offsets = [json.loads(line)["location"]["offset"] for p in parts for line in p.read_text().splitlines()]
+    assert offsets == sorted(offsets) and len(offsets) == 50
+    sinks.write_report(result(spark, data, enabled=("static_ascii",)), str(tmp_path / "report"))
+    sinks.write_documents(result(spark, data, enabled=("static_ascii",)), str(tmp_path / "documents"))
+    assert len([p for d in ("report", "documents") for p in (tmp_path / d).glob("part-*")]) >= 2
+
+
+def test_table_function(spark):
+    from stringloom.functions import table
+
+    table.register(spark)
+    spark.createDataFrame([("a", bytearray(b"\0hello world\0")), ("b", None)], "input_id string, content binary").createOrReplaceTempView("inputs_of_test")
+    rows = spark.sql("SELECT input_id, t.* FROM inputs_of_test, LATERAL extract_strings(content, 'static_ascii', 5) t").collect()
+    assert [(r.input_id, r.value, r.offset, r.address, r.section) for r in rows] == [("a", "hello world", 1, 1, "raw")]

@@ -28,9 +28,12 @@ def test_tags(spark):
 def test_trigrams(spark):
     lines = ["# Model Type: lowercase", "[^]\th\te\t100", "h\te\tl\t100", "e\tl\tl\t100", "l\tl\to\t100", "l\to\t[$]\t100", "x\ty\tz\t1", "x\ty\tz\t0"]
     model = trigram_model(spark.createDataFrame([(x,) for x in lines], "value string")).cache()
-    assert {r.gram: r.n for r in model.collect()}[BEGIN + "he"] == 100 and {r.gram: r.n for r in model.collect()}["xyz"] == 2
-    values = spark.createDataFrame([(x, x) for x in ("hello", "HELLO", "qzxvk", "hi", "你好世界")], "id string, value string")
-    got = {r.id: r.trigram_score for r in trigram_scores(values, model, ["id"]).collect()}
+    assert {r.lowercase for r in model.collect()} == {True} and {r.gram: r.n for r in model.collect()}[BEGIN + "he"] == 100 and {r.gram: r.n for r in model.collect()}["xyz"] == 2
+    values = spark.createDataFrame([(x,) for x in ("hello", "HELLO", "qzxvk", "hi", "你好世界")], "value string")
+    got = {r.value: r.trigram_score for r in trigram_scores(values, model).collect()}
+    cased = trigram_model(spark.createDataFrame([(x,) for x in lines[1:]], "value string"))
+    other = {r.value: r.trigram_score for r in trigram_scores(values, cased).collect()}
+    assert other["hello"] == pytest.approx(got["hello"]) and other["HELLO"] < other["hello"]
     assert got["hello"] == got["HELLO"] > got["qzxvk"] and got["hi"] is None and got["你好世界"] is None
     assert got["hello"] == pytest.approx(math.log10(101 / (502 + 130**3))) and END not in "hello"
     with pytest.raises(Exception, match="malformed model line"):
