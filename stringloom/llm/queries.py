@@ -1,4 +1,4 @@
-"""The registered queries of the training-data operators, with production parameters, and their DuckDB SQL."""
+"""The registered queries of the training-data operators, with production parameters; their DuckDB SQL is in `oracles`."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from stringloom.llm import bpe_codec, decontam, exact_dedup, langid, lm_score, pii, simhash, token_count, toxicity, url_filter
 from stringloom.llm.common import documents, fold, table
+from stringloom.llm.oracles import ORACLES as ORACLES
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +39,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(table(spark, sf_dir, "pages"))
+    return url_filter.judge(table(spark, sf_dir, "pages")).withColumn("purity", F.round("purity", 9))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,14 +63,3 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_pii, op3_exact_dedup, op4_bpe_codec, op5_language_id, op6_url_filter, op7_decontamination, op8_lm_score, op9_simhash, op10_toxicity)}
-
-ORACLES = {
-    "op3_exact_dedup": r"""
-        WITH d AS (
-            SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS n FROM documents
-        ), g AS (
-            SELECT n, count(*) AS group_size, arg_min(doc_id, struct_pack(a := -length(t), b := doc_id)) AS keep_id FROM d GROUP BY n
-        )
-        SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.n) AS text_sha256 FROM d JOIN g ON d.n = g.n
-    """,
-}
