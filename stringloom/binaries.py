@@ -4,6 +4,7 @@ code, and the extraction finds them again. SQL says where they must be."""
 from __future__ import annotations
 
 import struct
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -246,6 +247,13 @@ def input_labels(spark, sf_dir):
 CHUNK = 100
 
 
+def stack_code(digits: DataFrame) -> DataFrame:
+    """(id, content): code that writes bytes, given in hexadecimal digits as `h`, to the stack, with a return after each CHUNK."""
+    one = lambda i: F.concat(F.lit("C64424"), F.lpad(F.hex(i % CHUNK), 2, "0"), F.substring("h", i * 2 + 1, F.lit(2)), F.when(i % CHUNK == CHUNK - 1, "C3").otherwise(""))
+    written = F.transform(F.sequence(F.lit(0), (F.length("h") / 2).cast("int") - 1), one)
+    return digits.where("h <> ''").select("id", F.unhex(F.array_join(written, "")).alias("content"))
+
+
 @query(rf"""
     WITH plain AS (SELECT conv_id || '/' || turn AS input_id, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') AS t FROM conversations),
     chunks AS (SELECT input_id, k, substr(t, k * {CHUNK} + 1, {CHUNK}) AS c FROM (SELECT input_id, t, unnest(range(0, (length(t) + {CHUNK - 1}) // {CHUNK})) AS k FROM plain))
@@ -253,10 +261,7 @@ CHUNK = 100
 def code_stack(spark, sf_dir):
     """Turns as code that writes each of their characters to the stack, a function for every hundred."""
     digits = turns(spark, sf_dir).select("id", F.hex(F.encode(F.regexp_replace("text", r"[^\x00-\x7F]", "?"), "UTF-8")).alias("h"))
-    one = lambda i: F.concat(F.lit("C64424"), F.lpad(F.hex(i % CHUNK), 2, "0"), F.substring("h", i * 2 + 1, F.lit(2)), F.when(i % CHUNK == CHUNK - 1, "C3").otherwise(""))
-    written = F.transform(F.sequence(F.lit(0), (F.length("h") / 2).cast("int") - 1), one)
-    coded = digits.where("h <> ''").select("id", F.unhex(F.array_join(written, "")).alias("content"))
-    found = extract(inputs.table(coded, "id", "content"), Options(enabled=("stack",), format="sc64")).strings
+    found = extract(inputs.table(stack_code(digits), "id", "content"), Options(enabled=("stack",), format="sc64")).strings
     return found.select("input_id", "value", "location.function_va")
 
 
@@ -307,3 +312,15 @@ def code_tags(spark, sf_dir):
     df = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     found = extract(inputs.table(df, "id", "text"), Options(enabled=("static_ascii",), format="sc64", annotate=True)).strings
     return found.select("input_id", "value", "location.offset", F.array_join("analysis.tags", " ").alias("tags")).withColumn("tags", F.regexp_replace("tags", " (url|ip_address|email|path|registry)", ""))
+
+
+@query(rf"""
+    WITH plain AS (SELECT conv_id || '/' || turn AS input_id, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') AS t FROM conversations WHERE role = 'user')
+    SELECT input_id, unnest(regexp_extract_all(substr(t, 1, {CHUNK}), '[\t\x20-\x7E]{{4,}}')) AS value FROM plain""")
+def only_candidates(spark, sf_dir):
+    """Strings of the same code whose functions are candidates: here the first function of what a user says."""
+    digits = turns(spark, sf_dir).select("id", F.hex(F.encode(F.regexp_replace("text", r"[^\x00-\x7F]", "?"), "UTF-8")).alias("h"))
+    found = extract(inputs.table(stack_code(digits), "id", "content"), Options(enabled=("stack",), format="sc64"))
+    users = read(spark, sf_dir, "conversations").where("role = 'user'")
+    candidates = users.select(F.concat_ws("/", "conv_id", "turn").alias("input_id"), F.lit(0).cast("long").alias("va"))
+    return replace(found, candidates=candidates).only_candidates().strings.select("input_id", "value")

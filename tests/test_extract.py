@@ -108,6 +108,12 @@ def test_tags_filters_and_duplicates(spark):
     assert [v for v, *_ in strings(spark, b"\0AAAAAAAA\0Hello, world!\0////////\0", min_quality=0.4, enabled=("static_ascii",))] == ["Hello, world!"]
 
 
+def test_tags_of_the_library_and_of_base64(spark):
+    library = spark.createDataFrame([("hello world",)], "value string")
+    rows = result(spark, b"\0aGVsbG8gd29ybGQ=\0hello world\0", library=library, annotate=True, enabled=("static_ascii", "base64"), decode_base64=True).strings.collect()
+    assert {(r.kind, r.value): r.analysis.tags for r in rows if r.value == "hello world"} == {("base64", "hello world"): ["library", "base64", "duplicate"], ("static_ascii", "hello world"): ["library"]}
+
+
 def test_unknown_format_is_scanned(spark):
     r = result(spark, b"\0hello world\0", enabled=("static_ascii",))
     assert r.inputs.collect()[0].format == "unknown" and r.warnings.count() == 1 and r.strings.count() == 1
