@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stringloom.tables import settled as settled
 from stringloom.tables import stash as stash  # what the operators write goes where all tables go
 
 #: Rows of one Arrow batch that goes to Python; whole documents can be long.

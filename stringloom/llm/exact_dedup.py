@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from stringloom.llm.common import WHITE_SPACE, stash, texts
+from stringloom.llm.common import WHITE_SPACE, settled, stash, texts
 
 #: UTF-8 bytes of a block of normalised text.
 BLOCK = 4096
@@ -61,6 +61,21 @@ def duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
     `df` is evaluated once: texts and blocks are written by one pass, and all that follows reads what it wrote, so nothing
     depends on how the input is split or ordered. An empty table gives no rows; a text may be of any length; other columns
     are not carried."""
+    # The blocks and their names, as large as the texts, go as soon as each text has its identity.
+    whole = settled(lambda: _identities(df, id_col, text_col, block, chunk_bytes, chunk_rows), "identities")
+    own = F.struct((-F.col("m.points")).alias("a"), F.col("m.doc_id").isNull().alias("b"), F.col("m.doc_id").alias("doc_id"), F.col("rep"), F.col("at"))
+    best = whole.select("n_bytes", "name", "rep", F.posexplode("members").alias("at", "m"))
+    first = best.groupBy("n_bytes", "name").agg(F.min(own).alias("best"), F.count("*").alias("group_size"))
+    first = stash(first.select("n_bytes", "name", F.col("best.doc_id").alias("keep_id"), F.col("best.rep").alias("keep_rep"), F.col("best.at").alias("keep_at"), "group_size"), "kept")
+    return (
+        whole.join(first, ["n_bytes", "name"])
+        .select("*", F.posexplode("members").alias("at", "m"))
+        .select(F.col("m.doc_id").alias("doc_id"), "keep_id", "group_size", ((F.col("rep") == F.col("keep_rep")) & (F.col("at") == F.col("keep_at"))).alias("kept"), "text_sha256")
+    )
+
+
+def _identities(df: DataFrame, id_col: str, text_col: str, block: int, chunk_bytes: int, chunk_rows: int) -> DataFrame:
+    """(rep, n_bytes, text_sha256, members, name): the different texts of each chunk with their rows and their last name."""
     id_type = df.schema[id_col].dataType
     rows = texts(df, id_col, text_col)
     members = T.ArrayType(T.StructType([T.StructField("doc_id", id_type), T.StructField("points", T.LongType())]))
@@ -108,16 +123,7 @@ def duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
         named = _halve(named)
         most = (most + 1) // 2
     named = named.select("rep", F.col("names")[0].alias("name"))
-    whole = stash(reps.drop("refs").join(named, "rep"), "identities")
-    own = F.struct((-F.col("m.points")).alias("a"), F.col("m.doc_id").isNull().alias("b"), F.col("m.doc_id").alias("doc_id"), F.col("rep"), F.col("at"))
-    best = whole.select("n_bytes", "name", "rep", F.posexplode("members").alias("at", "m"))
-    first = best.groupBy("n_bytes", "name").agg(F.min(own).alias("best"), F.count("*").alias("group_size"))
-    first = stash(first.select("n_bytes", "name", F.col("best.doc_id").alias("keep_id"), F.col("best.rep").alias("keep_rep"), F.col("best.at").alias("keep_at"), "group_size"), "kept")
-    return (
-        whole.join(first, ["n_bytes", "name"])
-        .select("*", F.posexplode("members").alias("at", "m"))
-        .select(F.col("m.doc_id").alias("doc_id"), "keep_id", "group_size", ((F.col("rep") == F.col("keep_rep")) & (F.col("at") == F.col("keep_at"))).alias("kept"), "text_sha256")
-    )
+    return reps.drop("refs").join(named, "rep")
 
 
 def _halve(named: DataFrame) -> DataFrame:

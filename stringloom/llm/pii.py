@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stringloom.llm.common import stash, texts
+from stringloom.llm.common import settled, stash, texts
 
 #: Kinds in their order, with the plain pattern and the one that is run. A match of a run-on pattern can only begin where a
 #: run of its first class begins, or right after the match before.
@@ -162,7 +162,7 @@ def _found(df: DataFrame, id_col: str, text_col: str, whole: bool = False) -> Da
     spans = texts(df, id_col, text_col).withColumn("base", base_spans(F.col("text")))
     rows = stash(spans.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.when(F.lit(whole) | (F.size("base") > 0), F.col("text")).alias("text"), "base"), "spans")
     words = texts(df, id_col, text_col).select(F.explode(terms(F.col("text"), base_spans(F.col("text")))).alias("term"))
-    added = _added(rows, words, rows.count())
+    added = settled(lambda: _added(rows, words, rows.count()), "added")
     overlaps = lambda x: F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     more = F.array_sort(F.filter(F.coalesce("more", F.array().cast(added.schema["more"].dataType)), lambda x: ~overlaps(x)))
     return rows.join(added.hint("shuffle_merge"), "row", "left").select("row", "doc_id", "text", "base", F.concat("base", more).alias("spans"))
@@ -180,7 +180,7 @@ def _added(rows: DataFrame, words: DataFrame, documents: int) -> DataFrame:
     more = stash(once.join(kinds.hint("shuffle_merge"), "text_id").select("text_id", F.transform(places(F.col("text"), F.col("kinds")), span).alias("more")), "disclosed")
     spread = more.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     placed = found.select("row", "text_id", F.pmod(F.xxhash64("row"), F.lit(SALTS)).alias("salt")).join(spread.hint("shuffle_merge"), ["text_id", "salt"])
-    return stash(placed.select("row", "more"), "added")
+    return placed.select("row", "more")
 
 
 def cleaned(text: Column, spans: Column, mask: str | None = None) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stringloom.llm.common import rows_per_batch, stash, texts
+from stringloom.llm.common import rows_per_batch, settled, stash, texts
 
 #: Words of a shingle, seed of its hash, and differing bits of a link.
 WORDS, SEED, BITS = 4, 42, 4
@@ -246,7 +246,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     taken whole; other columns are not carried."""
     prints = stash(fingerprints(df, id_col, text_col, words), "fingerprints")
     distinct = stash(prints.groupBy("bits").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(links(distinct.select("bits"), bits))
+    roots = settled(lambda: components(links(distinct.select("bits"), bits)), "roots")
     named = distinct.join(roots.withColumnRenamed("node", "bits"), "bits", "left").withColumn("root", F.coalesce("root", "bits"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     placed = stash(named.select("bits", "root").join(stash(smallest, "smallest"), "root").select("bits", "component_id"), "placed")

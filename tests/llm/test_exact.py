@@ -26,6 +26,14 @@ def frame(spark, rows=None):
     return spark.createDataFrame(texts() if rows is None else rows, "doc_id long, text string").withColumns({"n_tokens": F.lit(1), "ids": F.lit("x"), "row": F.lit(2)})
 
 
+def test_vocabularies_are_one():
+    """The ids of the .json file, through the byte table, are the ranks of the .tiktoken file."""
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    tokenizer = bpe_codec.load(JSON)
+    special = {x.content.encode() for x in tokenizer.get_added_tokens_decoder().values()}
+    assert {t: i for i, t in enumerate(bpe_codec.token_bytes(tokenizer)) if t not in special} == ranks
+
+
 @pytest.mark.parametrize("pattern", [None, public_tokenizers.PATTERN])
 def test_codec(spark, pattern):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
@@ -72,7 +80,16 @@ def test_duplicates(spark):
         assert sorted(map(tuple, exact_dedup.duplicates(frame(spark, rows), block=block, chunk_bytes=chunk).collect()), key=str) == sorted(expected, key=str)
 
 
+def test_long_and_many_texts(spark):
+    """Texts of many blocks that differ in one place, with the production block; more equal rows than a chunk holds."""
+    long = "".join(chr(97 + i * i % 26) for i in range(30_000))
+    rows = [(1, long), (2, long[:20_000] + "!" + long[20_001:]), (3, long[:15_000] + " \n" + long[15_000:]), (4, long[:4096])] + [(10 + i, "copy") for i in range(400)] + [(None, None)] * 300
+    got = exact_dedup.duplicates(frame(spark, rows).repartition(3), chunk_rows=100).collect()
+    assert len(got) == len(rows) and sorted(r.doc_id for r in got if r.kept and r.doc_id) == [2, 3, 4, 10] and sum(r.kept for r in got) == 5
+    assert {r.group_size for r in got if r.doc_id is None} == {300} and {(r.keep_id, r.group_size) for r in got if (r.doc_id or 0) >= 10} == {(10, 400)}
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
-    assert bpe_codec.encode(none, JSON).count() == 0 and exact_dedup.duplicates(none).count() == 0
+    assert bpe_codec.encode(none, JSON).count() == 0 and bpe_codec.decode(bpe_codec.encode(none, JSON), JSON).count() == 0 and exact_dedup.duplicates(none).count() == 0
     assert token_count.count_tokens(none, JSON, public_tokenizers.PATTERN).count() == 0

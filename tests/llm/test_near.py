@@ -23,6 +23,9 @@ def slow_print(text):
         return 0
     own = [b" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or [b" ".join(words)]
     hashes = [xxhash.xxh64_intdigest(x, 42) for x in own]
+    if len(hashes) > 10_000:
+        bits = sum(np.array([[h >> k & 1 for k in range(64)] for h in hashes[i : i + 10_000]]).sum(axis=0) for i in range(0, len(hashes), 10_000))
+        return sum(1 << k for k in range(64) if int(bits[k]) * 2 > len(hashes))
     return sum(1 << k for k in range(64) if sum(h >> k & 1 for h in hashes) * 2 > len(hashes))
 
 
@@ -52,6 +55,7 @@ def test_near_duplicates(spark):
             for _ in range(j):
                 own[rng.randrange(150)] = "changed"
             rows.append((10 * i + j + 10, " ".join(own)))
+    rows += [(900, " ".join(rng.choice(WORDS) for _ in range(simhash.COUNT_ROWS + 5000))), (901, "x" * 300_000)]
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(frame(spark, rows)).collect()}
     prints = [slow_print(t or "") for _, t in rows]
     expected = {rows[i][0]: (f"{prints[i]:016x}", rows[r][0]) for i, r in enumerate(components(prints))}

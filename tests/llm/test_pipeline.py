@@ -24,7 +24,7 @@ def test_pipeline(spark):
     for i, t in docs:
         groups.setdefault("".join(t.split()), []).append((-len(t), i, t))
     kept = sorted((min(g)[1], min(g)[2]) for g in groups.values())
-    prints = [simhash.fingerprint(t) for _, t in kept]
+    prints = [simhash.fingerprint(t, corpus_pipeline.SHINGLE) for _, t in kept]
     root = list(range(len(kept)))
     for a in range(len(kept)):
         for b in range(a):
