@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stringloom.llm.common import texts
+from stringloom.llm.common import stash, texts
 
 #: Slots that byte trigrams are hashed to; a language's model is that many log-likelihoods.
 SLOTS = 1 << 17
@@ -20,6 +20,9 @@ SEGMENT = 48
 #: What a further language must add to the log-likelihood, per unit of 0.5 * log(segments); and rounds of EM.
 PENALTY, ROUNDS = 8.0, 30
 
+#: Languages of a model, at most: those with the most trigrams. The model takes 0.5 MB for each; a dirty column can have any
+#: number of others. Tasks hold the counts of HELD languages at a time.
+LANGS, HELD = 256, 64
 #: Characters of the texts that are worked on together.
 PART = 1 << 18
 
@@ -57,9 +60,10 @@ def _some(found: list[str]):
         yield part
 
 
-def learn(df: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tuple[list[str], np.ndarray]:
+def learn(df: DataFrame, lang_col: str = "lang", text_col: str = "text", most: int = LANGS) -> tuple[list[str], np.ndarray]:
     """(languages, log-likelihoods by slot and language) from all rows of `df` with a language and a text. Tasks add up
-    their counts; at most SLOTS rows for each language reach the driver, whatever the input."""
+    their counts; at most SLOTS rows for each of the `most` languages reach the driver, whatever the input. A language
+    whose texts have no trigram is none."""
     rows = texts(df, lang_col, text_col).where("doc_id is not null")
 
     def count(batches):
@@ -72,11 +76,19 @@ def learn(df: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tupl
                 for some in _some(own):
                     counts = np.bincount(trigrams(some)[0], minlength=SLOTS)
                     found[lang] = found[lang] + counts if lang in found else counts
+                if len(found) > HELD:
+                    yield from counted(found)
+                    found = {}
+        yield from counted(found)
+
+    def counted(found):
         for lang, counts in found.items():
             slots = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(slots), pa.string()), pa.array(slots, pa.int64()), pa.array(counts[slots], pa.int64())], ["lang", "slot", "n"])
 
-    totals = rows.mapInArrow(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
+    sums = stash(rows.mapInArrow(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")), "trigrams")
+    known = sums.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(most)
+    totals = sums.join(F.broadcast(known.select("lang")), "lang").toArrow()
     langs = sorted(set(totals.column("lang").to_pylist()))
     counts = np.full((SLOTS, len(langs)), SMOOTH)
     place = {lang: i for i, lang in enumerate(langs)}
