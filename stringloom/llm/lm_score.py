@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections import Counter
 from dataclasses import dataclass
 from math import log10
 
@@ -14,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stringloom.llm.common import count_keys, frequent, stash, texts
+from stringloom.llm.common import frequent, rows_per_batch, stash, texts
 
 #: The end of a text as a key among words: no word holds a space.
 END = " "
@@ -25,7 +24,7 @@ HEAD, BUCKETS = 1023, 64
 #: Units of a class of the output; there are about as many classes.
 MEMBERS = 32
 #: Size of the state, steps of a truncated window, streams side by side, documents that are dealt to them together.
-HIDDEN, WINDOW, STREAMS, SORTED = 24, 16, 256, 4096
+HIDDEN, WINDOW, STREAMS, SORTED = 16, 16, 256, 4096
 #: The training documents are gone through once, in so many rounds; after each the shards' networks are averaged. The step
 #: size, and the windows over which it rises to that in each round.
 ROUNDS, RATE, RISE = 3, 0.3, 20
@@ -33,9 +32,10 @@ ROUNDS, RATE, RISE = 3, 0.3, 20
 FULL = np.float32(1 / (WINDOW * STREAMS))
 #: Where few streams are left, a window has up to so many times the steps.
 LONGER = 8
-#: Tokens of a shard of the training documents. Its number of shards depends on the corpus alone, not on the cluster, and so
-#: do the weights.
-SHARD = 1 << 20
+#: Training documents of more tokens than this go to shards of their own, so that streams side by side are about as long; and
+#: the tokens of a shard of short and of long ones. How many shards there are depends on the corpus alone, not on the
+#: cluster, and so do the weights.
+LONG, SHARD = 1024, (1 << 20, 1 << 22)
 #: Sum of squared gradients that every weight starts with: early steps follow the gradient, not its sign.
 START = 1e-6
 #: The outputs before the softmax stay within these, so that their exponentials are finite.
@@ -44,8 +44,10 @@ LOGIT = np.float32(60)
 HELD = 1 << 18
 #: Parts in which the shards' networks are added up.
 PARTS = 32
-#: How units are written.
-UNIT = np.dtype("<u2")
+#: How units, and numbers of words, are written.
+UNIT, WORD = np.dtype("<u2"), np.dtype("<u4")
+#: Bytes of text that are numbered together, beside the bound by SORTED.
+PART_BYTES = 32 << 20
 
 
 def words_of(text: str) -> list[bytes]:
@@ -60,6 +62,14 @@ class Places(dict):
         return -1
 
 
+class Numbers(dict):
+    """A number for each different word, in the order in which they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 @dataclass
 class Vocabulary:
     """Counts of the training tokens: in all, distinct, of the held words, and of each bucket. Units: 0 is the end, then
@@ -291,20 +301,17 @@ def windows(found: list[np.ndarray]):
         yield before[place], flat[place], doc[place], begins[place], valid
 
 
-def units_of(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """(units of the words and the end, places of the held ones, words that are not held)."""
-    place = np.append(np.fromiter(map(vocab.held.__getitem__, words), np.int64, len(words)), len(vocab.unit) - 1)
-    out = vocab.unit[place]
-    missing = np.flatnonzero(place < 0)
-    if not len(missing):
-        return out, place, []
-    cold = [words[i] for i in missing.tolist()]
-    out[missing] = vocab.units - BUCKETS + np.fromiter(map(zlib.crc32, cold), np.int64, len(cold)) % BUCKETS
-    return out, place[place >= 0], cold
+def dealt(coded: DataFrame) -> tuple[DataFrame, int]:
+    """The texts that train, with their `shard` by length and by a hash of what they are, and the number of shards."""
+    taught, is_long = coded.where(~F.col("held_out")), F.col("n_tokens") > LONG
+    sums = {r.long: r.n for r in taught.groupBy(is_long.alias("long")).agg(F.sum("n_tokens").alias("n")).collect()}  # two rows
+    short, long = (-(-sums.get(kind, 0) // size) for kind, size in zip((False, True), SHARD))
+    own = lambda n: F.pmod(F.xxhash64("doc_id", "units"), F.lit(max(1, n)))
+    return taught.withColumn("shard", F.when(is_long, own(long) + short).otherwise(own(short)).cast("int")), max(1, short + long)
 
 
 def train(coded: DataFrame, vocab, start: np.ndarray, rate: float, shards: int) -> np.ndarray:
-    """Each shard of (units) trains the network on its documents; the mean of their networks, by tokens. `start` and the
+    """Each shard of (doc_id, units, shard) trains the network on its documents; the mean of their networks, by tokens. `start` and the
     result are the weights and the sums of their squared gradients. They are cut into PARTS that are added up apart, so
     that only one network reaches the driver."""
     shared = coded.sparkSession.sparkContext.broadcast(start)
@@ -334,8 +341,8 @@ def train(coded: DataFrame, vocab, start: np.ndarray, rate: float, shards: int)
             yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([x[0] for x in sums.values()]), pa.array([(x[1] / x[0]).astype(np.float32).tobytes() for x in sums.values()], pa.binary())], ["part", "tokens", "network"])
 
     kind = "part int, tokens double, network binary"
-    dealt = coded.select("units", F.xxhash64("doc_id", "units").alias("place")).repartition(shards, "place").sortWithinPartitions("place")
-    found = sorted(dealt.select("units").mapInArrow(run, kind).repartition("part").mapInArrow(add, kind).collect(), key=lambda r: r.part)
+    placed = coded.select("units", "shard", F.xxhash64("doc_id", "units").alias("place")).repartitionById(shards, F.col("shard")).sortWithinPartitions("place")
+    found = sorted(placed.select("units").mapInArrow(run, kind).repartition("part").mapInArrow(add, kind).collect(), key=lambda r: r.part)
     return np.concatenate([np.frombuffer(r.network, np.float32) for r in found]).reshape(2, -1) if found else start
 
 
@@ -358,26 +365,26 @@ def score(df: DataFrame, held_out: Column, round_of: Column, id_col: str = "doc_
     score is the log10 probability of its words and its end: of the unit by the network, and of a word that shares a
     bucket by its count within the bucket, where unseen words together have the share of one.
 
-    After the counts the texts are read once more: their units and what their held words add up to are written, and
-    training and scoring read that. Null and empty texts are one end. Repeated rows and ids give a row each; a null id stays
+    The texts are read once: parts of them are written as numbers of words with the words beside them. The counts, then the
+    units of each text and what its held words add up to come from that, and training and scoring read the units. Null and empty texts are one end. Repeated rows and ids give a row each; a null id stays
     null; an empty table gives no rows; texts are taken whole, their state being carried from window to window in
     training and in scoring; other columns are not carried."""
     spark = df.sparkSession
     rows = texts(df, id_col, text_col, F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(round_of, F.lit(0)).alias("round"))
 
-    def count(found, batch):
-        for text in batch.column(0).to_pylist():
-            found.update(words_of(text))
-        found[END.encode()] += batch.num_rows
-
-    counts = stash(count_keys(rows.where(~F.col("held_out")).select("text"), count), "words")
+    parts = stash(numbered(rows), "parts")
+    pairs = parts.select(F.explode(F.arrays_zip("words", "times")).alias("x")).select(F.col("x.words").alias("key"), F.col("x.times").alias("n")).where("n > 0")
+    ends = parts.agg(F.lit(END).alias("key"), F.sum("ends").alias("n")).where("n > 0")
+    counts = stash(pairs.groupBy("key").agg(F.sum("n").alias("n")).unionByName(ends), "words")
     vocab, rare = vocabulary(counts, held)
     shared = spark.sparkContext.broadcast(vocab)
-    coded = stash(encoded(rows, shared), "units")
+    with rows_per_batch(spark, 1):  # a part is many texts
+        coded = stash(encoded(parts, shared), "units")
     first = Network.untrained(vocab).values
     values = np.stack((first, np.full_like(first, START)))
+    taught, shards = dealt(coded)
     for r in range(rounds):
-        values = train(coded.where(~F.col("held_out") & (F.col("round") == r)), shared, values, RATE, -(-vocab.total // SHARD) or 1)
+        values = train(taught.where(F.col("round") == r), shared, values, RATE, shards)
     network = spark.sparkContext.broadcast(values[0])
     out = T.StructType([f for f in coded.schema if f.name not in ("units", "round")] + [T.StructField("logs", T.DoubleType())])
 
@@ -410,45 +417,93 @@ def score(df: DataFrame, held_out: Column, round_of: Column, id_col: str = "doc_
     )
 
 
-def encoded(rows: DataFrame, vocab) -> DataFrame:
-    """A row for each of (doc_id, text, held_out, round): its number, the units of its tokens, how many tokens it has and how
-    many of them are held, the sums of their log-counts (`base`) and of what its held words have of their buckets (`tail`),
-    and the words that are not held with their numbers."""
-    schema = T.StructType([T.StructField("row", T.LongType()), rows.schema["doc_id"], *(rows.schema[x] for x in ("held_out", "round"))])
+def numbered(rows: DataFrame) -> DataFrame:
+    """(doc_id, text, held_out, round) in parts of up to SORTED rows. A row of the result is a part: its different `words`, how
+    often each stands in training texts (`times`), how many of these there are (`ends`), and of each text its id, whether it
+    is held out, its round, the number of its words and, all in one, the numbers of its words."""
+    listed = [T.StructField(f"{f.name}s", T.ArrayType(f.dataType)) for f in rows.schema.fields if f.name != "text"]
+    schema = T.StructType([T.StructField("words", T.ArrayType(T.StringType())), T.StructField("times", T.ArrayType(T.LongType())), T.StructField("ends", T.LongType()), *listed, T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("numbers", T.BinaryType())])
+
+    def run(batches):
+        for some in _tables(batches):
+            places, found = Numbers(), []
+            for text in some.column("text").to_pylist():
+                words = words_of(text)
+                found.append(np.fromiter(map(places.__getitem__, words), WORD, len(words)))
+            trains = [not x for x in some.column("held_out").to_pylist()]
+            taught = np.concatenate([np.empty(0, WORD), *(x for x, own in zip(found, trains) if own)])
+            times = np.bincount(taught, minlength=len(places))
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            kept = [one(some.column(f.name.removesuffix("s")).combine_chunks()) for f in listed]
+            columns = [one(pa.array([w.decode() for w in places], pa.string())), one(pa.array(times, pa.int64())), pa.array([sum(trains)], pa.int64()), *kept]
+            yield pa.RecordBatch.from_arrays([*columns, one(pa.array([len(x) for x in found], pa.int64())), pa.array([np.concatenate(found).tobytes()], pa.binary())], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def encoded(parts: DataFrame, vocab) -> DataFrame:
+    """A row for each text of the parts: its number, the units of its tokens, how many tokens it has and how many of them are
+    held, the sums of their log-counts (`base`) and of what its held words have of their buckets (`tail`), and the words
+    that are not held with their numbers."""
+    listed = ("doc_ids", "held_outs", "rounds")
+    schema = T.StructType([T.StructField("row", T.LongType()), *(T.StructField(x.removesuffix("s"), parts.schema[x].dataType.elementType) for x in listed)])
     kinds = {"units": T.BinaryType(), "n_tokens": T.LongType(), "n_known": T.LongType(), "base": T.DoubleType(), "tail": T.DoubleType(), "keys": T.ArrayType(T.StringType()), "times": T.ArrayType(T.LongType())}
     for name, kind in kinds.items():
         schema.add(name, kind)
 
+    def one(own: Vocabulary, words: list[str], sizes: np.ndarray, numbers: np.ndarray):
+        """Per text: (units, known, base, tail, words that are not held, their numbers)."""
+        place = np.fromiter(map(own.held.__getitem__, (w.encode() for w in words)), np.int64, len(words))
+        first, missing = own.units - BUCKETS, np.flatnonzero(place < 0)
+        unit = own.unit[place]
+        unit[missing] = first + np.array([bucket(words[i].encode()) for i in missing.tolist()], np.int64)
+        log_count, rest = np.where(place < 0, 0.0, own.log_count[place]), np.where(unit >= first, own.rest[np.maximum(unit - first, 0)], 0.0)
+        tail = np.where(unit >= first, log_count, 0.0) - rest
+        begin = 0
+        for size in sizes.tolist():
+            mine = numbers[begin : begin + size]
+            begin += size
+            cold, times = np.unique(mine[place[mine] < 0], return_counts=True) if len(missing) else (mine[:0], mine[:0])
+            units = np.append(unit[mine], 0).astype(UNIT).tobytes()
+            known = size - int(times.sum()) + (own.total > 0)
+            yield units, known, log_count[mine].sum() + own.log_count[-1], tail[mine].sum(), [words[i] for i in cold.tolist()], times.tolist()
+
     def run(batches):
         own = vocab.value
-        first = own.units - BUCKETS
         for batch in batches:
-            found, places, cold = zip(*(units_of(words_of(x), own) for x in batch.column(4).to_pylist())) if batch.num_rows else ((), (), ())
-            sums = [own.log_count[place[own.unit[place] >= first]].sum() - own.rest[units[units >= first] - first].sum() for units, place in zip(found, places)]
-            keys = [Counter(x) for x in cold]
-            columns = [
-                *(batch.column(i) for i in range(4)),
-                pa.array([x.astype(UNIT).tobytes() for x in found], pa.binary()),
-                pa.array([len(x) for x in found], pa.int64()),
-                pa.array([len(x) - (own.total == 0) for x in places], pa.int64()),
-                pa.array([own.log_count[x].sum() for x in places], pa.float64()),
-                pa.array(sums, pa.float64()),
-                pa.array([[w.decode() for w in x] for x in keys], pa.list_(pa.string())),
-                pa.array([list(x.values()) for x in keys], pa.list_(pa.int64())),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, schema.names)
-
-    return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "round", "text").mapInArrow(run, schema)
+            for i in range(batch.num_rows):
+                part = {name: batch.column(name)[i] for name in batch.schema.names}
+                sizes = np.array(part["sizes"].as_py(), np.int64)
+                ids = [pa.array(part[x].values) for x in listed]
+                for at in range(0, len(sizes), 256):
+                    if at == 0:
+                        found = one(own, part["words"].as_py(), sizes, np.frombuffer(part["numbers"].as_py(), WORD))
+                    here = min(256, len(sizes) - at)
+                    units, known, base, tail, keys, times = zip(*(next(found) for _ in range(here)))
+                    columns = [
+                        pa.array([0] * here, pa.int64()),
+                        *(x.slice(at, here) for x in ids),
+                        pa.array(units, pa.binary()),
+                        pa.array(sizes[at : at + here] + 1, pa.int64()),
+                        *(pa.array(x, kind) for x, kind in zip((known, base, tail), (pa.int64(), pa.float64(), pa.float64()))),
+                        pa.array(keys, pa.list_(pa.string())),
+                        pa.array(times, pa.list_(pa.int64())),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    found = parts.select("words", *listed, "sizes", "numbers").mapInArrow(run, schema)
+    return found.withColumn("row", F.monotonically_increasing_id())
 
 
 def _tables(batches):
-    """Batches of up to SORTED rows: more documents side by side."""
-    held, size = [], 0
+    """Batches of up to SORTED rows or PART_BYTES: more documents side by side."""
+    held, size, n_bytes = [], 0, 0
     for batch in batches:
         held.append(batch)
         size += batch.num_rows
-        if size >= SORTED:
+        n_bytes += batch.nbytes
+        if size >= SORTED or n_bytes >= PART_BYTES:
             yield pa.Table.from_batches(held)
-            held, size = [], 0
+            held, size, n_bytes = [], 0, 0
     if size:
         yield pa.Table.from_batches(held)

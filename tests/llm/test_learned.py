@@ -30,6 +30,8 @@ def test_language(spark):
     assert langs == ["de", "en", "fr"] and all(got[i].lang_pred == lang for i, lang in held) and len(held) > 30
     assert got[900].lang_pred == got[901].lang_pred == "und" and got[902].lang_pred == "en" and set(got[902].mixture) == {"en", "fr"}
     assert 0.5 < got[902].mixture["en"] < 0.7 and all(0 <= r.score <= 1 for r in got.values())
+    many = spark.createDataFrame([(i, f"dirty {i} " * (200 - i), f"x{i}") for i in range(150)], "doc_id long, text string, lang string")
+    assert langid.learn(many.repartition(2), most=3)[0] == ["x0", "x1", "x2"] and len(langid.learn(many)[0]) == 150
     none, nothing = langid.learn(df.limit(0))
     assert none == [] and {r.lang_pred for r in langid.identify(df, none, nothing).collect()} == {"und"}
 
@@ -210,3 +212,111 @@ def test_toxicity_sample_is_full_at_any_size(spark):
     df = marks.select("doc_id", F.when(F.col("toxic") == 1, "you are scum").otherwise("you are kind").alias("text"))
     values, bias = toxicity.learn(df, marks, most=2)
     assert {(r.doc_id % 2, r.score >= 0.5) for r in toxicity.score(df, values, bias).collect()} == {(0, False), (1, True)}
+
+
+def slow_trigrams(text):
+    """Slots of byte trigrams one by one, those around a space left out."""
+    raw = b" " + text.lower().encode().translate(langid.LETTERS) + b" "
+    low = (1 << 32) - 1
+    mixed = [((a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) & low) * 0x27D4EB2F & low for a, b, c in zip(raw, raw[1:], raw[2:]) if b != 32]
+    return [x >> 15 for x in mixed]
+
+
+def slow_mixture(segments, sizes):
+    """Languages added one by one, shares by expectation-maximisation, all in plain loops."""
+
+    def fit(chosen):
+        share = {c: 1 / len(chosen) for c in chosen}
+        for _ in range(langid.ROUNDS):
+            total = {c: 0.0 for c in chosen}
+            for s, n in zip(segments, sizes):
+                top = max(s[c] for c in chosen)
+                joint = {c: math.exp(s[c] - top) * share[c] for c in chosen}
+                for c in chosen:
+                    total[c] += n * joint[c] / sum(joint.values())
+            new = {c: total[c] / sum(sizes) for c in chosen}
+            done = max(abs(new[c] - share[c]) for c in chosen) < 1e-4
+            share = new
+            if done:
+                break
+        return sum(max(s[c] for c in chosen) + math.log(sum(math.exp(s[c] - max(s[d] for d in chosen)) * share[c] for c in chosen)) for s in segments), share
+
+    every = range(len(segments[0]))
+    chosen = [max(every, key=lambda c: (sum(s[c] for s in segments), -c))]
+    share, likelihood = {chosen[0]: 1.0}, sum(s[chosen[0]] for s in segments)
+    while len(chosen) < len(every):
+        (better, new), lang = max(((fit([*chosen, c]), c) for c in every if c not in chosen), key=lambda x: (x[0][0], -x[1]))
+        if better - likelihood <= langid.PENALTY * 0.5 * math.log(max(2, len(segments))):
+            break
+        chosen, share, likelihood = [*chosen, lang], new, better
+    return share
+
+
+def test_language_by_plain_loops(spark):
+    """Counts, segments, mixtures and scores of every text, a very long one and ties of two languages among them."""
+    rng = random.Random(6)
+    rows = [(i, sentence(rng, lang, rng.randint(1, 60)), lang) for i in range(60) for lang in (rng.choice(list(VOCAB)),)]
+    rows += [(100 + i, sentence(rng, "en", 100) + " " + sentence(rng, "de", 60 + i) + " " + sentence(rng, "fr", i), None) for i in range(0, 120, 20)]
+    rows += [(300, "zzz qqq", "aa"), (301, "zzz qqq", "bb"), (302, "zzz qqq", None), (400, sentence(rng, "fr", 60_000), None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, model = langid.learn(df)
+    counts = {lang: Counter(s for _, t, own in rows if own == lang for s in slow_trigrams(t)) for lang in langs}
+    totals = {lang: sum(c.values()) + langid.SMOOTH * langid.SLOTS for lang, c in counts.items()}
+    assert langs == ["aa", "bb", "de", "en", "fr"]
+    for r in langid.identify(df.where("doc_id <> 400"), langs, model).collect():
+        slots = slow_trigrams(dict((i, t) for i, t, _ in rows)[r.doc_id])
+        n = max(1, len(slots) // langid.SEGMENT)
+        edges = [len(slots) * k // n for k in range(n + 1)]
+        segments = [[sum(math.log((counts[x][s] + langid.SMOOTH) / totals[x]) for s in slots[a:b]) for x in langs] for a, b in zip(edges, edges[1:])]
+        share = slow_mixture(segments, [b - a for a, b in zip(edges, edges[1:])])
+        best = max(share, key=lambda c: (share[c], -c))
+        assert r.lang_pred == langs[best] and r.mixture == pytest.approx({langs[c]: s for c, s in share.items()}, abs=2e-3)
+        mine = [s for s in segments if max(share, key=lambda c: s[c]) == best] if len(share) > 1 else segments
+        sums = [sum(s[c] for s in mine) for c in range(len(langs))]
+        odds = sum(math.exp(min(0.0, (x - sums[best]) * min(1.0, 64 / len(slots)))) for x in sums)
+        assert r.score == pytest.approx(min(1.0, share[best] / odds), abs=5e-3)
+    (tied,) = langid.identify(df.where("doc_id = 302"), langs, model).collect()
+    (long,) = langid.identify(df.where("doc_id = 400"), langs, model).collect()
+    assert tied.lang_pred == "aa" and tied.score == pytest.approx(0.5, abs=0.1) and long.lang_pred == "fr" and long.score > 0.99
+
+
+def test_toxicity_by_plain_loops(spark):
+    """Ratios from counts of n-grams, and scores from the weights, one n-gram at a time; a very long text is taken whole."""
+    rng = random.Random(2)
+    rows = [(i, sentence(rng, "en", rng.randint(0, 30)) + (" you idiot!" if i % 3 == 0 else ""), i % 3 == 0) for i in range(90)] + [(200, None, False), (201, sentence(rng, "de", 100_000) + " idiot", True)]
+
+    def slots(text):
+        raw = b" " + b" ".join((text or "").encode().translate(toxicity.LETTERS).split()) + b" "
+        low, out = (1 << 32) - 1, set()
+        for n in toxicity.LENGTHS:
+            for i in range(len(raw) - n + 1):
+                h = raw[i]
+                for b in raw[i + 1 : i + n]:
+                    h = (h * 0x01000193 & low) ^ b
+                out.add((((h * 0x9E3779B1 & low) ^ (n * 0x5BD1E995 & low)) * 0x85EBCA6B & low) >> (32 - toxicity.BITS))
+        return out
+
+    own = [(i, slots(t), bad) for i, t, bad in rows]
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(bad)) for i, _, bad in rows], "doc_id long, toxic int")
+    ratio, docs = toxicity.ratios(toxicity.labelled(df, labels))
+    assert docs == (sum(not b for *_, b in own), sum(b for *_, b in own))
+    counts = [Counter(s for _, x, bad in own if bad == which for s in x) for which in (False, True)]
+    expected = np.zeros(toxicity.SLOTS)
+    for s in counts[0].keys() | counts[1].keys():
+        a, b = counts[1][s] + 1, counts[0][s] + 1
+        plain = math.log(a / (docs[1] + 2)) - math.log(b / (docs[0] + 2))
+        expected[s] = math.copysign(max(0.0, abs(plain) - toxicity.ERRORS * math.sqrt(1 / a + 1 / b)), plain)
+    assert np.allclose(ratio, expected)
+    values, bias = toxicity.learn(df, labels)
+    for r in toxicity.score(df, values, bias).collect():
+        x = bias + sum(float(values[s]) for s in dict((i, x) for i, x, _ in own)[r.doc_id])
+        assert r.score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, x)))), abs=1e-6)
+
+
+def test_equal_rules(spark):
+    """Of rules that are equally long the first by name decides; of two that are the same, the first of the list's verdicts."""
+    rules = (("allow", "b.com/ab"), ("block", "b.com/a"), ("block", "com/abcd"), ("allow", "com/abce"), ("block", "com/abce"))
+    df = spark.createDataFrame([(1, "http://b.com/abcd"), (2, "http://b.com/ax"), (3, "http://c.com/abcd"), (4, "http://c.com/abce/x"), (5, "http://b.com/abcd")], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(df, rules=rules).collect()}
+    assert got[1] == got[5] == ("b.com/ab", "allow") and got[2] == ("b.com/a", "block") and got[3] == ("com/abcd", "block") and got[4][0] == "com/abce"
