@@ -161,7 +161,7 @@ def _found(df: DataFrame, id_col: str, text_col: str, whole: bool = False) -> Da
     """(row, doc_id, text, base, spans). The text is null where there are no spans, unless it is asked for as a `whole`."""
     spans = texts(df, id_col, text_col).withColumn("base", base_spans(F.col("text")))
     rows = stash(spans.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.when(F.lit(whole) | (F.size("base") > 0), F.col("text")).alias("text"), "base"), "spans")
-    words = texts(df, id_col, text_col).select(F.explode(terms(F.col("text"), base_spans(F.col("text")))).alias("term"))
+    words = spans.select(F.explode(terms(F.col("text"), F.col("base"))).alias("term"))
     added = settled(lambda: _added(rows, words, rows.count()), "added")
     overlaps = lambda x: F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     more = F.array_sort(F.filter(F.coalesce("more", F.array().cast(added.schema["more"].dataType)), lambda x: ~overlaps(x)))
