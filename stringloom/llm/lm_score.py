@@ -47,7 +47,7 @@ PARTS = 32
 #: How units, and numbers of words, are written.
 UNIT, WORD = np.dtype("<u2"), np.dtype("<u4")
 #: Bytes of text that are numbered together, beside the bound by SORTED.
-PART_BYTES = 32 << 20
+PART_BYTES = 8 << 20
 
 
 def words_of(text: str) -> list[bytes]:
