@@ -132,6 +132,9 @@ def static_runs(data: bytes, least: int, kinds, mirrored: bool = False) -> list[
 def places(offsets: list[int], sections: list[dict]) -> list[int | None]:
     """For each offset the position of the smallest section that holds it, the first of equals. Offsets and sections are
     gone through once, in order, with the open sections in a heap."""
+    if len(sections) == 1:  # raw inputs
+        begin, end = sections[0]["file_offset"], sections[0]["file_offset"] + sections[0]["file_size"]
+        return [0 if begin <= x < end else None for x in offsets]
     out: list[int | None] = [None] * len(offsets)
     begins = sorted(range(len(sections)), key=lambda i: sections[i]["file_offset"])
     open_: list[tuple[int, int, int]] = []
@@ -163,7 +166,7 @@ def scanned(data: bytes, start: int, end: int, arch: int, sections: list[dict],
                 s = sections[place]
                 found[i] = x._replace(place=place, xrefs=targets.get(signed(s["virtual_address"] + x.offset - s["file_offset"]), 0))
     else:
-        found = [Run(*x[:8], place, 0) for x, place in zip(found, own)]
+        found = [Run._make((*x[:8], place, 0)) for x, place in zip(found, own)]
     return found + (base64_runs(data, options, warnings) if options.decode_base64 and options.wants("base64") and arch == 0 else [])
 
 
