@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stringloom.llm import pii, url_filter
+from stringloom.llm import pii, url_filter, vector_codes
 
 EXACT_DEDUP = r"""
     WITH d AS (
@@ -110,4 +110,50 @@ def url_verdicts() -> str:
         FROM rows JOIN placed USING (host, parts) JOIN known USING (host, template)"""
 
 
-ORACLES = {"op2_pii": personal_data(), "op3_exact_dedup": EXACT_DEDUP, "op6_url_filter": url_verdicts()}
+def filter_audit_sql() -> str:
+    """Each document along each order; every count by itself."""
+    fails = " ".join(f"WHEN '{f}' THEN {f}" for f in "ABCDE")
+    number = " + ".join(f"{f}::INT" for f in "ABCDE")
+    return rf"""
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+        marked AS (SELECT part, len(words) < 100 AS A, 100 * len(list_distinct(words)) < 80 * len(words) AS B, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) AS C,
+            regexp_matches(t, '[#$%&*|]') AS D, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS E, coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic
+            FROM d LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id)),
+        letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        steps AS (SELECT o, s, substr(o, s, 1) AS f FROM orders, (SELECT unnest(range(1, 6)) AS s)),
+        cells AS (SELECT part, A, B, C, D, E, good, toxic, count(*) AS n FROM marked GROUP BY ALL),
+        along AS (SELECT part, o, s, f, n, good, toxic, CASE f {fails} END AS fails, {number} AS number,
+            (A AND strpos(o, 'A') < s) OR (B AND strpos(o, 'B') < s) OR (C AND strpos(o, 'C') < s) OR (D AND strpos(o, 'D') < s) OR (E AND strpos(o, 'E') < s) AS gone FROM cells, steps),
+        counted AS (SELECT part, o, s, f, coalesce(sum(n) FILTER (WHERE NOT gone AND NOT fails), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE NOT gone AND fails), 0)::BIGINT AS removed,
+            coalesce(sum(n) FILTER (WHERE gone AND fails), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (WHERE fails AND number = 1), 0)::BIGINT AS unique_fails,
+            coalesce(sum(n) FILTER (WHERE NOT gone AND fails AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (WHERE NOT gone AND fails AND toxic), 0)::BIGINT AS toxic_lost FROM along GROUP BY part, o, s, f)
+        SELECT part, o AS filter_order, s::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM counted"""
+
+
+def vector_codes_sql() -> str:
+    """The rounds one after the other, each part against each entry of its codebook."""
+    parts, entries, last = vector_codes.PARTS, vector_codes.ENTRIES, vector_codes.ROUNDS
+    cut = f"v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})]"
+    apart = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    rounds = ""
+    for k in range(last + 1):
+        rounds += f"""
+        a{k} AS MATERIALIZED (SELECT vec_id, p, arg_min(e, struct_pack(d := d, e := e)) AS e, min(d) AS d FROM (SELECT vec_id, p, e, {apart} AS d FROM parts JOIN b{k} USING (p)) GROUP BY vec_id, p),"""
+        if k < last:
+            rounds += f"""
+        m{k} AS (SELECT p, e, list(s // n - CASE WHEN s % n < 0 THEN 1 ELSE 0 END ORDER BY j) AS c FROM (SELECT p, e, j, sum(y)::BIGINT AS s, count(*) AS n FROM
+            (SELECT p, e, unnest(x) AS y, generate_subscripts(x, 1) AS j FROM parts JOIN a{k} USING (vec_id, p)) GROUP BY p, e, j) GROUP BY p, e),
+        b{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m{k}.c, b{k}.c) AS c FROM b{k} LEFT JOIN m{k} USING (p, e)),"""
+    return f"""
+        WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {vector_codes.SCALE}) AS BIGINT)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)),
+        places AS (SELECT unnest(range({parts})) AS p),
+        parts AS MATERIALIZED (SELECT vec_id, p, {cut} AS x FROM kept, places),
+        b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, {cut} AS c FROM (SELECT * FROM kept ORDER BY vec_id LIMIT {entries}), places), {rounds}
+        coded AS (SELECT vec_id, label, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{last} JOIN kept USING (vec_id) GROUP BY vec_id, label),
+        book AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS digest FROM b{last})
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, digest AS codebooks_sha256 FROM coded, book"""
+
+
+ORACLES = {"op2_pii": personal_data(), "op3_exact_dedup": EXACT_DEDUP, "op6_url_filter": url_verdicts(), "op11_vector_codes": vector_codes_sql(), "op13_filter_audit": filter_audit_sql()}

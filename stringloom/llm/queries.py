@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stringloom.llm import bpe_codec, decontam, exact_dedup, langid, lm_score, pii, simhash, token_count, toxicity, url_filter
+from stringloom.llm import bpe_codec, decontam, exact_dedup, filter_audit, langid, lm_score, packing, pii, simhash, token_count, toxicity, url_filter, vector_codes
 from stringloom.llm.common import documents, fold, table
 from stringloom.llm.oracles import ORACLES as ORACLES
 
@@ -62,4 +62,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_pii, op3_exact_dedup, op4_bpe_codec, op5_language_id, op6_url_filter, op7_decontamination, op8_lm_score, op9_simhash, op10_toxicity)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary, ranks = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return packing.pack_documents(documents(spark, sf_dir), vocabulary, ranks, public_tokenizers.PATTERN)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+_OPERATORS = (
+    op1_token_counts, op2_pii, op3_exact_dedup, op4_bpe_codec, op5_language_id, op6_url_filter, op7_decontamination, op8_lm_score, op9_simhash, op10_toxicity,
+    op11_vector_codes, op12_packing, op13_filter_audit,
+)
+QUERIES = {f.__name__: f for f in _OPERATORS}
