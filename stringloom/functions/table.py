@@ -2,35 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
-
-from stringloom.operators import code, language, runs
-from stringloom.schema import Options
-from stringloom.sources.containers import architectures
-
-RETURNS = "kind string, encoding string, value string, offset bigint, address bigint, section string, xrefs int"
+from dataclasses import replace
 
+from pyspark.sql import SparkSession
 
-class ExtractStrings:
-    """Strings of one input: `SELECT * FROM inputs, LATERAL extract_strings(content)`. Further arguments: kinds, comma-joined
-    (null for all), the least length, and the format. Null content has none. Each row of the table is an input, so Spark
-    spreads the work as it spreads the table."""
-
-    def eval(self, content: bytes, kinds: str | None = None, least: int = 4, form: str = "auto"):
-        options = Options(min_length=least, enabled=tuple(kinds.split(",")) if kinds else None, format=form, decode_base64=bool(kinds) and "base64" in kinds.split(","))
-        for x in architectures("", bytes(content or b""), form):
-            if x["error"]:
-                continue
-            data, sections = bytes(content or b""), x["sections"]
-            found = runs.scanned(data, x["scan_start"], x["scan_end"], x["arch_idx"], sections, options, targets=code.references(x["arch"], sections, data))
-            found += language.scanned(data, sections, language.toolchain_of(sections, data), options)
-            for r in found:
-                s = sections[r.place] if r.place is not None else None
-                address = s["virtual_address"] + r.offset - s["file_offset"] if s else None
-                yield r.kind, r.encoding, r.value, r.offset, address, s["name"] if s else None, r.xrefs
+from stringloom.functions import extractors
 
 
 def register(spark: SparkSession, name: str = "extract_strings") -> None:
-    """Any other function over an input's bytes can be registered in the same way."""
-    spark.udtf.register(name, udtf(ExtractStrings, returnType=RETURNS))
+    """`SELECT * FROM inputs, LATERAL extract_strings(content)`; see `extractors.register`, which does so for every extractor."""
+    extractors.register(spark, replace(extractors.STRINGS, name=name), prefix="")

@@ -115,16 +115,21 @@ def arm_writes(body: bytes) -> list[tuple[int, int, bytes]]:
     return out
 
 
-def references(arch: str | None, sections: list[dict], data: bytes) -> dict[int, int]:
-    """How often code of 64 bits takes each address by lea."""
-    out: Counter = Counter()
+def taken_addresses(arch: str | None, sections: list[dict], data: bytes) -> list[tuple[int, int]]:
+    """(place, target) of each lea of code of 64 bits."""
+    out = []
     if arch == "x86_64":
         for s in (s for s in sections if s["executable"]):
-            body = data[s["file_offset"] : s["file_offset"] + s["file_size"]]
-            out.update(signed(s["virtual_address"] + m.end() + struct.unpack("<i", m[1])[0]) for m in LEA.finditer(body))
+            body, base = data[s["file_offset"] : s["file_offset"] + s["file_size"]], s["virtual_address"]
+            out += [(signed(base + m.start()), signed(base + m.end() + struct.unpack("<i", m[1])[0])) for m in LEA.finditer(body)]
     return out
 
 
+def references(arch: str | None, sections: list[dict], data: bytes) -> dict[int, int]:
+    """How often code of 64 bits takes each address by lea."""
+    return Counter(target for _, target in taken_addresses(arch, sections, data))
+
+
 def writes_of(arch: str | None, sections: list[dict], symbols, data: bytes) -> list[dict]:
     """What is written to the stack, with the function that does it: where a symbol or, without one, a return before it is."""
     out = []
@@ -207,14 +212,15 @@ def call_sites(calls: DataFrame, sites: DataFrame, most: int = 6) -> DataFrame:
     return sites.join(known, ["caller", "target"], "left_semi").withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("target", "caller", "block", "ip")
 
 
-def loop_blocks(blocks: DataFrame, edges: DataFrame) -> DataFrame:
+def loop_blocks(blocks: DataFrame, edges: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Blocks within a loop: their start lies between the target and the source of an edge that goes back. In the order of
     addresses, a block is in a loop if some edge that goes back to here or before comes from here or later: one pass over
-    a function's blocks and edges, no join."""
-    back = edges.where(F.col("dst") <= F.col("src")).select("function", F.col("dst").alias("at"), "src")
-    both = back.unionByName(blocks.select("function", F.col("start").alias("at"), F.lit(None).cast(back.schema["src"].dataType).alias("src")))
-    furthest = F.max("src").over(Window.partitionBy("function").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    return both.withColumn("furthest", furthest).where(F.col("src").isNull() & (F.col("furthest") >= F.col("at"))).select("function", F.col("at").alias("start")).distinct()
+    a function's blocks and edges, no join. `by` says what a function is."""
+    by = by or ["function"]
+    back = edges.where(F.col("dst") <= F.col("src")).select(*by, F.col("dst").alias("at"), "src")
+    both = back.unionByName(blocks.select(*by, F.col("start").alias("at"), F.lit(None).cast(back.schema["src"].dataType).alias("src")))
+    furthest = F.max("src").over(Window.partitionBy(*by).orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return both.withColumn("furthest", furthest).where(F.col("src").isNull() & (F.col("furthest") >= F.col("at"))).select(*by, F.col("at").alias("start")).distinct()
 
 
 def reachable(calls: DataFrame, entries: DataFrame, stash) -> DataFrame:

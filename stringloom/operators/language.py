@@ -114,7 +114,9 @@ def _is_name(raw: bytes) -> bool:
 def rust_metadata(data: bytes, s: dict, least: int = 1, place: int = 0, bounds: Bounds = Bounds(), warnings: list[str] | None = None) -> list[Run]:
     """The compiler's version and the distinct crate names of a metadata section, of at least `least` bytes, up to the bounds."""
     body, out = _part(data, s), []
-    if (m := re.search(rb"rustc [\x20-\x7e]*", body[: bounds.stamp])) and len(m[0]) >= least:
+    if (m := re.search(rb"rustc [\x20-\x7e]*", body[: bounds.stamp])) is None and bounds.stamp is not None and len(body) > bounds.stamp and warnings is not None:
+        warnings.append(f"Rust: the first {bounds.stamp} bytes of {s['name']} are searched for the compiler's version")
+    if m and len(m[0]) >= least:
         out.append(_run("rust", s["file_offset"] + m.start(), m[0], place))
     seen = set()
     for m in re.finditer(rb"[a-z_][a-z0-9_]*", body[: bounds.crates]):

@@ -26,7 +26,7 @@ def located(scanned: DataFrame) -> DataFrame:
         s = F.get("sections", r["place"])
         return F.struct(
             *(r[x].alias(x) for x in ("value", "kind", "encoding", "offset", "length")),
-            (s["virtual_address"] + r["offset"] - s["file_offset"]).alias("address"), s["name"].alias("section"), F.coalesce(s["executable"], F.lit(False)).alias("in_code"),
+            F.try_add(s["virtual_address"], r["offset"] - s["file_offset"]).alias("address"), s["name"].alias("section"), F.coalesce(s["executable"], F.lit(False)).alias("in_code"),
             *(r[x].alias(x) for x in ("align", "decoded_offset", "source_length", "xrefs")),
         )
 
@@ -53,11 +53,28 @@ def with_duplicates(strings: DataFrame, by: list[str] | None = None) -> DataFram
     return strings.join(first, key).withColumn("is_duplicate", F.col("seq") > F.col("first_seq")).drop("first_seq")
 
 
-def annotated(strings: DataFrame) -> DataFrame:
-    """With `tags`: code, those of the value, and duplicate last."""
+def _tagged(strings: DataFrame) -> DataFrame:
     static = F.col("kind").isin(*STATIC)
     own = tags(F.col("value"), F.col("kind"), F.col("in_library"), static & F.col("in_code"))
-    return with_duplicates(strings).withColumn("tags", F.concat(own, F.when(F.col("is_duplicate"), F.array(F.lit("duplicate"))).otherwise(F.array().cast("array<string>"))))
+    return strings.withColumn("tags", F.concat(own, F.when(F.col("is_duplicate"), F.array(F.lit("duplicate"))).otherwise(F.array().cast("array<string>"))))
+
+
+def annotated(strings: DataFrame) -> DataFrame:
+    """With `tags`: code, those of the value, and duplicate last."""
+    return _tagged(with_duplicates(strings))
+
+
+def annotated_firsts(strings: DataFrame) -> DataFrame:
+    """`annotated`, with only the first row, in the order of results, of each value, kind, encoding and place in code or not of an
+    input. Tasks reduce their own rows to these before anything is shuffled, and whether such a row is a duplicate follows from
+    the first places of all of them; so no task meets all rows of a value. For what then selects by any tag but `duplicate`."""
+    key = ["input_id", "value", "kind", "encoding", "in_code"]
+    rest = F.struct(*(c for c in strings.columns if c not in key))
+    order = F.struct(*(c.alias(f"k{i}") for i, c in enumerate(order_columns())))
+    few = strings.groupBy(*key).agg(F.min_by(rest, order).alias("first"), F.min("seq").alias("own_seq")).select(*key, "first.*", "own_seq")
+    first = F.min("own_seq").over(Window.partitionBy("input_id", "value"))
+    flagged = few.withColumn("first_seq", first).withColumn("is_duplicate", F.col("seq") > F.col("first_seq")).drop("own_seq", "first_seq")
+    return _tagged(flagged).select(*strings.columns, "is_duplicate", "tags")
 
 
 def early_filters(strings: DataFrame, options: Options) -> DataFrame:

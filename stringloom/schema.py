@@ -73,7 +73,7 @@ class Options:
     @property
     def unsupported(self) -> tuple[str, ...]:
         """Kinds that were asked for by name and that nothing here finds, as no code is run."""
-        return tuple(k for k in ("tight", "decoded") if k in (self.enabled or ()))
+        return tuple(k for k in ("decoded",) if k in (self.enabled or ()))
 
     def wants(self, kind: str) -> bool:
         return self.enabled is None or kind in self.enabled

@@ -21,16 +21,38 @@ RAW_ARCH = {"sc32": ("x86", 32), "sc64": ("x86_64", 64), "sc32_arm": ("arm", 32)
 FALLBACK = "format not recognized; scanning input as raw bytes"
 
 
-def _name(data: bytes, at: int, end: int | None = None) -> str:
-    stop = data.find(b"\0", at)
-    return data[at : stop if stop >= 0 and (end is None or stop < end) else end].decode("utf-8", "replace")
+class Left:
+    """What an input may still have: entries of tables, each of which takes some bytes of it, and bytes of names, which tables can
+    share. Headers that point to the same bytes over and over come to an end here."""
+
+    def __init__(self, data: bytes):
+        self.entries = len(data) // 4 + 4096
+        self.bytes = 16 * len(data) + (1 << 16)
+
+    def entry(self) -> None:
+        self.entries -= 1
+        if self.entries < 0:
+            raise ValueError("more entries than the input has room for")
+
+    def name(self, data: bytes, at: int) -> str:
+        if at < 0:
+            raise ValueError("a name before the input")
+        stop = data.find(b"\0", at)
+        out = data[at : stop if stop >= 0 else None]
+        self.bytes -= len(out)
+        if self.bytes < 0:
+            raise ValueError("more names than the input has room for")
+        return out.decode("utf-8", "replace")
 
 
 def _section(idx, name, offset, size, address, executable, writable) -> dict:
-    return dict(idx=idx, name=name, file_offset=offset, file_size=size, virtual_address=signed(address), executable=bool(executable), writable=bool(writable))
+    """Offsets and sizes that no file reaches end at the greatest one that a long can hold."""
+    most = (1 << 63) - 1
+    offset = min(offset, most)
+    return dict(idx=idx, name=name, file_offset=offset, file_size=min(size, most - offset), virtual_address=signed(address), executable=bool(executable), writable=bool(writable))
 
 
-def read_pe(data: bytes) -> list[dict]:
+def read_pe(data: bytes, left: Left) -> list[dict]:
     pe = struct.unpack_from("<I", data, 0x3C)[0]
     if data[pe : pe + 4] != b"PE\0\0":
         raise ValueError("no PE header")
@@ -56,31 +78,35 @@ def read_pe(data: bytes) -> list[dict]:
         lookup, _, _, library, thunk = struct.unpack_from("<5I", data, at)
         if not library:
             break
+        left.entry()
+        source = left.name(data, place(library))
         size, kind, by_number = (8, "<Q", 1 << 63) if wide else (4, "<I", 1 << 31)
         for i in range((len(data) - place(lookup or thunk)) // size):
             own = struct.unpack_from(kind, data, place(lookup or thunk) + i * size)[0]
             if not own:
                 break
-            name = f"ordinal {own & 0xFFFF}" if own & by_number else _name(data, place(own) + 2)
-            imports.append(dict(library=_name(data, place(library)), name=name, iat_va=signed(base + thunk + i * size)))
+            left.entry()
+            name = f"ordinal {own & 0xFFFF}" if own & by_number else left.name(data, place(own) + 2)
+            imports.append(dict(library=source, name=name, iat_va=signed(base + thunk + i * size)))
         at += 20
     if exports_at:
         e = place(exports_at)
         number, functions, names, ordinals = *struct.unpack_from("<I", data, e + 24), *struct.unpack_from("<3I", data, e + 28)
         for i in range(number):
+            left.entry()
             which = struct.unpack_from("<H", data, place(ordinals) + 2 * i)[0]
             rva = struct.unpack_from("<I", data, place(functions) + 4 * which)[0]
-            symbols.setdefault(signed(base + rva), _name(data, place(struct.unpack_from("<I", data, place(names) + 4 * i)[0])))
+            symbols.setdefault(signed(base + rva), left.name(data, place(struct.unpack_from("<I", data, place(names) + 4 * i)[0])))
     return [dict(format="pe", arch="x86_64" if wide else "x86", bits=64 if wide else 32, entry=signed(base + entry), sections=sections, imports=imports, symbols=symbols)]
 
 
-def read_elf(data: bytes) -> list[dict]:
+def read_elf(data: bytes, left: Left) -> list[dict]:
     wide, end = data[4] == 2, "<" if data[5] == 1 else ">"
     machine = struct.unpack_from(end + "H", data, 18)[0]
     entry, _, table = struct.unpack_from(end + ("QQQ" if wide else "III"), data, 24)
     size, count, names_at = struct.unpack_from(end + "HHH", data, 58 if wide else 46)
     raw = [struct.unpack_from(end + ("IIQQQQIIQQ" if wide else "IIIIIIIIII"), data, table + size * i) for i in range(count)]
-    label = lambda s: _name(data, raw[names_at][4] + s[0]) if names_at < len(raw) else ""
+    label = lambda s: left.name(data, raw[names_at][4] + s[0]) if names_at < len(raw) else ""
     # A section without bytes in the file (type 8) says nothing about the file's offsets.
     kept = [s for s in raw if s[5] and s[1] not in (0, 8)]
     sections = [_section(i, label(s), s[4], s[5], s[3], s[2] & 4, s[2] & 1) for i, s in enumerate(kept)]
@@ -88,11 +114,12 @@ def read_elf(data: bytes) -> list[dict]:
     def entries(s):
         step = 24 if wide else 16
         for at in range(s[4], min(s[4] + s[5], len(data) - step + 1), step):
+            left.entry()
             if wide:
                 name, info, _, _, value, _ = struct.unpack_from(end + "IBBHQQ", data, at)
             else:
                 name, value, _, info, _, _ = struct.unpack_from(end + "IIIBBH", data, at)
-            yield _name(data, raw[s[6]][4] + name) if s[6] < len(raw) else "", info, value
+            yield left.name(data, raw[s[6]][4] + name) if s[6] < len(raw) else "", info, value
 
     symbols, imports = {}, {}
     for kind in (2, 11):  # the full table before the dynamic one
@@ -104,6 +131,7 @@ def read_elf(data: bytes) -> list[dict]:
     for s in sorted((x for x in raw if x[1] in (4, 9)), key=lambda x: (".plt" not in label(x), x[1] == 9)):
         step = {(4, True): 24, (9, True): 16, (4, False): 12, (9, False): 8}[s[1], wide]
         for at in range(s[4], min(s[4] + s[5], len(data) - step + 1), step):
+            left.entry()
             where, info = struct.unpack_from(end + ("QQ" if wide else "II"), data, at)
             i = info >> (32 if wide else 8)
             if i < len(dynamic) and dynamic[i][0]:
@@ -112,11 +140,12 @@ def read_elf(data: bytes) -> list[dict]:
     return [dict(format="elf", arch=ELF_ARCH.get(machine, "unknown"), bits=64 if wide else 32, entry=signed(entry), sections=sections, imports=found, symbols=symbols)]
 
 
-def read_mach_o(data: bytes) -> list[dict]:
+def read_mach_o(data: bytes, left: Left) -> list[dict]:
     if data[:4] in (b"\xca\xfe\xba\xbe", b"\xca\xfe\xba\xbf"):
         kind, step = (">5I", 20) if data[3] == 0xBE else (">2I2Q2I", 32)
         parts = [struct.unpack_from(kind, data, 8 + step * i) for i in range(struct.unpack_from(">I", data, 4)[0])]
-        out = [_mach_slice(data, p[2], p[3]) | dict(scan_start=p[2], scan_end=p[2] + p[3]) for p in parts if data[p[2] : p[2] + 8] != b"!<arch>\n"]
+        inside = lambda x: min(x, len(data))
+        out = [_mach_slice(data, p[2], p[3], left) | dict(scan_start=inside(p[2]), scan_end=inside(p[2] + p[3])) for p in parts if data[p[2] : p[2] + 8] != b"!<arch>\n"]
         if not out:
             raise ValueError("no readable architecture")
         if len(out) > 1:
@@ -124,10 +153,10 @@ def read_mach_o(data: bytes) -> list[dict]:
                 x["sections"] = [s | {"name": f"[{x['arch']}] {s['name']}"} for s in x["sections"]]
             out[0]["warnings"] = [f"fat Mach-O: analyzing all {len(out)} architectures"]
         return out
-    return [_mach_slice(data, 0, len(data))]
+    return [_mach_slice(data, 0, len(data), left)]
 
 
-def _mach_slice(data: bytes, base: int, size: int) -> dict:
+def _mach_slice(data: bytes, base: int, size: int, left: Left) -> dict:
     body = data[base : base + size]
     end = "<" if body[:4] in (b"\xce\xfa\xed\xfe", b"\xcf\xfa\xed\xfe") else ">"
     magic, cpu = struct.unpack_from(end + "II", body)
@@ -137,13 +166,17 @@ def _mach_slice(data: bytes, base: int, size: int) -> dict:
     at, sections, segments, symbols, binds = 32 if wide else 28, [], [], {}, []
     for _ in range(struct.unpack_from(end + "I", body, 16)[0]):
         command, length = struct.unpack_from(end + "II", body, at)
+        left.entry()
+        if length < 8:
+            raise ValueError("a command shorter than its head")
         if command in (1, 0x19):
             name = body[at + 8 : at + 24].rstrip(b"\0").decode("utf-8", "replace")
-            address, _, offset, in_file, _, rights, count, _ = struct.unpack_from(end + ("QQQQIIII" if wide else "IIIIIIII"), body, at + 24)
-            segments.append(address)
+            address, many, offset, in_file, _, rights, count, _ = struct.unpack_from(end + ("QQQQIIII" if wide else "IIIIIIII"), body, at + 24)
+            segments.append((address, many))
             if in_file:
                 sections.append(_section(len(sections), name, base + offset, in_file, address, rights & 4, rights & 2))
             for i in range(count):
+                left.entry()
                 s = at + (72 + 80 * i if wide else 56 + 68 * i)
                 own = body[s : s + 16].rstrip(b"\0").decode("utf-8", "replace")
                 where, many, start = struct.unpack_from(end + ("QQI" if wide else "III"), body, s + 32)
@@ -153,8 +186,9 @@ def _mach_slice(data: bytes, base: int, size: int) -> dict:
         elif command == 2:
             start, number, strings, _ = struct.unpack_from(end + "4I", body, at + 8)
             for i in range(number):
+                left.entry()
                 name_at, kind, _, _, value = struct.unpack_from(end + ("IBBHQ" if wide else "IBBHI"), body, start + (16 if wide else 12) * i)
-                if not kind & 0xE0 and kind & 14 == 14 and value and (name := _name(body, strings + name_at)):
+                if not kind & 0xE0 and kind & 14 == 14 and value and (name := left.name(body, strings + name_at)):
                     symbols.setdefault(signed(value), name.removeprefix("_"))
         elif command in (0x22, 0x80000022):
             lazy = struct.unpack_from(end + "10I", body, at + 8)
@@ -162,15 +196,15 @@ def _mach_slice(data: bytes, base: int, size: int) -> dict:
         at += length
     imports = {}
     for code in binds:
-        for where, name in _bound(code, segments, 8 if wide else 4):
+        for where, name in _bound(code, segments, 8 if wide else 4, left):
             imports.setdefault(signed(where), name.removeprefix("_"))
     found = [dict(library="", name=n, iat_va=va) for va, n in imports.items()]
     return dict(format="mach_o", arch=MACH_ARCH.get(cpu, "unknown"), bits=64 if wide else 32, entry=None, sections=sections, imports=found, symbols=symbols)
 
 
-def _bound(code: bytes, segments: list[int], pointer: int):
-    """(address, name) of a table of bindings."""
-    at, name, where = 0, "", 0
+def _bound(code: bytes, segments: list[tuple[int, int]], pointer: int, left: Left):
+    """(address, name) of a table of bindings. An address beyond the segment that it was set in is an error."""
+    at, name, where, within = 0, "", 0, (0, 0)
 
     def number() -> int:
         nonlocal at
@@ -180,29 +214,38 @@ def _bound(code: bytes, segments: list[int], pointer: int):
             at += 1
             out |= (b & 0x7F) << shift
             shift += 7
+            if shift > 70:
+                raise ValueError("a number of more than 64 bits")
             if b < 0x80:
                 break
         return out
 
+    def placed() -> int:
+        left.entry()
+        if within[1] and not within[0] <= where < within[0] + within[1]:
+            raise ValueError("a binding outside its segment")
+        return where
+
     while at < len(code):
         op, low = code[at] & 0xF0, code[at] & 0x0F
         at += 1
         if op == 0x40:
-            name = _name(code, at)
+            name = left.name(code, at)
             at = code.find(b"\0", at) + 1 or len(code)
         elif op == 0x70:
-            where = (segments[low] if low < len(segments) else 0) + number()
+            within = segments[low] if low < len(segments) else (0, 1 << 64)
+            where = within[0] + number()
         elif op in (0x20, 0x60):
             number()
         elif op == 0x80:
             where = (where + number()) & (1 << 64) - 1
         elif op in (0x90, 0xA0, 0xB0):
-            yield where, name
+            yield placed(), name
             where = (where + pointer + (number() if op == 0xA0 else low * pointer if op == 0xB0 else 0)) & (1 << 64) - 1
         elif op == 0xC0:
             times, skip = number(), number()
             for _ in range(times):
-                yield where, name
+                yield placed(), name
                 where += pointer + skip
 
 
@@ -231,8 +274,8 @@ def read(data: bytes, hint: str = "auto") -> list[dict]:
             return [dict(format="unknown", arch=None, bits=None, entry=None, sections=[raw], imports=[], symbols={}, warnings=[FALLBACK])]
         if kind in RAW_ARCH:
             return read_raw(data, kind)
-        return {"pe": read_pe, "elf": read_elf, "mach_o": read_mach_o}[kind](data)
-    except (ValueError, IndexError, struct.error) as e:
+        return {"pe": read_pe, "elf": read_elf, "mach_o": read_mach_o}[kind](data, Left(data))
+    except (ValueError, LookupError, ArithmeticError, TypeError, MemoryError, struct.error) as e:
         return [dict(format=kind, arch=None, bits=None, entry=None, sections=[], imports=[], symbols={}, error=f"malformed {kind}: {e}")]
 
 

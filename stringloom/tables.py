@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _written: list[tuple[SparkSession, str]] = []
+#: The tables of the innermost `settled` that runs here; each thread has its own.
+_scope: ContextVar[list[tuple[SparkSession, str]]] = ContextVar("_scope", default=_written)
 
 
 def stash(df: DataFrame, name: str = "table") -> DataFrame:
@@ -33,18 +36,23 @@ def stash(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stringloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
+    _scope.get().append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
 def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
-    """The written result of `make()`, without the tables that were written on the way to it."""
-    before = len(_written)
-    out = stash(make(), name)
-    on_the_way = _written[before:-1]
-    del _written[before:-1]
-    _remove(on_the_way)
-    return out
+    """The written result of `make()`, without the tables that were written on the way to it. What other threads write stays."""
+    on_the_way: list[tuple[SparkSession, str]] = []
+    outer = _scope.set(on_the_way)
+    try:
+        found = make()
+        _scope.reset(outer)
+        outer = None
+        return stash(found, name)
+    finally:
+        if outer is not None:
+            _scope.reset(outer)
+        _remove(on_the_way)
 
 
 def _remove(tables: list[tuple[SparkSession, str]]) -> None:

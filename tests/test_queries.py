@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from stringloom import binaries as catalogue
+from stringloom import programs as catalogue
 
 SF = "/root/testdata/sf0.001"
 
