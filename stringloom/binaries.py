@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stringloom.catalogue import ORACLES as ORACLES
 from stringloom.catalogue import QUERIES as QUERIES
-from stringloom.catalogue import ascii_sql, query, read, turns
+from stringloom.catalogue import TAGS_SQL, ascii_sql, query, read, turns
 from stringloom.functions import table as table_function
 from stringloom.operators import strings
 from stringloom.plans import sinks
@@ -305,13 +305,14 @@ def sql_function(spark, sf_dir):
 
 
 @query(f"""
-    WITH {ascii_sql("conversations", "(conv_id * 1000 + turn)")}, twice AS (SELECT input_id, value, "offset", row_number() OVER (PARTITION BY input_id, value ORDER BY "offset") > 1 AS again FROM runs)
-    SELECT input_id, value, "offset", concat_ws(' ', 'code', CASE WHEN again THEN 'duplicate' END) AS tags FROM twice""")
+    WITH {ascii_sql("conversations", "(conv_id * 1000 + turn)")}, tokens AS (SELECT DISTINCT value AS token FROM runs), {TAGS_SQL},
+    twice AS (SELECT input_id, value, "offset", row_number() OVER (PARTITION BY input_id, value ORDER BY "offset") > 1 AS again FROM runs)
+    SELECT input_id, value, "offset", concat_ws(' ', 'code', nullif(tags, ''), CASE WHEN again THEN 'duplicate' END) AS tags FROM twice JOIN tagged ON value = token""")
 def code_tags(spark, sf_dir):
     """Turns as raw code: every string of theirs is in a section that can be executed."""
     df = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     found = extract(inputs.table(df, "id", "text"), Options(enabled=("static_ascii",), format="sc64", annotate=True)).strings
-    return found.select("input_id", "value", "location.offset", F.array_join("analysis.tags", " ").alias("tags")).withColumn("tags", F.regexp_replace("tags", " (url|ip_address|email|path|registry)", ""))
+    return found.select("input_id", "value", "location.offset", F.array_join("analysis.tags", " ").alias("tags"))
 
 
 @query(rf"""

@@ -11,7 +11,6 @@ from stringloom.operators import code, runs, strings
 from stringloom.plans.extract import examined, extract
 from stringloom.schema import Options
 from stringloom.sources import inputs
-from stringloom.sources.containers import parse
 from stringloom.tables import stash
 
 QUERIES: dict = {}
@@ -79,7 +78,7 @@ def ascii_runs_native(spark, sf_dir):
         + CASE WHEN n <= 6 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END)), 9) AS quality FROM sized)
     SELECT input_id, value, "offset", quality FROM runs JOIN scored USING (value) WHERE quality >= 0.4""")
 def ascii_quality(spark, sf_dir):
-    scored = found(spark, sf_dir).select("input_id", "value", "offset", T.once(T.quality(F.col("value"))).alias("quality"))
+    scored = found(spark, sf_dir, options=Options(enabled=("static_ascii",), min_quality=0.4 - 1e-9)).select("input_id", "value", "offset", "quality")
     return scored.withColumn("quality", F.round("quality", 9)).where("quality >= 0.4")
 
 
@@ -232,7 +231,8 @@ def trigram_score(spark, sf_dir):
     SELECT input_id, "offset", 's' || s.idx AS section, 4096 * s.idx + "offset" - s.file_offset AS address FROM hits""")
 def section_lookup(spark, sf_dir):
     """Each text cut into overlapping sections: the smallest one that holds a string gives its address."""
-    parsed = parse(text_inputs(spark, sf_dir))
+    whole = text_inputs(spark, sf_dir).withColumn("size", F.octet_length("content").cast("long"))
+    parsed = whole.select("*", F.lit(0).alias("arch_idx"), F.lit(0).cast("long").alias("scan_start"), F.col("size").alias("scan_end"))
     section = lambda idx, at, size: F.struct(idx.alias("idx"), F.concat(F.lit("s"), idx).alias("name"), at.cast("long").alias("file_offset"), size.cast("long").alias("file_size"), (idx * 4096).cast("long").alias("virtual_address"), F.lit(False).alias("executable"), F.lit(False).alias("writable"))
     cut = F.transform(F.sequence(F.lit(0), F.expr("cast(size div 1000 as int)")), lambda i: section(i + 1, i * 1000, F.when(i % 2 == 0, 1200).otherwise(700)))
     own = parsed.withColumn("sections", F.concat(F.array(section(F.lit(0), F.lit(0), F.col("size"))), cut))

@@ -48,13 +48,11 @@ def _unknown(name: str):
 
 
 def _strings(parsed: dict, data: bytes, options: Options):
-    sections = parsed["sections"]
-    found = runs.scanned(data, parsed["scan_start"], parsed["scan_end"], parsed["arch_idx"], sections, options, targets=code.references(parsed["arch"], sections, data))
-    found += language.scanned(data, sections, language.toolchain_of(sections, data), options)
-    for r in found:
-        s = sections[r.place] if r.place is not None else None
-        address = s["virtual_address"] + r.offset - s["file_offset"] if s else None
-        yield r.kind, r.encoding, r.value, r.offset, address, s["name"] if s else None, r.xrefs
+    sections, out = parsed["sections"], runs.Strings()
+    runs.scanned(out, data, parsed["scan_start"], parsed["scan_end"], parsed["arch_idx"], sections, options, targets=code.references(parsed["arch"], sections, data))
+    out.add_runs(sections, language.scanned(data, sections, language.toolchain_of(sections, data), options))
+    names = ("kind", "encoding", "value", "offset", "address", "section", "xrefs")
+    return zip(*(out.columns[n] for n in names))
 
 
 STRINGS = add(Extractor("strings", "kind:string,encoding:string,value:string,offset:bigint,address:bigint,section:string,xrefs:int", _strings))

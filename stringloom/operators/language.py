@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stringloom.operators.runs import Run, as_arrow, run_type, sliced
+from stringloom.operators.runs import Run, Strings, run_type, sliced
 from stringloom.schema import Bounds, Options
 
 # Names of sections and marks in the bytes.
@@ -157,8 +157,11 @@ def scan(parsed: DataFrame, options: Options) -> DataFrame:
             column = {n: batch.column(i) for i, n in enumerate(names)}
             rows = list(zip(column["content"].to_pylist(), column["sections"].to_pylist()))
             languages = [toolchain_of(sections, data) for data, sections in rows]
-            out = [scanned(data, sections, language, options) for (data, sections), language in zip(rows, languages)]
-            yield pa.RecordBatch.from_arrays([*(column[f.name] for f in kept), pa.array(languages, pa.string()), as_arrow(out)], schema.names)
+            out = Strings()
+            for (data, sections), language in zip(rows, languages):
+                out.add_runs(sections, scanned(data, sections, language, options))
+                out.close()
+            yield pa.RecordBatch.from_arrays([*(column[f.name] for f in kept), pa.array(languages, pa.string()), out.arrow(options)], schema.names)
 
     return parsed.mapInArrow(run, schema)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+from itertools import compress
 from typing import NamedTuple
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from stringloom.schema import RUN, STATIC, Options, signed
+from stringloom.schema import RUN, STATIC, Options
 
 #: Characters that separate text: controls but tab, surrogates, U+FFFD, U+FEFF and non-characters.
 BREAKS = "\x00-\x08\x0a-\x1f\x7f-\x9f\ud800-\udfff\ufffd\ufeff\ufdd0-\ufdef" + "".join(chr(p << 16 | x) for p in range(17) for x in (0xFFFE, 0xFFFF))
@@ -25,7 +26,7 @@ TOKEN = 8
 
 
 class Run(NamedTuple):
-    """A row of RUN."""
+    """A string in an input; `place` is the position of its section among the input's."""
 
     kind: str
     encoding: str
@@ -36,44 +37,169 @@ class Run(NamedTuple):
     decoded_offset: int | None = None
     source_length: int | None = None
     place: int | None = None
-    xrefs: int = 0
+
+
+class Chunk(NamedTuple):
+    """Strings of one kind and alignment, column by column."""
+
+    kind: str
+    encoding: str
+    align: int
+    offset: list[int]
+    length: list[int]
+    value: list[str]
+
+    def rows(self) -> list[Run]:
+        return [Run(self.kind, self.encoding, o, n, v, self.align) for o, n, v in zip(self.offset, self.length, self.value)]
 
 
 def run_type() -> T.DataType:
     """array<RUN>, also where no session is, as in a task."""
-    kinds = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType()}
+    kinds = {"double": T.DoubleType(), "string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "boolean": T.BooleanType()}
     fields = (x.split(":") for x in RUN.removeprefix("struct<").removesuffix(">").split(","))
     return T.ArrayType(T.StructType([T.StructField(name, kinds[kind]) for name, kind in fields]))
 
 
-def ascii_runs(data: bytes, least: int) -> list[Run]:
-    return [Run("static_ascii", "ascii", m.start(), m.end() - m.start(), m[0].decode("ascii")) for m in re.finditer(rb"[\x09\x20-\x7e]{%d,}" % least, data)]
-
-
-def utf8_runs(data: bytes, least: int, with_ascii: bool) -> list[Run]:
+class Strings:
+    """Strings of several inputs as the columns of RUN, so that no string becomes an object of its own on the way."""
+
+    NAMES = tuple(x.split(":")[0] for x in RUN.removeprefix("struct<").removesuffix(">").split(","))
+
+    def __init__(self):
+        self.columns: dict[str, list] = {name: [] for name in self.NAMES if name != "quality"}
+        self.ends = [0]
+
+    def add(self, sections: list[dict], chunk: Chunk, shift: int = 0, targets: dict[int, int] | None = None) -> None:
+        """A chunk's strings with their sections and addresses and, if `targets` gives how often code takes each address, with their
+        references."""
+        offset = [x + shift for x in chunk.offset] if shift else chunk.offset
+        n = len(offset)
+        own = places(offset, sections)
+        self._extend(chunk.kind, chunk.encoding, chunk.align, n, offset, chunk.length, chunk.value, own, sections, targets)
+        self.columns["decoded_offset"] += [None] * n
+        self.columns["source_length"] += [None] * n
+
+    def add_runs(self, sections: list[dict], found: list[Run]) -> None:
+        """Strings that know their section."""
+        for r in found:
+            self._extend(r.kind, r.encoding, r.align, 1, [r.offset], [r.length], [r.value], [r.place], sections, None)
+            self.columns["decoded_offset"].append(r.decoded_offset)
+            self.columns["source_length"].append(r.source_length)
+
+    def _extend(self, kind, encoding, align, n, offset, length, value, place, sections, targets) -> None:
+        c = self.columns
+        for name, one in (("kind", kind), ("encoding", encoding), ("align", align)):
+            c[name] += [one] * n
+        for name, own in (("offset", offset), ("length", length), ("value", value)):
+            c[name] += own
+        if len(sections) == 1 and None not in place:
+            s = sections[0]
+            base, last = s["virtual_address"] - s["file_offset"], max(offset, default=0)
+            address = [base + x for x in offset] if base + last < 1 << 63 else [base + x if base + x < 1 << 63 else None for x in offset]
+            c["section"] += [s["name"]] * n
+            c["in_code"] += [s["executable"]] * n
+        else:
+            known = [None if p is None else sections[p] for p in place]
+            address = [None if s is None else _address(s, x) for s, x in zip(known, offset)]
+            c["section"] += [None if s is None else s["name"] for s in known]
+            c["in_code"] += [s is not None and s["executable"] for s in known]
+        c["address"] += address
+        c["xrefs"] += [targets.get(x, 0) for x in address] if targets else [0] * n
+
+    def close(self) -> None:
+        """The strings of the next input follow."""
+        self.ends.append(len(self.columns["kind"]))
+
+    def arrow(self, options: Options) -> pa.ListArray:
+        """A column of lists. Strings that are scored too low are left out at once: what comes later sees values alone, so it drops
+        all rows of a value or none."""
+        kind = to_arrow_type(run_type())
+        fields = {f.name: f for f in kind.value_type}
+        columns = {name: pa.array(own, fields[name].type) for name, own in self.columns.items() if name != "quality"}
+        n, ends = len(columns["value"]), np.array(self.ends, np.int32)
+        scores = qualities(columns["value"]) if options.wants_quality else None
+        columns["quality"] = pa.nulls(n, pa.float64()) if scores is None else pa.array(scores)
+        rows = pa.StructArray.from_arrays([columns[name] for name in fields], fields=list(fields.values()))
+        if options.min_quality > 0:
+            good = scores >= options.min_quality
+            rows, ends = rows.filter(pa.array(good)), np.concatenate(([0], np.cumsum(good)))[ends].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), rows, type=kind)
+
+
+#: Bytes of letters and digits.
+ALNUM = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
+
+
+def qualities(values: pa.StringArray) -> np.ndarray:
+    """`functions.text.quality` of all values at once, from their UTF-8 bytes."""
+    ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    if not len(values) or ends[-1] == ends[0]:
+        return np.zeros(len(values))
+    data = np.frombuffer(values.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    size = np.diff(ends)
+    row = np.repeat(np.arange(len(size)), size)
+    good = np.concatenate(([0], np.cumsum(ALNUM[data])))
+    there = np.zeros((len(size), 256), bool)
+    there[row, data] = True
+    begins = np.flatnonzero(np.concatenate(([True], (data[1:] != data[:-1]) | (row[1:] != row[:-1]))))
+    lengths, owner = np.diff(np.append(begins, len(data))), row[begins]
+    longest = np.ones(len(size), np.int64)
+    first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+    longest[owner[first]] = np.maximum.reduceat(lengths, first)
+    n = np.maximum(size, 1).astype(np.float64)
+    score = 0.6 * (((good[ends[1:]] - good[ends[:-1]]) / n) * (there.sum(axis=1) / n)) + 0.4 * (1.0 - (longest - 1) / n) + np.where(size <= 6, 0.2, 0.0)
+    return np.where(size == 0, 0.0, np.clip(score, 0.0, 1.0))
+
+
+def _address(s: dict, offset: int) -> int | None:
+    """The address of a place in a section; none if it is beyond those that a long can hold."""
+    at = s["virtual_address"] + offset - s["file_offset"]
+    return at if at < 1 << 63 else None
+
+
+def ascii_chunk(data: bytes, least: int) -> Chunk:
+    text = data.decode("latin-1")
+    spans = [m.span() for m in re.finditer(f"[\\x09\\x20-\\x7e]{{{least},}}", text)]
+    return Chunk("static_ascii", "ascii", 0, [a for a, _ in spans], [b - a for a, b in spans], [text[a:b] for a, b in spans])
+
+
+def utf8_chunk(data: bytes, least: int, with_ascii: bool) -> Chunk:
     """Runs of at least `least` characters; pure ASCII ones only if the ASCII scan is off. Bytes that are no UTF-8 separate."""
-    text, out, seen, at = data.decode("utf-8", "surrogateescape"), [], 0, 0
+    out = Chunk("static_utf8", "utf8", 0, [], [], [])
+    if with_ascii and data.isascii():
+        return out
+    text, seen, at = data.decode("utf-8", "surrogateescape"), 0, 0
     for m in re.finditer(f"[^{BREAKS}]{{{least},}}", text):
         at += len(text[seen : m.start()].encode("utf-8", "surrogateescape"))
         size = len(m[0].encode())
         if not (with_ascii and m[0].isascii()):
-            out.append(Run("static_utf8", "utf8", at, size, m[0]))
+            out.offset.append(at)
+            out.length.append(size)
+            out.value.append(m[0])
         seen, at = m.end(), at + size
     return out
 
 
-def utf16_runs(data: bytes, least: int, end: str) -> list[Run]:
+def utf16_chunks(data: bytes, least: int, end: str) -> list[Chunk]:
     """Both alignments; a lone surrogate separates."""
-    out = []
+    chunks = []
     for align in (0, 1):
         body = data[align : align + (len(data) - align) // 2 * 2]
-        text, seen, at = body.decode(f"utf-16-{end}", "surrogatepass"), 0, align
-        for m in re.finditer(f"[^{BREAKS}]{{{least},}}", text):
-            at += 2 * sum(1 + (c > "\uffff") for c in text[seen : m.start()])
-            size = len(m[0].encode(f"utf-16-{end}"))
-            out.append(Run(f"static_utf16_{end}", f"utf16_{end}", at, size, m[0], align))
-            seen, at = m.end(), at + size
-    return out
+        text = body.decode(f"utf-16-{end}", "surrogatepass")
+        spans = [m.span() for m in re.finditer(f"[^{BREAKS}]{{{least},}}", text)]
+        values = [text[a:b] for a, b in spans]
+        if 2 * len(text) == len(body):  # each character is one unit
+            offsets, sizes = [align + 2 * a for a, _ in spans], [2 * (b - a) for a, b in spans]
+        else:
+            offsets, sizes, seen, at = [], [], 0, align
+            for (a, b), value in zip(spans, values):
+                at += 2 * sum(1 + (c > "\uffff") for c in text[seen:a])
+                offsets.append(at)
+                sizes.append(len(value.encode(f"utf-16-{end}")))
+                seen, at = b, at + sizes[-1]
+        chunks.append(Chunk(f"static_utf16_{end}", f"utf16_{end}", align, offsets, sizes, values))
+    return chunks
 
 
 def base64_runs(data: bytes, options: Options, warnings: list[str] | None = None) -> list[Run]:
@@ -111,22 +237,27 @@ def decoded(token: bytes) -> bytes | None:
     return None
 
 
-def static_runs(data: bytes, least: int, kinds, mirrored: bool = False) -> list[Run]:
-    """The scans in their order. Without `mirrored`, UTF-16 rows that only the wrong byte order sees are left out at once; see
+def static_chunks(data: bytes, least: int, kinds, mirrored: bool = False) -> list[Chunk]:
+    """The scans in their order. Without `mirrored`, UTF-16 strings that only the wrong byte order sees are left out at once; see
     `without_mirrored`."""
     if least == 0:
         return []
-    out = ascii_runs(data, least) if "static_ascii" in kinds else []
+    out = [ascii_chunk(data, least)] if "static_ascii" in kinds else []
     if "static_utf8" in kinds:
-        out += utf8_runs(data, least, "static_ascii" in kinds)
-    for end in ("le", "be"):
-        if f"static_utf16_{end}" in kinds:
-            out += utf16_runs(data, least, end)
+        out.append(utf8_chunk(data, least, "static_ascii" in kinds))
+    wide = [x for end in ("le", "be") if f"static_utf16_{end}" in kinds for x in utf16_chunks(data, least, end)]
     if mirrored or not {"static_utf16_le", "static_utf16_be"} <= set(kinds):
-        return out
-    plain = {(x.kind, x.offset, x.length) for x in out if x.encoding.startswith("utf16") and x.value.isascii()}
+        return out + wide
+    plain = {(x.kind, o, n) for x in wide for o, n, v in zip(x.offset, x.length, x.value) if v.isascii()}
     other = {"static_utf16_le": "static_utf16_be", "static_utf16_be": "static_utf16_le"}
-    return [x for x in out if (x.kind, x.offset, x.length) not in plain or (other[x.kind], x.offset - 1, x.length + 2) not in plain]
+    for x in wide:
+        kept = [(x.kind, o, n) not in plain or (other[x.kind], o - 1, n + 2) not in plain for o, n in zip(x.offset, x.length)]
+        out.append(x if all(kept) else x._replace(**{name: list(compress(getattr(x, name), kept)) for name in ("offset", "length", "value")}))
+    return out
+
+
+def static_runs(data: bytes, least: int, kinds, mirrored: bool = False) -> list[Run]:
+    return [r for x in static_chunks(data, least, kinds, mirrored) for r in x.rows()]
 
 
 def places(offsets: list[int], sections: list[dict]) -> list[int | None]:
@@ -151,33 +282,15 @@ def places(offsets: list[int], sections: list[dict]) -> list[int | None]:
     return out
 
 
-def scanned(data: bytes, start: int, end: int, arch: int, sections: list[dict], options: Options, mirrored: bool = False, targets: dict[int, int] | None = None, warnings: list[str] | None = None) -> list[Run]:
-    """What one input holds between `start` and `end`, each string with the position of its section and, if `targets` gives how
-    often code takes each address, with its references. Base64 tokens are sought in the whole input, with its first
-    architecture."""
+def scanned(out: Strings, data: bytes, start: int, end: int, arch: int, sections: list[dict], options: Options, mirrored: bool = False, targets: dict[int, int] | None = None, warnings: list[str] | None = None) -> None:
+    """Into `out`, what one input holds between `start` and `end`, each string with its section and, if `targets` gives how often code
+    takes each address, with its references. Base64 tokens are sought in the whole input, with its first architecture; their text
+    has no section."""
     kinds = [k for k in STATIC if options.wants(k)]
-    found = static_runs(data[start:end], options.min_length, kinds, mirrored)
-    if start:
-        found = [x._replace(offset=x.offset + start) for x in found]
-    own = places([x.offset for x in found], sections)
-    if targets:
-        for i, (x, place) in enumerate(zip(found, own)):
-            if place is not None:
-                s = sections[place]
-                found[i] = x._replace(place=place, xrefs=targets.get(signed(s["virtual_address"] + x.offset - s["file_offset"]), 0))
-    else:
-        found = [Run._make((*x[:8], place, 0)) for x, place in zip(found, own)]
-    return found + (base64_runs(data, options, warnings) if options.decode_base64 and options.wants("base64") and arch == 0 else [])
-
-
-def as_arrow(found: list[list[Run]]) -> pa.ListArray:
-    """Runs of several inputs as a column of lists, built column by column."""
-    kind = to_arrow_type(run_type())
-    fields = [kind.value_type.field(i) for i in range(kind.value_type.num_fields)]
-    columns = list(zip(*(x for own in found for x in own))) or [()] * len(fields)
-    ends = np.cumsum([0, *map(len, found)])
-    rows = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], fields=fields)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows, type=kind)
+    for chunk in static_chunks(data[start:end], options.min_length, kinds, mirrored):
+        out.add(sections, chunk, start, targets)
+    if options.decode_base64 and options.wants("base64") and arch == 0:
+        out.add_runs(sections, base64_runs(data, options, warnings))
 
 
 def sliced(batches, rows: int = INPUTS):
@@ -197,8 +310,11 @@ def scan(parsed: DataFrame, options: Options, mirrored: bool = False) -> DataFra
         for batch in sliced(batches):
             column = {n: batch.column(i) for i, n in enumerate(names)}
             rows = zip(*(column[x].to_pylist() for x in ("content", "scan_start", "scan_end", "arch_idx", "sections")))
-            out = [scanned(*row, options, mirrored) for row in rows]
-            yield pa.RecordBatch.from_arrays([*(column[f.name] for f in kept), as_arrow(out)], schema.names)
+            out = Strings()
+            for row in rows:
+                scanned(out, *row, options, mirrored)
+                out.close()
+            yield pa.RecordBatch.from_arrays([*(column[f.name] for f in kept), out.arrow(options)], schema.names)
 
     return parsed.mapInArrow(run, schema)
 

@@ -19,20 +19,11 @@ def place_of(values: dict[str, int] | tuple[str, ...], c: Column) -> Column:
 
 
 def located(scanned: DataFrame) -> DataFrame:
-    """A row for each run of `scanned` (parsed inputs with `runs`), with its section and address. Base64 rows have none. The
-    scan has said which section it is; it is looked up before the runs become rows, so no row carries the sections."""
-
-    def own(r: Column) -> Column:
-        s = F.get("sections", r["place"])
-        return F.struct(
-            *(r[x].alias(x) for x in ("value", "kind", "encoding", "offset", "length")),
-            F.try_add(s["virtual_address"], r["offset"] - s["file_offset"]).alias("address"), s["name"].alias("section"), F.coalesce(s["executable"], F.lit(False)).alias("in_code"),
-            *(r[x].alias(x) for x in ("align", "decoded_offset", "source_length", "xrefs")),
-        )
-
-    r = scanned.select("input_id", "arch_idx", F.posexplode(F.transform("runs", own)).alias("pos", "r")).select("input_id", "arch_idx", "pos", "r.*")
+    """A row for each run of `scanned` (parsed inputs with `runs`), with its section and address, which the scan has said. Base64 rows
+    have none."""
+    r = scanned.select("input_id", "arch_idx", F.posexplode("runs").alias("pos", "r")).select("input_id", "arch_idx", "pos", "r.*")
     seq = F.struct((F.col("kind") == "base64").cast("int").alias("stage"), F.col("arch_idx").alias("arch_idx"), place_of(PASS, F.col("kind")).alias("pass"), F.col("align").cast("long").alias("align"), F.col("pos").cast("long").alias("pos"))
-    return r.select("input_id", "arch_idx", "value", "kind", "encoding", "offset", "length", "address", "section", "in_code", "decoded_offset", "source_length", "xrefs", seq.alias("seq"))
+    return r.select("input_id", "arch_idx", "value", "kind", "encoding", "offset", "length", "address", "section", "in_code", "decoded_offset", "source_length", "xrefs", "quality", seq.alias("seq"))
 
 
 def in_library(strings: DataFrame, library: DataFrame | None) -> DataFrame:
@@ -94,7 +85,11 @@ def late_filters(strings: DataFrame, options: Options) -> DataFrame:
     if options.min_trigram_score is not None:
         strings = strings.where(F.col("trigram_score").isNull() | (F.col("trigram_score") >= options.min_trigram_score))
     if options.min_quality > 0:
-        strings = strings.select("*", once(quality(F.col("value"))).alias("quality")).where(F.col("quality") >= options.min_quality).drop("quality")
+        # The scan has scored what it found; the rest is what code writes.
+        score = quality(F.col("value"))
+        if "quality" in strings.columns:
+            score = F.when(F.col("quality").isNull(), score).otherwise(F.col("quality"))
+        strings = strings.withColumn("quality", once(score)).where(F.col("quality") >= options.min_quality)
     return strings
 
 

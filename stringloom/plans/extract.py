@@ -53,17 +53,16 @@ def examined(inputs: DataFrame, options: Options, mirrored: bool = False, extrac
     by_language, stack = options.wants("go") or options.wants("rust"), options.wants("stack") or options.wants("tight")
     beyond = [f"nothing here finds strings of kind {k}" for k in (options.unsupported if missing is None else missing)]
 
-    def one(input_id: str, data: bytes):
+    def one(input_id: str, data: bytes, out: runs.Strings):
         for x in architectures(input_id, data, options.format):
             own = x | {"language": None, "writes": [], "warnings": [*x["warnings"], *(beyond if x["arch_idx"] == 0 else [])]}
-            found = []
             if not x["error"]:
                 own["language"] = language.toolchain_of(x["sections"], data)
                 if static:
                     targets = code.references(x["arch"], x["sections"], data)
-                    found += runs.scanned(data, x["scan_start"], x["scan_end"], x["arch_idx"], x["sections"], options, mirrored, targets, own["warnings"])
+                    runs.scanned(out, data, x["scan_start"], x["scan_end"], x["arch_idx"], x["sections"], options, mirrored, targets, own["warnings"])
                 if by_language:
-                    found += language.scanned(data, x["sections"], own["language"], options, own["warnings"])
+                    out.add_runs(x["sections"], language.scanned(data, x["sections"], own["language"], options, own["warnings"]))
                 if stack:
                     own["writes"] = code.writes_of(x["arch"], x["sections"], [va for va, _ in x["symbols"]], data)
                 for e in extra:
@@ -71,14 +70,15 @@ def examined(inputs: DataFrame, options: Options, mirrored: bool = False, extrac
                         own["more_" + e.name] = [dict(zip(fields[e.name], row)) for row in e.rows(x, data, options)]
                     except (ValueError, LookupError, ArithmeticError, TypeError, struct.error) as error:
                         own["warnings"].append(f"extractor {e.name}: {error}")
-            yield own, found
+            out.close()
+            yield own
 
     def run(batches):
         for batch in runs.sliced(batches):
-            both = [x for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in one(i, data or b"")]
-            table = pa.RecordBatch.from_pylist([own for own, _ in both], schema=arrow)
-            columns = table.columns
-            columns.insert(at, runs.as_arrow([found for _, found in both]))
+            out = runs.Strings()
+            rows = [x for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in one(i, data or b"", out)]
+            columns = pa.RecordBatch.from_pylist(rows, schema=arrow).columns
+            columns.insert(at, out.arrow(options))
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return inputs.select("input_id", "content").mapInArrow(run, schema)
@@ -115,7 +115,7 @@ def _code_rows(found: DataFrame, kind: str, stage: int, section: str | None, ali
     return found.select(
         "input_id", "arch_idx", "value", F.lit(kind).alias("kind"), F.lit(encoding).alias("encoding"), F.lit(0).cast("long").alias("offset"),
         F.octet_length("value").cast("long").alias("length"), F.col("va").alias("address"), F.lit(section).cast("string").alias("section"), F.lit(False).alias("in_code"),
-        none("long").alias("decoded_offset"), none("long").alias("source_length"), F.lit(0).alias("xrefs"), seq.alias("seq"), F.col("va").alias("function_va"),
+        none("long").alias("decoded_offset"), none("long").alias("source_length"), F.lit(0).alias("xrefs"), none("double").alias("quality"), seq.alias("seq"), F.col("va").alias("function_va"),
     )
 
 

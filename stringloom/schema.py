@@ -24,8 +24,9 @@ PARSED = (
     "input_id string, arch_idx int, format string, arch string, bits int, size long, entry long, scan_start long, scan_end long, "
     f"sections array<{SECTION}>, imports array<{IMPORT}>, symbols map<long,string>, warnings array<string>, error string"
 )
-#: A string in an input: `place` is the position of its section in the input's array, `xrefs` how often code takes its address.
-RUN = "struct<kind:string,encoding:string,offset:long,length:long,value:string,align:int,decoded_offset:long,source_length:long,place:int,xrefs:int>"
+#: A string in an input: `address` and `section` are those of its place, `xrefs` is how often code
+#: takes its address, `quality` its score where that is wanted.
+RUN = "struct<kind:string,encoding:string,offset:long,length:long,value:string,align:int,decoded_offset:long,source_length:long,address:long,section:string,in_code:boolean,xrefs:int,quality:double>"
 #: Bytes that code writes to the stack.
 WRITES = "array<struct<place:long,region:long,target:long,bytes:binary>>"
 
@@ -44,7 +45,7 @@ class Bounds:
 
 @dataclass(frozen=True)
 class Options:
-    """What to extract. `enabled` None means all kinds; `required_tags` implies annotation."""
+    """What to extract. `enabled` None means all kinds; `required_tags` implies annotation, `min_quality` scores."""
 
     min_length: int = 4
     enabled: tuple[str, ...] | None = None
@@ -53,6 +54,7 @@ class Options:
     skip_code_sections: bool = False
     skip_library_strings: bool = False
     min_quality: float = 0.0
+    score_quality: bool = False
     decode_base64: bool = False
     annotate: bool = False
     required_tags: tuple[str, ...] = ()
@@ -78,6 +80,10 @@ class Options:
     def wants(self, kind: str) -> bool:
         return self.enabled is None or kind in self.enabled
 
+    @property
+    def wants_quality(self) -> bool:
+        return self.score_quality or self.min_quality > 0
+
     @property
     def annotated(self) -> bool:
         return self.annotate or bool(self.required_tags)

@@ -45,3 +45,20 @@ def test_capabilities():
     for name, tag in {"HeapAlloc": "alloc", "memcpy": "memcpy", "WSAStartup": "network", "CreateFileA": "filesystem", "RegOpenKeyExA": "registry", "CreateRemoteThread": "process", "BCryptDecrypt": "crypto", "LoadLibraryA": "loader", "IsDebuggerPresent": "debug", "VirtualAllocEx": "alloc"}.items():
         assert known[name.lower()] == f"calls_{tag}"
     assert len(known) == 222
+
+
+def test_quality_of_the_scan_equals_the_expression(spark):
+    """Any text, also beyond ASCII and in slices of a column."""
+    import random
+
+    import pyarrow as pa
+
+    from stringloom.operators.runs import qualities
+
+    rng = random.Random(8)
+    values = ["".join(rng.choice(["a", "Z", "7", " ", "é", "€", "😀", "\t", "."]) * rng.choice([1, 1, 1, 9]) for _ in range(rng.randrange(1, 20))) for _ in range(200)]
+    df = spark.createDataFrame([(v,) for v in values], "v string").select(quality(F.col("v")).alias("q"))
+    expected = [r.q for r in df.collect()]
+    assert qualities(pa.array(values)).tolist() == expected
+    assert qualities(pa.array(values).slice(50, 30)).tolist() == expected[50:80]
+    assert qualities(pa.array([], pa.string())).tolist() == [] and qualities(pa.array(["", ""])).tolist() == [0.0, 0.0]
