@@ -83,13 +83,13 @@ def url_verdicts() -> str:
         common{k} AS (SELECT host, template, CASE WHEN differs IS NULL THEN a ELSE a[1:differs - 1] END AS common FROM ends{k}),
         branches{k} AS (SELECT host, template, rest[1] AS segment, sum(blocked) AS blocked, sum(allowed) AS allowed,
             concat_ws('|', min(len(rest)), max(len(rest)), coalesce(min(rest[2]), ''), coalesce(max(rest[2]), '')) AS shape FROM open{k} GROUP BY ALL),
-        whole{k} AS (SELECT host, template, count(*) AS kinds, sum(blocked) AS b, sum(allowed) AS a FROM branches{k} GROUP BY ALL),
+        whole{k} AS (SELECT host, template, sum(blocked) AS b, sum(allowed) AS a FROM branches{k} GROUP BY ALL),
         judged{k} AS (SELECT *, blocked + allowed > 0 AS labelled, blocked + allowed > 0 AND a + b > blocked + allowed
             AND abs(blocked / greatest(blocked + allowed, 1)::DOUBLE - (b - blocked) / greatest(a + b - blocked - allowed, 1)::DOUBLE)
                 <= {url_filter.ERRORS} * sqrt((b + 1.0::DOUBLE) / (a + b + 2) * (1 - (b + 1.0::DOUBLE) / (a + b + 2)) * (1.0::DOUBLE / greatest(blocked + allowed, 1) + 1.0::DOUBLE / greatest(a + b - blocked - allowed, 1))) AS alike
             FROM branches{k} JOIN whole{k} USING (host, template)),
         kin{k} AS (SELECT host, template, shape, count(*) > 1 AS kin FROM judged{k} WHERE alike GROUP BY ALL),
-        named{k} AS (SELECT host, template, segment, CASE WHEN len(common) > 0 THEN common ELSE [CASE WHEN alike THEN '*' WHEN labelled OR kinds <= {url_filter.VARIABLE} THEN segment WHEN kin THEN '*' ELSE '?' END] END AS names
+        named{k} AS (SELECT host, template, segment, CASE WHEN len(common) > 0 THEN common ELSE [CASE WHEN alike OR (kin AND NOT labelled) THEN '*' ELSE segment END] END AS names
             FROM judged{k} LEFT JOIN kin{k} USING (host, template, shape) JOIN common{k} USING (host, template)),
         nodes{k + 1} AS (SELECT n.host, parts, blocked, allowed, CASE WHEN len(parts) > level THEN n.template || '/' || array_to_string(names, '/') ELSE n.template END AS template,
             CASE WHEN len(parts) > level THEN level + len(names) ELSE level END AS level

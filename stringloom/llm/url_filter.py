@@ -9,8 +9,6 @@ from stringloom.llm.common import stash
 
 #: (verdict, rule): a host and the beginning of a path. The longest rule that fits a URL decides.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-#: Where a node has more different segments than this under it, their names count for little.
-VARIABLE = 20
 #: Standard errors within which the share of blocked URLs of a branch counts as that of its siblings.
 ERRORS = 2.0
 #: Strength of the prior, its purity for hosts without labels, and the purity from which a template is rejected. What a host's
@@ -51,14 +49,14 @@ def segments(path: Column) -> Column:
     return F.transform(parts, form)
 
 
-def templates(urls: DataFrame, variable: int = VARIABLE, errors: float = ERRORS) -> DataFrame:
+def templates(urls: DataFrame, errors: float = ERRORS) -> DataFrame:
     """(host, parts, template, ...) for each distinct (host, parts) of `urls` (host, parts, n, blocked, allowed: URLs, and
     those labelled). The tree grows from the host down, to the end of every path. Branches of a node merge on evidence only:
 
     - those with labels become `*` where the share of blocked URLs lies within `errors` standard errors of that of all
       labelled siblings; a branch that differs, or that alone has labels, keeps its name;
-    - those without labels keep their names, too, unless the node has more than `variable` segments. There they become `*` if
-      two labelled branches that did have the same children (depths, first and last name), and `?` if not.
+    - those without labels become `*`, too, if two labelled branches that did have the same children (depths, first and last
+      name), however many branches there are; the others keep their names.
 
     What all paths of a node begin with is taken at once, so there are as many rounds as places where paths part."""
     nodes = urls.select("*", F.lit("").alias("template"), F.lit(0).alias("level"))
@@ -77,16 +75,16 @@ def templates(urls: DataFrame, variable: int = VARIABLE, errors: float = ERRORS)
             F.sum("blocked").alias("blocked"), F.sum("allowed").alias("allowed"),
             F.struct(F.min(F.size("rest")), F.max(F.size("rest")), F.coalesce(F.min(below), F.lit("")), F.coalesce(F.max(below), F.lit(""))).cast("string").alias("shape"),
         )
-        whole = branches.groupBy("host", "template").agg(F.count("*").alias("kinds"), F.sum("blocked").alias("all_blocked"), F.sum("allowed").alias("all_allowed"))
+        whole = branches.groupBy("host", "template").agg(F.sum("blocked").alias("all_blocked"), F.sum("allowed").alias("all_allowed"))
         seen, all_seen = F.col("blocked") + F.col("allowed"), F.col("all_blocked") + F.col("all_allowed")
         rest_seen, rest_blocked = all_seen - seen, F.col("all_blocked") - F.col("blocked")
         pooled = (F.col("all_blocked") + 1) / (all_seen + 2)
         error = F.sqrt(pooled * (1 - pooled) * (1 / F.greatest(seen, F.lit(1)) + 1 / F.greatest(rest_seen, F.lit(1))))
         apart = F.abs(F.col("blocked") / F.greatest(seen, F.lit(1)) - rest_blocked / F.greatest(rest_seen, F.lit(1)))
         alike = (seen > 0) & (rest_seen > 0) & (apart <= errors * error)
-        judged = stash(branches.join(whole, ["host", "template"]).select("host", "template", "segment", "shape", "kinds", (seen > 0).alias("labelled"), alike.alias("alike")), "branches")
+        judged = stash(branches.join(whole, ["host", "template"]).select("host", "template", "segment", "shape", (seen > 0).alias("labelled"), alike.alias("alike")), "branches")
         kin = judged.where("alike").groupBy("host", "template", "shape").agg((F.count("*") > 1).alias("kin"))
-        name = F.when(F.col("alike"), "*").when(F.col("labelled") | (F.col("kinds") <= variable), F.col("segment")).when(F.col("kin"), "*").otherwise("?")
+        name = F.when(F.col("alike"), "*").when(~F.col("labelled") & F.col("kin"), "*").otherwise(F.col("segment"))
         named = judged.join(kin, ["host", "template", "shape"], "left").join(ends, ["host", "template"]).select("host", "template", "segment", F.when(F.size("common") > 0, F.col("common")).otherwise(F.array(name)).alias("names"))
         nodes = nodes.withColumn("segment", F.when(deep, F.get("parts", F.col("level")))).join(named, ["host", "template", "segment"], "left")
         grown = F.concat("template", F.lit("/"), F.array_join("names", "/"))

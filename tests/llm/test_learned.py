@@ -95,6 +95,16 @@ def test_unlabelled_siblings_of_a_blocked_branch(spark):
     assert got["/" + "s/" * 3000 + "end"].template == "/" + "s/" * 3000 + "end"
 
 
+def test_templates_do_not_turn_with_the_number_of_names(spark):
+    """Five labelled names that are blocked alike and fewer or more than twenty others with the same children."""
+    names = [chr(97 + i) * 3 for i in range(26)]
+    for many in (3, 15, 16, 26):
+        urls = [f"http://d.com/user/b{y}/spam" for y in names[:5]] + [f"http://d.com/user/c{y}/spam" for y in names[:many]] + ["http://d.com/user/cxyz/about/me"]
+        got = {r.path: r for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=(("block", "d.com/user/b"),)).collect()}
+        assert (got["/user/caaa/spam"].template, got["/user/caaa/spam"].verdict) == ("/user/*/spam", "block")
+        assert got["/user/cxyz/about/me"].verdict == "allow"
+
+
 def test_language_model(spark):
     rng = random.Random(7)
     rows = [(i, " ".join(rng.choice(("red fox", "blue whale", "green tree")) for _ in range(rng.randint(5, 60)))) for i in range(400)]
