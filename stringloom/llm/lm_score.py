@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import heapq
 import zlib
 from dataclasses import dataclass
+from functools import cache
 from math import log10
 
 import numpy as np
@@ -55,6 +57,18 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
+@cache
+def keep_memory() -> None:
+    """Arrays of a window are made anew for each one; the C library hands such memory back to the system and gets it again page by
+    page. Here it keeps up to 64 MB for the next window. Once in each Python worker; without glibc, nothing happens."""
+    try:
+        mallopt = ctypes.CDLL(None).mallopt
+    except (OSError, AttributeError):
+        return
+    for option in (-3, -1):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD
+        mallopt(option, 64 << 20)
+
+
 class Places(dict):
     """The places of held words; -1 for others."""
 
@@ -203,25 +217,30 @@ class Network:
             slope["to_class"], slope["class_bias"] = state.T @ logits, np.ones(len(unit), np.float32) @ logits
             slope["to_member"], slope["member_bias"] = np.zeros_like(self.to_member), np.zeros_like(self.member_bias)
             back = logits @ self.to_class.T
-        ones = np.ones(MEMBERS, np.float32)
-        for k in range(len(self.class_bias)):
-            a, b = borders[k], borders[k + 1]
-            if a == b:
-                continue
-            h, m, rows = state[a:b], member[a:b], every[: b - a]
-            l2 = h @ self.to_member[k]
-            l2 += self.member_bias[k]
-            np.clip(l2, -LOGIT, LOGIT, out=l2)
-            if slope is None:
-                found[a:b] += l2[rows, m]
-                np.exp(l2, out=l2)
-                found[a:b] -= np.log(l2 @ ones)
-            else:
-                np.exp(l2, out=l2)
-                l2 *= (FULL / (l2 @ ones))[:, None]
-                l2[rows, m] -= FULL
-                slope["to_member"][k], slope["member_bias"][k] = h.T @ l2, l2.sum(axis=0)
-                back[a:b] += l2 @ self.to_member[k].T
+        # A product for each class that occurs; all else goes over all units at once.
+        ones, sizes = np.ones(MEMBERS, np.float32), np.diff(borders)
+        inner = np.empty((len(unit), MEMBERS), np.float32)
+        used = np.flatnonzero(sizes).tolist()
+        cut = borders.tolist()
+        for k in used:
+            np.matmul(state[cut[k] : cut[k + 1]], self.to_member[k], out=inner[cut[k] : cut[k + 1]])
+        inner += self.member_bias[cls]
+        np.clip(inner, -LOGIT, LOGIT, out=inner)
+        if slope is None:
+            found += inner[every, member]
+            np.exp(inner, out=inner)
+            found -= np.log(inner @ ones)
+        else:
+            np.exp(inner, out=inner)
+            inner *= (FULL / (inner @ ones))[:, None]
+            inner[every, member] -= FULL
+            deep = np.empty_like(state)
+            for k in used:
+                own = inner[cut[k] : cut[k + 1]]
+                np.matmul(state[cut[k] : cut[k + 1]].T, own, out=slope["to_member"][k])
+                np.matmul(own, self.to_member[k].T, out=deep[cut[k] : cut[k + 1]])
+            slope["member_bias"][used] = np.add.reduceat(inner, borders[used], axis=0)
+            back += deep
         result = found if slope is None else back
         out = np.empty_like(result)
         out[order] = result
@@ -239,7 +258,7 @@ class Network:
         to_cand = (1 - z) * (1 - cand * cand)
         to_update = (prior - cand) * z * (1 - z)
         to_reset = prior * r * (1 - r)
-        stays = (~begins).astype(np.float32)[:, :, None]
+        stays, resets = (~begins).astype(np.float32)[:, :, None], begins.any(axis=1).tolist()
         ahead, back_cand, back_gates = np.zeros_like(state), self.candidate.T.copy(), self.gates.T.copy()
         for t in range(len(before) - 1, -1, -1):
             d = flow[t]
@@ -253,7 +272,8 @@ class Network:
             ahead += d_reset
             d *= z[t]
             ahead += d
-            ahead *= stays[t]
+            if resets[t]:
+                ahead *= stays[t]
         flat, rows = before.ravel(), d_in.reshape(-1, 3 * h)
         slope["gates"] = prior.reshape(-1, h).T @ rows[:, : 2 * h]
         slope["candidate"] = reset.reshape(-1, h).T @ rows[:, 2 * h :]
@@ -317,6 +337,7 @@ def train(coded: DataFrame, vocab, start: np.ndarray, rate: float, shards: int)
     shared = coded.sparkSession.sparkContext.broadcast(start)
 
     def run(batches):
+        keep_memory()
         net, squares = (Network(vocab.value, x) for x in shared.value)
         tokens = steps = 0
         for some in _tables(batches):
@@ -389,6 +410,7 @@ def score(df: DataFrame, held_out: Column, round_of: Column, id_col: str = "doc_
     out = T.StructType([f for f in coded.schema if f.name not in ("units", "round")] + [T.StructField("logs", T.DoubleType())])
 
     def run(batches):
+        keep_memory()
         net = Network(shared.value, network.value)
         for some in _tables(batches):
             logs = log_likelihoods(net, [np.frombuffer(x, UNIT).astype(np.int32) for x in some.column(0).to_pylist()])
