@@ -10,7 +10,6 @@ from collections.abc import Callable
 from functools import cache, reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -160,27 +159,29 @@ def _packed(pool: DataFrame, deal: str, groups: int, first: int, size: int) -> D
     whether the sequence has no gap; and `certified`: whether a bound says that the group cannot do with fewer."""
     schema = T.StructType([*pool.schema.fields, T.StructField("whole", T.BooleanType()), T.StructField("certified", T.BooleanType())])
 
-    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("key", ignore_index=True).drop(columns="dealt")
-        lengths = rows["length"].tolist()
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("key")
+        lengths, before = rows["length"].to_pylist(), rows["sequence_id"].combine_chunks()
         which, place = best_fit(lengths, size)
-        needed, before = max(which) + 1, rows["sequence_id"].nunique()
-        if needed < before or rows["sequence_id"].isna().any():
-            rows["sequence_id"] = ((first + int(key[0])) << 24) + np.array(which, np.int64)
-            rows["offset"] = np.array(place, np.int64)
+        needed, old = max(which) + 1, len(before.unique())
+        if before.null_count or needed < old:
+            sequence, offset = ((first + key[0].as_py()) << 24) + np.array(which, np.int64), np.array(place, np.int64)
         else:
-            needed = before
-        rows["whole"] = rows.groupby("sequence_id")["length"].transform("sum") == size
-        rows["certified"] = lower_bound(np.bincount(lengths, minlength=size + 1), size, needed) == needed
-        return rows[schema.names]
+            sequence, offset, needed = before.to_numpy(), rows["offset"].combine_chunks().to_numpy(), old
+        _, own = np.unique(sequence, return_inverse=True)
+        whole = np.bincount(own, weights=lengths)[own] == size
+        certified = lower_bound(np.bincount(lengths, minlength=size + 1), size, needed) == needed
+        new = {"sequence_id": pa.array(sequence), "offset": pa.array(offset), "whole": pa.array(whole), "certified": pa.array([certified] * len(lengths))}
+        return pa.table({name: new[name] if name in new else rows[name] for name in schema.names})
 
     dealt = F.pmod(F.xxhash64(deal), F.lit(groups)).alias("dealt")
-    return pool.select("*", dealt).groupBy("dealt").applyInPandas(pack, schema)
+    return pool.select("*", dealt).groupBy("dealt").applyInArrow(pack, schema)
 
 
 def pack(items: DataFrame, size: int = SIZE, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
     """`items` (length from 1 to `size`, and other columns) with `sequence_id` and `offset`: the pieces of a sequence lie beside each
-    other from 0 on and are together no longer than `size`.
+    other from 0 on and are together no longer than `size`; and with `certified`: whether a bound says that the pieces it was
+    packed with cannot do with fewer sequences.
 
     Pieces of full length are sequences of their own. The others are dealt out by a hash into groups of about `group`, each
     packed by best fit decreasing, and dual-feasible functions tell for each group how few sequences it can need at least.
@@ -194,7 +195,7 @@ def pack(items: DataFrame, size: int = SIZE, group: int = GROUP, rounds: int = R
     written first; it must not have columns named key, sequence_id, offset, whole, certified or dealt."""
     rows = stash(items.select(F.monotonically_increasing_id().alias("key"), "*"), "pieces")
     none = F.lit(None).cast("long")
-    full = rows.where(F.col("length") == size).withColumn("sequence_id", -1 - F.col("key")).withColumn("offset", F.lit(0).cast("long"))
+    full = rows.where(F.col("length") == size).withColumn("sequence_id", -1 - F.col("key")).withColumn("offset", F.lit(0).cast("long")).withColumn("certified", F.lit(True))
     counts = np.zeros(size + 1, np.int64)
     for r in rows.where(F.col("length") < size).groupBy("length").agg(F.count("*").alias("n")).collect():
         counts[r.length] = r.n
@@ -218,11 +219,11 @@ def pack(items: DataFrame, size: int = SIZE, group: int = GROUP, rounds: int = R
 
 
 def _whole(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, (x.drop("key", "whole", "certified") for x in parts))
+    return reduce(DataFrame.unionByName, (x.drop("key", "whole") for x in parts))
 
 
 def pack_documents(df: DataFrame, vocabulary: str, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, group: int = GROUP) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for each piece of each text of `df`, packed into sequences of
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset, certified) for each piece of each text of `df`, packed into sequences of
     `size` tokens. `vocabulary` (.json) and `ranks` (.tiktoken) are the same tokenizer, `pattern` is how it splits text.
 
     Null and empty texts are one token, the end. Repeated rows and ids are documents of their own; a null id stays null;

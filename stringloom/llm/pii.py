@@ -129,15 +129,24 @@ def disclosures(held: DataFrame, document_terms: DataFrame, documents: int) -> D
 
     Of a value with probability p(v) a term discloses log p(v|t) / p(v) of -log p(v) bits, both from the corpus: documents
     with both, against all that hold the term. SUPPORT different texts must have both; values in fewer are left out first.
-    `held` is (text_id, n, value, terms) for each text and value, n documents having the text; `document_terms`
-    (term, documents)."""
-    own = held.groupBy("value").agg(F.sum("n").alias("contexts"), F.count("*").alias("different")).where(F.col("different") >= SUPPORT).drop("different")
-    pairs = held.join(stash(own, "values").hint("shuffle_merge"), "value").select("text_id", "n", "value", "contexts", F.explode("terms").alias("term"))
-    joint = pairs.groupBy("value", "contexts", "term").agg(F.sum("n").alias("both"), F.count("*").alias("different")).where(F.col("different") >= SUPPORT)
+    `held` is (text_id, n, values, terms) for each text, a written table, n documents having the text; `document_terms` (term,
+    documents).
+
+    A value that very many texts hold is no large group: its texts are counted by task first, only (text, value) travels to the
+    count, and values with their terms are aggregated by both, by task first, before anything is joined by value. What is then
+    joined by value is written and joined on by another key next, so Spark can split a value with very many terms."""
+    each = held.select("text_id", "n", F.explode("values").alias("value"))
+    own = each.groupBy("value").agg(F.sum("n").alias("contexts"), F.count("*").alias("different")).where(F.col("different") >= SUPPORT)
+    own = stash(own.drop("different"), "values").hint("shuffle_merge")
+    supported = each.select("text_id", "value").join(own.select("value"), "value", "left_semi").groupBy("text_id").agg(F.collect_list("value").alias("supported"))
+    kept = stash(held.select("text_id", "n", "terms").join(supported.hint("shuffle_merge"), "text_id"), "supported")
+    pairs = kept.select("text_id", "n", "terms", F.explode("supported").alias("value")).select("text_id", "n", "value", F.explode("terms").alias("term"))
+    joint = stash(pairs.groupBy("value", "term").agg(F.sum("n").alias("both"), F.count("*").alias("different")).where(F.col("different") >= SUPPORT), "joint")
     total = F.lit(float(max(2, documents)))
     information = F.log2(total / F.col("contexts"))
     share = F.when(information > 0, 1 + F.log2(F.least(F.lit(1.0), F.col("both") / F.col("documents"))) / information)
-    risky = stash(joint.join(document_terms.hint("shuffle_merge"), "term").select("value", "term", share.alias("share")).where(F.col("share") > GENERALISE), "risky")
+    met = joint.join(own, "value").join(document_terms.hint("shuffle_merge"), "term")
+    risky = stash(met.select("value", "term", share.alias("share")).where(F.col("share") > GENERALISE), "risky")
     kind = F.when(F.col("share") > REMOVE, KINDS.index("remove")).otherwise(KINDS.index("generalise"))
     hits = pairs.join(risky.hint("shuffle_merge"), ["value", "term"]).groupBy("text_id", "term").agg(F.max(kind).alias("kind"))
     return hits.groupBy("text_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("kinds"))
@@ -175,7 +184,7 @@ def _added(rows: DataFrame, words: DataFrame, documents: int) -> DataFrame:
     values = F.array_distinct(F.transform("base", lambda b: b["value"]))
     once = stash(once.select("text_id", "text", "n", values.alias("values"), terms(F.col("text"), F.col("base")).alias("terms")), "texts")
     counted = words.groupBy("term").agg(F.count("*").alias("documents"))
-    kinds = disclosures(once.select("text_id", "n", F.explode("values").alias("value"), "terms"), counted, documents)
+    kinds = disclosures(once.select("text_id", "n", "values", "terms"), counted, documents)
     span = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lit(None).cast("string").alias("value"))
     more = stash(once.join(kinds.hint("shuffle_merge"), "text_id").select("text_id", F.transform(places(F.col("text"), F.col("kinds")), span).alias("more")), "disclosed")
     spread = more.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -15,8 +17,9 @@ from stringloom.llm.common import rows_per_batch, settled, stash, texts
 WORDS, SEED, BITS = 4, 42, 4
 #: Up to this many fingerprints under one key are compared pair by pair; in larger groups hubs stand for the others.
 SMALL = 32
-#: Larger groups are dealt out anew by a second key.
-LARGE = 2048
+#: Larger groups are dealt out anew by a second key, and groups under two or more keys that are larger than the second number, by
+#: a further one. A task holds no larger group.
+LARGE, LARGER = 2048, 1 << 16
 #: Shingles whose bits are counted at once.
 COUNT_ROWS = 1 << 16
 
@@ -69,23 +72,28 @@ def variants(value: Column, own: list[tuple[int, int]]) -> list[Column]:
     return out
 
 
-def second_keys(bits: int = BITS) -> Column:
-    """For (key, bits) of a group that is too large: the key again with each variant of the bits outside its segment. Two
-    fingerprints that link still share one, since of the bits outside no more than `bits` differ."""
-    out = F.lit(None).cast("array<long>")
-    for first, width in segments(bits):
-        after = first + width
-        rest = F.col("bits").bitwiseAND(F.lit((1 << first) - 1))
-        if after < 64:
-            rest = rest + F.shiftleft(F.shiftrightunsigned("bits", after), first)
-        own = segments(bits, 64 - width)
-        room = 6 + max(w for _, w in own)
-        here = F.array(*(F.shiftleft("key", room) + x for x in variants(rest, own)))
-        out = F.when((F.col("key").bitwiseAND(F.lit(63)) >= first) & (F.col("key").bitwiseAND(F.lit(63)) < after), here).otherwise(out)
-    return out
+def free_after(key: int, own: list[tuple[int, int]]) -> int:
+    """The bits that a key of `variants` does not fix, its deleted bit aside: those outside the segment of that bit."""
+    first, width = next((a, w) for a, w in own if a <= (key & 63) < a + w)
+    return ((1 << 64) - 1) ^ ((1 << width) - 1) << first
+
 
+def further_keys(prints: np.ndarray, keys: np.ndarray, free: int, bits: int):
+    """For fingerprints of runs that are too large, of which the bits `free` are not fixed yet: (keys, fingerprints, free bits) for
+    each segment of those bits. The key goes on with the segment and one bit of it deleted, hashed; two fingerprints that
+    link still share one, since of the free bits no more than `bits` differ. Equal hashes of others cost comparisons only."""
+    places = [i for i in range(64) if free >> i & 1]
+    for first, width in segments(bits, len(places)):
+        own = places[first : first + width]
+        mask = sum(1 << i for i in own)
+        for i in own:
+            kept = prints & np.uint64(mask ^ 1 << i)
+            mixed = (kept ^ kept >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64((i + 1) * 0x94D049BB133111EB & (1 << 64) - 1)
+            mixed = (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+            yield (mixed ^ mixed >> np.uint64(32)).view(np.int64), free ^ mask
 
-def links(distinct: DataFrame, bits: int = BITS, large: int = LARGE) -> DataFrame:
+
+def links(distinct: DataFrame, bits: int = BITS, large: int = LARGE, larger: int = LARGER) -> DataFrame:
     """(a, b): pairs of fingerprints of column `bits` that differ in at most `bits` bits (2 to 8), enough to connect all that
     are linked, directly or through others.
 
@@ -94,28 +102,52 @@ def links(distinct: DataFrame, bits: int = BITS, large: int = LARGE) -> DataFram
     distinct fingerprint, sorted by variant. Runs of equal variants are then verified bit by bit.
 
     A run of more than `large` fingerprints is not held by its task. It is handed on row by row and dealt out over many tasks
-    by variants of the bits outside the segment, under which the same holds for any two that link."""
+    by variants of the bits that its key does not fix, under which the same holds for any two that link. A run of more than
+    `larger` under these is dealt out again, and so on, with fewer free bits each time: a run has no more fingerprints than its
+    free bits have values."""
     if not 2 <= bits <= 8:
         raise ValueError("bits must be within 2 and 8")
     spark = distinct.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    first = distinct.repartition(tasks, "bits").select(F.explode(F.array(*variants(F.col("bits"), segments(bits)))).alias("key"), "bits")
+    own = segments(bits)
+    keyed = distinct.repartition(tasks, "bits").select(F.explode(F.array(*variants(F.col("bits"), own))).alias("key"), "bits")
+    keyed = keyed.select("key", "bits", F.lit(None).cast("long").alias("free"))
+    found = []
     with rows_per_batch(spark, 10_000):
-        met = stash(_met(first, bits, large), "met")
-        crowded = met.where("key is not null").select("key", F.col("a").alias("bits"))
-        again = crowded.repartition(tasks, "bits").select(F.explode(second_keys(bits)).alias("key"), "bits")
-        more = stash(_met(again, bits, None), "met")
-    return met.where("key is null").select("a", "b").unionByName(more.select("a", "b")).distinct()
+        while True:
+            met = stash(_met(keyed, bits, large), "met")
+            found.append(met.where("key is null").select("a", "b"))
+            crowded = met.where("key is not null").select("key", F.col("a").alias("bits"), F.col("b").alias("free"))
+            if crowded.isEmpty():
+                return reduce(DataFrame.unionByName, found).distinct()
+            keyed, large = _dealt(crowded.repartition(tasks, "bits"), own, bits), larger
+
+
+def _dealt(crowded: DataFrame, own: list[tuple[int, int]], bits: int) -> DataFrame:
+    """(key, bits, free) of the members of crowded runs, under their further keys."""
+
+    def run(batches):
+        for batch in batches:
+            keys, prints = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            free = np.array([free_after(k, own) if f is None else f & (1 << 64) - 1 for k, f in zip(keys.tolist(), batch.column(2).to_pylist())], np.uint64)
+            for each in np.unique(free):
+                here = free == each
+                for further, rest in further_keys(prints[here], keys[here], int(each), bits):
+                    left = np.full(len(further), rest, np.uint64).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(further), pa.array(prints[here].view(np.int64)), pa.array(left)], ["key", "bits", "free"])
+
+    return crowded.mapInArrow(run, "key long, bits long, free long")
 
 
 def _met(keyed: DataFrame, bits: int, large: int | None) -> DataFrame:
-    """(a, b, key): links of (key, bits), with a null key, and the members `a` of runs beyond `large`, with theirs."""
+    """(a, b, key): links of (key, bits, free), with a null key, and the members `a` of runs beyond `large`, with their key and, as `b`,
+    their free bits. Runs without enough free bits to be cut again are held, as they can have few members."""
 
     def run(batches):
         sent: set[tuple[int, int]] = set()
-        for keys, prints, crowded in _runs(batches, large):
+        for keys, prints, crowded, free in _runs(batches, large, bits):
             if crowded:
-                yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.nulls(len(keys), pa.int64()), pa.array(keys)], ["a", "b", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array([free] * len(keys), pa.int64()), pa.array(keys)], ["a", "b", "key"])
             else:
                 for pairs in _edges(keys, prints, bits, sent):
                     yield pa.RecordBatch.from_arrays([*pairs.columns, pa.nulls(pairs.num_rows, pa.int64())], ["a", "b", "key"])
@@ -123,44 +155,52 @@ def _met(keyed: DataFrame, bits: int, large: int | None) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key", "bits").mapInArrow(run, "a long, b long, key long")
 
 
-def _runs(batches, large: int | None):
-    """(keys, fingerprints, crowded) of whole runs of equal keys, many at a time. A run beyond `large` is crowded and comes
+def _runs(batches, large: int | None, bits: int = BITS):
+    """(keys, fingerprints, crowded, free bits) of whole runs of equal keys, many at a time. A run beyond `large` is crowded and comes
     alone, in parts, so no more than `large` and a batch are held."""
-    key, held, crowded = None, [], False  # the run that can go on in the next batch
+    key, held, crowded, free = None, [], False, None  # the run that can go on in the next batch
 
     def parts():
         if sum(len(k) for k, _ in held):
-            yield np.concatenate([k for k, _ in held]), np.concatenate([p for _, p in held]), crowded
+            yield np.concatenate([k for k, _ in held]), np.concatenate([p for _, p in held]), crowded, free
 
     for batch in batches:
-        keys, prints = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+        keys, prints, rest = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2)
         if not len(keys):
             continue
         n = int(np.searchsorted(keys, key, "right")) if key is not None else 0
         held.append((keys[:n], prints[:n]))
         if n < len(keys):
             yield from parts()
-            keys, prints, crowded = keys[n:], prints[n:], False
+            keys, prints, rest, crowded = keys[n:], prints[n:], rest.slice(n), False
             last = int(np.searchsorted(keys, keys[-1]))
-            yield from _apart(keys[:last], prints[:last], large)
-            key, held = keys[-1], [(keys[last:], prints[last:])]
-        if large and (crowded or sum(len(k) for k, _ in held) > large):
+            yield from _apart(keys[:last], prints[:last], rest, large, bits)
+            key, held, free = keys[-1], [(keys[last:], prints[last:])], rest[last].as_py()
+        if large and _cut_again(free, bits) and (crowded or sum(len(k) for k, _ in held) > large):
             crowded = True
             yield from parts()
             held = []
     yield from parts()
 
 
-def _apart(keys: np.ndarray, prints: np.ndarray, large: int | None):
+def _cut_again(free: int | None, bits: int) -> bool:
+    """Whether so many bits are free that segments of them tell fingerprints apart."""
+    return free is None or (free & (1 << 64) - 1).bit_count() > 4 * (bits // 2 + 1)
+
+
+def _apart(keys: np.ndarray, prints: np.ndarray, free, large: int | None, bits: int):
     """Each run beyond `large` alone, and all others together."""
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
     sizes = np.diff(np.append(starts, len(keys)))
     long = sizes > large if large else np.zeros(len(sizes), bool)
-    for at, n in zip(starts[long].tolist(), sizes[long].tolist()):
-        yield keys[at : at + n], prints[at : at + n], True
+    for i in np.flatnonzero(long).tolist():
+        at, n, own = int(starts[i]), int(sizes[i]), free[int(starts[i])].as_py()
+        long[i] = _cut_again(own, bits)
+        if long[i]:
+            yield keys[at : at + n], prints[at : at + n], True, own
     rest = ~np.repeat(long, sizes)
     if rest.any():
-        yield keys[rest], prints[rest], False
+        yield keys[rest], prints[rest], False, None
 
 
 def _edges(keys: np.ndarray, prints: np.ndarray, bits: int, sent: set):

@@ -64,10 +64,10 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(frame(spark, [(None, "a b c d e"), (7, "a b c d e"), (7, "a b c d e")])).where("component_id = 7").count() == 3
 
 
-@pytest.mark.parametrize("large", [simhash.LARGE, 12])
-def test_links_of_dense_groups(spark, large):
+@pytest.mark.parametrize(("large", "larger"), [(simhash.LARGE, simhash.LARGER), (12, 1000), (50, 40)])
+def test_links_of_dense_groups(spark, large, larger):
     """Many fingerprints around one, a chain, and random ones: the components are those of all pairs, also where groups are
-    dealt out by a second key."""
+    dealt out by second and further keys."""
     rng = random.Random(6)
     center, prints = rng.getrandbits(64), set()
     for _ in range(150):
@@ -82,7 +82,7 @@ def test_links_of_dense_groups(spark, large):
         prints.add(p)
     prints = sorted(prints | {rng.getrandbits(64) for _ in range(100)})
     signed = [x - (1 << 64) if x >> 63 else x for x in prints]
-    roots = simhash.components(simhash.links(spark.createDataFrame([(x,) for x in signed], "bits long"), large=large)).collect()
+    roots = simhash.components(simhash.links(spark.createDataFrame([(x,) for x in signed], "bits long"), large=large, larger=larger)).collect()
     where = {r.node: r.root for r in roots}
     groups: dict = {}
     for x, r in zip(signed, components(prints)):
@@ -95,13 +95,30 @@ def test_runs_over_batches(rows):
     """Runs are whole however the rows are cut into batches; those beyond `large` come alone and lose no row."""
     keys = np.repeat(np.arange(9), [1, 5, 2, 30, 1, 6, 17, 3, 12]).astype(np.int64)
     prints = np.arange(len(keys), dtype=np.int64)
-    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + rows]), pa.array(prints[i : i + rows])], ["key", "bits"]) for i in range(0, len(keys), rows)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + rows]), pa.array(prints[i : i + rows]), pa.array([7 if k == 6 else -1 for k in keys[i : i + rows]], pa.int64())], ["key", "bits", "free"]) for i in range(0, len(keys), rows)]
     seen, crowded = [], set()
-    for k, p, own in simhash._runs([batches[0].slice(0, 0), *batches], 10):
+    for k, p, own, free in simhash._runs([batches[0].slice(0, 0), *batches], 10):
+        assert free == -1 or not own
         seen += p.tolist()
         crowded |= set(k.tolist()) if own else set()
-        assert own or all((keys == x).sum() == (k == x).sum() <= 10 for x in set(k.tolist()))
-    assert sorted(seen) == prints.tolist() and crowded == {3, 6, 8}
+        assert own or all((keys == x).sum() == (k == x).sum() and (x == 6 or (k == x).sum() <= 10) for x in set(k.tolist()))
+    # Run 6 has too few free bits to be dealt out again.
+    assert sorted(seen) == prints.tolist() and crowded == {3, 8}
+
+
+def test_further_keys_part_no_link():
+    """Two fingerprints that differ in few of the free bits share a further key, whatever is free; what is left free shrinks."""
+    rng = random.Random(2)
+    for _ in range(300):
+        free = rng.getrandbits(64) | rng.getrandbits(64)
+        places = [i for i in range(64) if free >> i & 1]
+        a = rng.getrandbits(64)
+        b = a
+        for i in rng.sample(places, rng.randint(0, 4)):
+            b ^= 1 << i
+        pair, key = np.array([a, b], np.uint64), np.array([5, 5])
+        met = [rest for keys, rest in simhash.further_keys(pair, key, free, 4) if keys[0] == keys[1]]
+        assert met and all(x & free == x and x != free for x in met)
 
 
 @pytest.mark.parametrize("size", [5, 40, 400])

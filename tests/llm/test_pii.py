@@ -71,3 +71,37 @@ def test_disclosure_in_the_whole_text(spark):
     assert got[400] == got[401] == []
     clean = {r.doc_id: r.text for r in pii.sanitise(frame(spark, rows)).collect()}
     assert "zanzibar." not in clean[301].lower() and not clean[301].startswith("Zanzibar") and "alpha" in clean[300]
+
+
+def test_hot_value_and_a_page_of_addresses(spark, monkeypatch):
+    """One address in thousands of texts, and a page with thousands of addresses: values are counted with their terms, by task
+    first, before anything is partitioned by value."""
+    plans, real = {}, pii.stash
+    monkeypatch.setattr(pii, "stash", lambda df, name="table": (plans.setdefault(name, df._jdf.queryExecution().toString()), real(df, name))[1])
+    rows = [(i, f"help {'zanzibar' if i % 3 == 0 else 'other'} number {i} mail support@big.org common") for i in range(4000)]
+    rows += [(10_000, " ".join(f"n{i}@page.org term{i}" for i in range(3000)) + " rare")]
+    rows += [(20_000 + i, f"common text {i}") for i in range(60_000)]
+    got = {r.doc_id: [(pii.KINDS[x.kind], x.start, x.end) for x in r.spans if x.kind > 3] for r in pii.find(frame(spark, rows)).collect()}
+    at = rows[0][1].index("zanzibar")
+    assert ("remove", at, at + 8) in got[0] and got[10_000] == [] and got[20_000] == []
+    joint = plans["joint"].split("== Physical Plan ==")[1]
+    assert joint.index("Exchange hashpartitioning(value") < joint.index("partial_sum") and "Join" not in joint
+
+
+def test_recall_of_planted_terms(spark):
+    """Terms that stand only by one address are found, those that stand everywhere are not."""
+    rng = random.Random(3)
+    common = [f"word{i}" for i in range(300)]
+    words = lambda n: " ".join(rng.choice(common) for _ in range(n))
+    rows, planted, n = [], [], 0
+    for k in range(60):
+        for _ in range(rng.randint(2, 6)):
+            rows.append((n, f"{words(40)} planted{chr(97 + k % 26)}{chr(97 + k // 26)} {words(20)} user{k}@mail{k}.org {words(30)}"))
+            planted.append(n)
+            n += 1
+    rows += [(n + i, words(60)) for i in range(3000)]
+    text = dict(rows)
+    got = {r.doc_id: [text[r.doc_id][x.start : x.end] for x in r.spans if x.kind > 3] for r in pii.find(frame(spark, rows)).collect()}
+    found = sum(any(x.startswith("planted") for x in got[i]) for i in planted)
+    assert found >= 0.9 * len(planted)
+    assert sum(x.startswith("word") for xs in got.values() for x in xs) == 0

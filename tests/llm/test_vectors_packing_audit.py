@@ -145,7 +145,7 @@ def test_packing_meets_its_bound_by_exchange(spark):
 
 def test_packing_of_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(4000))
-    rows = [(1, None, 5), (1, None, 5), (2, "", 0), (None, "a b", 1), (3, long, 2), (4, "x" * 70000, 3)]
+    rows = [(1, None, 5), (1, None, 5), ((1 << 62) + 1, "c", 0), (2, "", 0), (None, "a b", 1), (3, long, 2), (4, "x" * 70000, 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, key int")
     found = packing.pack_documents(df, VOCABULARY, RANKS, public_tokenizers.PATTERN).collect()
     assert check_packed(found, 2048) == -(-sum(r.length for r in found) // 2048)
@@ -156,7 +156,7 @@ def test_packing_of_odd_rows(spark):
         assert [r.piece for r in own] == list(range(len(own))) and all(r.length == 2048 for r in own[1:])
         assert [r.start for r in own] == [sum(x.length for x in own[:k]) for k in range(len(own))] and sum(r.length for r in own) == len(whole)
         assert all(r.ids_crc32 == zlib.crc32(np.array(whole[r.start : r.start + r.length], "<u4").tobytes()) for r in own)
-    assert sum(r.doc_id == 1 for r in found) == 2
+    assert sum(r.doc_id == 1 for r in found) == 2 and sum(r.doc_id == (1 << 62) + 1 for r in found) == 1
     assert packing.pack_documents(df.limit(0), VOCABULARY, RANKS, public_tokenizers.PATTERN).collect() == []
 
 
