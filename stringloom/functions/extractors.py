@@ -58,6 +58,7 @@ def _strings(parsed: dict, data: bytes, options: Options):
 STRINGS = add(Extractor("strings", "kind:string,encoding:string,value:string,offset:bigint,address:bigint,section:string,xrefs:int", _strings))
 FUNCTION_STARTS = add(Extractor("function_starts", entries.START, lambda x, data, _: entries.starts_of(x["arch"], x["sections"], data)))
 IMPORT_CALLS = add(Extractor("import_calls", entries.CALL, lambda x, data, _: entries.import_calls_of(x["arch"], x["sections"], x["imports"], data)))
+DIRECT_CALLS = add(Extractor("direct_calls", "place:bigint,target:bigint", lambda x, data, _: entries.direct_calls_of(x["arch"], x["sections"], x["symbols"], x["entry"], data)))
 REFERENCES = add(Extractor("references", "place:bigint,target:bigint", lambda x, data, _: code.taken_addresses(x["arch"], x["sections"], data)))
 
 

@@ -118,6 +118,18 @@ def _arm_calls(b: np.ndarray, base: int, slots: np.ndarray):
     return tuple(found)
 
 
+def _calls(arch: str, base: int, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(offset, target) of what looks like a direct call."""
+    if arch == "aarch64":
+        w = np.frombuffer(b.tobytes(), "<u4", len(b) // 4).astype(np.int64)
+        at = np.flatnonzero((w & 0xFC000000) == 0x94000000)
+        far = ((w[at] & 0x3FFFFFF) ^ 1 << 25) - (1 << 25)
+        return 4 * at, np.int64(base) + 4 * at + 4 * far
+    at = np.flatnonzero(b[: max(0, len(b) - 4)] == 0xE8)
+    target = np.int64(base) + at + 5 + _at(b, at + 1)
+    return at, target if arch == "x86_64" else target & 0xFFFFFFFF
+
+
 def import_calls_of(arch: str | None, sections: list[dict], imports: list[dict], data: bytes) -> list[tuple[int, int, str]]:
     """CALL for each place that calls an import: through its slot (`slot`), or by a stub that jumps through it (`stub`). Jumps through
     slots, which are the stubs themselves, are `jump`."""
@@ -138,20 +150,26 @@ def import_calls_of(arch: str | None, sections: list[dict], imports: list[dict],
                     stubs |= {_signed(base + x): slot for x in ((begin, begin - 4) if marked else (begin,))}
         known = np.array(sorted(stubs), np.int64)
         for base, b in bodies if stubs else []:
-            if arch == "aarch64":
-                w = np.frombuffer(b.tobytes(), "<u4", len(b) // 4).astype(np.int64)
-                at = np.flatnonzero((w & 0xFC000000) == 0x94000000)
-                far = ((w[at] & 0x3FFFFFF) ^ 1 << 25) - (1 << 25)
-                at, target = 4 * at, np.int64(base) + 4 * at + 4 * far
-            else:
-                at = np.flatnonzero(b[: max(0, len(b) - 4)] == 0xE8)
-                target = np.int64(base) + at + 5 + _at(b, at + 1)
-                target = target if arch == "x86_64" else target & 0xFFFFFFFF
+            at, target = _calls(arch, base, b)
             hit = np.isin(target, known)
             out += [(_signed(base + x), stubs[t], "stub") for x, t in zip(at[hit].tolist(), target[hit].tolist())]
     return sorted(out)
 
 
+def direct_calls_of(arch: str | None, sections: list[dict], symbols, entry: int | None, data: bytes) -> list[tuple[int, int]]:
+    """(place, target) of each direct call that leads to where a function begins: first bytes, a symbol, or the input's entry."""
+    if arch not in ("x86", "x86_64", "aarch64"):
+        return []
+    known = {at for at, *_ in starts_of(arch, sections, data)} | {va for va, _ in symbols} | ({entry} if entry is not None else set())
+    starts, out = np.array(sorted(known), np.int64), []
+    with np.errstate(over="ignore"):
+        for s in (s for s in sections if s["executable"]):
+            at, target = _calls(arch, s["virtual_address"], np.frombuffer(_body(s, data), np.uint8))
+            hit = np.isin(target, starts)
+            out += [(_signed(s["virtual_address"] + x), t) for x, t in zip(at[hit].tolist(), target[hit].tolist())]
+    return out
+
+
 def regions(starts: DataFrame, named: DataFrame | None = None) -> DataFrame:
     """(input_id, arch_idx, function, start, end): functions from where they begin to where the next one of their section does or the
     section ends. `starts` are rows of START by input and architecture; `named` (input_id, arch_idx, place) are other known
@@ -179,3 +197,28 @@ def import_calls(calls: DataFrame, imports: DataFrame, functions: DataFrame | No
         held = first_containing(named, functions, by, ["start"], "place").select(*by, "place", F.col("first.function").alias("function"))
         named = named.join(held, [*by, "place"], "left")
     return named.select(*by, "function", "place", "iat_va", "name", "library", "through")
+
+
+def functions(starts: DataFrame, calls: DataFrame, direct: DataFrame, parsed: DataFrame, capabilities: DataFrame) -> DataFrame:
+    """(input_id, arch_idx, va, end, name, byte_size, callers, callees, imports, tags): each function that begins at first bytes or at a
+    symbol behind some, with how many functions call it and are called by it, how many imports it calls and what these can do.
+    `starts`, `calls` and `direct` are the rows of the extractors, `parsed` is PARSED, `capabilities` is (name, tag) in lower case.
+    A call in no function counts for none; one of a function by itself does not count."""
+    by = ["input_id", "arch_idx"]
+    symbols = parsed.select(*by, F.explode("symbols").alias("va", "name"))
+    spans = regions(starts, symbols.select(*by, F.col("va").alias("place")))
+    imports = parsed.select(*by, F.explode("imports").alias("i")).select(*by, "i.*")
+    called = import_calls(calls, imports, spans).where("function is not null").select(*by, "function", "iat_va", F.lower("name").alias("name")).distinct()
+    use = called.groupBy(*by, "function").agg(F.countDistinct("iat_va").alias("imports"))
+    able = called.where(F.col("name").rlike("^[a-z_]")).join(capabilities, "name").groupBy(*by, "function").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+    held = first_containing(direct, spans, by, ["start"], "place").select(*by, "place", F.col("first.function").alias("function"))
+    pairs = direct.join(held, [*by, "place"]).select(*by, "function", "target").where("function <> target").distinct()
+    out = pairs.groupBy(*by, "function").agg(F.count("*").alias("callees"))
+    into = pairs.groupBy(*by, F.col("target").alias("function")).agg(F.count("*").alias("callers"))
+    found = spans
+    for side in (use, able, out, into, symbols.withColumnRenamed("va", "function")):
+        found = found.join(side, [*by, "function"], "left")
+    number = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return found.select(
+        *by, F.col("function").alias("va"), "end", "name", (F.col("end") - F.col("start")).alias("byte_size"), number("callers"), number("callees"), number("imports"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags")
+    )

@@ -127,12 +127,15 @@ def import_calls(spark, sf_dir):
     return calls_of(spark, sf_dir).select("input_id", F.col("function").alias("function_va"), "place", "iat_va", "name", "through")
 
 
-@query(calling_sql("SELECT input_id, f AS function_va, CASE WHEN input_id LIKE 'elf%' THEN 'calls_filesystem calls_network' ELSE 'calls_filesystem' END AS tags FROM functions"))
-def function_capabilities(spark, sf_dir):
-    """What the functions of a file can do, from the imports that they call."""
-    called = calls_of(spark, sf_dir).select("input_id", "function", F.lower("name").alias("name"))
-    tagged = called.where(F.col("name").rlike("^[a-z_]")).join(capabilities.table(spark), "name").groupBy("input_id", "function").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
-    return tagged.select("input_id", F.col("function").alias("function_va"), F.array_join("tags", " ").alias("tags"))
+@query(calling_sql(f"""
+    SELECT f.input_id, f AS va, CASE WHEN i < doc_id % 4 THEN {SIZE} ELSE {SIZE} + 12 + strlen(coalesce(source, '')) + 2 END::BIGINT AS byte_size, 2::BIGINT AS imports,
+        CASE WHEN f.input_id LIKE 'elf%' THEN 'calls_filesystem calls_network' ELSE 'calls_filesystem' END AS tags FROM functions f JOIN documents USING (doc_id)"""))
+def function_table(spark, sf_dir):
+    """The functions of a file: how long they are, and from the imports that they call, what they can do."""
+    found = extract(calling_files(spark, sf_dir), Options(enabled=("stack",)), extractors=["function_starts", "import_calls", "direct_calls"])
+    more = found.more
+    rows = entries.functions(more["function_starts"], more["import_calls"], more["direct_calls"], found.parsed, capabilities.table(spark))
+    return rows.select("input_id", "va", "byte_size", "imports", F.array_join("tags", " ").alias("tags"))
 
 
 @query(calling_sql("""
@@ -175,8 +178,30 @@ def state_meet(spark, sf_dir):
     return flow.meet(outs, edges, blocks.select("function", F.col("start").alias("block")), ["function"])
 
 
+#: Rounds that the SQL goes; the query goes on until nothing changes.
+STATE_ROUNDS = 24
+
+
+def fixpoint_sql() -> str:
+    """Rounds over all blocks, one after the other: what those reached so far agree on."""
+    rounds = ""
+    for k in range(STATE_ROUNDS):
+        rounds += f"""
+        outs{k} AS MATERIALIZED (SELECT o.* FROM own o JOIN reach{k} USING (function, block) UNION ALL SELECT n.* FROM known{k} n WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.function = n.function AND o.block = n.block AND o.register = n.register)),
+        into{k} AS MATERIALIZED (SELECT s.function, s.src, s.dst FROM steps s JOIN reach{k} r ON s.function = r.function AND s.src = r.block),
+        reach{k + 1} AS MATERIALIZED (SELECT function, block FROM reach{k} UNION SELECT function, dst FROM into{k}),
+        known{k + 1} AS MATERIALIZED (SELECT i.function, i.dst AS block, o.register, min(o.value) AS value FROM into{k} i JOIN outs{k} o ON i.function = o.function AND i.src = o.block
+            JOIN (SELECT function, dst, count(*) AS n FROM into{k} GROUP BY ALL) m ON m.function = i.function AND m.dst = i.dst WHERE (i.function, i.dst) NOT IN (SELECT (function, block) FROM reach0)
+            GROUP BY i.function, i.dst, o.register, m.n HAVING count(*) = m.n AND min(o.value) = max(o.value)),"""
+    return f"""WITH {GRAPH}, own AS MATERIALIZED (SELECT l_orderkey AS function, CAST(l_linenumber * 10 AS BIGINT) AS block, 'r' || l_suppkey % 3 AS register, CAST(min(l_partkey % 2) AS BIGINT) AS value FROM lineitem GROUP BY ALL),
+        steps AS MATERIALIZED (SELECT DISTINCT e.function, e.src, e.dst FROM edges e JOIN blocks b ON e.function = b.function AND e.dst = b.start),
+        reach0 AS MATERIALIZED (SELECT function, min(start) AS block FROM blocks GROUP BY function), known0 AS MATERIALIZED (SELECT * FROM own WHERE false), {rounds}
+        result AS (SELECT * FROM known{STATE_ROUNDS}) SELECT * FROM result"""
+
+
+@query(fixpoint_sql())
 def state_fixpoint(spark, sf_dir):
-    """What holds on entry to each line of an order, over all paths from its first one; beyond SQL, held against plain loops."""
+    """What holds on entry to each line of an order, over all paths from its first one."""
     blocks, edges = graph(spark, sf_dir)
     start = (F.col("l_linenumber") * 10).cast("long")
     own = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("function"), start.alias("block"), F.concat(F.lit("r"), F.col("l_suppkey") % 3).alias("register")).agg(F.min(F.col("l_partkey") % 2).cast("long").alias("value"))
@@ -184,8 +209,6 @@ def state_fixpoint(spark, sf_dir):
     return flow.state_meet(own, led, blocks.groupBy("function").agg(F.min("start").alias("block")), ["function"], stash)
 
 
-QUERIES["state_fixpoint"] = state_fixpoint
-
 #: Sections of the files below: name, flags, address; the first holds the source, the others the text.
 MAPPED = ((".text", 6, 0x401000), (".data", 3, 0x401800), (".rodata", 2, 0x405000), (".init", 6, 0x40A800))
 

@@ -128,6 +128,21 @@ def test_import_calls_of_each_architecture():
     assert calls("x86_64", b"", 0, [1]) == calls("x86_64", marked, 0x1000, []) == calls("riscv", marked, 0, [1]) == []
 
 
+def test_functions_of_a_file(spark):
+    """Two functions that call each other, one of them itself, too; a symbol between them names a third without a frame."""
+    call = lambda at, to: b"\xe8" + struct.pack("<i", to - at - 5)
+    body = bytes.fromhex("4883ec08") + call(4, 32) + call(9, 0) + call(14, 20) + b"\xc3" + call(20, 32) + b"\xc3" + bytes(6) + bytes.fromhex("4883ec08") + call(36, 0) + b"\xc3"
+    parsed = dict(arch="x86_64", sections=[section(body, 0x1000)], symbols=[(0x1014, "middle")], entry=None, imports=[])
+    direct = [("a", 0, *x) for x in entries.direct_calls_of("x86_64", parsed["sections"], parsed["symbols"], None, body)]
+    assert [(p - 0x1000, t - 0x1000) for _, _, p, t in direct] == [(4, 32), (9, 0), (14, 20), (20, 32), (36, 0)]
+    by = "input_id string, arch_idx int, "
+    starts = spark.createDataFrame([("a", 0, *x) for x in entries.starts_of("x86_64", parsed["sections"], body)], by + "place long, size int, section string, section_end long")
+    whole = spark.createDataFrame([("a", 0, {0x1014: "middle"}, [])], by + "symbols map<long,string>, imports array<struct<library:string,name:string,iat_va:long>>")
+    none = spark.createDataFrame([], by + "place long, iat_va long, through string")
+    found = entries.functions(starts, none, spark.createDataFrame(direct, by + "place long, target long"), whole, spark.createDataFrame([], "name string, tag string")).collect()
+    assert sorted((r.va - 0x1000, r.name, r.byte_size, r.callers, r.callees, r.imports) for r in found) == [(0, None, 20, 1, 2, 0), (20, "middle", 12, 1, 1, 0), (32, None, 10, 2, 1, 0)]
+
+
 def test_tight_strings_choose_the_first_function(spark):
     written = [("a", p, t, b) for p, t, b in [(0, 0, 65), (1, 1, 66), (2, 2, 67), (10, 0, 88), (11, 1, 89), (99, 0, 90)]]
     blocks = [("a", 0, 0, 5), ("a", 0, 5, 20), ("a", 1, 0, 20)]
