@@ -34,8 +34,8 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    langs, model = langid.learn(docs.where(F.coalesce(fold("doc_id", 4), F.lit(-1)) != 2))
-    return langid.identify(docs, langs, model, "doc_id", "text", (F.coalesce(fold("doc_id", 4), F.lit(-1)) == 2).alias("held_out"))
+    known = docs.where(F.coalesce(fold("doc_id", 4), F.lit(-1)) != 2)
+    return langid.learn_and_identify(known, docs, "doc_id", "text", (F.coalesce(fold("doc_id", 4), F.lit(-1)) == 2).alias("held_out"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

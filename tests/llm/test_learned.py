@@ -36,6 +36,22 @@ def test_language(spark):
     assert none == [] and {r.lang_pred for r in langid.identify(df, none, nothing).collect()} == {"und"}
 
 
+def test_any_number_of_languages(spark):
+    """Three hundred languages of their own words are all learned and found, in one part and in several; mixtures too."""
+    rng = random.Random(9)
+    words = {f"l{i:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)] for i in range(300)}
+    say = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    rows = [(i, say(lang, 60), lang) for i, lang in enumerate(sorted(words) * 2)]
+    rows += [(1000, say("l001", 300) + " " + say("l299", 250), None), (1001, None, "l000"), (1002, "12", None), (None, say("l007", 40), None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    for most in (langid.LANGS, 120):
+        got = {r.doc_id: r for r in langid.learn_and_identify(df, df, most=most).collect()}
+        assert len(got) == len(rows) and all(got[i].lang_pred == lang for i, _, lang in rows[:600])
+        assert set(got[1000].mixture) == {"l001", "l299"} and got[1001].lang_pred == got[1002].lang_pred == "und" and got[None].lang_pred == "l007"
+        assert all(0 <= r.score <= 1 for r in got.values())
+    assert langid.learn_and_identify(df, df.limit(0), most=120).count() == 0
+
+
 def test_em_finds_the_shares():
     rng = np.random.default_rng(2)
     truth = rng.random(4000) < 0.3
