@@ -21,8 +21,8 @@ SHINGLE = 5
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told. Mixed documents stay, under the language with the largest share. Texts that
     are null, empty or without letters go."""
-    langs, model = langid.learn(docs.where(F.coalesce(fold("doc_id", 4), F.lit(-1)) != 2))
-    found = langid.identify(docs, langs, model, "doc_id", "text", F.struct(*docs.columns).alias("document"))
+    known = docs.where(F.coalesce(fold("doc_id", 4), F.lit(-1)) != 2)
+    found = langid.learn_and_identify(known, docs, "doc_id", "text", F.struct(*docs.columns).alias("document"))
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("document.*")
 
 
