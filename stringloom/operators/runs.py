@@ -107,7 +107,11 @@ class Strings:
         c["xrefs"] += [targets.get(x, 0) for x in address] if targets else [0] * n
 
     def close(self) -> None:
-        """The strings of the next input follow."""
+        """The strings of the next input follow. Strings come in the order of extraction."""
+        seen: set[str] = set()
+        for value in self.columns["value"][self.ends[-1] :]:
+            self.columns["again"].append(value in seen)
+            seen.add(value)
         self.ends.append(len(self.columns["kind"]))
 
     def arrow(self, options: Options) -> pa.ListArray:
@@ -282,13 +286,16 @@ def places(offsets: list[int], sections: list[dict]) -> list[int | None]:
     return out
 
 
-def scanned(out: Strings, data: bytes, start: int, end: int, arch: int, sections: list[dict], options: Options, mirrored: bool = False, targets: dict[int, int] | None = None, warnings: list[str] | None = None) -> None:
+def scanned(out: Strings, data: bytes, start: int, end: int, sections: list[dict], options: Options, mirrored: bool = False, targets: dict[int, int] | None = None) -> None:
     """Into `out`, what one input holds between `start` and `end`, each string with its section and, if `targets` gives how often code
-    takes each address, with its references. Base64 tokens are sought in the whole input, with its first architecture; their text
-    has no section."""
+    takes each address, with its references."""
     kinds = [k for k in STATIC if options.wants(k)]
     for chunk in static_chunks(data[start:end], options.min_length, kinds, mirrored):
         out.add(sections, chunk, start, targets)
+
+
+def decoded_into(out: Strings, data: bytes, arch: int, sections: list[dict], options: Options, warnings: list[str] | None = None) -> None:
+    """Base64 tokens are sought in the whole input, with its first architecture; their text has no section."""
     if options.decode_base64 and options.wants("base64") and arch == 0:
         out.add_runs(sections, base64_runs(data, options, warnings))
 
@@ -311,8 +318,9 @@ def scan(parsed: DataFrame, options: Options, mirrored: bool = False) -> DataFra
             column = {n: batch.column(i) for i, n in enumerate(names)}
             rows = zip(*(column[x].to_pylist() for x in ("content", "scan_start", "scan_end", "arch_idx", "sections")))
             out = Strings()
-            for row in rows:
-                scanned(out, *row, options, mirrored)
+            for data, start, end, arch, sections in rows:
+                scanned(out, data, start, end, sections, options, mirrored)
+                decoded_into(out, data, arch, sections, options)
                 out.close()
             yield pa.RecordBatch.from_arrays([*(column[f.name] for f in kept), out.arrow(options)], schema.names)
 

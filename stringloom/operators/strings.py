@@ -21,9 +21,10 @@ def place_of(values: dict[str, int] | tuple[str, ...], c: Column) -> Column:
 def located(scanned: DataFrame) -> DataFrame:
     """A row for each run of `scanned` (parsed inputs with `runs`), with its section and address, which the scan has said. Base64 rows
     have none."""
-    r = scanned.select("input_id", "arch_idx", F.posexplode("runs").alias("pos", "r")).select("input_id", "arch_idx", "pos", "r.*")
+    alone = F.col("alone") if "alone" in scanned.columns else F.lit(False).alias("alone")
+    r = scanned.select("input_id", "arch_idx", alone, F.posexplode("runs").alias("pos", "r")).select("input_id", "arch_idx", "alone", "pos", "r.*")
     seq = F.struct((F.col("kind") == "base64").cast("int").alias("stage"), F.col("arch_idx").alias("arch_idx"), place_of(PASS, F.col("kind")).alias("pass"), F.col("align").cast("long").alias("align"), F.col("pos").cast("long").alias("pos"))
-    return r.select("input_id", "arch_idx", "value", "kind", "encoding", "offset", "length", "address", "section", "in_code", "decoded_offset", "source_length", "xrefs", "quality", seq.alias("seq"))
+    return r.select("input_id", "arch_idx", "value", "kind", "encoding", "offset", "length", "address", "section", "in_code", "decoded_offset", "source_length", "xrefs", "quality", "again", "alone", seq.alias("seq"))
 
 
 def in_library(strings: DataFrame, library: DataFrame | None) -> DataFrame:
@@ -36,10 +37,18 @@ def in_library(strings: DataFrame, library: DataFrame | None) -> DataFrame:
 
 
 def with_duplicates(strings: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """With `is_duplicate`: the value came before in the same input, in the order of extraction. The first place of each value
-    is found by partial aggregates, so a value that stands very often is no large group anywhere. `strings` is read
-    twice and should be a written table."""
-    key = [*(by or ["input_id"]), "value"]
+    """With `is_duplicate`: the value came before in the same input, in the order of extraction. Where all strings of an input are in
+    one row (`alone`), the scan has said so (`again`), and nothing is shuffled. For the others the first place of each value is
+    found by partial aggregates, so a value that stands very often is no large group anywhere. `strings` is read several
+    times and should be a written table."""
+    if by is None and {"again", "alone"} <= set(strings.columns):
+        known = strings.where("alone").withColumn("is_duplicate", F.col("again"))
+        return known.unionByName(_with_duplicates(strings.where("not alone"), ["input_id"]).select(*known.columns))
+    return _with_duplicates(strings, by or ["input_id"])
+
+
+def _with_duplicates(strings: DataFrame, by: list[str]) -> DataFrame:
+    key = [*by, "value"]
     first = strings.groupBy(*key).agg(F.min("seq").alias("first_seq"))
     return strings.join(first, key).withColumn("is_duplicate", F.col("seq") > F.col("first_seq")).drop("first_seq")
 

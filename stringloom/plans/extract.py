@@ -42,10 +42,11 @@ class Result:
 
 
 def examined(inputs: DataFrame, options: Options, mirrored: bool = False, extractors: Iterable[str | Extractor] = (), missing: Iterable[str] | None = None) -> DataFrame:
-    """One row per input and architecture: PARSED, `language`, `runs` of all kinds that are wanted, `writes`, and the rows of each of
+    """One row per input and architecture: PARSED, `language`, `runs` of all kinds that are wanted, `alone` (no other row has strings of
+    the input, nor does its code), `writes`, and the rows of each of
     `extractors` in a column with its name after `more_`; one that fails on an input gives a warning of it. Kinds that are `missing` give a warning of each input. Contents go to Python once and do not come back; nothing is shuffled."""
     extra = chosen(extractors)
-    schema = T._parse_datatype_string(f"{PARSED}, language string, runs array<{runs.RUN}>, writes {WRITES}" + "".join(f", more_{x.name} array<struct<{x.returns}>>" for x in extra))
+    schema = T._parse_datatype_string(f"{PARSED}, language string, alone boolean, runs array<{runs.RUN}>, writes {WRITES}" + "".join(f", more_{x.name} array<struct<{x.returns}>>" for x in extra))
     fields = {x.name: [f.split(":")[0].strip() for f in x.returns.split(",")] for x in extra}
     head = T.StructType([f for f in schema if f.name != "runs"])
     arrow, at = to_arrow_schema(head), schema.names.index("runs")
@@ -54,15 +55,17 @@ def examined(inputs: DataFrame, options: Options, mirrored: bool = False, extrac
     beyond = [f"nothing here finds strings of kind {k}" for k in (options.unsupported if missing is None else missing)]
 
     def one(input_id: str, data: bytes, out: runs.Strings):
-        for x in architectures(input_id, data, options.format):
+        found = architectures(input_id, data, options.format)
+        for x in found:
             own = x | {"language": None, "writes": [], "warnings": [*x["warnings"], *(beyond if x["arch_idx"] == 0 else [])]}
             if not x["error"]:
                 own["language"] = language.toolchain_of(x["sections"], data)
                 if static:
                     targets = code.references(x["arch"], x["sections"], data)
-                    runs.scanned(out, data, x["scan_start"], x["scan_end"], x["arch_idx"], x["sections"], options, mirrored, targets, own["warnings"])
+                    runs.scanned(out, data, x["scan_start"], x["scan_end"], x["sections"], options, mirrored, targets)
                 if by_language:
                     out.add_runs(x["sections"], language.scanned(data, x["sections"], own["language"], options, own["warnings"]))
+                runs.decoded_into(out, data, x["arch_idx"], x["sections"], options, own["warnings"])
                 if stack:
                     own["writes"] = code.writes_of(x["arch"], x["sections"], [va for va, _ in x["symbols"]], data)
                 for e in extra:
@@ -70,6 +73,7 @@ def examined(inputs: DataFrame, options: Options, mirrored: bool = False, extrac
                         own["more_" + e.name] = [dict(zip(fields[e.name], row)) for row in e.rows(x, data, options)]
                     except (ValueError, LookupError, ArithmeticError, TypeError, struct.error) as error:
                         own["warnings"].append(f"extractor {e.name}: {error}")
+            own["alone"] = len(found) == 1 and not own["writes"] and own["language"] != "rust"
             out.close()
             yield own
 
@@ -115,7 +119,7 @@ def _code_rows(found: DataFrame, kind: str, stage: int, section: str | None, ali
     return found.select(
         "input_id", "arch_idx", "value", F.lit(kind).alias("kind"), F.lit(encoding).alias("encoding"), F.lit(0).cast("long").alias("offset"),
         F.octet_length("value").cast("long").alias("length"), F.col("va").alias("address"), F.lit(section).cast("string").alias("section"), F.lit(False).alias("in_code"),
-        none("long").alias("decoded_offset"), none("long").alias("source_length"), F.lit(0).alias("xrefs"), none("double").alias("quality"), seq.alias("seq"), F.col("va").alias("function_va"),
+        none("long").alias("decoded_offset"), none("long").alias("source_length"), F.lit(0).alias("xrefs"), none("double").alias("quality"), none("boolean").alias("again"), F.lit(False).alias("alone"), seq.alias("seq"), F.col("va").alias("function_va"),
     )
 
 
@@ -149,6 +153,8 @@ def extract(
     if options.skip_library_strings or options.annotated:
         found = rows.in_library(found, library)
     found = rows.early_filters(found, options)
+    if options.skip_code_sections or options.skip_library_strings:
+        found = found.withColumn("alone", F.lit(False))  # what came before may have gone
     if not options.annotated:
         found = found.withColumn("tags", F.lit(None).cast("array<string>"))
     elif options.dedupe and "duplicate" not in options.required_tags:

@@ -25,8 +25,9 @@ PARSED = (
     f"sections array<{SECTION}>, imports array<{IMPORT}>, symbols map<long,string>, warnings array<string>, error string"
 )
 #: A string in an input: `address` and `section` are those of its place, `xrefs` is how often code
-#: takes its address, `quality` its score where that is wanted.
-RUN = "struct<kind:string,encoding:string,offset:long,length:long,value:string,align:int,decoded_offset:long,source_length:long,address:long,section:string,in_code:boolean,xrefs:int,quality:double>"
+#: takes its address, `quality` its score where that is wanted, `again` whether
+#: its value came before in the same row.
+RUN = "struct<kind:string,encoding:string,offset:long,length:long,value:string,align:int,decoded_offset:long,source_length:long,address:long,section:string,in_code:boolean,xrefs:int,quality:double,again:boolean>"
 #: Bytes that code writes to the stack.
 WRITES = "array<struct<place:long,region:long,target:long,bytes:binary>>"
 
