@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stringloom.llm.common import rows_per_batch, settled, stash, texts
+from stringloom.schema import signed
 
 #: Words of a shingle, seed of its hash, and differing bits of a link.
 WORDS, SEED, BITS = 4, 42, 4
@@ -72,10 +73,23 @@ def variants(value: Column, own: list[tuple[int, int]]) -> list[Column]:
     return out
 
 
-def free_after(key: int, own: list[tuple[int, int]]) -> int:
-    """The bits that a key of `variants` does not fix, its deleted bit aside: those outside the segment of that bit."""
-    first, width = next((a, w) for a, w in own if a <= (key & 63) < a + w)
-    return ((1 << 64) - 1) ^ ((1 << width) - 1) << first
+def second_keys(bits: int = BITS) -> Column:
+    """For (key, bits) of a group that is too large: array<struct<key, free>>, the key again with each variant of the bits outside its
+    segment, and the bits that neither fixes. Two fingerprints that link still share one, since of the bits outside no more
+    than `bits` differ."""
+    out = F.lit(None).cast("array<struct<key:bigint,free:bigint>>")
+    for first, width in segments(bits):
+        after = first + width
+        rest = F.col("bits").bitwiseAND(F.lit((1 << first) - 1))
+        if after < 64:
+            rest = rest + F.shiftleft(F.shiftrightunsigned("bits", after), first)
+        own = segments(bits, 64 - width)
+        room = 6 + max(w for _, w in own)
+        places = [i for i in range(64) if not first <= i < after]
+        free = [signed(sum(1 << i for i in places) ^ sum(1 << i for i in places[a : a + w])) for a, w in own for _ in range(w)]
+        here = F.array(*(F.struct((F.shiftleft("key", room) + x).alias("key"), F.lit(f).cast("long").alias("free")) for x, f in zip(variants(rest, own), free)))
+        out = F.when((F.col("key").bitwiseAND(F.lit(63)) >= first) & (F.col("key").bitwiseAND(F.lit(63)) < after), here).otherwise(out)
+    return out
 
 
 def further_keys(prints: np.ndarray, keys: np.ndarray, free: int, bits: int):
@@ -109,8 +123,7 @@ def links(distinct: DataFrame, bits: int = BITS, large: int = LARGE, larger: int
         raise ValueError("bits must be within 2 and 8")
     spark = distinct.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = segments(bits)
-    keyed = distinct.repartition(tasks, "bits").select(F.explode(F.array(*variants(F.col("bits"), own))).alias("key"), "bits")
+    keyed = distinct.repartition(tasks, "bits").select(F.explode(F.array(*variants(F.col("bits"), segments(bits)))).alias("key"), "bits")
     keyed = keyed.select("key", "bits", F.lit(None).cast("long").alias("free"))
     found = []
     with rows_per_batch(spark, 10_000):
@@ -120,16 +133,18 @@ def links(distinct: DataFrame, bits: int = BITS, large: int = LARGE, larger: int
             crowded = met.where("key is not null").select("key", F.col("a").alias("bits"), F.col("b").alias("free"))
             if crowded.isEmpty():
                 return reduce(DataFrame.unionByName, found).distinct()
-            keyed, large = _dealt(crowded.repartition(tasks, "bits"), own, bits), larger
+            crowded = crowded.repartition(tasks, "bits")
+            keyed = crowded.select(F.explode(second_keys(bits)).alias("x"), "bits").select("x.key", "bits", "x.free") if len(found) == 1 else _dealt(crowded, bits)
+            large = larger
 
 
-def _dealt(crowded: DataFrame, own: list[tuple[int, int]], bits: int) -> DataFrame:
-    """(key, bits, free) of the members of crowded runs, under their further keys."""
+def _dealt(crowded: DataFrame, bits: int) -> DataFrame:
+    """(key, bits, free) of the members of crowded runs under two or more keys, under their further keys."""
 
     def run(batches):
         for batch in batches:
             keys, prints = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-            free = np.array([free_after(k, own) if f is None else f & (1 << 64) - 1 for k, f in zip(keys.tolist(), batch.column(2).to_pylist())], np.uint64)
+            free = batch.column(2).to_numpy().view(np.uint64)
             for each in np.unique(free):
                 here = free == each
                 for further, rest in further_keys(prints[here], keys[here], int(each), bits):
