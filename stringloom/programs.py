@@ -127,9 +127,11 @@ def import_calls(spark, sf_dir):
     return calls_of(spark, sf_dir).select("input_id", F.col("function").alias("function_va"), "place", "iat_va", "name", "through")
 
 
-@query(calling_sql(f"""
-    SELECT f.input_id, f AS va, CASE WHEN i < doc_id % 4 THEN {SIZE} ELSE {SIZE} + 12 + strlen(coalesce(source, '')) + 2 END::BIGINT AS byte_size, 2::BIGINT AS imports,
-        CASE WHEN f.input_id LIKE 'elf%' THEN 'calls_filesystem calls_network' ELSE 'calls_filesystem' END AS tags FROM functions f JOIN documents USING (doc_id)"""))
+# The one symbol of the PE files is a byte behind the first function's beginning and begins a function of its own.
+@query(calling_sql(f""", starts AS (SELECT *, CASE WHEN input_id LIKE 'pe%' AND i = 0 THEN 1 ELSE 0 END AS behind FROM functions)
+    SELECT s.input_id, f + behind AS va, CASE WHEN i < doc_id % 4 THEN {SIZE} ELSE {SIZE} + 12 + strlen(coalesce(source, '')) + 2 END::BIGINT - behind AS byte_size, 2::BIGINT AS imports,
+        CASE WHEN s.input_id LIKE 'elf%' THEN 'calls_filesystem calls_network' ELSE 'calls_filesystem' END AS tags FROM starts s JOIN documents USING (doc_id)
+    UNION ALL SELECT input_id, f, 1, 0, '' FROM starts WHERE behind = 1"""))
 def function_table(spark, sf_dir):
     """The functions of a file: how long they are, and from the imports that they call, what they can do."""
     found = extract(calling_files(spark, sf_dir), Options(enabled=("stack",)), extractors=["function_starts", "import_calls", "direct_calls"])
