@@ -42,7 +42,7 @@ def test_pipeline(spark):
 
 def test_operators_are_registered(spark):
     names = entry.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
 
 
 @pytest.mark.parametrize("name", ["op6_url_filter", "op7_decontamination", "op9_simhash"])
@@ -51,8 +51,10 @@ def test_queries_run(spark, name):
     assert df.count() > 0
 
 
-def test_exact_duplicates_equal_sql(spark):
+@pytest.mark.parametrize("name", ["op3_exact_dedup", "op11_vector_codes", "op13_filter_audit"])
+def test_queries_equal_sql(spark, name):
     db = duckdb.connect()
-    db.sql(f"create view documents as select * from '{SF}/documents.parquet'")
-    sql = sorted(map(str, db.sql(entry.oracle_sql()["op3_exact_dedup"]).fetchall()))
-    assert sql == sorted(str(tuple(r)) for r in entry.queries()["op3_exact_dedup"](spark, SF).collect())
+    for table in ("documents", "embeddings", "labels"):
+        db.sql(f"create view {table} as select * from '{SF}/{table}.parquet'")
+    sql = sorted(map(str, db.sql(entry.oracle_sql()[name]).fetchall()))
+    assert sql == sorted(str(tuple(r)) for r in entry.queries()[name](spark, SF).collect())
