@@ -14,7 +14,7 @@ from stringloom.binaries import QUERIES as QUERIES
 from stringloom.catalogue import GRAPH, graph, query, read, turns
 from stringloom.functions import capabilities, extractors
 from stringloom.operators import code, entries, flow, intervals
-from stringloom.plans.extract import bytes_written, extract
+from stringloom.plans.extract import extract
 from stringloom.schema import Options
 from stringloom.sources import inputs
 from stringloom.sources.containers import parse
@@ -65,9 +65,8 @@ def tight_strings(spark, sf_dir):
 def string_writers(spark, sf_dir):
     """Where the code is that writes the first characters of each string."""
     facts = extract(inputs.table(stack_code(plain_turns(spark, sf_dir)), "id", "content"), STACK).facts
-    written, keys = stash(bytes_written(facts)), ["input_id", "region"]
-    strings = stash(code.stack_strings(written, keys, 4))
-    return strings.join(flow.string_writers(strings, written, keys), [*keys, "target"]).select("input_id", "value", F.array_join("writers", ",").alias("writers"))
+    found = code.written_strings(facts, BY, 4, most=8)
+    return found.select("input_id", "value", F.array_join("writers", ",").alias("writers"))
 
 
 #: Where code and the slots of two imports are, in the ELF and PE files below, and the imports' names.

@@ -12,7 +12,7 @@ from stringloom.binaries import DIRECTORIES
 from stringloom.functions import extractors
 from stringloom.operators import code, entries, flow, intervals
 from stringloom.plans.extract import extract
-from stringloom.schema import Options
+from stringloom.schema import WRITES, Options
 from stringloom.sources.containers import architectures
 from stringloom.tables import settled, stash
 
@@ -153,6 +153,37 @@ def test_tight_strings_choose_the_first_function(spark):
     assert "CartesianProduct" not in plan_of(found) and "BroadcastNestedLoopJoin" not in plan_of(found)
 
 
+def test_writes_become_strings_where_they_are(spark):
+    """The strings of whole rows of writes are those of a row for each byte; no byte becomes a row, with or without blocks."""
+    rng = random.Random(5)
+    writes = [("ab"[i % 2], i, [(rng.randrange(60), rng.randrange(3), rng.randrange(-20, 20), bytearray(rng.choices(b"abc\0", k=rng.randint(0, 4)))) for _ in range(80)]) for i in range(6)]
+    writes = [(a, i, sorted({w[0]: w for w in ws}.values())) for a, i, ws in writes] + [("c", 9, [])]
+    df = spark.createDataFrame(writes, f"input_id string, arch_idx int, writes {WRITES}")
+    by = ["input_id", "arch_idx"]
+    each = [(a, i, r, p, t + k, b) for a, i, ws in writes for p, r, t, bs in ws for k, b in enumerate(bs)]
+    plain = spark.createDataFrame(each, "input_id string, arch_idx int, region long, place long, target long, byte int")
+    got = code.written_strings(df, by, 2, most=3)
+    assert {(*r[:3], r.target, r.value) for r in got.collect()} == {(*r[:3], r.target, r.value) for r in code.stack_strings(plain, [*by, "region"], 2).collect()}
+    for r in got.collect():
+        last = {}
+        for *_, p, t, _ in sorted((x for x in each if x[:3] == r[:3]), key=lambda x: x[3]):
+            last[t] = p
+        assert r.writers == list(dict.fromkeys(last[r.target + k] for k in range(len(r.value))))[:3]
+    blocks = [("a", i, f, s, s + n) for i in range(6) for f, s, n in [(0, 0, 9), (0, 4, 20), (1, 2, 40), (1, 50, 0)]]
+    spans = spark.createDataFrame(blocks, "input_id string, arch_idx int, function long, start long, end long")
+    place = lambda a, i, p: min(((f, s) for x, j, f, s, e in blocks if (x, j) == (a, i) and s <= p < e), default=None)
+    keyed = [(a, i, *(place(a, i, p) or (None, None)), None if place(a, i, p) else r, p, t, b) for a, i, r, p, t, b in each]
+    wide = spark.createDataFrame(keyed, "input_id string, arch_idx int, function long, block long, region long, place long, target long, byte int")
+    placed = code.written_strings(df, by, 2, spans)
+    keys = [*by, "region", "function", "block", "target", "value"]
+    expected = {tuple(r) for part, own in (("function is not null", ["function", "block"]), ("function is null", ["region"])) for r in code.stack_strings(wide.where(part), [*by, *own], 2).select(*by, *(c if c in own else F.lit(None).cast("long").alias(c) for c in keys[2:5]), "target", "value").collect()}
+    assert {tuple(r) for r in placed.select(*keys).collect()} == expected and len(expected) > 20
+    for found in (got, placed):
+        assert "Generate" not in plan_of(found) and "Window" not in plan_of(found)
+    bytewise = b"".join(b"\xc6\x44\x24" + bytes([i, 97 + i]) for i in range(6)) + b"\xc6\x45\xf0z" * 5 + b"\xc3"
+    assert code.x86_writes(bytewise, True) == [(5 * i, i, bytes([97 + i])) for i in range(6)] + [(30 + 4 * i, -16, b"z") for i in range(5)]
+
+
 def test_writers_are_partial_aggregates(spark):
     written = spark.createDataFrame([("a", 100 - i, i, 65) for i in range(20)] + [("a", 5, 3, 66)], "input_id string, place long, target long, byte int")
     strings = stash(code.stack_strings(written, ["input_id"], 4))
