@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stringloom.operators.intervals import first_containing
+from stringloom.tables import stash
 
 # First bytes of functions; ?? is any byte, a-b a range.
 PROLOGUES = {
@@ -194,6 +195,7 @@ def import_calls(calls: DataFrame, imports: DataFrame, functions: DataFrame | No
     if functions is None:
         named = named.withColumn("function", F.lit(None).cast("long"))
     else:
+        named = stash(named)
         held = first_containing(named, functions, by, ["start"], "place").select(*by, "place", F.col("first.function").alias("function"))
         named = named.join(held, [*by, "place"], "left")
     return named.select(*by, "function", "place", "iat_va", "name", "library", "through")
@@ -203,16 +205,20 @@ def functions(starts: DataFrame, calls: DataFrame, direct: DataFrame, parsed: Da
     """(input_id, arch_idx, va, end, name, byte_size, callers, callees, imports, tags): each function that begins at first bytes or at a
     symbol behind some, with how many functions call it and are called by it, how many imports it calls and what these can do.
     `starts`, `calls` and `direct` are the rows of the extractors, `parsed` is PARSED, `capabilities` is (name, tag) in lower case.
-    A call in no function counts for none; one of a function by itself does not count."""
+    A call in no function counts for none; one of a function by itself does not count.
+
+    Functions, what they call and whom they call are written, as each is read several times: one plan of all would go over the
+    inputs' facts many times, and the driver would hold all of its stages and broadcast tables at once."""
     by = ["input_id", "arch_idx"]
     symbols = parsed.select(*by, F.explode("symbols").alias("va", "name"))
-    spans = regions(starts, symbols.select(*by, F.col("va").alias("place")))
+    spans = stash(regions(starts, symbols.select(*by, F.col("va").alias("place"))))
     imports = parsed.select(*by, F.explode("imports").alias("i")).select(*by, "i.*")
     called = import_calls(calls, imports, spans).where("function is not null").select(*by, "function", "iat_va", F.lower("name").alias("name")).distinct()
+    called = stash(called)
     use = called.groupBy(*by, "function").agg(F.countDistinct("iat_va").alias("imports"))
     able = called.where(F.col("name").rlike("^[a-z_]")).join(capabilities, "name").groupBy(*by, "function").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
     held = first_containing(direct, spans, by, ["start"], "place").select(*by, "place", F.col("first.function").alias("function"))
-    pairs = direct.join(held, [*by, "place"]).select(*by, "function", "target").where("function <> target").distinct()
+    pairs = stash(direct.join(held, [*by, "place"]).select(*by, "function", "target").where("function <> target").distinct())
     out = pairs.groupBy(*by, "function").agg(F.count("*").alias("callees"))
     into = pairs.groupBy(*by, F.col("target").alias("function")).agg(F.count("*").alias("callers"))
     found = spans

@@ -115,7 +115,7 @@ def calling_sql(rows: str) -> str:
 def calls_of(spark, sf_dir) -> DataFrame:
     found = extract(calling_files(spark, sf_dir), Options(enabled=("stack",)), extractors=["function_starts", "import_calls"])
     imports = found.parsed.select(*BY, F.explode("imports").alias("i")).select(*BY, "i.*")
-    return entries.import_calls(found.more["import_calls"], imports, entries.regions(found.more["function_starts"]))
+    return entries.import_calls(found.more["import_calls"], imports, stash(entries.regions(found.more["function_starts"])))
 
 
 @query(calling_sql("""

@@ -159,6 +159,18 @@ def test_functions_of_a_file(spark):
     assert sorted((r.va - 0x1000, r.name, r.byte_size, r.callers, r.callees, r.imports) for r in found) == [(0, None, 20, 1, 2, 0), (20, "middle", 12, 1, 1, 0), (32, None, 10, 2, 1, 0)]
 
 
+def test_functions_go_over_the_facts_once_a_step(spark):
+    """The last plan reads what was written, not the starts and calls of all inputs again for each of its columns."""
+    by = "input_id string, arch_idx int, "
+    starts = spark.createDataFrame([("a", 0, 0, 4, ".text", 90)], by + "place long, size int, section string, section_end long")
+    whole = spark.createDataFrame([("a", 0, {}, [("", "socket", 7)])], by + "symbols map<long,string>, imports array<struct<library:string,name:string,iat_va:long>>")
+    calls = spark.createDataFrame([("a", 0, 5, 7, "slot")], by + "place long, iat_va long, through string")
+    found = entries.functions(starts, calls, spark.createDataFrame([("a", 0, 9, 0)], by + "place long, target long"), whole, spark.createDataFrame([("socket", "net")], "name string, tag string"))
+    assert [(r.va, r.imports, list(r.tags), r.callers) for r in found.collect()] == [(0, 1, ["net"], 0)]
+    optimized = plan_of(found).split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert "Window" not in optimized and "parquet" in optimized
+
+
 def test_tight_strings_choose_the_first_function(spark):
     written = [("a", p, t, b) for p, t, b in [(0, 0, 65), (1, 1, 66), (2, 2, 67), (10, 0, 88), (11, 1, 89), (99, 0, 90)]]
     blocks = [("a", 0, 0, 5), ("a", 0, 5, 20), ("a", 1, 0, 20)]
