@@ -1,12 +1,13 @@
 """Containers that are put together here, and code in bytes."""
 
 import json
+import re
 import struct
 from dataclasses import replace
 
 import pytest
 
-from stringloom.operators import code, language
+from stringloom.operators import code, language, runs
 from stringloom.plans import sinks
 from stringloom.plans.extract import extract
 from stringloom.schema import Bounds, Options
@@ -175,3 +176,24 @@ def test_candidates_in_reports(spark):
     lines = [x.line for x in sinks.report(both, by_function=True, brief=True).orderBy(*sinks.REPORT_ORDER).collect()]
     assert lines[2:] == ["=== decoder candidates (1) ===", "  0x0000000000000000  score=0.75  recovered=1  decode  [calls_crypto]", "=== stack strings (2) ===", "  function 0x0000000000000000  decode  [calls_crypto]  (1 strings)", "    ABCD", "  function 0x0000000000000008  (1 strings)", "    XYZW"]
     assert json.loads(sinks.json_documents(both).collect()[0].document)["candidates"][0]["name"] == "decode"
+
+
+def test_language_strings_come_by_columns():
+    """A section's strings are one chunk, so that no string is brought to its columns alone; places are those of a plain search."""
+    for body in (b"caf\xc3\xa9 one\0x\0\xf0\x9f\x98\x80 two\n", b"a\xffb\xc3\xa9 three\0four", b"", b"9abcd _x9 abcd abc 12_long_name"):
+        section = dict(idx=0, name=".rustc", file_offset=2, file_size=len(body), virtual_address=64, executable=False, writable=False)
+        found = language.text_chunk("rust", b"--" + body, section, 2)
+        valid = [body[a : a + n] for a, n in zip([x - 2 for x in found.offset], found.length)]
+        assert [x.decode() for x in valid] == found.value and all(len(x) >= 2 for x in valid)
+        names = language.metadata_chunk(b"--" + body, section)
+        plain = {}
+        for m in re.finditer(rb"[a-z_][a-z0-9_]*", body):
+            if 4 <= len(m[0]) <= 32:
+                plain.setdefault(m[0].decode(), m.start() + 2)
+        assert dict(zip(names.value, names.offset)) == plain and len(names.value) == len(plain)
+        out = runs.Strings()
+        calls = []
+        out._extend = lambda *args, own=out._extend: (calls.append(1), own(*args))
+        language.scanned(out, b"--" + body, [section], "rust", Options(enabled=("rust",)))
+        out.close()
+        assert len(calls) <= 1 and out.columns["address"] == [62 + x for x in out.columns["offset"]]
