@@ -162,8 +162,8 @@ def function_starts(spark, sf_dir):
     UNION SELECT e.function, coalesce(c.cut, e.src), e.dst, 'edge' FROM edges e JOIN cut c ON e.function = c.function AND e.src = c.start WHERE NOT c.stands OR c.cut IS NULL""")
 def split_blocks(spark, sf_dir):
     """An order's lines as blocks that overlap, cut where edges lead into them."""
-    blocks, edges = flow.split_blocks(*graph(spark, sf_dir), [])
-    return blocks.select("function", "start", "end", F.lit("block").alias("what")).union(edges.select("function", F.col("src").alias("start"), F.col("dst").alias("end"), F.lit("edge").alias("what")))
+    found = flow.split_graph(*graph(spark, sf_dir), [])
+    return found.select("function", "start", "end", F.when(F.col("edge"), "edge").otherwise("block").alias("what"))
 
 
 @query(f"""

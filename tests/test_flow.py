@@ -319,3 +319,54 @@ def test_settled_leaves_other_threads_tables(spark):
     assert settled(make, "outer").count() == 3
     thread.join()
     assert theirs[0].count() == 7
+
+
+def plain_split(blocks, edges):
+    """What `split_blocks` says, block by block, of one function."""
+    starts = {a for a, _ in blocks}
+    points = starts | {d for _, d in edges}
+    parts, outs = {}, {}
+    for a, b in sorted(set(blocks)):
+        borders = [a, *sorted(p for p in points if a < p < b), b]
+        for i, (x, y) in enumerate(zip(borders, borders[1:])):
+            last = i + 2 == len(borders)
+            parts.setdefault(x, []).append((i > 0, y, a, last))
+            if last and not (i and x in starts):
+                outs.setdefault(a, set()).add(x)
+    kept = {x: min(own) for x, own in parts.items()}  # of equal parts, one that goes on
+    new = {(x, y) for x, (_, y, _, _) in kept.items()}
+    falls = {(x, y) for x, (_, y, _, last) in kept.items() if not last}
+    moved = {(o, d) for s, d in edges for o in (outs.get(s, ()) if s in starts else (s,))}
+    return new, moved | falls
+
+
+def test_graphs_are_split_along_their_places(spark):
+    """Against a plain loop, over blocks that overlap, share starts and ends, or are empty; a plan of one shuffle of graphs without joins."""
+    rng = random.Random(7)
+    graphs = {}
+    for f in range(400):
+        span = rng.choice([6, 12, 40])
+        blocks = [(a, a + rng.choice([0, 1, 3, 5, 9])) for a in (rng.randrange(span) for _ in range(rng.randint(0, 7)))]
+        graphs[f] = (blocks, [(rng.choice([a for a, _ in blocks] or [3]) if rng.random() < 0.8 else rng.randrange(span), rng.randrange(span + 4)) for _ in range(rng.randint(0, 8))])
+    blocks = spark.createDataFrame([(f, *x) for f, (b, _) in graphs.items() for x in b], "function int, start long, end long")
+    edges = spark.createDataFrame([(f, *x) for f, (_, e) in graphs.items() for x in e], "function int, src long, dst long")
+    found = flow.split_graph(blocks, edges, [])
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == len(set(rows))
+    for f, graph in graphs.items():
+        own = tuple({(a, b) for g, a, b, edge in rows if g == f and edge == kind} for kind in (False, True))
+        assert own == plain_split(*graph), (f, graph)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_graphs_with_rows_without_places(spark):
+    """What has no place or no function stays as it is; a function of more rows than a batch is split as one."""
+    blocks = [(1, 0, 9), (None, 0, 9), (1, None, 4), (2, 0, 30_000)] + [(2, i, 30_000) for i in range(1, 25_000, 7)]
+    edges = [(1, None, 5), (1, None, 5), (1, 0, None), (None, 3, 4), (1, 0, 3)]
+    blocks, edges = spark.createDataFrame(blocks, "function int, start long, end long"), spark.createDataFrame(edges, "function int, src long, dst long")
+    new, ways = (sorted(map(tuple, x.collect()), key=str) for x in flow.split_blocks(blocks, edges, []))
+    assert [x for x in new if x[0] != 2] == sorted([(1, 0, 3), (1, 3, 5), (1, 5, 9), (1, None, 4), (None, 0, 9)], key=str)
+    assert [x for x in ways if x[0] != 2] == sorted([(1, 0, 3), (1, 3, 5), (1, 5, 3), (1, None, 5), (1, 0, None), (None, 3, 4)], key=str)
+    starts = [0, *range(1, 25_000, 7)]
+    assert {x[1:] for x in new if x[0] == 2} == set(zip(starts, [*starts[1:], 30_000])) and {x[1:] for x in ways if x[0] == 2} == set(zip(starts, starts[1:]))
