@@ -7,6 +7,7 @@ from dataclasses import replace
 
 import pytest
 
+from stringloom import binaries
 from stringloom.operators import code, language, runs
 from stringloom.plans import sinks
 from stringloom.plans.extract import extract
@@ -197,3 +198,13 @@ def test_language_strings_come_by_columns():
         language.scanned(out, b"--" + body, [section], "rust", Options(enabled=("rust",)))
         out.close()
         assert len(calls) <= 1 and out.columns["address"] == [62 + x for x in out.columns["offset"]]
+
+
+def test_files_are_made_without_joins_and_branches(spark, monkeypatch):
+    """The files of input_labels: texts are not joined, and no part of a file stands in a branch that makes it again for each use."""
+    seen = []
+    monkeypatch.setattr(binaries, "extract", lambda files, options: seen.append(files) or extract(files, options))
+    labels = binaries.QUERIES["input_labels"](spark, "/root/testdata/sf0.001")
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "CASE WHEN" not in plan
+    assert labels.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
