@@ -5,14 +5,18 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from stringloom import catalogue
 from stringloom.operators import runs
+from stringloom.operators import strings as operators
 from stringloom.operators.strings import located as strings_of
 from stringloom.plans import sinks
 from stringloom.plans.extract import examined, extract
 from stringloom.schema import STATIC, Bounds, Options, address_of, selection, tag_of
 from stringloom.sources.containers import FALLBACK, parse
 from stringloom.sources.inputs import files
+from stringloom.tables import stash
 
 MIXED = "Привет 世界 😀"
 
@@ -224,3 +228,22 @@ def test_table_function(spark):
     spark.createDataFrame([("a", bytearray(b"\0hello world\0")), ("b", None)], "input_id string, content binary").createOrReplaceTempView("inputs_of_test")
     rows = spark.sql("SELECT input_id, t.* FROM inputs_of_test, LATERAL extract_strings(content, 'static_ascii', 5) t").collect()
     assert [(r.input_id, r.value, r.offset, r.address, r.section) for r in rows] == [("a", "hello world", 1, 1, "raw")]
+
+
+def test_firsts_are_told_in_the_scan(spark):
+    """The first of each value, kind and encoding, against the aggregate over all rows; only rows of inputs with several rows are sorted."""
+    rng = random.Random(5)
+    word = lambda: rng.choice(["aaaa", "bbbbb", "http://x.yz/", "QUFBQUFBQUE=", "YWFhYSBhYWFhIGFhYWE="])
+    text = lambda: "\n".join(word() for _ in range(12)).encode()
+    wide = lambda: text() + b"\0" + "\n".join(word() for _ in range(5)).encode("utf-16-le") + b"\0\0\n" + "aaaa".encode("utf-16-le")
+    df = spark.createDataFrame([(str(i), bytearray(wide())) for i in range(40)], "input_id string, content binary")
+    found = stash(strings_of(examined(df, Options(decode_base64=True))))
+    assert found.where("alone").count() and found.where("nth = 2").count()
+    key = ["input_id", "value", "kind", "encoding", "offset", "seq"]
+    rows = lambda x: sorted(map(str, x.select(*key).collect()))
+    assert rows(operators.first_of_each(found)) == rows(operators._first_of_each(found))
+    own = lambda x: sorted(map(str, x.select(*key, "in_code", "is_duplicate", "tags").collect()))
+    marked = stash(found.withColumn("in_library", F.lit(False)))
+    assert own(operators.annotated_firsts(marked)) == own(operators._annotated_firsts(marked))
+    plan = catalogue.QUERIES["dedupe_first"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "NOT alone" in plan and "(nth#" in plan and "MapInArrow" not in plan
