@@ -5,6 +5,8 @@ ones; calls count only if they lead to an import that the input lists."""
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,14 +44,15 @@ def _has(b: np.ndarray, at: np.ndarray, pattern: str) -> np.ndarray:
     return fits
 
 
-def prologues(arch: str | None, body: bytes) -> list[tuple[int, int]]:
-    """(offset, size) of all first bytes of functions, overlapping ones too, in order; at one place the longest."""
+def _prologues(arch: str | None, body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and sizes of all first bytes of functions, overlapping ones too, in order; at one place the longest."""
     if arch == "aarch64":
         words = np.frombuffer(body, "<u4", len(body) // 4)
         hit = np.zeros(len(words), bool)
         for mask, value in ARM_PROLOGUES:
             hit |= (words & np.uint32(mask)) == value
-        return [(4 * int(i), 4) for i in np.flatnonzero(hit)]
+        at = 4 * np.flatnonzero(hit)
+        return at, np.full(len(at), 4)
     b = np.frombuffer(body, np.uint8)
     size = np.zeros(len(b), np.int64)
     for pattern in PROLOGUES.get(arch or "", ()):
@@ -57,16 +60,22 @@ def prologues(arch: str | None, body: bytes) -> list[tuple[int, int]]:
         at = at[_has(b, at, pattern)]
         size[at] = np.maximum(size[at], len(pattern.split()))
     at = np.flatnonzero(size)
-    return list(zip(at.tolist(), size[at].tolist()))
+    return at, size[at]
+
+
+def prologues(arch: str | None, body: bytes) -> list[tuple[int, int]]:
+    """The same as pairs."""
+    return list(zip(*(x.tolist() for x in _prologues(arch, body))))
 
 
 def starts_of(arch: str | None, sections: list[dict], data: bytes) -> list[tuple[int, int, str, int]]:
-    """START for each prologue of the executable sections that lie within the input."""
+    """START for each prologue of the executable sections that lie within the input; addresses are made for all places at once."""
     out = []
     for s in sections:
         if s["executable"] and s["file_offset"] + s["file_size"] <= len(data):
-            base = s["virtual_address"]
-            out += [(_signed(base + at), n, s["name"], _signed(base + s["file_size"])) for at, n in prologues(arch, _body(s, data))]
+            at, size = _prologues(arch, _body(s, data))
+            places = (at.astype(np.uint64) + np.uint64(s["virtual_address"] & (1 << 64) - 1)).view(np.int64)
+            out += zip(places.tolist(), size.tolist(), repeat(s["name"]), repeat(_signed(s["virtual_address"] + s["file_size"])))
     return out
 
 

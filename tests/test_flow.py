@@ -370,3 +370,14 @@ def test_graphs_with_rows_without_places(spark):
     assert [x for x in ways if x[0] != 2] == sorted([(1, 0, 3), (1, 3, 5), (1, 5, 3), (1, None, 5), (1, 0, None), (None, 3, 4)], key=str)
     starts = [0, *range(1, 25_000, 7)]
     assert {x[1:] for x in new if x[0] == 2} == set(zip(starts, [*starts[1:], 30_000])) and {x[1:] for x in ways if x[0] == 2} == set(zip(starts, starts[1:]))
+
+
+def test_function_starts_make_no_call_a_place(monkeypatch):
+    """Addresses of a section are made at once, also where they pass the end of a long."""
+    code_ = bytes.fromhex("FF4300D1 1F2003D5") * 500
+    section = dict(idx=0, name="x", file_offset=0, file_size=len(code_), virtual_address=(1 << 63) - 8, executable=True, writable=False)
+    calls, own = [], entries._signed
+    monkeypatch.setattr(entries, "_signed", lambda x: (calls.append(1), own(x))[1])
+    found = entries.starts_of("aarch64", [section], code_)
+    assert found == [(own((1 << 63) - 8 + 8 * i), 4, "x", own((1 << 63) - 8 + 4000)) for i in range(500)]
+    assert sum(calls) < 10
