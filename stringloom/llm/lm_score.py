@@ -11,6 +11,7 @@ from math import log10
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,9 +53,13 @@ UNIT, WORD = np.dtype("<u2"), np.dtype("<u4")
 PART_BYTES = 8 << 20
 
 
-def words_of(text: str) -> list[bytes]:
-    """Lower-cased A-Z, split at space and U+0009 to U+000D."""
-    return text.encode().lower().split()
+def words_of(text: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """The words of all texts, one after the other, and how many each text has: lower-cased A-Z, split at space and U+0009 to
+    U+000D. Arrow splits off an empty word where white space begins or ends a text; these go."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(text))
+    words, there = split.flatten(), np.concatenate(([0], np.cumsum(pc.binary_length(split.flatten()).to_numpy() > 0)))
+    borders = split.offsets.to_numpy() - split.offsets[0].as_py()
+    return words if there[-1] == len(words) else words.filter(pc.not_equal(words, "")), np.diff(there[borders])
 
 
 @cache
@@ -70,18 +75,7 @@ def keep_memory() -> None:
 
 
 class Places(dict):
-    """The places of held words; -1 for others."""
-
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
-
-class Numbers(dict):
-    """A number for each different word, in the order in which they come."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
+    """The places of held words, which come in the order of their places."""
 
 
 @dataclass
@@ -134,13 +128,14 @@ def vocabulary(counts: DataFrame, held: int = HELD) -> tuple[Vocabulary, DataFra
 
 
 class Network:
-    """Embeddings are kept multiplied with the input weights: a row of three gates' inputs for each unit."""
+    """Embeddings are kept multiplied with the input weights: a row of three gates' inputs for each unit. The biases of the output are the
+    last rows of its weights, which a one behind every state meets."""
 
-    SHAPES = ("embed", "bias", "gates", "candidate", "to_class", "class_bias", "to_member", "member_bias")
+    SHAPES = ("embed", "bias", "gates", "candidate", "classes", "members")
 
     def __init__(self, vocab: Vocabulary, values: np.ndarray | None = None):
         h, classes = HIDDEN, -(-vocab.units // MEMBERS)
-        shapes = [(vocab.units, 3 * h), (3 * h,), (h, 2 * h), (h, h), (h, classes), (classes,), (classes, h, MEMBERS), (classes, MEMBERS)]
+        shapes = [(vocab.units, 3 * h), (3 * h,), (h, 2 * h), (h, h), (h + 1, classes), (classes, h + 1, MEMBERS)]
         sizes = [int(np.prod(s)) for s in shapes]
         if values is None:
             rng = np.random.default_rng(11)
@@ -150,6 +145,8 @@ class Network:
         for name, shape, size in zip(self.SHAPES, shapes, sizes):
             setattr(self, name, self.values[at : at + size].reshape(shape))
             at += size
+        self.to_class, self.class_bias = self.classes[:h], self.classes[h]
+        self.to_member, self.member_bias = self.members[:, :h], self.members[:, h]
 
     @classmethod
     def untrained(cls, vocab: Vocabulary) -> Network:
@@ -165,130 +162,142 @@ class Network:
 
     def states(self, units: np.ndarray, begins: np.ndarray, state: np.ndarray):
         """States before and after each step of a window: `units` (steps, streams) go in, from `state`; where a document
-        begins, the state before it is zero."""
-        h, steps = HIDDEN, len(units)
-        resets, went = begins.any(axis=1).tolist(), (~begins).astype(np.float32)[:, :, None]
-        inputs = self.embed[units]
-        inputs += self.bias
-        np.negative(inputs[:, :, : 2 * h], out=inputs[:, :, : 2 * h])
-        minus = -self.gates
-        gates = np.empty((steps, len(state), 2 * h), np.float32)
-        prior, out, cand, reset = np.empty((4, steps, *state.shape), np.float32)
-        with np.errstate(over="ignore"):  # a gate that is shut: 1 / (1 + inf)
+        begins, the state before it is zero. All that comes back is (steps, features, streams): a step's features lie beside
+        each other, and so do the streams of a feature, over which every pass goes."""
+        h, (steps, streams) = HIDDEN, units.shape
+        resets, went = begins.any(axis=1).tolist(), (~begins).astype(np.float32)
+        rows = self.embed + self.bias
+        rows *= np.repeat(np.array([-1, 2], np.float32), (2 * h, h))
+        inputs = np.ascontiguousarray(rows.take(units, axis=0).transpose(0, 2, 1))
+        minus, twice = -self.gates.T, 2 * self.candidate.T
+        gates = np.empty((steps, 2 * h, streams), np.float32)
+        prior, out, cand, reset = np.empty((4, steps, h, streams), np.float32)
+        state = state.T
+        with np.errstate(over="ignore"):  # 1 / (1 + inf), a gate that is shut
             for t in range(steps):
-                prior[t] = state
+                before, g, c = prior[t], gates[t], cand[t]
                 if resets[t]:
-                    prior[t] *= went[t]
-                g = prior[t] @ minus
-                g += inputs[t, :, : 2 * h]
+                    np.multiply(state, went[t], out=before)
+                else:
+                    before[:] = state
+                np.matmul(minus, before, out=g)
+                g += inputs[t, : 2 * h]
                 np.exp(g, out=g)
                 g += 1
-                np.reciprocal(g, out=gates[t])
-                np.multiply(gates[t, :, h:], prior[t], out=reset[t])
-                c = reset[t] @ self.candidate
-                c += inputs[t, :, 2 * h :]
-                np.tanh(c, out=cand[t])
-                state = np.subtract(prior[t], cand[t], out=out[t])
-                state *= gates[t, :, :h]
-                state += cand[t]
+                np.reciprocal(g, out=g)
+                np.multiply(g[h:], before, out=reset[t])
+                np.matmul(twice, reset[t], out=c)
+                c += inputs[t, 2 * h :]
+                np.exp(c, out=c)  # tanh(x) = 1 - 2 / (1 + e^2x), in less time than np.tanh
+                c += 1
+                np.divide(-2, c, out=c)
+                c += 1
+                state = np.subtract(before, c, out=out[t])
+                state *= g[:h]
+                state += c
         return prior, out, gates, cand, reset
 
-    def output(self, state: np.ndarray, unit: np.ndarray, slope: dict | None = None):
-        """Natural log-probability of each unit after its state: that of its class times that of the unit in the class.
-        With `slope`, instead the gradient of the loss for the states, and into `slope` that for the weights."""
+    def output(self, out: np.ndarray, unit: np.ndarray, valid: np.ndarray, learn: bool = False):
+        """Natural log-probability of each valid unit after its state: that of its class times that of the unit in the class.
+        With `learn`, instead the gradient of the loss for the states, in their shape, and those for `classes` and `members`."""
+        h, (steps, _, streams) = HIDDEN, out.shape
+        there = None if valid.all() else np.flatnonzero(valid)
+        unit = unit.ravel() if there is None else unit.ravel()[there]
         cls = (unit // MEMBERS).astype(np.int16)  # small integers are sorted in linear time
         order = np.argsort(cls, kind="stable")
-        cls, member, state, every = cls[order], (unit % MEMBERS)[order], state[order], np.arange(len(unit))
-        borders = np.searchsorted(cls, np.arange(len(self.class_bias) + 1))
-        found, back = np.zeros(len(unit), np.float32), None
+        at = order if there is None else there[order]
+        cls, member, every = cls.take(order), (unit % MEMBERS).take(order), np.arange(len(unit))
+        rows = np.empty((steps, streams, h + 1), np.float32)
+        rows[:, :, :h], rows[:, :, h] = out.transpose(0, 2, 1), 1
+        state = rows.reshape(-1, h + 1).take(at, axis=0)
         # Sums over a row as a product with ones: faster over short rows.
-        logits = state @ self.to_class
-        logits += self.class_bias
-        np.clip(logits, -LOGIT, LOGIT, out=logits)
-        if slope is None:
-            found += logits[every, cls]
-        np.exp(logits, out=logits)
-        total = logits @ np.ones(logits.shape[1], np.float32)
-        if slope is None:
-            found -= np.log(total)
-        else:
-            logits *= (FULL / total)[:, None]
-            logits[every, cls] -= FULL
-            slope["to_class"], slope["class_bias"] = state.T @ logits, np.ones(len(unit), np.float32) @ logits
-            slope["to_member"], slope["member_bias"] = np.zeros_like(self.to_member), np.zeros_like(self.member_bias)
-            back = logits @ self.to_class.T
+        logits = state @ self.classes
         # A product for each class that occurs; all else goes over all units at once.
-        ones, sizes = np.ones(MEMBERS, np.float32), np.diff(borders)
+        cut = np.searchsorted(cls, np.arange(len(self.members) + 1)).tolist()
+        used = [(k, slice(cut[k], cut[k + 1])) for k in range(len(self.members)) if cut[k] < cut[k + 1]]
         inner = np.empty((len(unit), MEMBERS), np.float32)
-        used = np.flatnonzero(sizes).tolist()
-        cut = borders.tolist()
-        for k in used:
-            np.matmul(state[cut[k] : cut[k + 1]], self.to_member[k], out=inner[cut[k] : cut[k + 1]])
-        inner += self.member_bias[cls]
-        np.clip(inner, -LOGIT, LOGIT, out=inner)
-        if slope is None:
-            found += inner[every, member]
-            np.exp(inner, out=inner)
-            found -= np.log(inner @ ones)
-        else:
-            np.exp(inner, out=inner)
-            inner *= (FULL / (inner @ ones))[:, None]
-            inner[every, member] -= FULL
-            deep = np.empty_like(state)
-            for k in used:
-                own = inner[cut[k] : cut[k + 1]]
-                np.matmul(state[cut[k] : cut[k + 1]].T, own, out=slope["to_member"][k])
-                np.matmul(own, self.to_member[k].T, out=deep[cut[k] : cut[k + 1]])
-            slope["member_bias"][used] = np.add.reduceat(inner, borders[used], axis=0)
-            back += deep
-        result = found if slope is None else back
-        out = np.empty_like(result)
-        out[order] = result
-        return out
+        for k, own in used:
+            np.matmul(state[own], self.members[k], out=inner[own])
+        # No feature of a state is beyond one, so the weights tell whether an output can be.
+        for found, weights in ((logits, self.classes), (inner, self.members)):
+            if not np.abs(weights).sum(axis=-2).max() < LOGIT:
+                np.clip(found, -LOGIT, LOGIT, out=found)
+        if not learn:
+            logs = logits[every, cls] + inner[every, member]
+            for found in (logits, inner):
+                np.exp(found, out=found)
+                logs -= np.log(found @ np.ones(found.shape[1], np.float32))
+            result = np.empty_like(logs)
+            result[order] = logs
+            return result
+        for found, place in ((logits, cls), (inner, member)):
+            np.exp(found, out=found)
+            found *= (FULL / (found @ np.ones(found.shape[1], np.float32)))[:, None]
+            found.ravel()[every * found.shape[1] + place] -= FULL
+        # The last row is that of units that are not there.
+        back, members = np.zeros((len(unit) + 1, h), np.float32), np.zeros_like(self.members)
+        for k, own in used:
+            np.matmul(state[own].T, inner[own], out=members[k])
+            np.matmul(inner[own], self.to_member[k].T, out=back[own])
+        back[:-1] += logits @ self.to_class.T
+        row = np.full(steps * streams, len(unit))
+        row[at] = every
+        return np.ascontiguousarray(back.take(row, axis=0).reshape(steps, streams, h).transpose(0, 2, 1)), state.T @ logits, members
 
     def learn(self, before: np.ndarray, unit: np.ndarray, begins: np.ndarray, valid: np.ndarray, state: np.ndarray, squares: Network, rate: float) -> np.ndarray:
         """A step of gradient descent on one window, with back-propagation to its start; the state after it."""
         h = HIDDEN
         prior, out, gates, cand, reset = self.states(before, begins, state)
         slope: dict[str, np.ndarray] = {}
-        flow = np.zeros_like(out)
-        flow[valid] = self.output(out[valid], unit[valid], slope)
-        d_in = np.empty((*before.shape, 3 * h), np.float32)
-        z, r = gates[:, :, :h], gates[:, :, h:]
-        to_cand = (1 - z) * (1 - cand * cand)
-        to_update = (prior - cand) * z * (1 - z)
-        to_reset = prior * r * (1 - r)
-        stays, resets = (~begins).astype(np.float32)[:, :, None], begins.any(axis=1).tolist()
-        ahead, back_cand, back_gates = np.zeros_like(state), self.candidate.T.copy(), self.gates.T.copy()
+        flow, slope["classes"], slope["members"] = self.output(out, unit, valid, learn=True)
+        d_in = np.empty((len(before), 3 * h, before.shape[1]), np.float32)
+        z, r = gates[:, :h], gates[:, h:]
+        shut = 1 - z
+        to_update = prior - cand
+        to_update *= z
+        to_update *= shut
+        to_cand = np.multiply(cand, cand, out=cand)
+        np.subtract(1, to_cand, out=to_cand)
+        to_cand *= shut
+        to_reset = np.subtract(1, r, out=shut)
+        to_reset *= reset
+        stays, resets = (~begins).astype(np.float32), begins.any(axis=1).tolist()
+        ahead = np.zeros((h, before.shape[1]), np.float32)
         for t in range(len(before) - 1, -1, -1):
-            d = flow[t]
+            d, into = flow[t], d_in[t]
             d += ahead
-            dc = np.multiply(d, to_cand[t], out=d_in[t, :, 2 * h :])
-            d_reset = dc @ back_cand
-            np.multiply(d, to_update[t], out=d_in[t, :, :h])
-            np.multiply(d_reset, to_reset[t], out=d_in[t, :, h : 2 * h])
-            ahead = d_in[t, :, : 2 * h] @ back_gates
+            dc = np.multiply(d, to_cand[t], out=into[2 * h :])
+            d_reset = self.candidate @ dc
+            np.multiply(d, to_update[t], out=into[:h])
+            np.multiply(d_reset, to_reset[t], out=into[h : 2 * h])
+            np.matmul(self.gates, into[: 2 * h], out=ahead)
             d_reset *= r[t]
             ahead += d_reset
             d *= z[t]
             ahead += d
             if resets[t]:
                 ahead *= stays[t]
-        flat, rows = before.ravel(), d_in.reshape(-1, 3 * h)
-        slope["gates"] = prior.reshape(-1, h).T @ rows[:, : 2 * h]
-        slope["candidate"] = reset.reshape(-1, h).T @ rows[:, 2 * h :]
-        slope["bias"] = np.ones(len(rows), np.float32) @ rows
-        for name, g in slope.items():
-            own, sq = getattr(self, name), getattr(squares, name)
-            sq += g * g
-            own -= rate * g / np.sqrt(sq)
+        slope["gates"] = np.matmul(prior, d_in[:, : 2 * h].transpose(0, 2, 1)).sum(axis=0)
+        slope["candidate"] = np.matmul(reset, d_in[:, 2 * h :].transpose(0, 2, 1)).sum(axis=0)
+        flat = before.ravel()
         order = np.argsort(flat.astype(np.uint16), kind="stable")
-        flat = flat[order]
+        flat = flat.take(order)
         first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
-        used, g = flat[first], np.add.reduceat(rows[order], first, axis=0)
-        squares.embed[used] += g * g
-        self.embed[used] -= rate * g / np.sqrt(squares.embed[used])
-        return out[-1]
+        # Sums of two columns at a time, as parts of a complex number, take half as many steps.
+        used, rows = flat[first], d_in.transpose(0, 2, 1).reshape(-1, 3 * h).take(order, axis=0)
+        g = np.add.reduceat(rows.view(np.complex64), first, axis=0).view(np.float32)
+        slope["bias"] = g.sum(axis=0)
+        for name, own_g in slope.items():
+            own, sq = getattr(self, name), getattr(squares, name)
+            sq += own_g * own_g
+            own -= rate * own_g / np.sqrt(sq)
+        sums = squares.embed.take(used, axis=0)
+        sums += g * g
+        squares.embed[used] = sums
+        g *= np.float32(rate)
+        g /= np.sqrt(sums, out=sums)
+        self.embed[used] -= g
+        return out[-1].T
 
 
 def windows(found: list[np.ndarray]):
@@ -372,8 +381,8 @@ def log_likelihoods(net: Network, found: list[np.ndarray]) -> np.ndarray:
     out, state = np.zeros(len(found)), np.zeros((STREAMS, HIDDEN), np.float32)
     for before, unit, doc, begins, valid in windows(found):
         _, states, *_ = net.states(before, begins, state[: before.shape[1]])
-        state = states[-1]
-        logs = net.output(states[valid], unit[valid])
+        state = states[-1].T
+        logs = net.output(states, unit, valid)
         out += np.bincount(doc[valid], weights=logs, minlength=len(found))
     return out / np.log(10)
 
@@ -394,12 +403,13 @@ def score(df: DataFrame, held_out: Column, round_of: Column, id_col: str = "doc_
     rows = texts(df, id_col, text_col, F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(round_of, F.lit(0)).alias("round"))
 
     parts = stash(numbered(rows), "parts")
-    pairs = parts.select(F.explode(F.arrays_zip("words", "times")).alias("x")).select(F.col("x.words").alias("key"), F.col("x.times").alias("n")).where("n > 0")
+    pairs = counted(parts)
     ends = parts.agg(F.lit(END).alias("key"), F.sum("ends").alias("n")).where("n > 0")
-    counts = stash(pairs.groupBy("key").agg(F.sum("n").alias("n")).unionByName(ends), "words")
+    with rows_per_batch(spark, 1):  # a part is many texts
+        counts = stash(pairs.groupBy("key").agg(F.sum("n").alias("n")).unionByName(ends), "words")
     vocab, rare = vocabulary(counts, held)
     shared = spark.sparkContext.broadcast(vocab)
-    with rows_per_batch(spark, 1):  # a part is many texts
+    with rows_per_batch(spark, 1):
         coded = stash(encoded(parts, shared), "units")
     first = Network.untrained(vocab).values
     values = np.stack((first, np.full_like(first, START)))
@@ -440,29 +450,44 @@ def score(df: DataFrame, held_out: Column, round_of: Column, id_col: str = "doc_
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """(doc_id, text, held_out, round) in parts of up to SORTED rows. A row of the result is a part: its different `words`, how
-    often each stands in training texts (`times`), how many of these there are (`ends`), and of each text its id, whether it
+    """(doc_id, text, held_out, round) in parts of up to SORTED rows. A row of the result is a part: its different `words` with a
+    space between them, how often each stands in training texts (`times`, in one), how many of these there are (`ends`), and of each text its id, whether it
     is held out, its round, the number of its words and, all in one, the numbers of its words."""
     listed = [T.StructField(f"{f.name}s", T.ArrayType(f.dataType)) for f in rows.schema.fields if f.name != "text"]
-    schema = T.StructType([T.StructField("words", T.ArrayType(T.StringType())), T.StructField("times", T.ArrayType(T.LongType())), T.StructField("ends", T.LongType()), *listed, T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("numbers", T.BinaryType())])
+    schema = T.StructType([T.StructField("words", T.StringType()), T.StructField("times", T.BinaryType()), T.StructField("ends", T.LongType()), *listed, T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("numbers", T.BinaryType())])
 
     def run(batches):
         for some in _tables(batches):
-            places, found = Numbers(), []
-            for text in some.column("text").to_pylist():
-                words = words_of(text)
-                found.append(np.fromiter(map(places.__getitem__, words), WORD, len(words)))
-            trains = [not x for x in some.column("held_out").to_pylist()]
-            taught = np.concatenate([np.empty(0, WORD), *(x for x, own in zip(found, trains) if own)])
-            times = np.bincount(taught, minlength=len(places))
+            words, sizes = words_of(some.column("text").combine_chunks())
+            coded = words.dictionary_encode()
+            places, numbers = coded.dictionary, coded.indices.to_numpy().astype(WORD)
+            trains = ~some.column("held_out").to_numpy()
+            times = np.bincount(numbers[np.repeat(trains, sizes)], minlength=len(places))
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             kept = [one(some.column(f.name.removesuffix("s")).combine_chunks()) for f in listed]
-            columns = [one(pa.array([w.decode() for w in places], pa.string())), one(pa.array(times, pa.int64())), pa.array([sum(trains)], pa.int64()), *kept]
-            yield pa.RecordBatch.from_arrays([*columns, one(pa.array([len(x) for x in found], pa.int64())), pa.array([np.concatenate(found).tobytes()], pa.binary())], schema.names)
+            columns = [pc.binary_join(one(places), " "), pa.array([times.astype(np.int64).tobytes()], pa.binary()), pa.array([int(trains.sum())], pa.int64()), *kept]
+            yield pa.RecordBatch.from_arrays([*columns, one(pa.array(sizes, pa.int64())), pa.array([numbers.tobytes()], pa.binary())], schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
+def listed_words(part: pa.StringScalar) -> pa.StringArray:
+    """The words of a part, which has a space between them."""
+    return pc.split_pattern(pa.array([part]), " ").values if len(part.as_buffer()) else pa.array([], pa.string())
+
+
+def counted(parts: DataFrame) -> DataFrame:
+    """(key, n): for each part, its words that stand in training texts and how often."""
+
+    def run(batches):
+        for batch in batches:
+            for words, times in zip(*(batch.column(x) for x in ("words", "times"))):
+                found = pa.RecordBatch.from_arrays([listed_words(words), pa.array(np.frombuffer(times.as_buffer(), np.int64))], ["key", "n"])
+                yield found.filter(pc.greater(found.column("n"), 0))
+
+    return parts.select("words", "times").mapInArrow(run, "key string, n long")
+
+
 def encoded(parts: DataFrame, vocab) -> DataFrame:
     """A row for each text of the parts: its number, the units of its tokens, how many tokens it has and how many of them are
     held, the sums of their log-counts (`base`) and of what its held words have of their buckets (`tail`), and the words
@@ -473,45 +498,40 @@ def encoded(parts: DataFrame, vocab) -> DataFrame:
     for name, kind in kinds.items():
         schema.add(name, kind)
 
-    def one(own: Vocabulary, words: list[str], sizes: np.ndarray, numbers: np.ndarray):
-        """Per text: (units, known, base, tail, words that are not held, their numbers)."""
-        place = np.fromiter(map(own.held.__getitem__, (w.encode() for w in words)), np.int64, len(words))
+    def one(own: Vocabulary, held: pa.StringArray, words: pa.StringArray, sizes: np.ndarray, numbers: np.ndarray) -> list[pa.Array]:
+        """The columns from `units` on, for all texts of a part at once."""
+        place = pc.fill_null(pc.index_in(words, value_set=held.cast(words.type)), -1).to_numpy()
         first, missing = own.units - BUCKETS, np.flatnonzero(place < 0)
         unit = own.unit[place]
-        unit[missing] = first + np.array([bucket(words[i].encode()) for i in missing.tolist()], np.int64)
+        unit[missing] = first + np.fromiter(map(bucket, words.take(pa.array(missing)).cast(pa.binary()).to_pylist()), np.int64, len(missing))
         log_count, rest = np.where(place < 0, 0.0, own.log_count[place]), np.where(unit >= first, own.rest[np.maximum(unit - first, 0)], 0.0)
         tail = np.where(unit >= first, log_count, 0.0) - rest
-        begin = 0
-        for size in sizes.tolist():
-            mine = numbers[begin : begin + size]
-            begin += size
-            cold, times = np.unique(mine[place[mine] < 0], return_counts=True) if len(missing) else (mine[:0], mine[:0])
-            units = np.append(unit[mine], 0).astype(UNIT).tobytes()
-            known = size - int(times.sum()) + (own.total > 0)
-            yield units, known, log_count[mine].sum() + own.log_count[-1], tail[mine].sum(), [words[i] for i in cold.tolist()], times.tolist()
+        n, text = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
+        units, ends = np.zeros(len(numbers) + n, UNIT), np.cumsum(sizes + 1)
+        units[np.arange(len(numbers)) + text] = unit[numbers]  # each text before this one has its end, a zero
+        borders = np.concatenate(([0], ends * UNIT.itemsize)).astype(np.int32)
+        base, tail = (np.bincount(text, weights=x[numbers], minlength=n) for x in (log_count, tail))
+        away = np.flatnonzero((place < 0)[numbers])
+        cold, times = np.unique(text[away] * len(words) + numbers[away], return_counts=True)
+        known = sizes - np.bincount(text[away], minlength=n) + (own.total > 0)
+        of = pa.array(np.searchsorted(cold, np.arange(n + 1) * len(words)), pa.int32())
+        return [
+            pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(borders), pa.py_buffer(units)]),
+            pa.array(sizes + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(base + own.log_count[-1], pa.float64()), pa.array(tail, pa.float64()),
+            pa.ListArray.from_arrays(of, words.take(pa.array(cold % max(1, len(words))))), pa.ListArray.from_arrays(of, pa.array(times, pa.int64())),
+        ]
 
     def run(batches):
         own = vocab.value
+        held = pa.array(list(own.held), pa.binary()).cast(pa.string())
         for batch in batches:
             for i in range(batch.num_rows):
                 part = {name: batch.column(name)[i] for name in batch.schema.names}
-                sizes = np.array(part["sizes"].as_py(), np.int64)
-                ids = [pa.array(part[x].values) for x in listed]
+                sizes, numbers = part["sizes"].values.to_numpy(), np.frombuffer(part["numbers"].as_buffer(), WORD).astype(np.int64)
+                columns = [pa.array(np.zeros(len(sizes), np.int64)), *(part[x].values for x in listed), *one(own, held, listed_words(part["words"]), sizes, numbers)]
+                found = pa.RecordBatch.from_arrays(columns, schema.names)
                 for at in range(0, len(sizes), 256):
-                    if at == 0:
-                        found = one(own, part["words"].as_py(), sizes, np.frombuffer(part["numbers"].as_py(), WORD))
-                    here = min(256, len(sizes) - at)
-                    units, known, base, tail, keys, times = zip(*(next(found) for _ in range(here)))
-                    columns = [
-                        pa.array([0] * here, pa.int64()),
-                        *(x.slice(at, here) for x in ids),
-                        pa.array(units, pa.binary()),
-                        pa.array(sizes[at : at + here] + 1, pa.int64()),
-                        *(pa.array(x, kind) for x, kind in zip((known, base, tail), (pa.int64(), pa.float64(), pa.float64()))),
-                        pa.array(keys, pa.list_(pa.string())),
-                        pa.array(times, pa.list_(pa.int64())),
-                    ]
-                    yield pa.RecordBatch.from_arrays(columns, schema.names)
+                    yield found.slice(at, 256)
 
     found = parts.select("words", *listed, "sizes", "numbers").mapInArrow(run, schema)
     return found.withColumn("row", F.monotonically_increasing_id())
