@@ -191,22 +191,24 @@ def regions(starts: DataFrame, named: DataFrame | None = None) -> DataFrame:
     head = own.withColumn("met", F.lag(F.col("place") + F.col("size")).over(along)).where(F.col("met").isNull() | (F.col("place") > F.col("met"))).select(*part, "place")
     if named is not None:
         ends = own.groupBy(*part).agg(F.min("place").alias("first"))
-        others = named.join(ends, part[:2]).where((F.col("place") >= F.col("first")) & (F.col("place") < F.col("section_end"))).select(*part, "place")
+        others = named.join(ends.hint("shuffle_merge"), part[:2]).where((F.col("place") >= F.col("first")) & (F.col("place") < F.col("section_end"))).select(*part, "place")
         head = head.union(others).distinct()
     return head.select("input_id", "arch_idx", F.col("place").alias("function"), F.col("place").alias("start"), F.coalesce(F.lead("place").over(along), "section_end").alias("end"))
 
 
 def import_calls(calls: DataFrame, imports: DataFrame, functions: DataFrame | None = None) -> DataFrame:
     """(input_id, arch_idx, function, place, iat_va, name, library, through): calls (rows of CALL by input and architecture) with what
-    they call, by equality of the slot, and with the function, of `functions` as `regions` gives them, that does it."""
+    they call, by equality of the slot, and with the function, of `functions` as `regions` gives them, that does it. All sides
+    grow with the inputs, so all are shuffled at every size: Spark goes by the size of their files, and a few MB of Parquet of equal
+    names and slots are millions of rows, which it would broadcast."""
     by = ["input_id", "arch_idx"]
-    named = calls.where("through <> 'jump'").join(imports.select(*by, "iat_va", "name", "library"), [*by, "iat_va"])
+    named = calls.where("through <> 'jump'").join(imports.select(*by, "iat_va", "name", "library").hint("shuffle_merge"), [*by, "iat_va"])
     if functions is None:
         named = named.withColumn("function", F.lit(None).cast("long"))
     else:
         named = stash(named)
         held = first_containing(named, functions, by, ["start"], "place").select(*by, "place", F.col("first.function").alias("function"))
-        named = named.join(held, [*by, "place"], "left")
+        named = named.join(held.hint("shuffle_merge"), [*by, "place"], "left")
     return named.select(*by, "function", "place", "iat_va", "name", "library", "through")
 
 

@@ -25,14 +25,15 @@ def containing(points: DataFrame, intervals: DataFrame, by: list[str], at: str =
 
     An interval lies in at most two bins of the power of two that covers its length, and a point in one bin of each power that
     occurs, so the join is by equality at every size and length, and adds no pair but those that share a bin. The powers that
-    occur are at most 64 numbers, found by an aggregate of the plan itself."""
+    occur are at most 64 numbers, found by an aggregate of the plan itself. Both sides are shuffled at every size: rows that a few MB
+    of Parquet hold can be more than the driver has room for."""
     held = intervals.where(F.col(end) > F.col(begin)).withColumn("level", _level(F.col(begin), F.col(end)))
     used = held.agg(F.coalesce(F.collect_set("level"), F.array().cast("array<int>"))).scalar()
     last = F.col(end) - 1
     bins = F.array_distinct(F.array(_bin(F.col(begin), F.col("level")), _bin(last, F.col("level"))))
     held = held.withColumn("bin", F.explode(bins))
     dealt = points.where(F.col(at).isNotNull()).withColumn("level", F.explode(used)).withColumn("bin", _bin(F.col(at), F.col("level")))
-    both = dealt.join(held, [*by, "level", "bin"]).where((F.col(at) >= F.col(begin)) & (F.col(at) < F.col(end)))
+    both = dealt.join(held.hint("shuffle_merge"), [*by, "level", "bin"]).where((F.col(at) >= F.col(begin)) & (F.col(at) < F.col(end)))
     return both.drop("level", "bin")
 
 

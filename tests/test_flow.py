@@ -8,6 +8,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from stringloom import programs
 from stringloom.binaries import DIRECTORIES
 from stringloom.functions import extractors
 from stringloom.operators import code, entries, flow, intervals
@@ -171,6 +172,35 @@ def test_functions_go_over_the_facts_once_a_step(spark):
     assert "Window" not in optimized and "parquet" in optimized
 
 
+def executed(df) -> str:
+    """The plan as it ran, with what the sizes of its stages changed."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def plans_written(monkeypatch, *modules) -> list[str]:
+    """The plans of all tables that `modules` will write, as they ran."""
+    plans = []
+
+    def kept(df, *name):
+        plans.append(executed(df))
+        return stash(df, *name)
+
+    for module in modules:
+        monkeypatch.setattr(module, "stash", kept)
+    return plans
+
+
+def test_import_calls_broadcast_nothing(spark, monkeypatch, tmp_path):
+    """Small files can hold millions of equal names and slots; no table that grows with the inputs goes through the driver."""
+    plans = plans_written(monkeypatch, programs, entries)
+    spark.range(40).selectExpr("id AS doc_id", "'a.bin' AS source", "'some text' AS text").write.parquet(str(tmp_path / "documents.parquet"))
+    found = programs.import_calls(spark, str(tmp_path))
+    plans.append(executed(found))
+    assert found.count() == 2 * 2 * (1 + 2 + 3 + 4) * 10 and len(plans) == 3
+    assert sum(p.count("SortMergeJoin") for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 def test_tight_strings_choose_the_first_function(spark):
     written = [("a", p, t, b) for p, t, b in [(0, 0, 65), (1, 1, 66), (2, 2, 67), (10, 0, 88), (11, 1, 89), (99, 0, 90)]]
     blocks = [("a", 0, 0, 5), ("a", 0, 5, 20), ("a", 1, 0, 20)]
