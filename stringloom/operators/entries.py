@@ -215,11 +215,11 @@ def import_calls(calls: DataFrame, imports: DataFrame, functions: DataFrame | No
 def functions(starts: DataFrame, calls: DataFrame, direct: DataFrame, parsed: DataFrame, capabilities: DataFrame) -> DataFrame:
     """(input_id, arch_idx, va, end, name, byte_size, callers, callees, imports, tags): each function that begins at first bytes or at a
     symbol behind some, with how many functions call it and are called by it, how many imports it calls and what these can do.
-    `starts`, `calls` and `direct` are the rows of the extractors, `parsed` is PARSED, `capabilities` is (name, tag) in lower case.
-    A call in no function counts for none; one of a function by itself does not count.
+    `starts`, `calls` and `direct` are the rows of the extractors, `parsed` is PARSED, `capabilities` is (name, tag) in lower case,
+    a list of names that each task holds whole. A call in no function counts for none; one of a function by itself does not count.
 
     Functions, what they call and whom they call are written, as each is read several times: one plan of all would go over the
-    inputs' facts many times, and the driver would hold all of its stages and broadcast tables at once."""
+    inputs' facts many times, and the driver would hold all of its stages. Nothing but `capabilities` is broadcast."""
     by = ["input_id", "arch_idx"]
     symbols = parsed.select(*by, F.explode("symbols").alias("va", "name"))
     spans = stash(regions(starts, symbols.select(*by, F.col("va").alias("place"))))
@@ -227,14 +227,14 @@ def functions(starts: DataFrame, calls: DataFrame, direct: DataFrame, parsed: Da
     called = import_calls(calls, imports, spans).where("function is not null").select(*by, "function", "iat_va", F.lower("name").alias("name")).distinct()
     called = stash(called)
     use = called.groupBy(*by, "function").agg(F.countDistinct("iat_va").alias("imports"))
-    able = called.where(F.col("name").rlike("^[a-z_]")).join(capabilities, "name").groupBy(*by, "function").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+    able = called.where(F.col("name").rlike("^[a-z_]")).join(F.broadcast(capabilities), "name").groupBy(*by, "function").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
     held = first_containing(direct, spans, by, ["start"], "place").select(*by, "place", F.col("first.function").alias("function"))
-    pairs = stash(direct.join(held, [*by, "place"]).select(*by, "function", "target").where("function <> target").distinct())
+    pairs = stash(direct.join(held.hint("shuffle_merge"), [*by, "place"]).select(*by, "function", "target").where("function <> target").distinct())
     out = pairs.groupBy(*by, "function").agg(F.count("*").alias("callees"))
     into = pairs.groupBy(*by, F.col("target").alias("function")).agg(F.count("*").alias("callers"))
     found = spans
     for side in (use, able, out, into, symbols.withColumnRenamed("va", "function")):
-        found = found.join(side, [*by, "function"], "left")
+        found = found.join(side.hint("shuffle_merge"), [*by, "function"], "left")
     number = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return found.select(
         *by, F.col("function").alias("va"), "end", "name", (F.col("end") - F.col("start")).alias("byte_size"), number("callers"), number("callees"), number("imports"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags")

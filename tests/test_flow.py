@@ -201,6 +201,20 @@ def test_import_calls_broadcast_nothing(spark, monkeypatch, tmp_path):
     assert sum(p.count("SortMergeJoin") for p in plans) and not any("Broadcast" in p for p in plans)
 
 
+def test_function_table_broadcasts_names_only(spark, monkeypatch, tmp_path):
+    """Of all tables only the given capabilities, which do not grow with the inputs, go through the driver."""
+    plans = plans_written(monkeypatch, entries)
+    spark.range(40).selectExpr("id AS doc_id", "'a.bin' AS source", "'some text' AS text").write.parquet(str(tmp_path / "documents.parquet"))
+    found = programs.function_table(spark, str(tmp_path))
+    plans.append(executed(found))
+    # A function of its own begins at the symbol of each PE file.
+    assert found.count() == 2 * (1 + 2 + 3 + 4) * 10 + 40 and {r.tags for r in found.collect()} == {"", "calls_filesystem", "calls_filesystem calls_network"}
+    last = plans[-1].split("== Initial Plan ==")[0]
+    joins = [x for x in last.splitlines() if "BroadcastHashJoin" in x]
+    assert len(plans) == 5 and len(joins) == last.count("BroadcastExchange") == 1 and "Inner, BuildRight" in joins[0]
+    assert sum(p.count("SortMergeJoin") for p in plans) and not any("Broadcast" in p for p in plans[:-1])
+
+
 def test_tight_strings_choose_the_first_function(spark):
     written = [("a", p, t, b) for p, t, b in [(0, 0, 65), (1, 1, 66), (2, 2, 67), (10, 0, 88), (11, 1, 89), (99, 0, 90)]]
     blocks = [("a", 0, 0, 5), ("a", 0, 5, 20), ("a", 1, 0, 20)]
